@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayframe.llm import chat, decontaminate, fingerprint, html, mixing
+from assayframe.llm import chat, decontaminate, fingerprint, html, langid, mixing
 from assayframe.llm._spark import table
 
 
@@ -23,6 +23,13 @@ def op4_html_text(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_sparse_langid(spark, sf_dir):
+    """Predicted language of every text."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.fit(docs.where("NOT held_out").select("text", "lang"))
+    return langid.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_prefix_join(spark, sf_dir):
     """Benchmark windows found in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -92,5 +99,5 @@ def op10_chat_format(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_source_mix, op4_html_text, op9_prefix_join, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_source_mix, op4_html_text, op6_sparse_langid, op9_prefix_join, op10_chat_format)}
 ORACLES: dict[str, str] = {"op9_prefix_join": OP9_SQL, "op10_chat_format": OP10_SQL}
