@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayframe.llm import chat, decontaminate, fingerprint, html, langid, mixing
+from assayframe.llm import chat, decontaminate, fingerprint, html, langid, langmodel, mixing
 from assayframe.llm._spark import table
 
 
@@ -18,6 +18,12 @@ def op2_source_mix(spark, sf_dir):
     return mixing.taken(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op3_log_bilinear(spark, sf_dir):
+    """Model and unigram scores of every text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return langmodel.score(docs.withColumn("train", ~langid.held_out(F.col("doc_id"), 5)))
+
+
 def op4_html_text(spark, sf_dir):
     """Main text of every page."""
     return html.extract(table(spark, sf_dir, "pages"))
@@ -99,5 +105,5 @@ def op10_chat_format(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_source_mix, op4_html_text, op6_sparse_langid, op9_prefix_join, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_source_mix, op3_log_bilinear, op4_html_text, op6_sparse_langid, op9_prefix_join, op10_chat_format)}
 ORACLES: dict[str, str] = {"op9_prefix_join": OP9_SQL, "op10_chat_format": OP10_SQL}
