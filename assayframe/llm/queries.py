@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayframe.llm import chat, decontaminate, fingerprint, html, langid, langmodel, mixing
+from assayframe.llm import chat, decontaminate, fingerprint, html, jaccard, langid, langmodel, mixing
 from assayframe.llm._spark import table
 
 
@@ -36,6 +36,23 @@ def op6_sparse_langid(spark, sf_dir):
     return langid.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_token_groups(spark, sf_dir):
+    """Set size and component of every text, linked at a Jaccard similarity of 85 %."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, num=85, den=100)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
+"""
+
+
 def op9_prefix_join(spark, sf_dir):
     """Benchmark windows found in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -105,5 +122,5 @@ def op10_chat_format(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_source_mix, op3_log_bilinear, op4_html_text, op6_sparse_langid, op9_prefix_join, op10_chat_format)}
-ORACLES: dict[str, str] = {"op9_prefix_join": OP9_SQL, "op10_chat_format": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_source_mix, op3_log_bilinear, op4_html_text, op6_sparse_langid, op8_token_groups, op9_prefix_join, op10_chat_format)}
+ORACLES: dict[str, str] = {"op8_token_groups": OP8_SQL, "op9_prefix_join": OP9_SQL, "op10_chat_format": OP10_SQL}
