@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayframe.llm import chat, decontaminate, fingerprint, html, jaccard, langid, langmodel, mixing
+import corpus_pipeline
+from assayframe.llm import chat, decontaminate, fingerprint, html, jaccard, langid, langmodel, mixing, secrets, sharding, stages
 from assayframe.llm._spark import table
 
 
@@ -29,6 +30,11 @@ def op4_html_text(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_lookup_shards(spark, sf_dir):
+    """Slot and shard of every document."""
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), stages.SHARDS)
+
+
 def op6_sparse_langid(spark, sf_dir):
     """Predicted language of every text."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
@@ -36,6 +42,11 @@ def op6_sparse_langid(spark, sf_dir):
     return langid.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_secret_forest(spark, sf_dir):
+    """Candidates and secrets of every text, with the secrets' places."""
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(*secrets.labelled_findings()))
+
+
 def op8_token_groups(spark, sf_dir):
     """Set size and component of every text, linked at a Jaccard similarity of 85 %."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, num=85, den=100)
@@ -122,5 +133,6 @@ def op10_chat_format(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_source_mix, op3_log_bilinear, op4_html_text, op6_sparse_langid, op8_token_groups, op9_prefix_join, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_source_mix, op3_log_bilinear, op4_html_text, op5_lookup_shards, op6_sparse_langid, op7_secret_forest, op8_token_groups, op9_prefix_join, op10_chat_format)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {"op8_token_groups": OP8_SQL, "op9_prefix_join": OP9_SQL, "op10_chat_format": OP10_SQL}
