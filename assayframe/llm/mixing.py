@@ -178,7 +178,8 @@ def mix(docs: DataFrame, key=("doc_id",), weights=(1, 2, 3), block: int = BLOCK,
     key = list(key)
     rows = packed(docs, key)
     plan = source_plan(rows, weights, repeats)
-    table = slots(plan, block, seed)
+    # written, so that its size is known: it grows with the input and must not be taken for small
+    table = saved(slots(plan, block, seed))
     spread = rows.where("size > 0").select(
         *key, F.col("source").alias("s"), "size", "offset",
         F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("size") - 1) / block))).alias("b"),
