@@ -10,9 +10,9 @@ So that no query meets a group without prospects, the matrix is indexed: the
 shingles of a set are dealt by hash into m parts, where m is larger than the
 largest symmetric difference that the threshold allows at its size.  Two
 similar sets then agree on a whole part, and groups that hold an equal part are
-the only ones that meet.  Nothing is estimated: every link is found (equal sets
-are one class from the start; where parts may be empty, m has as many parts
-more, and sets with still more empty ones are listed under those too).
+the only ones that meet.  As parts of few shingles tell little, m has a slack: a set may
+leave as many of its smallest parts unlisted.  Nothing is estimated: every link
+is found (equal sets are one class from the start).
 
 Links become one row per document with its component; pairs inside a group
 are never listed, only a spanning link per member.
@@ -33,14 +33,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm._spark import saved, shuffle_partitions
+from assayframe.llm._spark import discard, saved, shuffle_partitions
 from assayframe.llm._text import mix64, sets_of
 from assayframe.llm.components import components
 
 GROUP, GROUP_SHINGLES = 256, 400_000
+SLACK, FULL = 0.4, 3  # parts beyond those needed, per difference allowed; shingles that make a part telling
 _MIN, _KEY1, _KEY2, _PART, _SUM = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F))
 FEATURES = "doc_id long, n long, k1 long, k2 long, least long, z binary"
-GROUPS = "gid long, ids array<long>, label array<long>, zs array<binary>, edges array<struct<a:long,b:long>>"
+GROUPS = "gid long, weight long, ids array<long>, label array<long>, zs array<binary>, edges array<struct<a:long,b:long>>"
+
+UNIT, MAP_BITS = 64, 1 << 22
+NEED = 63  # more shared parts are never asked for; fits the six lowest bits of a group number
 
 
 def signed(x) -> int:
@@ -66,13 +70,16 @@ class Threshold:
         return lo
 
     def parts(self, level: int) -> tuple[int, int]:
-        """(m, slack) of a size class; m = 0 where only equal sets qualify."""
+        """(m, slack) of a size class; m = 0 where only equal sets qualify.
+
+        Similar sets agree on at least 1 + slack of the m parts.
+        """
         while level >= len(self.upper):
             self.level(self.upper[-1] + 1)
         apart = 2 * self.upper[level] * (self.den - self.num) // (self.den + self.num)
         if apart == 0:
             return 0, 0
-        slack = 3 + apart // 20
+        slack = 2 + int(apart * SLACK)
         return apart + 1 + slack, slack
 
     def similar(self, overlap, a, b):
@@ -83,9 +90,10 @@ class Threshold:
         return -(-self.num * n // self.den)
 
 
-def part_keys(s: np.ndarray, t: Threshold) -> np.ndarray:
-    """Keys of the parts of a set, for its size class and the one above."""
-    out = []
+def part_keys(s: np.ndarray, t: Threshold) -> tuple[np.ndarray, int]:
+    """Keys of the parts of a set, for its size class and the one above, and
+    how many of them any similar set must share with it."""
+    out, least = [], NEED
     own = t.level(len(s))
     base = mix64(s + _SUM)
     for level in (own, own + 1):
@@ -95,12 +103,15 @@ def part_keys(s: np.ndarray, t: Threshold) -> np.ndarray:
         part = (mix64(s ^ (_PART + np.uint64(level))) % np.uint64(m)).astype(np.int64)
         total = np.zeros(m, np.uint64)
         np.add.at(total, part, base)
-        held = np.bincount(part, minlength=m) > 0
-        if m - int(held.sum()) > slack:  # the empty parts count too
-            held[:] = True
+        size = np.bincount(part, minlength=m)
+        # parts under the largest size that leaves at most `slack` of them out are not
+        # listed; of two similar sets, the one with the larger such size lists only
+        # parts that the other lists too, and of the 1 + slack equal parts all but its own left out
+        held = size >= min(FULL, int(np.partition(size, slack)[slack]))
+        least = min(least, 1 + slack - (m - int(held.sum())))
         at = np.flatnonzero(held).astype(np.uint64)
         out.append(mix64(total[held] + mix64(at + np.uint64(level << 32) + _KEY1)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), least
 
 
 class Group:
@@ -187,7 +198,7 @@ def groups(rows: DataFrame, size: int, t: Threshold) -> DataFrame:
     """Groups of neighbouring sets, with their members' inner components."""
 
     def run(batches):
-        gid = TaskContext.get().partitionId() << 40
+        gid = TaskContext.get().partitionId() << 34
         held: list[tuple] = []
         out: list[tuple] = []
         weight = packed = 0
@@ -196,7 +207,7 @@ def groups(rows: DataFrame, size: int, t: Threshold) -> DataFrame:
             nonlocal gid, weight, packed
             ids = [h[0] for h in held]
             root, links = inner_links(unpacked([h[1] for h in held], size), t)
-            out.append((gid, ids, root.tolist(), [h[1] for h in held], [{"a": ids[a], "b": ids[b]} for a, b in links]))
+            out.append((gid, weight, ids, root.tolist(), [h[1] for h in held], [{"a": ids[a], "b": ids[b]} for a, b in links]))
             packed += sum(len(h[1]) for h in held)
             gid += 1
             held.clear()
@@ -204,8 +215,8 @@ def groups(rows: DataFrame, size: int, t: Threshold) -> DataFrame:
 
         def batch():
             nonlocal packed
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
-            made = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["gid", "ids", "label", "zs", "edges"])
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
+            made = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["gid", "weight", "ids", "label", "zs", "edges"])
             out.clear()
             packed = 0
             return made
@@ -239,80 +250,131 @@ def meetings(made: DataFrame, size: int, t: Threshold) -> DataFrame:
     """Pairs of groups (g, h), g < h, that hold an equal part."""
 
     def keys(batches):
+        held, n = [], 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in held]).view(np.int64)), pa.array(np.concatenate([np.full(len(k), g) for k, g in held]))], ["key", "gid"])
+
         for b in batches:
             for gid, zs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = [part_keys(s, t) for s in unpacked(zs, size)]
-                k = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
-                if len(k):
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.full(len(k), gid))], ["key", "gid"])
+                k = np.unique(np.concatenate([f[0] for f in found])) if len(found) > 1 else found[0][0]
+                held.append((k, gid << 6 | min(f[1] for f in found)))
+                n += len(k)
+                if n > 50_000:
+                    yield batch()
+                    held.clear()
+                    n = 0
+        if n:
+            yield batch()
 
     def meet(batches):
         rest = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        seen = np.zeros((0, 2), np.int64)
+        seen, n = [], 0
+
+        def batch():
+            pairs, count = np.unique(np.concatenate(seen), axis=0, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(count)], ["g", "h", "n"])
+
         for b in batches:
             k = np.concatenate([rest[0], b.column(0).to_numpy()])
             g = np.concatenate([rest[1], b.column(1).to_numpy()])
             cut = int(np.searchsorted(k, k[-1]))
             rest = (k[cut:], g[cut:])
-            seen = np.unique(np.concatenate([seen, _pairs(k[:cut], g[:cut])]), axis=0)
-            if len(seen) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1])], ["g", "h"])
-                seen = seen[:0]
-        seen = np.unique(np.concatenate([seen, _pairs(*rest)]), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1])], ["g", "h"])
+            for found in _pairs(k[:cut], g[:cut]):
+                seen.append(found)
+                n += len(found)
+                if n > 500_000:
+                    yield batch()
+                    seen, n = [], 0
+        for found in _pairs(*rest):
+            seen.append(found)
+            n += len(found)
+        if n:
+            yield batch()
 
     listed = made.select("gid", "zs").mapInArrow(keys, "key long, gid long")
     listed = listed.repartition(shuffle_partitions(made.sparkSession), "key").sortWithinPartitions("key")
-    return listed.mapInArrow(meet, "g long, h long").distinct()
+    met = listed.mapInArrow(meet, "g long, h long, n long").groupBy("g", "h").agg(F.sum("n").alias("n"))
+    need = lambda c: F.col(c).bitwiseAND(F.lit(63))
+    return met.where(F.col("n") >= F.least(need("g"), need("h"))).select(F.shiftright("g", 6).alias("g"), F.shiftright("h", 6).alias("h"))
 
 
-def _pairs(k: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """Distinct pairs g < h under one key; ``k`` is sorted."""
+def _pairs(k: np.ndarray, g: np.ndarray):
+    """Yield arrays of the pairs g < h under each key; ``k`` is sorted."""
     if len(k) < 2:
-        return np.zeros((0, 2), np.int64)
+        return
     first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
     count = np.diff(np.append(first, len(k)))
-    out = []
     two = first[count == 2]
     if len(two):
-        out.append(np.stack([np.minimum(g[two], g[two + 1]), np.maximum(g[two], g[two + 1])], axis=1))
+        yield np.stack([np.minimum(g[two], g[two + 1]), np.maximum(g[two], g[two + 1])], axis=1)
     for lo, n in zip(first[count > 2].tolist(), count[count > 2].tolist(), strict=True):
         own = np.sort(g[lo : lo + n])
-        i, j = np.triu_indices(n, 1)
-        out.append(np.stack([own[i], own[j]], axis=1))
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        for i in range(0, n - 1, 256):  # a long list in slices
+            x, y = np.meshgrid(np.arange(i, min(i + 256, n - 1)), np.arange(i + 1, n), indexing="ij")
+            keep = x < y
+            yield np.stack([own[x[keep]], own[y[keep]]], axis=1)
+
+
+def held_by(made: DataFrame, met: DataFrame) -> DataFrame:
+    """The groups that pairs name, and few others: by a bitmap of fixed size.
+
+    It keeps groups without partners from being shuffled; where a very large
+    table fills the bitmap, the joins behind still pick the right ones.
+    """
+    place = F.pmod(F.xxhash64("gid"), F.lit(MAP_BITS))
+    named = met.select(F.explode(F.array("g", "h")).alias("gid")).select(place.alias("at"))
+    word = F.shiftright("at", 6).cast("int")
+    bits = named.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    words = [0] * (MAP_BITS >> 6)
+    for r in bits.collect():
+        words[r["word"]] = r["bits"]
+    table = made.sparkSession.createDataFrame([(words,)], "bits array<bigint>")
+    there = F.call_function("shiftright", F.element_at("bits", F.shiftright(place, 6).cast("int") + 1), place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return made.join(F.broadcast(table), there, "left_semi")
 
 
 def outer_links(made: DataFrame, met: DataFrame, size: int, t: Threshold) -> DataFrame:
-    """Links (a, b) between the groups of each pair: one per query and inner component."""
-    own = made.select(F.col("gid").alias("g"), F.col("ids").alias("ids1"), F.col("zs").alias("zs1"))
-    other = made.select(F.col("gid").alias("h"), F.col("ids").alias("ids2"), F.col("label").alias("label2"), F.col("zs").alias("zs2"))
-    units = met.join(own, "g").join(other, "h").select("h", "ids1", "zs1", "ids2", "label2", "zs2")
+    """Links (a, b) between the groups of each pair: one per query and inner component.
+
+    The lighter group of a pair brings the queries, ``UNIT`` groups of them at
+    a time to one heavier group.
+    """
+    named = held_by(made, met)
+    weights = named.select("gid", "weight")
+    pairs = met.join(weights.select(F.col("gid").alias("g"), F.col("weight").alias("wg")), "g").join(weights.select(F.col("gid").alias("h"), F.col("weight").alias("wh")), "h")
+    pairs = pairs.select(F.when(F.col("wg") <= F.col("wh"), F.col("g")).otherwise(F.col("h")).alias("q"), F.when(F.col("wg") <= F.col("wh"), F.col("h")).otherwise(F.col("g")).alias("h"))
+    pairs = saved(pairs)
+    often = pairs.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / UNIT).alias("units"))
+    pairs = pairs.join(often, "h").select("q", "h", F.pmod(F.xxhash64("q"), F.col("units")).alias("unit"))
+    own = named.select(F.col("gid").alias("q"), F.struct("ids", "zs").alias("queries"))
+    other = named.select(F.col("gid").alias("h"), F.col("ids").alias("ids2"), F.col("label").alias("label2"), F.col("zs").alias("zs2"))
+    units = pairs.join(own, "q").groupBy("h", "unit").agg(F.collect_list("queries").alias("queries")).join(other, "h")
 
     def run(batches):
-        last, group = None, None
         for b in batches:
             for i in range(b.num_rows):
-                h, ids1, zs1, ids2, label2, zs2 = (c[i].as_py() for c in b.columns)
-                if h != last:
-                    last, group = h, Group(unpacked(zs2, size))
-                    labels = np.array(label2)
+                queries, ids2, label2, zs2 = (c[i].as_py() for c in b.columns)
+                group, labels = Group(unpacked(zs2, size)), np.array(label2)
+                ids = [a for q in queries for a in q["ids"]]
                 found = []
-                for a, q in zip(ids1, unpacked(zs1, size), strict=True):
-                    p = group.partners(q, t)
+                for a, s in zip(ids, unpacked([z for q in queries for z in q["zs"]], size), strict=True):
+                    p = group.partners(s, t)
                     found += [(a, ids2[p[k]]) for k in np.unique(labels[p], return_index=True)[1]]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
-    return units.mapInArrow(run, "a long, b long")
+    return units.select("queries", "ids2", "label2", "zs2").mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs(doc_id, text)``."""
     t = Threshold(num, den)
     rows = saved(features(docs, size))
-    small = rows.select("doc_id", "n", "k1", "k2")
+    small = saved(rows.select("doc_id", "n", "k1", "k2"))
     made = saved(groups(rows, size, t))
+    discard(rows)
     equal = small.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("held")).where("held > 1")
     copies = saved(small.where("n > 0").join(equal, ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b"), "k1", "k2"))
     met = saved(meetings(made, size, t))
