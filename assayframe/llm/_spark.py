@@ -45,6 +45,31 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+MAP_BITS = 1 << 22
+
+
+def bitmap(hashes: DataFrame, column: str) -> DataFrame:
+    """One row, ``bits``: a bitmap of MAP_BITS bits in which the hashes are set.
+
+    Its size is fixed (512 kB), so it may be broadcast; ``in_bitmap`` lets
+    through every hash that was set and some others.  It keeps rows without
+    partners from being shuffled; where a very large table fills it, the join
+    behind still picks the right ones.
+    """
+    at = F.pmod(F.col(column), F.lit(MAP_BITS))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    words = hashes.groupBy(F.shiftright(at, 6).alias("id")).agg(F.bit_or(one).alias("bits"))
+    # as each word, empty or not, has its place, the array can be looked into directly
+    every = hashes.sparkSession.range(0, MAP_BITS >> 6, 1, 1).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits"))
+
+
+def in_bitmap(hash_: Column) -> Column:
+    at = F.pmod(hash_, F.lit(MAP_BITS))
+    word = F.element_at("bits", F.shiftright(at, 6).cast("int") + 1)
+    return F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def ascii_lower(text: Column) -> Column:
     """Fold A-Z only; ``lower`` would also fold letters beyond ASCII."""
     plain = F.octet_length(text) == F.char_length(text)

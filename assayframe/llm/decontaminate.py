@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm._spark import ascii_lower, saved
+from assayframe.llm._spark import ascii_lower, bitmap, in_bitmap, saved
 
 WINDOW, SHINGLE, BROADCAST_ROWS = 10, 5, 200_000
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -88,7 +88,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, shingle
         found = found.select("mark", fits.alias("fits")).where(F.size("fits") > 0)
         hits = saved(found.groupBy("mark").agg(F.flatten(F.collect_list("fits")).alias("found")))
     # the row itself travels as one struct, so that its names meet no other
-    both = docs.select(F.struct("*").alias("doc"), mark.alias("mark")).join(hits, "mark", "left").withColumn("w", words_of(F.col("doc.text")))
+    rows = docs.select(F.struct("*").alias("doc"), mark.alias("mark"))
+    table = F.broadcast(saved(bitmap(hits, "mark")))
+    maybe = rows.join(table, in_bitmap(F.col("mark")), "left_semi").join(hits, "mark", "left")
+    never = rows.join(table, in_bitmap(F.col("mark")), "left_anti").withColumn("found", F.lit(None).cast(hit))
+    both = maybe.unionByName(never).withColumn("w", words_of(F.col("doc.text")))
     true = F.filter(F.coalesce("found", F.array().cast(hit)), lambda h: F.array_join(F.slice("w", h["start"] + 1, h["len"]), " ") == h["text"])
     both = both.withColumn("true", true)
     places = F.flatten(F.transform("true", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1)))

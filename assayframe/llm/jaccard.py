@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm._spark import discard, saved, shuffle_partitions
+from assayframe.llm._spark import bitmap, discard, in_bitmap, saved, shuffle_partitions
 from assayframe.llm._text import mix64, sets_of
 from assayframe.llm.components import components
 
@@ -43,7 +43,7 @@ _MIN, _KEY1, _KEY2, _PART, _SUM = (np.uint64(x) for x in (0xA0761D6478BD642F, 0x
 FEATURES = "doc_id long, n long, k1 long, k2 long, least long, z binary"
 GROUPS = "gid long, weight long, ids array<long>, label array<long>, zs array<binary>, edges array<struct<a:long,b:long>>"
 
-UNIT, MAP_BITS = 64, 1 << 22
+UNIT = 64
 NEED = 63  # more shared parts are never asked for; fits the six lowest bits of a group number
 
 
@@ -318,21 +318,9 @@ def _pairs(k: np.ndarray, g: np.ndarray):
 
 
 def held_by(made: DataFrame, met: DataFrame) -> DataFrame:
-    """The groups that pairs name, and few others: by a bitmap of fixed size.
-
-    It keeps groups without partners from being shuffled; where a very large
-    table fills the bitmap, the joins behind still pick the right ones.
-    """
-    place = F.pmod(F.xxhash64("gid"), F.lit(MAP_BITS))
-    named = met.select(F.explode(F.array("g", "h")).alias("gid")).select(place.alias("at"))
-    word = F.shiftright("at", 6).cast("int")
-    bits = named.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
-    words = [0] * (MAP_BITS >> 6)
-    for r in bits.collect():
-        words[r["word"]] = r["bits"]
-    table = made.sparkSession.createDataFrame([(words,)], "bits array<bigint>")
-    there = F.call_function("shiftright", F.element_at("bits", F.shiftright(place, 6).cast("int") + 1), place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return made.join(F.broadcast(table), there, "left_semi")
+    """The groups that pairs name, and few others."""
+    named = met.select(F.explode(F.array("g", "h")).alias("gid")).select(F.xxhash64("gid").alias("hash"))
+    return made.join(F.broadcast(saved(bitmap(named, "hash"))), in_bitmap(F.xxhash64("gid")), "left_semi")
 
 
 def outer_links(made: DataFrame, met: DataFrame, size: int, t: Threshold) -> DataFrame:
