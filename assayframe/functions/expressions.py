@@ -5,6 +5,9 @@ All of them are JVM-side; none is a UDF.
 
 from __future__ import annotations
 
+import string
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +17,15 @@ NUMERIC_KINDS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
 CHOICE_KEYS = ("choice", "answer", "synthetic", "synthetic_audio")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it.
+
+    Column functions that use an argument several times would otherwise copy
+    its whole expression each time.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stripped(text: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -35,16 +47,17 @@ def first_number(text: Column, low, high) -> Column:
 
 def unfenced(text: Column) -> Column:
     """The inside of a Markdown code fence, or the text."""
-    t = stripped(text)
-    inner = F.regexp_replace(t, r"^```[^\n]*(\n|$)", "")
-    inner = F.regexp_replace(inner, r"(^|\n)[ \t]*```[ \t]*$", "")
-    return F.when(F.startswith(t, F.lit("```")), stripped(inner)).otherwise(t)
+
+    def open_fence(t: Column) -> Column:
+        inner = F.regexp_replace(t, r"^```[^\n]*(\n|$)", "")
+        inner = F.regexp_replace(inner, r"(^|\n)[ \t]*```[ \t]*$", "")
+        return F.when(F.startswith(t, F.lit("```")), stripped(inner)).otherwise(t)
+
+    return bound(stripped(text), open_fence)
 
 
 def json_span(text: Column) -> Column:
     """The first balanced {...} of a text, quotes and escapes minded; else null."""
-    body = unfenced(text)
-    tail = F.substr(body, F.instr(body, "{"))
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("end"))
 
     def step(acc: Column, ch: Column) -> Column:
@@ -60,19 +73,21 @@ def json_span(text: Column) -> Column:
             F.when((acc["end"] == 0) & free & (ch == "}") & (depth == 0), at).otherwise(acc["end"]).alias("end"),
         )
 
-    end = F.aggregate(F.split(tail, ""), start, step)["end"]
-    return F.when(F.instr(body, "{") > 0, F.when(end > 0, F.substr(tail, F.lit(1), end)))
+    def span(tail: Column) -> Column:
+        return bound(F.aggregate(F.split(tail, ""), start, step)["end"], lambda end: F.when(end > 0, F.substr(tail, F.lit(1), end)))
+
+    tail = bound(unfenced(text), lambda body: F.when(F.instr(body, "{") > 0, F.substr(body, F.instr(body, "{"))))
+    return bound(tail, span)
 
 
 def json_object(text: Column) -> Column:
     """The JSON object in a text as a variant; null without one."""
-    value = F.try_parse_json(json_span(text))
-    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
+    return bound(F.try_parse_json(json_span(text)), lambda value: F.when(F.schema_of_variant(value).startswith("OBJECT"), value))
 
 
 def json_number(value: Column, low, high) -> Column:
     """A variant that is a number, not a boolean or string, on the scale."""
-    return F.when(F.schema_of_variant(value).rlike(NUMERIC_KINDS), within(F.try_variant_get(value, "$", "double"), low, high))
+    return bound(value, lambda v: F.when(F.schema_of_variant(v).rlike(NUMERIC_KINDS), within(F.try_variant_get(v, "$", "double"), low, high)))
 
 
 def json_field(payload: Column, key: str) -> Column:
@@ -81,8 +96,7 @@ def json_field(payload: Column, key: str) -> Column:
 
 def json_text(payload: Column, key: str) -> Column:
     """A field that is a string."""
-    value = json_field(payload, key)
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return bound(json_field(payload, key), lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
 
 
 def last_on_scale(text: Column, pattern: str, low, high) -> Column:
@@ -93,10 +107,9 @@ def last_on_scale(text: Column, pattern: str, low, high) -> Column:
 
 def final_score(text: Column, low, high) -> Column:
     """A score by JSON field, else by 'final score: n', else 'score: n', else the first number."""
-    payload = json_object(text)
+    fields = bound(json_object(text), lambda p: F.coalesce(*[json_number(json_field(p, k), low, high) for k in ("score", "final_score")]))
     return F.coalesce(
-        json_number(json_field(payload, "score"), low, high),
-        json_number(json_field(payload, "final_score"), low, high),
+        fields,
         last_on_scale(text, rf"(?i)final\s*score\s*[:=]\s*({NUMBER})", low, high),
         last_on_scale(text, rf"(?i)score\s*[:=]\s*({NUMBER})", low, high),
         first_number(text, low, high),
@@ -105,65 +118,96 @@ def final_score(text: Column, low, high) -> Column:
 
 def plain_choice(text: Column) -> Column:
     """A or B: the whole text, its start, or a letter of its own anywhere."""
-    t = F.upper(stripped(text))
-    lead = F.regexp_extract(t, r"^\s*([AB])(?:\b|[^A-Z])", 1)
-    lone = F.regexp_extract(t, r"\b([AB])\b", 1)
-    return F.when(t.isin("A", "B"), t).when(lead != "", lead).when(lone != "", lone)
+
+    def pick(t: Column) -> Column:
+        lead = F.nullif(F.regexp_extract(t, r"^\s*([AB])(?:\b|[^A-Z])", 1), F.lit(""))
+        lone = F.nullif(F.regexp_extract(t, r"\b([AB])\b", 1), F.lit(""))
+        return F.coalesce(F.when(t.isin("A", "B"), t), lead, lone)
+
+    return bound(F.upper(stripped(text)), pick)
 
 
 def choice(text: Column) -> Column:
     """A or B, by a field of a JSON object first."""
-    payload = json_object(text)
-    return F.coalesce(*[plain_choice(json_text(payload, k)) for k in CHOICE_KEYS], plain_choice(text))
+    fields = bound(json_object(text), lambda p: F.coalesce(*[plain_choice(json_text(p, k)) for k in CHOICE_KEYS]))
+    return F.coalesce(fields, plain_choice(text))
 
 
 def boolean(value: Column) -> Column:
     """true, yes, y, 1 and their opposites, in a string."""
-    v = F.lower(stripped(value))
-    return F.when(v.isin("true", "yes", "y", "1"), True).when(v.isin("false", "no", "n", "0"), False)
+    return bound(F.lower(stripped(value)), lambda v: F.when(v.isin("true", "yes", "y", "1"), True).when(v.isin("false", "no", "n", "0"), False))
 
 
 def json_boolean(payload: Column, key: str) -> Column:
     """A boolean or a string that says one; numbers don't."""
-    value = json_field(payload, key)
-    kind = F.schema_of_variant(value)
-    return F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean")).when(kind == "STRING", boolean(F.try_variant_get(value, "$", "string")))
+
+
+    def read(value: Column) -> Column:
+        kind = F.schema_of_variant(value)
+        return F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean")).when(kind == "STRING", boolean(F.try_variant_get(value, "$", "string")))
+
+    return bound(json_field(payload, key), read)
+
+
+def object_of(payload: Column, key: str | None = None) -> Column:
+    """A field that is an object (the payload itself without a key) as a map."""
+    value = payload if key is None else json_field(payload, key)
+    return bound(value, lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$", "map<string,variant>")))
+
+
+def strings(condition: Column, *values: str) -> Column:
+    """The strings where the condition holds, else none."""
+    return F.when(condition, F.array(*[F.lit(v) for v in values])).otherwise(F.array().cast("array<string>"))
 
 
 def label_scores(text: Column, expected: list[str], low, high) -> Column:
     """All labels' scores of an answer: scores, missing, extra, invalid, error."""
-    payload = json_object(text)
-    inner = json_field(payload, "scores")
-    has_scores = F.array_contains(F.json_object_keys(json_span(text)), "scores")
-    source = F.when(has_scores, inner).otherwise(payload)
-    held = F.when(F.schema_of_variant(source).startswith("OBJECT"), F.try_variant_get(source, "$", "map<string,variant>"))
     names = F.array(*[F.lit(x) for x in expected])
-    known = F.map_filter(held, lambda k, v: F.array_contains(names, k))
-    scores = F.map_filter(F.transform_values(known, lambda k, v: json_number(v, low, high)), lambda k, v: v.isNotNull())
-    missing = F.filter(names, lambda k: ~F.coalesce(F.map_contains_key(scores, k), F.lit(False)))
-    extra = F.array_sort(F.filter(F.map_keys(held), lambda k: ~F.array_contains(names, k)))
-    invalid = F.transform_values(F.map_filter(known, lambda k, v: json_number(v, low, high).isNull()), lambda k, v: F.to_json(v))
-    exact = (F.size(missing) == 0) & (F.size(extra) == 0) & (F.size(invalid) == 0)
-    error = (
-        F.when(payload.isNull(), F.lit("response did not contain a JSON object"))
-        .when(held.isNull(), F.lit("JSON scores field was not an object"))
-        .when(~exact, F.lit("JSON scores did not exactly match expected emotions and numeric scale"))
-    )
-    none, empty = F.create_map().cast("map<string,double>"), F.array().cast("array<string>")
-    return F.struct(
-        F.coalesce(scores, none).alias("scores"), missing.alias("missing"), F.coalesce(extra, empty).alias("extra"),
-        F.coalesce(invalid, F.create_map().cast("map<string,string>")).alias("invalid"), error.alias("error"),
-    )
+    no_map, no_list = F.create_map().cast("map<string,string>"), F.array().cast("array<string>")
+
+    def checked(known: Column, held: Column, present: Column) -> Column:
+        numbers = F.transform_values(known, lambda k, v: json_number(v, low, high))
+
+        def report(scores: Column) -> Column:
+            missing = F.filter(names, lambda k: ~F.coalesce(F.map_contains_key(scores, k), F.lit(False)))
+            extra = F.array_sort(F.filter(F.map_keys(held), lambda k: ~F.array_contains(names, k)))
+            bad = F.map_filter(known, lambda k, v: ~F.map_contains_key(scores, k))
+            exact = (F.size(scores) == len(expected)) & (F.size(known) == len(expected)) & (F.size(held) == len(expected))
+            error = (
+                F.when(~present, F.lit("response did not contain a JSON object"))
+                .when(held.isNull(), F.lit("JSON scores field was not an object"))
+                .when(~exact, F.lit("JSON scores did not exactly match expected emotions and numeric scale"))
+            )
+            return F.struct(
+                F.coalesce(scores, F.create_map().cast("map<string,double>")).alias("scores"), missing.alias("missing"), F.coalesce(extra, no_list).alias("extra"),
+                F.coalesce(F.transform_values(bad, lambda k, v: F.to_json(v)), no_map).alias("invalid"), error.alias("error"),
+            )
+
+        return bound(F.map_filter(numbers, lambda k, v: v.isNotNull()), report)
+
+    def source(payload: Column) -> Column:
+        named = F.array_contains(F.map_keys(object_of(payload)), "scores")
+        return F.struct(payload.isNotNull().alias("present"), F.when(named, object_of(payload, "scores")).otherwise(object_of(payload)).alias("held"))
+
+    def known(s: Column) -> Column:
+        inside = F.map_filter(s["held"], lambda k, v: F.array_contains(names, k))
+        return bound(inside, lambda m: checked(m, s["held"], s["present"]))
+
+    return bound(bound(json_object(text), source), known)
 
 
 def contrastive_scores(text: Column, low, high) -> Column:
     """Two numbers, emotion_score and opposite_score, both required."""
-    payload = json_object(text)
-    own, other = (json_number(json_field(payload, k), low, high) for k in ("emotion_score", "opposite_score"))
-    error = F.when(payload.isNull(), F.lit("response did not contain a JSON object")).when(
-        own.isNull() | other.isNull(), F.lit("JSON did not contain numeric emotion_score and opposite_score within scale")
-    )
-    return F.struct(own.alias("emotion_score"), other.alias("opposite_score"), error.alias("error"))
+
+    def read(payload: Column) -> Column:
+        return F.struct(payload.isNotNull().alias("present"), *[json_number(json_field(payload, k), low, high).alias(k) for k in ("emotion_score", "opposite_score")])
+
+    def report(r: Column) -> Column:
+        lacking = r["emotion_score"].isNull() | r["opposite_score"].isNull()
+        error = F.when(~r["present"], F.lit("response did not contain a JSON object")).when(lacking, F.lit("JSON did not contain numeric emotion_score and opposite_score within scale"))
+        return F.struct(r["emotion_score"].alias("emotion_score"), r["opposite_score"].alias("opposite_score"), error.alias("error"))
+
+    return bound(bound(json_object(text), read), report)
 
 
 def feature_scores(text: Column, features: list[str], low, high) -> Column:
@@ -171,78 +215,79 @@ def feature_scores(text: Column, features: list[str], low, high) -> Column:
 
     A missing or bad number is an error; other departures are a warning.
     """
-    payload = json_object(text)
-
-    def part(key: str) -> Column:
-        inner = json_field(payload, key)
-        held = F.when(F.schema_of_variant(inner).startswith("OBJECT"), F.try_variant_get(inner, "$", "map<string,variant>"))
-        return F.coalesce(held, F.create_map().cast("map<string,variant>"))
-
-    scores_in, notes_in = part("scores"), part("observations")
     names = F.array(*[F.lit(x) for x in features])
-    known = F.map_filter(scores_in, lambda k, v: F.array_contains(names, k))
-    scores = F.map_filter(F.transform_values(known, lambda k, v: json_number(v, low, high)), lambda k, v: v.isNotNull())
-    said = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
-    notes = F.map_filter(
-        F.transform_values(F.map_filter(notes_in, lambda k, v: F.array_contains(names, k)), lambda k, v: said(v)),
-        lambda k, v: F.coalesce(F.length(stripped(v)) > 0, F.lit(False)),
-    )
-    overall = json_number(json_field(payload, "overall_score"), low, high)
-    reason = json_text(payload, "overall_reason")
-    reason = F.when(F.length(stripped(reason)) > 0, reason)
-    keys = F.json_object_keys(json_span(text))
-    no_score = F.concat(
-        F.filter(names, lambda k: ~F.map_contains_key(scores, k)),
-        F.when(overall.isNull(), F.array(F.lit("overall_score"))).otherwise(F.array().cast("array<string>")),
-    )
-    no_note = F.filter(names, lambda k: ~F.map_contains_key(notes, k))
-    missing = F.when(payload.isNull(), F.concat(names, F.array(F.lit("overall_score")))).otherwise(
-        F.concat(no_score, F.transform(no_note, lambda k: F.concat(F.lit("observations."), k)), F.when(reason.isNull(), F.array(F.lit("overall_reason"))).otherwise(F.array().cast("array<string>")))
-    )
     top = F.array(*[F.lit(x) for x in ("observations", "scores", "overall_score", "overall_reason")])
+    none = F.create_map().cast("map<string,variant>")
+    inside = lambda m: F.map_filter(m, lambda k, v: F.array_contains(names, k))
     beyond = lambda m: F.filter(F.map_keys(m), lambda k: ~F.array_contains(names, k))
-    extra = F.concat(
-        F.array_sort(F.array_except(keys, top)),
-        F.transform(beyond(scores_in), lambda k: F.concat(F.lit("scores."), k)),
-        F.transform(beyond(notes_in), lambda k: F.concat(F.lit("observations."), k)),
-    )
-    bad_overall = F.array_contains(keys, "overall_score") & overall.isNull()
-    bad = (F.size(scores) < F.size(known)) | bad_overall
-    error = F.when(payload.isNull(), F.lit("response did not contain a JSON object")).when(
-        (F.size(no_score) > 0) | bad, F.lit("JSON did not contain every expected numeric score within scale")
-    )
-    warning = F.when(
-        payload.isNotNull() & ((F.size(no_note) > 0) | reason.isNull() | (F.size(extra) > 0)),
-        F.lit("JSON evidence fields did not exactly match the requested structure"),
-    )
-    return F.struct(
-        scores.alias("scores"), notes.alias("observations"), overall.alias("overall_score"), reason.alias("overall_reason"),
-        missing.alias("missing"), F.coalesce(extra, F.array().cast("array<string>")).alias("extra"), error.alias("error"), warning.alias("warning"),
-    )
+    said = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+    def read(payload: Column) -> Column:
+        return F.struct(
+            payload.isNotNull().alias("present"), F.map_keys(object_of(payload)).alias("keys"),
+            F.coalesce(object_of(payload, "scores"), none).alias("scores"), F.coalesce(object_of(payload, "observations"), none).alias("notes"),
+            json_number(json_field(payload, "overall_score"), low, high).alias("overall"), json_text(payload, "overall_reason").alias("reason"),
+        )
+
+    def narrow(r: Column) -> Column:
+        numbers = F.transform_values(inside(r["scores"]), lambda k, v: json_number(v, low, high))
+        notes = F.transform_values(inside(r["notes"]), lambda k, v: said(v))
+        return F.struct(
+            r.alias("r"), F.map_filter(numbers, lambda k, v: v.isNotNull()).alias("scores"),
+            F.map_filter(notes, lambda k, v: F.coalesce(F.length(stripped(v)) > 0, F.lit(False))).alias("notes"),
+            F.when(F.length(stripped(r["reason"])) > 0, r["reason"]).alias("reason"),
+        )
+
+    def lists(n: Column) -> Column:
+        r = n["r"]
+        no_score = F.concat(F.filter(names, lambda k: ~F.map_contains_key(n["scores"], k)), strings(r["overall"].isNull(), "overall_score"))
+        no_note = F.filter(names, lambda k: ~F.map_contains_key(n["notes"], k))
+        extra = F.concat(
+            F.array_sort(F.array_except(r["keys"], top)), F.transform(beyond(r["scores"]), lambda k: F.concat(F.lit("scores."), k)),
+            F.transform(beyond(r["notes"]), lambda k: F.concat(F.lit("observations."), k)),
+        )
+        invalid = (F.size(n["scores"]) < F.size(inside(r["scores"]))) | (F.array_contains(r["keys"], "overall_score") & r["overall"].isNull())
+        return F.struct(n.alias("n"), no_score.alias("no_score"), no_note.alias("no_note"), extra.alias("extra"), invalid.alias("invalid"))
+
+    def report(x: Column) -> Column:
+        n, present = x["n"], x["n"]["r"]["present"]
+        missing = F.when(~present, F.concat(names, F.array(F.lit("overall_score")))).otherwise(
+            F.concat(x["no_score"], F.transform(x["no_note"], lambda k: F.concat(F.lit("observations."), k)), strings(n["reason"].isNull(), "overall_reason"))
+        )
+        error = F.when(~present, F.lit("response did not contain a JSON object")).when((F.size(x["no_score"]) > 0) | x["invalid"], F.lit("JSON did not contain every expected numeric score within scale"))
+        departs = (F.size(x["no_note"]) > 0) | n["reason"].isNull() | (F.size(x["extra"]) > 0)
+        warning = F.when(present & departs, F.lit("JSON evidence fields did not exactly match the requested structure"))
+        return F.struct(
+            n["scores"].alias("scores"), n["notes"].alias("observations"), n["r"]["overall"].alias("overall_score"), n["reason"].alias("overall_reason"),
+            missing.alias("missing"), F.coalesce(x["extra"], F.array().cast("array<string>")).alias("extra"), error.alias("error"), warning.alias("warning"),
+        )
+
+    return bound(bound(bound(bound(json_object(text), read), narrow), lists), report)
 
 
 def probe(text: Column, condition: Column) -> Column:
     """Answers to the repeat probe: JSON fields, else 'key: value' in the text."""
-    payload = json_object(text)
+    flags = ("target_present", "target_before_repeat", "target_after_repeat")
+    said = ("transcript", "before_repeat_transcript", "after_repeat_transcript")
 
-    def flag(key: str) -> Column:
-        spoken = F.regexp_extract(F.lower(text), rf"{key}\s*[:=]\s*(true|false|yes|no)", 1)
-        return F.when(payload.isNotNull(), json_boolean(payload, key)).otherwise(boolean(spoken))
+    def spoken(key: str) -> Column:
+        return boolean(F.regexp_extract(F.lower(text), rf"{key}\s*[:=]\s*(true|false|yes|no)", 1))
 
-    alone = condition == "without_repeat"
-    present, before, after = flag("target_present"), flag("target_before_repeat"), flag("target_after_repeat")
-    lacking = F.when(alone, present.isNull()).otherwise(before.isNull() | after.isNull())
-    no_json = F.lit("response did not contain a JSON object")
-    what = F.when(alone, F.lit("missing boolean target_present")).otherwise(F.lit("missing boolean target_before_repeat or target_after_repeat"))
-    return F.struct(
-        F.when(alone, present).alias("target_present"),
-        F.when(~alone, before).alias("target_before_repeat"),
-        F.when(~alone, after).alias("target_after_repeat"),
-        F.when(alone, json_text(payload, "transcript")).alias("transcript"),
-        F.when(~alone, json_text(payload, "before_repeat_transcript")).alias("before_repeat_transcript"),
-        F.when(~alone, json_text(payload, "after_repeat_transcript")).alias("after_repeat_transcript"),
-        F.when(lacking, F.when(payload.isNull(), no_json).otherwise(what)).alias("error"),
-    )
+    def read(payload: Column) -> Column:
+        there = payload.isNotNull()
+        return F.struct(there.alias("present"), *[F.when(there, json_boolean(payload, k)).otherwise(spoken(k)).alias(k) for k in flags], *[json_text(payload, k).alias(k) for k in said])
+
+    def report(r: Column) -> Column:
+        alone = condition == "without_repeat"
+        lacking = F.when(alone, r[flags[0]].isNull()).otherwise(r[flags[1]].isNull() | r[flags[2]].isNull())
+        what = F.when(alone, F.lit("missing boolean target_present")).otherwise(F.lit("missing boolean target_before_repeat or target_after_repeat"))
+        return F.struct(
+            F.when(alone, r[flags[0]]).alias(flags[0]), *[F.when(~alone, r[k]).alias(k) for k in flags[1:]],
+            F.when(alone, r[said[0]]).alias(said[0]), *[F.when(~alone, r[k]).alias(k) for k in said[1:]],
+            F.when(lacking, F.when(~r["present"], F.lit("response did not contain a JSON object")).otherwise(what)).alias("error"),
+        )
+
+    return bound(bound(json_object(text), read), report)
 
 
 def scale_suffix(low: Column, high: Column) -> Column:
@@ -285,7 +330,7 @@ def human_bytes(n: Column) -> Column:
     """Bytes in units of 1024, one decimal; plain bytes below."""
     out = F.concat(n.cast("long").cast("string"), F.lit(" B"))
     for i, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(n >= 1024**i, F.concat(F.format_number(n / 1024**i, "0.0"), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= 1024**i, F.format_string(f"%.1f {unit}", n / F.lit(float(1024**i)))).otherwise(out)
     return out
 
 
@@ -302,11 +347,11 @@ def safe_id(value: Column) -> Column:
 
 def filled(template: str, **values: Column) -> Column:
     """A template with {name} fields and doubled braces for single ones."""
-    out = F.replace(F.replace(F.lit(template), F.lit("{{"), F.lit("\x01")), F.lit("}}"), F.lit("\x02"))
-    for k, v in values.items():
-        # a value may hold braces of its own: they are set last of all
-        out = F.replace(out, F.lit(f"{{{k}}}"), F.replace(F.replace(v, F.lit("{"), F.lit("\x01")), F.lit("}"), F.lit("\x02")))
-    return F.replace(F.replace(out, F.lit("\x01"), F.lit("{")), F.lit("\x02"), F.lit("}"))
+    parts = []
+    for literal, field, _, _ in string.Formatter().parse(template):
+        parts += [F.lit(literal)] if literal else []
+        parts += [values[field]] if field is not None else []
+    return F.concat(*parts) if parts else F.lit("")
 
 
 def votes_of(raw: Column) -> Column:
@@ -321,15 +366,18 @@ def word_distance(a: Column, b: Column) -> Column:
     built-in ``levenshtein`` compares the strings: two private-use areas give
     room for 65,000 words a pair.
     """
-    words = F.array_distinct(F.concat(a, b))
-    code = F.map_from_arrays(words, F.sequence(F.lit(1), F.size(words)))
 
-    def spelled(x: Column) -> Column:
-        # plane 15 private use: U+F0000 + n, as UTF-16 surrogates
-        units = F.transform(x, lambda w: F.element_at(code, w))
-        return F.array_join(F.transform(units, lambda n: F.decode(F.unhex(F.concat(F.lpad(F.hex(F.lit(0xDB80) + F.floor(n / 1024)), 4, "0"), F.lpad(F.hex(F.lit(0xDC00) + n % 1024), 4, "0"))), "UTF-16BE")), "")
 
-    return F.when(F.size(a) == 0, F.size(b)).when(F.size(b) == 0, F.size(a)).otherwise(F.levenshtein(spelled(a), spelled(b)))
+    def compare(code: Column) -> Column:
+        def spelled(x: Column) -> Column:
+            # plane 15 private use: U+F0000 + n, as UTF-16 surrogates
+            unit = lambda n: F.decode(F.unhex(F.concat(F.lpad(F.hex(F.lit(0xDB80) + F.floor(n / 1024)), 4, "0"), F.lpad(F.hex(F.lit(0xDC00) + n % 1024), 4, "0"))), "UTF-16BE")
+            return F.array_join(F.transform(x, lambda w: unit(F.element_at(code, w))), "")
+
+        return F.levenshtein(spelled(a), spelled(b))
+
+    code = bound(F.array_distinct(F.concat(a, b)), lambda w: F.map_from_arrays(w, F.sequence(F.lit(1), F.size(w))))
+    return F.when(F.size(a) == 0, F.size(b)).when(F.size(b) == 0, F.size(a)).otherwise(bound(code, compare))
 
 
 def words(text: Column) -> Column:

@@ -82,9 +82,9 @@ def utterance_id(talk: str, speaker: str, start: str, end: str):
 
 def probe_items(spark: SparkSession, root: str) -> DataFrame:
     """One row per numbered folder with its text.txt: row_id, full_text, targets, separators."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "text.txt").text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "text.txt").text(root, wholetext=True)
     field = lambda name: F.trim(F.regexp_extract("value", rf"(?m)^{name}:[ \t]*(.*)$", 1))
-    listed = lambda text, sep: F.filter(F.transform(F.split(text, sep), F.trim), lambda x: x != "")
+    listed = lambda text, sep: F.filter(F.transform(F.split(text, sep), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
     return files.select(
         F.regexp_extract(F.col("_metadata.file_path"), r"/(\d+)/text\.txt$", 1).cast("int").alias("row_id"),
         field("full").alias("full_text"), listed(field("target"), r"\|").alias("targets"), listed(field("separators"), ",").alias("separators"),
