@@ -1,7 +1,7 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents whose shingle sets share their least hash are put side by side and
-cut into groups of at most ``GROUP`` sets.  A group's column of the matrix is
+Documents whose shingle sets share their least hash and size class are put side
+by side and cut into groups of at most ``GROUP`` sets.  A group's column of the matrix is
 the union of its sets.  A query set can only be similar to a member if enough
 of its shingles are in the union; only then is the group opened and the exact
 overlap with every member counted.
@@ -40,10 +40,10 @@ from assayframe.llm.components import components
 GROUP, GROUP_SHINGLES = 256, 400_000
 SLACK, FULL = 0.4, 3  # parts beyond those needed, per difference allowed; shingles that make a part telling
 _MIN, _KEY1, _KEY2, _PART, _SUM = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F))
-FEATURES = "doc_id long, n long, k1 long, k2 long, least long, z binary"
-GROUPS = "gid long, weight long, ids array<long>, label array<long>, zs array<binary>, edges array<struct<a:long,b:long>>"
+FEATURES = "doc_id long, n long, k1 long, k2 long, least long, level int, z binary"
+GROUPS = "gid long, weight long, low long, counts binary, ids array<long>, label array<long>, zs array<binary>, edges array<struct<a:long,b:long>>"
 
-UNIT = 64
+UNIT, BUCKETS = 64, 128
 NEED = 63  # more shared parts are never asked for; fits the six lowest bits of a group number
 
 
@@ -114,6 +114,14 @@ def part_keys(s: np.ndarray, t: Threshold) -> tuple[np.ndarray, int]:
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), least
 
 
+def bucket_counts(sets: list[np.ndarray]) -> bytes:
+    """For each of BUCKETS hash buckets the most shingles any of the sets has there, 255 at most."""
+    top = np.zeros(BUCKETS, np.int64)
+    for s in sets:
+        np.maximum(top, np.bincount((s >> np.uint64(20)).astype(np.int64) % BUCKETS, minlength=BUCKETS), out=top)
+    return np.minimum(top, 255).astype(np.uint8).tobytes()
+
+
 class Group:
     """Sets as one column of the matrix: their union, and who holds what."""
 
@@ -167,8 +175,8 @@ def inner_links(sets: list[np.ndarray], t: Threshold) -> tuple[np.ndarray, list[
     return root, links
 
 
-def features(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, the set's 128-bit key, its least hash and the packed text."""
+def features(docs: DataFrame, size: int, t: Threshold) -> DataFrame:
+    """doc_id, n, the set's 128-bit key, its least hash, size class and packed text."""
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
@@ -176,13 +184,13 @@ def features(docs: DataFrame, size: int) -> DataFrame:
             rows, texts = [], b.column(1)
             for i, s in sets_of(texts, size):
                 if len(s) == 0:
-                    rows.append((0, 0, 0, 0, b""))
+                    rows.append((0, 0, 0, 0, 0, b""))
                     continue
                 k1, k2 = mix64(s ^ _KEY1).sum(dtype=np.uint64), mix64(s ^ _KEY2).sum(dtype=np.uint64)
-                rows.append((len(s), signed(k1), signed(k2), signed(mix64(s ^ _MIN).min() >> np.uint64(1)), pack.compress(texts[i].as_buffer())))
+                rows.append((len(s), signed(k1), signed(k2), signed(mix64(s ^ _MIN).min() >> np.uint64(1)), t.level(len(s)), pack.compress(texts[i].as_buffer())))
             for lo in range(0, len(rows), 1000):
-                n, k1, k2, least, z = (list(c) for c in zip(*rows[lo : lo + 1000], strict=True))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 1000), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(least, pa.int64()), pa.array(z, pa.binary())], ["doc_id", "n", "k1", "k2", "least", "z"])
+                n, k1, k2, least, level, z = (list(c) for c in zip(*rows[lo : lo + 1000], strict=True))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 1000), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(least, pa.int64()), pa.array(level, pa.int32()), pa.array(z, pa.binary())], ["doc_id", "n", "k1", "k2", "least", "level", "z"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FEATURES)
 
@@ -206,8 +214,9 @@ def groups(rows: DataFrame, size: int, t: Threshold) -> DataFrame:
         def close():
             nonlocal gid, weight, packed
             ids = [h[0] for h in held]
-            root, links = inner_links(unpacked([h[1] for h in held], size), t)
-            out.append((gid, weight, ids, root.tolist(), [h[1] for h in held], [{"a": ids[a], "b": ids[b]} for a, b in links]))
+            sets = unpacked([h[1] for h in held], size)
+            root, links = inner_links(sets, t)
+            out.append((gid, weight, min(len(s) for s in sets), bucket_counts(sets), ids, root.tolist(), [h[1] for h in held], [{"a": ids[a], "b": ids[b]} for a, b in links]))
             packed += sum(len(h[1]) for h in held)
             gid += 1
             held.clear()
@@ -215,24 +224,24 @@ def groups(rows: DataFrame, size: int, t: Threshold) -> DataFrame:
 
         def batch():
             nonlocal packed
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
-            made = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["gid", "weight", "ids", "label", "zs", "edges"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
+            made = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["gid", "weight", "low", "counts", "ids", "label", "zs", "edges"])
             out.clear()
             packed = 0
             return made
 
         last = key = None
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("least", "k1", "k2", "doc_id", "n", "z")]
-            for least, k1, k2, doc_id, n, z in zip(*cols, strict=True):
+            cols = [b.column(c).to_pylist() for c in ("least", "level", "k1", "k2", "doc_id", "n", "z")]
+            for least, level, k1, k2, doc_id, n, z in zip(*cols, strict=True):
                 if key == (least, k1, k2):
                     continue  # an equal set
                 key = (least, k1, k2)
-                if held and (least != last or len(held) >= GROUP or weight + n > GROUP_SHINGLES):
+                if held and ((least, level) != last or len(held) >= GROUP or weight + n > GROUP_SHINGLES):
                     close()
                     if len(out) >= 2000 or packed > 4 << 20:
                         yield batch()
-                last = least
+                last = (least, level)
                 held.append((doc_id, z))
                 weight += n
         if held:
@@ -240,9 +249,9 @@ def groups(rows: DataFrame, size: int, t: Threshold) -> DataFrame:
         if out:
             yield batch()
 
-    rows = rows.where("n > 0 AND doc_id IS NOT NULL").select("least", "k1", "k2", "doc_id", "n", "z")
-    # by all four columns, so that neither a frequent least hash nor many copies fill one partition
-    rows = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), "least", "k1", "k2", "doc_id").sortWithinPartitions("least", "k1", "k2", "doc_id")
+    rows = rows.where("n > 0 AND doc_id IS NOT NULL").select("least", "level", "k1", "k2", "doc_id", "n", "z")
+    # by all five columns, so that neither a frequent least hash nor many copies fill one partition
+    rows = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), "least", "level", "k1", "k2", "doc_id").sortWithinPartitions("least", "level", "k1", "k2", "doc_id")
     return rows.mapInArrow(run, GROUPS)
 
 
@@ -317,9 +326,31 @@ def _pairs(k: np.ndarray, g: np.ndarray):
             yield np.stack([own[x[keep]], own[y[keep]]], axis=1)
 
 
-def held_by(made: DataFrame, met: DataFrame) -> DataFrame:
+def bounded(made: DataFrame, met: DataFrame, t: Threshold) -> DataFrame:
+    """Pairs of groups whose overlap can be large enough, lighter group first: q, h.
+
+    Two members share at most the lesser of both groups' counts in each bucket.
+    """
+    bounds = lambda k: made.select(F.col("gid").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("weight", "low", "counts")])
+    both = met.join(bounds("g"), "g").join(bounds("h"), "h")
+
+    def run(batches):
+        for b in batches:
+            g, h, wg, wh, lg, lh = (b.column(c).to_numpy() for c in ("g", "h", "weight_g", "weight_h", "low_g", "low_h"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int64) for c in ("counts_g", "counts_h"))
+            least = np.minimum(x, y)
+            most = np.where(least == 255, 1 << 40, least).sum(axis=1)  # 255 stands for any larger count
+            need = np.maximum(-(-t.num * np.maximum(lg, lh) // t.den), -(-t.num * (lg + lh) // (t.den + t.num)))
+            keep = most >= need
+            light = wg <= wh
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(light, g, h)[keep]), pa.array(np.where(light, h, g)[keep])], ["q", "h"])
+
+    return both.select("g", "h", "weight_g", "weight_h", "low_g", "low_h", "counts_g", "counts_h").mapInArrow(run, "q long, h long")
+
+
+def held_by(made: DataFrame, pairs: DataFrame) -> DataFrame:
     """The groups that pairs name, and few others."""
-    named = met.select(F.explode(F.array("g", "h")).alias("gid")).select(F.xxhash64("gid").alias("hash"))
+    named = pairs.select(F.explode(F.array("q", "h")).alias("gid")).select(F.xxhash64("gid").alias("hash"))
     return made.join(F.broadcast(saved(bitmap(named, "hash"))), in_bitmap(F.xxhash64("gid")), "left_semi")
 
 
@@ -329,11 +360,8 @@ def outer_links(made: DataFrame, met: DataFrame, size: int, t: Threshold) -> Dat
     The lighter group of a pair brings the queries, ``UNIT`` groups of them at
     a time to one heavier group.
     """
-    named = held_by(made, met)
-    weights = named.select("gid", "weight")
-    pairs = met.join(weights.select(F.col("gid").alias("g"), F.col("weight").alias("wg")), "g").join(weights.select(F.col("gid").alias("h"), F.col("weight").alias("wh")), "h")
-    pairs = pairs.select(F.when(F.col("wg") <= F.col("wh"), F.col("g")).otherwise(F.col("h")).alias("q"), F.when(F.col("wg") <= F.col("wh"), F.col("h")).otherwise(F.col("g")).alias("h"))
-    pairs = saved(pairs)
+    pairs = saved(bounded(made, met, t))
+    named = held_by(made, pairs)
     often = pairs.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / UNIT).alias("units"))
     pairs = pairs.join(often, "h").select("q", "h", F.pmod(F.xxhash64("q"), F.col("units")).alias("unit"))
     own = named.select(F.col("gid").alias("q"), F.struct("ids", "zs").alias("queries"))
@@ -359,7 +387,7 @@ def outer_links(made: DataFrame, met: DataFrame, size: int, t: Threshold) -> Dat
 def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs(doc_id, text)``."""
     t = Threshold(num, den)
-    rows = saved(features(docs, size))
+    rows = saved(features(docs, size, t))
     small = saved(rows.select("doc_id", "n", "k1", "k2"))
     made = saved(groups(rows, size, t))
     discard(rows)
