@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayframe.llm._spark import saved, shuffle_partitions
+from assayframe.llm._spark import saved, shuffle_partitions, small_batches
 from assayframe.llm._text import mix64
 
 K, SKETCHES, TUPLE, BLOCK = 8, 32, 2, 8192
@@ -107,6 +107,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` with a ``fingerprint`` string."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
@@ -138,6 +140,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     of one doc_id follow each other by text.  A table of one row is its own
     next document.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     out_schema = pa.schema([*_OUT, ("part", pa.int64()), ("first_text", pa.string()), ("last_text", pa.string())])

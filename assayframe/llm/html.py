@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayframe.llm._spark import small_batches
+
 LEVEL = 0.1
 # fixed values: HTML's own element classes
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "xmp", "noembed", "noframes"}
@@ -152,6 +154,8 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` as page_id, url, text, n_chars."""
 
+    small_batches(pages.sparkSession)
+
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 256):

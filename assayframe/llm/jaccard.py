@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm._spark import bitmap, discard, in_bitmap, saved, shuffle_partitions
+from assayframe.llm._spark import bitmap, discard, in_bitmap, saved, shuffle_partitions, small_batches
 from assayframe.llm._text import mix64, sets_of
 from assayframe.llm.components import components
 
@@ -386,6 +386,7 @@ def outer_links(made: DataFrame, met: DataFrame, size: int, t: Threshold) -> Dat
 
 def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs(doc_id, text)``."""
+    small_batches(docs.sparkSession)
     t = Threshold(num, den)
     rows = saved(features(docs, size, t))
     small = saved(rows.select("doc_id", "n", "k1", "k2"))

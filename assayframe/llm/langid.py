@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayframe.llm._spark import small_batches
 from assayframe.llm._text import row_chunks
 
 BITS, ORDERS = 17, 3
@@ -78,6 +79,8 @@ def sparse_rows(texts: list[str]):
 def document_frequencies(docs: DataFrame) -> np.ndarray:
     """In how many of ``docs(text)`` each feature occurs; SIZE numbers and the count."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         seen, rows = np.zeros(SIZE + 1, np.int64), 0
         for b in batches:
@@ -180,7 +183,8 @@ def probabilities(model: Model, texts: list[str]) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
-    """``key``, lang_pred and score of every row of ``docs``."""
+    """``docs`` with lang_pred and score; columns of these names are replaced."""
+    small_batches(docs.sparkSession)
     # ~1 MB of weights per two languages; the size is fixed by BITS
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -194,12 +198,12 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
             for i, row in zip(real, p, strict=True):
                 j = int(row.argmax())
                 best[i], score[i] = m.languages[j], float(row[j])
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], b.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names[2:], key, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     rest = [c for c in docs.columns if c not in (key, "text", "lang_pred", "score")]
     kept = docs.select(key, "text", *rest)
     kinds = {f.name: f.dataType.simpleString() for f in kept.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), f"`{key}` {kinds[key]}", "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept.columns), "lang_pred string", "score double"])
     return kept.mapInArrow(run, schema)
 
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm._spark import saved
+from assayframe.llm._spark import saved, small_batches
 from assayframe.llm._text import _BYTE, hash_spans, mix64, row_chunks, text_bytes, word_spans
 
 CONTEXT, DIM, LISTED, GROUPS = 5, 16, 127, 64
@@ -295,6 +295,7 @@ def score(docs: DataFrame, train_on: str = "train", key: str = "doc_id") -> Data
 
     Returns key, held_out, n_tokens, n_known, train_tokens, base_score and score.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(train_on), F.lit(False)).alias("train"))
     taught = rows.where("train").select("text")
     counts = saved(word_counts(taught))

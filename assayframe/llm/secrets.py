@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayframe.llm._spark import small_batches
+
 FINDINGS, TREES, DEPTH, LEAF, CUTS, AROUND = 4000, 30, 9, 3, 24, 48
 _NAME = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?|private[_-]?key)"
 CANDIDATE = re.compile(rf"(?<![A-Za-z0-9_])(?i:{_NAME})[\"']?[ \t]*[:=][ \t]*[\"']?([^\s\"'<>;,]{{6,}})|(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{{16,}}={{0,2}})(?![A-Za-z0-9+/_-])")
@@ -178,6 +180,7 @@ def candidates(text: str, path: str):
 
 def scan(docs: DataFrame, forest: Forest, level: float = 0.5, key: str = "doc_id", path: str = "source") -> DataFrame:
     """Per row: key, n_candidates, n_secrets, starts, ends and scores (of the secrets, code points)."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(forest)
     kind = docs.schema[key].dataType.simpleString()
 

@@ -19,8 +19,8 @@ def identified(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(*COLUMNS)
     taught = docs.where(~langid.held_out(F.col("doc_id"))).select("text", "lang")
-    found = langid.predict(docs.select(*COLUMNS[:2], *(F.col(c).alias(f"own_{c}") for c in COLUMNS[2:]), F.col("text").alias("whole")), langid.fit(taught))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("doc_id", F.col("whole").alias("text"), *(F.col(f"own_{c}").alias(c) for c in COLUMNS[2:]))
+    found = langid.predict(docs, langid.fit(taught))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*COLUMNS)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
