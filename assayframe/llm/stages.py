@@ -9,13 +9,13 @@ from assayframe.llm import decontaminate, jaccard, langid, mixing, sharding
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
-SURE = 0.5
+SURE = 0.3
 
 
 def identified(docs: DataFrame) -> DataFrame:
     """Documents with a language: predicted with a probability of at least SURE.
 
-    Rejected are texts without letters or text, and those that no language claims.
+    Rejected are texts without letters or text, and those of which no language has that much.
     """
     docs = docs.select(*COLUMNS)
     taught = docs.where(~langid.held_out(F.col("doc_id"))).select("text", "lang")
