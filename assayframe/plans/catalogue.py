@@ -9,6 +9,7 @@ from assayframe.functions import expressions as X
 from assayframe.functions import stats
 from assayframe.operators import benchmarks as B
 from assayframe.operators import judge as J
+from assayframe.operators import manifests as M
 from assayframe.operators import pairs as P
 from assayframe.operators import requests as R
 from assayframe.operators import rows, vectors
@@ -252,6 +253,26 @@ def listener_arrays(t):
     return rounded(r.select("part", F.array_join("listener_scores", ",").alias("scores"), F.col("n_listeners").cast("long").alias("n_listeners"), "listener_mean_mos"), "listener_mean_mos")
 
 
+@query
+def mos_manifest(t):
+    """Samples with system means, listener scores and dense row ids."""
+    p = t.part
+    samples = p.select(F.col("p_brand").alias("split"), F.col("p_partkey").cast("string").alias("name"), (F.col("p_partkey") % 10 + 1).alias("system_id"), (1 + F.col("p_size") / 50 * 4).alias("mos"))
+    means = t.supplier.select(F.col("s_suppkey").alias("system_id"), F.col("s_acctbal").alias("system_mean_mos"))
+    heard = t.lineitem.select(F.col("l_partkey").cast("string").alias("name"), F.col("l_linenumber").alias("score"))
+    out = M.mos_manifest(samples, means, heard)
+    return rounded(out.select("row_id", "split", "name", "system_id", "system_mean_mos", F.col("n_listeners").cast("long").alias("n_listeners"), "listener_mean_mos"), "listener_mean_mos")
+
+
+@query
+def canonical_labels(t):
+    raw = F.concat(F.lit("  "), F.element_at(F.array(*[F.lit(x) for x in (*vocabulary.ALIASES, "Other   label")]), (F.col("p_partkey") % 10 + 1).cast("int")), F.lit(" "))
+    return t.part.select(
+        "p_partkey", M.canonical_label(raw, vocabulary.ALIASES).alias("label"), M.system_by_marker(F.concat(F.col("p_brand"), F.lit("-utt7-utt8"))).alias("by_marker"),
+        M.system_by_underscore(F.concat_ws("_", "p_brand", "p_partkey")).alias("by_underscore"), M.sentence_by_underscore(F.concat_ws("_", "p_brand", "p_partkey")).alias("sentence"),
+    )
+
+
 @query
 def missing_audio_filter(t):
     r = fx.mos_rows(t).where("audio_path IS NOT NULL AND audio_path <> ''").withColumn("path", R.absolute("/data", F.col("audio_path")))

@@ -161,6 +161,11 @@ ORACLES = {
     "system_mean_join": f"WITH {MOS} SELECT system_id, first(s_acctbal) AS system_mean_mos, count(*) AS n FROM mos LEFT JOIN supplier ON s_suppkey = system_id GROUP BY system_id",
     "listener_arrays": """SELECT p_partkey AS part, coalesce(s, '') AS scores, coalesce(n, 0) AS n_listeners, round(m, 6) AS listener_mean_mos FROM part LEFT JOIN
       (SELECT l_partkey, array_to_string(list(l_linenumber ORDER BY l_linenumber), ',') AS s, count(*) AS n, avg(l_linenumber) AS m FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey""",
+    "mos_manifest": """SELECT row_number() OVER (ORDER BY p_brand, CAST(p_partkey AS VARCHAR)) - 1 AS row_id, p_brand AS split, CAST(p_partkey AS VARCHAR) AS name, p_partkey % 10 + 1 AS system_id,
+      s_acctbal AS system_mean_mos, coalesce(n, 0) AS n_listeners, round(m, 6) AS listener_mean_mos FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 10 + 1
+      LEFT JOIN (SELECT l_partkey, count(*) AS n, avg(l_linenumber) AS m FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey""",
+    "canonical_labels": f"""SELECT p_partkey, [{', '.join("'" + v + "'" for v in (*vocabulary.ALIASES.values(), 'Other label'))}][p_partkey % 10 + 1] AS label, p_brand AS by_marker,
+      CAST(p_partkey AS VARCHAR) AS by_underscore, p_brand AS sentence FROM part""",
     "missing_audio_filter": f"WITH {MOS} SELECT system_id, count(*) AS n, min('/data/' || audio_path) AS first_path FROM mos WHERE audio_path IS NOT NULL GROUP BY system_id",
     "pair_deltas": f'WITH {PAIRS} SELECT pair_id, "real", synthetic, synthetic - "real" AS delta FROM tw',
     "pair_delta_summary": f"""WITH {PAIRS}, d AS (SELECT synthetic - "real" AS delta FROM tw) SELECT count(*) AS n, round(avg(delta), 6) AS mean, min(delta) AS low, max(delta) AS high,

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from assayframe.functions import stats
 from assayframe.operators import benchmarks as B
 from assayframe.operators import judge as J
+from assayframe.operators import manifests as M
 from assayframe.operators import pairs as P
 from assayframe.operators import requests as R
 from assayframe.operators import rows, vectors
 from assayframe.operators import votes as V
+from assayframe.operators.comparator import PairScorer
 from assayframe.plans import vocabulary
 from assayframe.sources import readers, writers
 from assayframe.streaming import predictions
@@ -190,6 +192,27 @@ def test_stream_equals_batch(spark, tmp_path):
     assert seen == [4.0, 11.0]
 
 
+def test_emotion_manifest(spark):
+    raw = spark.createDataFrame([(0, "[{'a': {'Jealousy & Envy': 2}}, {'b': {'Jealousy & Envy': 1}}, {'a': {'Jealousy & Envy': 0}}]"), (1, "[{'x': {'Awe': 2}}]")], "row_id int, label string")
+    out = M.emotion_manifest(raw, vocabulary.ALIASES, vocabulary.OFFICIAL).orderBy("row_id").collect()
+    assert out[0].target_label == "Jealousy / Envy" and out[0].is_official_40 and out[0].annotator_scores_raw_0_2 == {"a": 0, "b": 1}
+    assert (out[0].mean_score_0_10, out[0].median_score_0_10) == (2.5, 2.5) and abs(out[0].std_score_0_10 - 12.5**0.5) < 1e-12 and out[1].std_score_0_10 == 0
+    for bad, what in (("[{'a': {'Awe': 3}}]", "out of range"), ("[{'a': {'Awe': 1}}, {'b': {'Hope': 1}}]", "several labels"), ("[]", "no votes")):
+        with pytest.raises(Exception, match=what):
+            M.emotion_manifest(spark.createDataFrame([(0, bad)], "row_id int, label string"), {}, []).collect()
+
+
+def test_pair_scorer(spark):
+    class Lengths:
+        def encode(self, sources):
+            return [[len(s), 1.0] for s in sources]
+
+    pairs = spark.createDataFrame([(1, "aa", "bbb"), (2, "bbb", "aa")], "pair_id int, src_audio string, tgt_audio string")
+    layers = [([[1.0, 0.0, 0.0, 0.0, 0.5, 0.0, 0.1, 0.0]], [1.0])]
+    got = [r.score for r in PairScorer(Lengths, layers, batch=1).score(pairs).orderBy("pair_id").collect()]
+    assert got[0] == got[1] and abs(got[0] - (2.5 + 3.0 + 0.1 + 1)) < 1e-9
+
+
 def test_dense_ids(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
     got = rows.dense_ids(df, ["k"], "n").collect()
