@@ -1,7 +1,9 @@
 """N-gram Jaccard join by a token-group matrix.
 
 Documents whose shingle sets share their least hash and size class are put side
-by side and cut into groups of at most ``GROUP`` sets.  A group's column of the matrix is
+by side and cut into groups of at most ``GROUP`` sets; a set alone with its least
+hash goes by the least one of a second order of hashes, so that the outlying
+members of a family stand together, too.  A group's column of the matrix is
 the union of its sets.  A query set can only be similar to a member if enough
 of its shingles are in the union; only then is the group opened and the exact
 overlap with every member counted.
@@ -39,8 +41,8 @@ from assayframe.llm.components import components
 
 GROUP, GROUP_SHINGLES = 256, 400_000
 SLACK, FULL = 0.4, 3  # parts beyond those needed, per difference allowed; shingles that make a part telling
-_MIN, _KEY1, _KEY2, _PART, _SUM = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F))
-FEATURES = "doc_id long, n long, k1 long, k2 long, least long, level int, z binary"
+_MIN, _MIN2, _KEY1, _KEY2, _PART, _SUM = (np.uint64(x) for x in (0xA0761D6478BD642F, 0x2127599BF4325C37, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F))
+FEATURES = "doc_id long, n long, k1 long, k2 long, least long, second long, level int, z binary"
 GROUPS = "gid long, weight long, low long, counts binary, ids array<long>, label array<long>, zs array<binary>, edges array<struct<a:long,b:long>>"
 
 UNIT, BUCKETS = 64, 128
@@ -184,13 +186,13 @@ def features(docs: DataFrame, size: int, t: Threshold) -> DataFrame:
             rows, texts = [], b.column(1)
             for i, s in sets_of(texts, size):
                 if len(s) == 0:
-                    rows.append((0, 0, 0, 0, 0, b""))
+                    rows.append((0, 0, 0, 0, 0, 0, b""))
                     continue
                 k1, k2 = mix64(s ^ _KEY1).sum(dtype=np.uint64), mix64(s ^ _KEY2).sum(dtype=np.uint64)
-                rows.append((len(s), signed(k1), signed(k2), signed(mix64(s ^ _MIN).min() >> np.uint64(1)), t.level(len(s)), pack.compress(texts[i].as_buffer())))
+                rows.append((len(s), signed(k1), signed(k2), signed(mix64(s ^ _MIN).min() >> np.uint64(1)), signed(mix64(s ^ _MIN2).min() >> np.uint64(1)), t.level(len(s)), pack.compress(texts[i].as_buffer())))
             for lo in range(0, len(rows), 1000):
-                n, k1, k2, least, level, z = (list(c) for c in zip(*rows[lo : lo + 1000], strict=True))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 1000), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(least, pa.int64()), pa.array(level, pa.int32()), pa.array(z, pa.binary())], ["doc_id", "n", "k1", "k2", "least", "level", "z"])
+                n, k1, k2, least, second, level, z = (list(c) for c in zip(*rows[lo : lo + 1000], strict=True))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 1000), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(least, pa.int64()), pa.array(second, pa.int64()), pa.array(level, pa.int32()), pa.array(z, pa.binary())], ["doc_id", "n", "k1", "k2", "least", "second", "level", "z"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FEATURES)
 
@@ -249,7 +251,12 @@ def groups(rows: DataFrame, size: int, t: Threshold) -> DataFrame:
         if out:
             yield batch()
 
-    rows = rows.where("n > 0 AND doc_id IS NOT NULL").select("least", "level", "k1", "k2", "doc_id", "n", "z")
+    rows = rows.where("n > 0 AND doc_id IS NOT NULL")
+    # where the bitmap is full, sets stay with their least hash; that costs time only
+    met = rows.groupBy("least", "level").agg((F.min("k1") < F.max("k1")).alias("several")).where("several").select(F.xxhash64("least", "level").alias("hash"))
+    rows = rows.crossJoin(F.broadcast(saved(bitmap(met, "hash"))))
+    least = F.when(in_bitmap(F.xxhash64("least", "level")), F.col("least")).otherwise(F.col("second"))
+    rows = rows.select(least.alias("least"), "level", "k1", "k2", "doc_id", "n", "z")
     # by all five columns, so that neither a frequent least hash nor many copies fill one partition
     rows = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), "least", "level", "k1", "k2", "doc_id").sortWithinPartitions("least", "level", "k1", "k2", "doc_id")
     return rows.mapInArrow(run, GROUPS)
