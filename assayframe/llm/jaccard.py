@@ -40,7 +40,7 @@ from assayframe.llm._text import mix64, sets_of
 from assayframe.llm.components import components
 
 GROUP, GROUP_SHINGLES = 256, 400_000
-SLACK, FULL = 0.4, 3  # parts beyond those needed, per difference allowed; shingles that make a part telling
+SLACK, FULL = 0.1, 3  # parts beyond those needed, per difference allowed; shingles that make a part telling
 _MIN, _MIN2, _KEY1, _KEY2, _PART, _SUM = (np.uint64(x) for x in (0xA0761D6478BD642F, 0x2127599BF4325C37, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F))
 FEATURES = "doc_id long, n long, k1 long, k2 long, least long, second long, level int, z binary"
 GROUPS = "gid long, weight long, low long, counts binary, ids array<long>, label array<long>, zs array<binary>, edges array<struct<a:long,b:long>>"
