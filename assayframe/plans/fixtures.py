@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayframe.functions import expressions as X
+
 
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -69,11 +71,10 @@ def answers(t: Tables) -> DataFrame:
 
 
 def spoken(t: Tables) -> DataFrame:
-    """conv_id, turn, reference, hypothesis: a user turn and the reply, 30 words each."""
+    """conv_id, turn, reference, hypothesis: a user turn and the reply, normalised, whole."""
     c = t.conversations
-    first30 = lambda x: F.array_join(F.slice(F.split(F.trim(F.regexp_replace(F.lower(x), r"[^a-z0-9]+", " ")), " "), 1, 30), " ")
-    u = c.where("role = 'user'").select("conv_id", "turn", first30(F.col("text")).alias("reference"))
-    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).cast("int").alias("turn"), first30(F.col("text")).alias("hypothesis"))
+    u = c.where("role = 'user'").select("conv_id", "turn", X.word_text(F.col("text")).alias("reference"))
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).cast("int").alias("turn"), X.word_text(F.col("text")).alias("hypothesis"))
     return u.join(a, ["conv_id", "turn"])
 
 
