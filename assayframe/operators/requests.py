@@ -14,6 +14,12 @@ def absolute(root: str, path: Column) -> Column:
     return F.when(path != "", F.concat(F.lit(root.rstrip("/") + "/"), path))
 
 
+def padded(number: Column, width: int) -> Column:
+    """With zeros before it up to ``width`` characters; longer ones stay whole."""
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
+
+
 def label_set(name: str, official: list[str], extra: list[str], manifest: DataFrame | None = None) -> list[str] | None:
     """The labels of a set; ``manifest`` means its own distinct labels, ``target`` none but each row's."""
     if name == "official40":
@@ -34,7 +40,7 @@ def one_by_one(manifest: DataFrame, mode: str, config: dict, labels: list[str] |
     absence = F.concat(F.lit("absence of "), F.col("scored_emotion"))
     opposite = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in opposites.items() for x in kv]), F.col("scored_emotion")), absence) if opposites else absence
     return rows.select(
-        F.concat(F.lit("row-"), F.lpad(F.col("row_id").cast("string"), 6, "0"), F.lit("__emotion-"), X.slug(F.col("scored_emotion"))).alias("request_id"),
+        F.concat(F.lit("row-"), padded(F.col("row_id"), 6), F.lit("__emotion-"), X.slug(F.col("scored_emotion"))).alias("request_id"),
         F.lit(mode).alias("mode"), "row_id", absolute(root, F.col("audio_path")).alias("audio_path"), "target_label", "scored_emotion",
         X.filled(config["prompt_template"], emotion=F.col("scored_emotion"), opposite_emotion=opposite).alias("prompt"),
         F.struct(F.lit(int(config["score_min"])).alias("min"), F.lit(int(config["score_max"])).alias("max")).alias("raw_score_scale"),
@@ -48,7 +54,7 @@ def all_at_once(manifest: DataFrame, config: dict, labels: list[str] | None, roo
     names = F.array(*[F.lit(x) for x in labels])
     lines = F.array_join(F.transform(names, lambda e: F.concat(F.lit("- "), e)), "\n")
     return manifest.select(
-        F.concat(F.lit("row-"), F.lpad(F.col("row_id").cast("string"), 6, "0"), F.lit("__all-emotions")).alias("request_id"),
+        F.concat(F.lit("row-"), padded(F.col("row_id"), 6), F.lit("__all-emotions")).alias("request_id"),
         F.lit("all_at_once").alias("mode"), "row_id", absolute(root, F.col("audio_path")).alias("audio_path"), "target_label", names.alias("scored_emotions"),
         X.filled(config["prompt_template"], emotion_lines=lines).alias("prompt"),
         F.struct(F.lit(int(config["score_min"])).alias("min"), F.lit(int(config["score_max"])).alias("max")).alias("raw_score_scale"),
@@ -64,7 +70,7 @@ def build(manifest: DataFrame, mode: str, configs: dict, labels: list[str] | Non
 
 def mos_requests(manifest: DataFrame, mode: str, config: dict, prefix: str, root: str = "") -> DataFrame:
     return manifest.select(
-        F.concat(F.lit(f"{prefix}__{mode}__row-"), F.lpad(F.col("row_id").cast("string"), 6, "0")).alias("request_id"), F.lit(mode).alias("mode"), "row_id",
+        F.concat(F.lit(f"{prefix}__{mode}__row-"), padded(F.col("row_id"), 6)).alias("request_id"), F.lit(mode).alias("mode"), "row_id",
         absolute(root, F.col("audio_path")).alias("audio_path"), F.lit(config["prompt_template"]).alias("prompt"),
         F.struct(F.lit(int(config["score_min"])).alias("min"), F.lit(int(config["score_max"])).alias("max")).alias("raw_score_scale"),
     )
@@ -84,7 +90,7 @@ def pairwise(wide: DataFrame, mode: str, templates: dict[str, str], order: list[
     asked = F.array(*[F.struct(F.lit(i).alias("q"), F.lit(t).alias("question_target"), F.lit(text).alias("template")) for i, (t, text) in enumerate(templates.items())])
     rows = numbered.select("*", F.explode(directions).alias("x")).select("*", "x.*", F.explode(asked).alias("y")).select("*", "y.*").drop("x", "y")
     several = len(templates) > 1
-    rid = F.concat(F.lit(f"{prefix}__"), F.col("split"), F.lit(f"__{mode}__pair-"), F.lpad(F.col("pair_index").cast("string"), 6, "0"), F.lit("__"), F.col("direction"))
+    rid = F.concat(F.lit(f"{prefix}__"), F.col("split"), F.lit(f"__{mode}__pair-"), padded(F.col("pair_index"), 6), F.lit("__"), F.col("direction"))
     first = F.col("audio_a_label") == "real"
     return rows.select(
         (F.concat(rid, F.lit("__ask-"), F.col("question_target")) if several else rid).alias("request_id"),
@@ -99,7 +105,7 @@ def conditions(items: DataFrame, names: dict[str, str], prompt: Column) -> DataF
     """Each item under each condition with its audio file: ``names`` maps condition to file."""
     pairs = F.array(*[F.struct(F.lit(k).alias("condition"), F.lit(v).alias("file")) for k, v in names.items()])
     rows = items.select("*", F.explode(pairs).alias("x")).select("*", "x.*").drop("x")
-    rid = F.concat(F.lit("in_context_asr__row-"), F.lpad(F.col("row_id").cast("string"), 3, "0"), F.lit("__"), F.col("condition"))
+    rid = F.concat(F.lit("in_context_asr__row-"), padded(F.col("row_id"), 3), F.lit("__"), F.col("condition"))
     return rows.withColumn("request_id", rid).withColumn("prompt", prompt)
 
 

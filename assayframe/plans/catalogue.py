@@ -368,14 +368,14 @@ def merged_predictions(t):
 
 @query
 def requests_cross(t):
-    m = t.orders.where("o_orderkey <= 2000").select(F.col("o_orderkey").alias("row_id"), F.lit("a.wav").alias("audio_path"), F.col("o_orderpriority").alias("target_label"))
+    m = t.orders.select(F.col("o_orderkey").alias("row_id"), F.lit("a.wav").alias("audio_path"), F.col("o_orderpriority").alias("target_label"))
     out = R.one_by_one(m, "one_by_one_contrastive_rubric", vocabulary.CONTRASTIVE, ["Awe", "Jealousy / Envy", "Arousal"], "/data")
     return out.select("request_id", "row_id", "audio_path", "scored_emotion", "prompt", "opposite_emotion")
 
 
 @query
 def requests_all_at_once(t):
-    m = t.orders.where("o_orderkey <= 2000").select(F.col("o_orderkey").alias("row_id"), F.lit("").alias("audio_path"), F.col("o_orderpriority").alias("target_label"))
+    m = t.orders.select(F.col("o_orderkey").alias("row_id"), F.lit("").alias("audio_path"), F.col("o_orderpriority").alias("target_label"))
     config = {"prompt_template": 'Score: {{"scores": {{}}}}\n{emotion_lines}', "score_min": 0, "score_max": 10}
     return R.all_at_once(m, config, ["Awe", "Hope"]).select("request_id", "audio_path", "prompt")
 

@@ -5,7 +5,9 @@ import statistics
 
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
+from assayframe.operators import requests as R
 from assayframe.plans import catalogue
 
 
@@ -69,3 +71,24 @@ def test_targets_and_separators_of_whole_texts(spark, spoken):
         sep = next((s for s in (" of ", " the ", " de ") if s in h), None)
         want[c, k] = (h, None) if sep is None else tuple(h.split(sep, 1))
     assert {(r.conv_id, r.turn): (r.before, r.after) for r in catalogue.QUERIES["separator_split"](spark, folder).collect()} == want
+
+
+def test_requests_of_all_orders(spark, tmp_path):
+    ids = [0, 7, 2000, 2001, 150_000, 999_999, 1_000_000, 1_000_001, 12_345_678]
+    spark.createDataFrame([(i, "2-HIGH") for i in ids], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    names = {"Awe": "awe", "Jealousy / Envy": "jealousy---envy", "Arousal": "arousal"}
+    cross = [(r.row_id, r.scored_emotion, r.request_id) for r in catalogue.QUERIES["requests_cross"](spark, str(tmp_path)).collect()]
+    assert sorted(cross) == sorted((i, e, f"row-{i:06d}__emotion-{slug}") for i in ids for e, slug in names.items())
+    whole = [r.request_id for r in catalogue.QUERIES["requests_all_at_once"](spark, str(tmp_path)).collect()]
+    assert sorted(whole) == sorted(f"row-{i:06d}__all-emotions" for i in ids)
+
+
+def test_padding_never_cuts(spark):
+    ids = [5, 999, 1000, 999_999, 1_000_000, 10_000_019]
+    df = spark.createDataFrame([(i, "a.wav") for i in ids], "row_id long, audio_path string")
+    got = df.select("row_id", R.padded(F.col("row_id"), 6).alias("p")).collect()
+    assert all(r.p == f"{r.row_id:06d}" for r in got) and len(got) == len(ids)
+    mos = R.mos_requests(df, "m", {"prompt_template": "p", "score_min": 1, "score_max": 5}, "x").collect()
+    assert {r.request_id for r in mos} == {f"x__m__row-{i:06d}" for i in ids}
+    probes = R.conditions(df, {"with_repeat": "w.wav"}, F.lit("p")).collect()
+    assert {r.request_id for r in probes} == {f"in_context_asr__row-{i:03d}__with_repeat" for i in ids}
