@@ -331,7 +331,7 @@ def prompt_choice(t):
 
 @query
 def prompt_skipped(t):
-    u = fx.utterances(t).where("duration >= 400")
+    u = fx.utterances(t)
     return B.without_prompt(u, B.nearest_prompts(u)).select("id", "reason")
 
 

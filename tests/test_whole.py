@@ -92,3 +92,16 @@ def test_padding_never_cuts(spark):
     assert {r.request_id for r in mos} == {f"x__m__row-{i:06d}" for i in ids}
     probes = R.conditions(df, {"with_repeat": "w.wav"}, F.lit("p")).collect()
     assert {r.request_id for r in probes} == {f"in_context_asr__row-{i:03d}__with_repeat" for i in ids}
+
+
+def test_only_utterances_that_stand_alone_are_skipped(spark, tmp_path):
+    rows = [
+        (1, 10, "view", 450.0), (2, 10, "view", 3.0),  # long, its only candidate short
+        (3, 10, "click", 500.0),  # alone in its talk and speaker
+        (4, 11, "view", 2.0),  # short and alone
+        (5, 12, "view", 420.0), (6, 12, "view", 430.0), (7, 12, "view", 1.0),
+    ]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double")
+    df.withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalogue.QUERIES["prompt_skipped"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(3, "no_prompt_candidate"), (4, "no_prompt_candidate")]
