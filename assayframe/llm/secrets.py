@@ -1,16 +1,17 @@
 """Secret scans with a random forest against false positives.
 
-Candidates are long tokens of key-like characters and values assigned to
-credential names.  Each is described by its length, its transitions between
-character classes, its shares of digits and capitals, its entropy, how much of
-it dictionary words cover, the path of its file (here: the source) and the
-words around it.  A random forest (Gini splits, bootstrap rows, random columns
-per split) trained on labelled findings decides which are secrets.
+Candidates are long tokens of key-like characters, with a digit or without,
+and values assigned to credential names.  Each is described by its length, its
+transitions between character classes, its shares of digits, capitals and
+vowels, its longest run of consonants, its entropy, how much of it dictionary
+words cover, the path of its file (here: the source) and the words around it.
+A random forest (Gini splits, bootstrap rows, random columns per split) trained
+on labelled findings decides which are secrets.
 
 Public data has no labelled findings; ``labelled_findings`` makes a bounded,
 seeded set of them (``FINDINGS``) from rules: credential formats in use against
-checksums, identifiers, placeholders, numbers and long words.  Other findings
-can be passed to ``fit``.
+checksums, identifiers, placeholders, numbers, long words and names in code;
+keys without a digit are among them.  Other findings can be passed to ``fit``.
 
 Defined cases: a null or empty text has no candidates; texts are scanned whole;
 a null path is empty; rows that repeat are scanned each; other columns are
@@ -39,6 +40,9 @@ CREDENTIAL = {"access", "akia", "api", "apikey", "auth", "bearer", "credential",
 OTHER = {"card", "checksum", "commit", "digest", "etag", "hash", "id", "integrity", "md5", "order", "phone", "revision", "sha", "sha1", "sha256", "uuid", "version"}
 PLACEHOLDER = {"changeme", "default", "demo", "dummy", "example", "fake", "foobar", "hello", "insert", "mypassword", "none", "null", "password", "placeholder", "replace", "sample", "secret", "string", "test", "todo", "token", "undefined", "user", "value", "world", "xxxx", "your"}
 TESTS = re.compile(r"test|spec|fixture|example|sample|mock|doc", re.I)
+_CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxz]+")
+_VOWELS = re.compile(r"[aeiouy]")
+_STEMS = "account address allgemein apache application arbeit available background button calendar character client compte configuration connection context control customer database desarrollo development directory document element environment error event exception factory filter function gesellschaft government handler history image index information interface international language library listener location management manager message method mundo national network number object organisation package parameter payment pensamiento position private process product project property provider public quality question recherche register repository request resource response return school science security server service session settings society source status strength structure student system template thread through together transaction understand universal update variable version window wissenschaft".split()
 _SYLLABLES = "an at con de en er ing ion le ment ou re st th ti tion ver".split()
 
 
@@ -60,12 +64,14 @@ def describe(value: str, assigned: bool, before: str, after: str, path: str) ->
             covered[at : at + len(w)] = [True] * len(w)
             at = low.find(w, at + 1)
     words = {w.lower() for w in _WORD.findall(before[-AROUND:])[-4:]}
+    vowels, letters = len(_VOWELS.findall(low)), n - kinds.count("d") - kinds.count("o")
     next_words = {w.lower() for w in _WORD.findall(after[:AROUND])[:3]}
     return [
         n, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1),
         kinds.count("d") / n, kinds.count("u") / n, kinds.count("o") / n, entropy, sum(covered) / n,
         float(any(w in low for w in PLACEHOLDER)), float(assigned), float(bool(words & CREDENTIAL)), float(bool(words & OTHER)), float(bool(next_words & OTHER)),
         float(bool(TESTS.search(path))), float(value.startswith(("AKIA", "ASIA", "ghp_", "xox", "sk_"))), float(bool(re.fullmatch(r"[0-9a-f-]+", low))), float(kinds.count("d") == n),
+        vowels / max(1, letters), max(map(len, _CONSONANTS.findall(low)), default=0),
     ]
 
 
@@ -82,7 +88,7 @@ def labelled_findings(count: int = FINDINGS, seed: int = 20) -> tuple[np.ndarray
     rows, labels = [], []
     for i in range(count):
         path = str(rng.choice(["src/main.py", "deploy/env", "config.yml", "tests/test_app.py", "docs/readme", "src3", ""]))
-        kind, before, assigned = i % 8, prose(), False
+        kind, before, assigned = i % 12, prose(), False
         if kind in (0, 1):
             value, label = "AKIA" + pick(upper, 16), True
         elif kind == 2:
@@ -102,8 +108,20 @@ def labelled_findings(count: int = FINDINGS, seed: int = 20) -> tuple[np.ndarray
             before += str(rng.choice(["commit ", "sha256 ", "md5: ", "digest ", "uuid "]))
         elif kind == 6:
             value, label = pick("0123456789", 16) if rng.random() < 0.6 else "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), False
-        else:
+        elif kind == 7:
             value, label = words(rng.integers(6, 12)), False
+        elif kind == 8:  # keys that happen to have no digit
+            prefix = str(rng.choice(["AKIA", "ASIA", "ghp_", "xoxb-", "sk_live_", ""]))
+            value, label = prefix + (pick(upper[:26], 16) if prefix in ("AKIA", "ASIA") else pick(alnum[:52], int(rng.integers(16, 44)))), True
+        else:  # compounds, names in code, paths
+            parts = [str(w) if rng.random() < 0.8 else words(rng.integers(2, 5)) for w in rng.choice(_STEMS, int(rng.integers(2, 6)))]
+            form = int(rng.integers(0, 7))
+            if form < 2:
+                value = "".join(w.capitalize() if j or form else w for j, w in enumerate(parts))
+            else:
+                value = str(rng.choice(["", "_", "-", "/"])).join(parts)
+                value = value.upper() if form == 2 else value.title() if form == 3 else value
+            value, label = value if len(value) >= 16 else value + "x" * (16 - len(value)), False
         rows.append(describe(value, assigned, before, " " + prose(), path))
         labels.append(label)
     return np.array(rows), np.array(labels)
@@ -172,8 +190,6 @@ def candidates(text: str, path: str):
             value = value.rstrip(".!?)]}*&%$#")
             if len(value) < 6:
                 continue
-        elif not any(c.isdigit() for c in value):
-            continue
         start = m.start(g)
         yield start, start + len(value), describe(value, g == 1, text[max(0, start - AROUND) : start], text[m.end() : m.end() + AROUND], path)
 
