@@ -16,8 +16,9 @@ def components(edges: DataFrame) -> DataFrame:
     node nor a long chain gathers anywhere.  Nodes without edges are not listed.
     """
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    last = None
-    while True:
+    size = lambda: now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    last = size()
+    while last[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # each larger neighbour is tied to the least of the neighbourhood
@@ -26,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         tied = now.join(low, "a")
         now = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(tied.select("a", F.col("m").alias("b")))
         now = saved(now.distinct())
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = size()
         if state == last:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            break
         last = state
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -1,29 +1,33 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents whose shingle sets share their least hash and size class are put side
-by side and cut into groups of at most ``GROUP`` sets; a set alone with its least
-hash goes by the least one of a second order of hashes, so that the outlying
-members of a family stand together, too.  A group's column of the matrix is
-the union of its sets.  A query set can only be similar to a member if enough
-of its shingles are in the union; only then is the group opened and the exact
-overlap with every member counted.
-
-So that no query meets a group without prospects, the matrix is indexed: the
-shingles of a set are dealt by hash into m parts, where m is larger than the
-largest symmetric difference that the threshold allows at its size.  Two
-similar sets then agree on a whole part, and groups that hold an equal part are
-the only ones that meet.  As parts of few shingles tell little, m has a slack: a set may
-leave as many of its smallest parts unlisted.  Nothing is estimated: every link
-is found (equal sets are one class from the start).
-
-Links become one row per document with its component; pairs inside a group
-are never listed, only a spanning link per member.
+Similar documents are put into groups; a group's column of the matrix is the
+union of its sets.  A query set can only be similar to a member if enough of
+its shingles are in the union; only then is the group opened and the exact
+overlap with its members counted.
+
+Which columns a query has to look at is read off an index of rare shingles.
+All shingles have one order: by how hot their bucket of a fixed-size sketch is,
+then by hash.  A set lists its first ``n - needed + 1`` shingles; two similar
+sets share one of them, at places that leave room for the overlap they need.
+Any order finds every link; the sketch (summed over all texts, buckets that
+stand out in no task left at zero) only puts what many texts share last, so
+that common passages are hardly ever listed.
+
+The join has two rounds.  First every list names a leader, the set with the
+fewest rare shingles, and its other sets are compared with the leaders' columns
+alone: a family of n near copies makes n pairs, not n * n.  What hangs together
+then is a component, cut into groups of at most ``GROUP`` sets.  In the second
+round only lists that hold several components are looked at: the sets outside
+a list's largest component query the groups of the others.  Nothing is
+estimated and no list is cut: every link between different components is found.
+Lists of hot shingles are split by salt in the first round.
 
 Defined cases: a null or empty text has the empty set and is linked with
 nothing; a text of fewer words than a shingle has its whole sequence as one;
 equal sets are linked; rows of one doc_id count as one document; a row without
-doc_id gets the component of its equals, or none; an empty table gives no row;
-other columns are ignored.
+doc_id is linked like any other, but its component has a number only where a
+document with one is in it; an empty table gives no row; other columns are
+ignored.  doc_id must be below 2**62.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayframe.llm._spark import bitmap, discard, in_bitmap, saved, shuffle_partitions, small_batches
@@ -40,18 +44,13 @@ from assayframe.llm._text import mix64, sets_of
 from assayframe.llm.components import components
 
 GROUP, GROUP_SHINGLES = 256, 400_000
-SLACK, FULL = 0.1, 3  # parts beyond those needed, per difference allowed; shingles that make a part telling
-_MIN, _MIN2, _KEY1, _KEY2, _PART, _SUM = (np.uint64(x) for x in (0xA0761D6478BD642F, 0x2127599BF4325C37, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F))
-FEATURES = "doc_id long, n long, k1 long, k2 long, least long, second long, level int, z binary"
-GROUPS = "gid long, weight long, low long, counts binary, ids array<long>, label array<long>, zs array<binary>, edges array<struct<a:long,b:long>>"
-
-UNIT, BUCKETS = 64, 128
-NEED = 63  # more shared parts are never asked for; fits the six lowest bits of a group number
-
-
-def signed(x) -> int:
-    x = int(x)
-    return x - 2**64 if x >= 2**63 else x
+SKETCH = 1 << 22  # buckets; one byte of each is broadcast
+UNIT = 64  # queries that travel to a column together
+SALTED = 8  # lists of shingles at this level (2**8 sets in hot tasks) or above are split
+NAMELESS = 1 << 62
+_KEY1, _KEY2, _ORDER = (np.uint64(x) for x in (0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
+FEATURES = "doc_id long, n long, k1 long, k2 long, z binary"
+POSTINGS = "token long, salt int, rare int, id long, n int, pos int"
 
 
 class Threshold:
@@ -59,144 +58,104 @@ class Threshold:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.upper = [1]
-
-    def level(self, n: int) -> int:
-        """The size class of a set: partners are in it or the next to it."""
-        while self.upper[-1] < n:
-            self.upper.append(max(self.upper[-1] + 1, self.upper[-1] * self.den // self.num))
-        lo, hi = 0, len(self.upper) - 1
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (mid + 1, hi) if self.upper[mid] < n else (lo, mid)
-        return lo
-
-    def parts(self, level: int) -> tuple[int, int]:
-        """(m, slack) of a size class; m = 0 where only equal sets qualify.
-
-        Similar sets agree on at least 1 + slack of the m parts.
-        """
-        while level >= len(self.upper):
-            self.level(self.upper[-1] + 1)
-        apart = 2 * self.upper[level] * (self.den - self.num) // (self.den + self.num)
-        if apart == 0:
-            return 0, 0
-        slack = 2 + int(apart * SLACK)
-        return apart + 1 + slack, slack
 
     def similar(self, overlap, a, b):
         return self.den * overlap >= self.num * (a + b - overlap)
 
-    def needed(self, n: int) -> int:
-        """Shingles of a set of n that any partner must share."""
+    def needed(self, n):
+        """Shingles of a set of n that any partner must share; also the least size of a partner."""
         return -(-self.num * n // self.den)
 
+    def overlap(self, a, b):
+        """Shingles that similar sets of these sizes share at least."""
+        return -(-self.num * (a + b) // (self.num + self.den))
 
-def part_keys(s: np.ndarray, t: Threshold) -> tuple[np.ndarray, int]:
-    """Keys of the parts of a set, for its size class and the one above, and
-    how many of them any similar set must share with it."""
-    out, least = [], NEED
-    own = t.level(len(s))
-    base = mix64(s + _SUM)
-    for level in (own, own + 1):
-        m, slack = t.parts(level)
-        if m == 0:
-            continue
-        part = (mix64(s ^ (_PART + np.uint64(level))) % np.uint64(m)).astype(np.int64)
-        total = np.zeros(m, np.uint64)
-        np.add.at(total, part, base)
-        size = np.bincount(part, minlength=m)
-        # parts under the largest size that leaves at most `slack` of them out are not
-        # listed; of two similar sets, the one with the larger such size lists only
-        # parts that the other lists too, and of the 1 + slack equal parts all but its own left out
-        held = size >= min(FULL, int(np.partition(size, slack)[slack]))
-        least = min(least, 1 + slack - (m - int(held.sum())))
-        at = np.flatnonzero(held).astype(np.uint64)
-        out.append(mix64(total[held] + mix64(at + np.uint64(level << 32) + _KEY1)))
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), least
-
-
-def bucket_counts(sets: list[np.ndarray]) -> bytes:
-    """For each of BUCKETS hash buckets the most shingles any of the sets has there, 255 at most."""
-    top = np.zeros(BUCKETS, np.int64)
-    for s in sets:
-        np.maximum(top, np.bincount((s >> np.uint64(20)).astype(np.int64) % BUCKETS, minlength=BUCKETS), out=top)
-    return np.minimum(top, 255).astype(np.uint8).tobytes()
+    def listed(self, n: int) -> int:
+        return n - self.needed(n) + 1
 
+    def room(self, n: Column, pos: Column, least: Column, most: Column, first: Column) -> Column:
+        """Whether a set of n with a shingle at ``pos`` may be similar to one of least .. most shingles that has it at ``first`` or later."""
+        small = F.greatest(least, F.ceil(F.lit(self.num) * n / self.den))
+        need = F.ceil(F.lit(self.num) * (n + small) / (self.num + self.den))
+        return (F.lit(self.num) * least <= F.lit(self.den) * n) & (F.lit(self.num) * n <= F.lit(self.den) * most) & (F.least(n - pos, most - first) >= need)
 
-class Group:
-    """Sets as one column of the matrix: their union, and who holds what."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        tokens = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
-        order = np.argsort(tokens, kind="stable")
-        tokens, self.owner = tokens[order], owner[order]
-        fresh = np.ones(len(tokens), bool)
-        np.not_equal(tokens[1:], tokens[:-1], out=fresh[1:])
-        self.first = np.append(np.flatnonzero(fresh), len(tokens))
-        self.union = tokens[fresh]
+def nameless(k1: str) -> Column:
+    """The number of a set that no row with a doc_id has."""
+    return F.lit(NAMELESS) + F.col(k1).bitwiseAND(F.lit(NAMELESS - 1))
 
-    def partners(self, q: np.ndarray, t: Threshold) -> np.ndarray:
-        """Members similar to ``q``; opened only where the bound allows one."""
-        n, need = len(q), t.needed(len(q))
-        if not ((self.sizes >= need) & (t.num * self.sizes <= t.den * n)).any():
-            return np.zeros(0, np.int64)
-        at = np.searchsorted(self.union, q)
-        at[at == len(self.union)] = 0
-        at = at[self.union[at] == q]
-        if len(at) < need:  # the bound: overlap with the union
-            return np.zeros(0, np.int64)
-        lo, hi = self.first[at], self.first[at + 1]
-        size = hi - lo
-        where = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-        overlap = np.bincount(self.owner[where], minlength=len(self.sizes))
-        return np.flatnonzero(t.similar(overlap, n, self.sizes))
 
+def bucket_of(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(20)).astype(np.int64) & (SKETCH - 1)
 
-def inner_links(sets: list[np.ndarray], t: Threshold) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Component labels (least index) of a group's members and a spanning set of links."""
-    n = len(sets)
-    root = np.arange(n)
-    if n == 1:
-        return root, []
-    g, links = Group(sets), []
 
-    def join(a, b):
-        if root[a] != root[b]:
-            links.append((a, b))
-            lo, hi = sorted((root[a], root[b]))
-            root[root == hi] = lo
+def signed(x) -> int:
+    x = int(x)
+    return x - 2**64 if x >= 2**63 else x
 
-    for b in g.partners(sets[0], t).tolist():
-        join(0, b)
-    for a in np.flatnonzero(root != root[0]).tolist():  # the leader's are together already
-        for b in g.partners(sets[a], t).tolist():
-            join(a, b)
-    return root, links
 
+def features(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n, the set's 128-bit key and packed text of each row.
 
-def features(docs: DataFrame, size: int, t: Threshold) -> DataFrame:
-    """doc_id, n, the set's 128-bit key, its least hash, size class and packed text."""
+    Every task ends with a row of n = -1 that holds its hot buckets and their counts.
+    """
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
+        counts, waiting, held, total = np.zeros(SKETCH, np.uint32), [], 0, 0
+
+        def count():
+            nonlocal held, total
+            if waiting:
+                counts.__iadd__(np.bincount(bucket_of(np.concatenate(waiting)), minlength=SKETCH).astype(np.uint32))
+            total, held = total + held, 0
+            waiting.clear()
+
+        def batch(ids, rows):
+            n, k1, k2, z = (list(c) for c in zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(z, pa.binary())], ["doc_id", "n", "k1", "k2", "z"])
+
         for b in batches:
             rows, texts = [], b.column(1)
             for i, s in sets_of(texts, size):
                 if len(s) == 0:
-                    rows.append((0, 0, 0, 0, 0, 0, b""))
+                    rows.append((0, 0, 0, b""))
                     continue
-                k1, k2 = mix64(s ^ _KEY1).sum(dtype=np.uint64), mix64(s ^ _KEY2).sum(dtype=np.uint64)
-                rows.append((len(s), signed(k1), signed(k2), signed(mix64(s ^ _MIN).min() >> np.uint64(1)), signed(mix64(s ^ _MIN2).min() >> np.uint64(1)), t.level(len(s)), pack.compress(texts[i].as_buffer())))
-            for lo in range(0, len(rows), 1000):
-                n, k1, k2, least, second, level, z = (list(c) for c in zip(*rows[lo : lo + 1000], strict=True))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 1000), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(least, pa.int64()), pa.array(second, pa.int64()), pa.array(level, pa.int32()), pa.array(z, pa.binary())], ["doc_id", "n", "k1", "k2", "least", "second", "level", "z"])
+                rows.append((len(s), signed(mix64(s ^ _KEY1).sum(dtype=np.uint64)), signed(mix64(s ^ _KEY2).sum(dtype=np.uint64)), pack.compress(texts[i].as_buffer())))
+                waiting.append(s)
+                held += len(s)
+                if held > 1 << 20:
+                    count()
+            if rows:
+                yield batch(b.column(0), rows)
+        count()
+        noise = total / SKETCH
+        hot = np.flatnonzero(counts >= max(4, noise + 6 * noise**0.5))
+        if len(hot):
+            packed = hot.astype(np.uint32).tobytes() + counts[hot].tobytes()
+            yield batch(pa.array([None], pa.int64()), [(-1, 0, 0, packed)])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FEATURES)
 
 
+def sketch(rows: DataFrame) -> np.ndarray:
+    """The level of every bucket: the logarithm of its summed count, 0 where it is hot in no task."""
+
+    def run(batches):
+        for b in batches:
+            for z in b.column(0).to_pylist():
+                both = np.frombuffer(z, np.uint32).astype(np.int64)
+                at, n = both[: len(both) // 2], both[len(both) // 2 :]
+                for lo in range(0, len(at), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(at[lo : lo + 100_000]), pa.array(n[lo : lo + 100_000])], ["bucket", "n"])
+
+    level = F.floor(F.log2(F.sum("n"))).cast("int").alias("level")
+    out = rows.where("n = -1").select("z").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(level).toArrow()  # SKETCH rows at most
+    levels = np.zeros(SKETCH, np.uint8)
+    levels[out.column("bucket").to_numpy()] = out.column("level").to_numpy()
+    return levels
+
+
 def unpacked(zs: list[bytes], size: int) -> list[np.ndarray]:
     """Shingle sets of packed texts."""
     tool = zstandard.ZstdDecompressor()
@@ -204,211 +163,267 @@ def unpacked(zs: list[bytes], size: int) -> list[np.ndarray]:
     return [s for _, s in sets_of(texts, size)]
 
 
-def groups(rows: DataFrame, size: int, t: Threshold) -> DataFrame:
-    """Groups of neighbouring sets, with their members' inner components."""
+def listed(s: np.ndarray, levels: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray, int]:
+    """The shingles that a set lists, in order, their levels, and how many of all are rare."""
+    level = levels[bucket_of(s)]
+    at = np.lexsort((mix64(s ^ _ORDER), level))[: t.listed(len(s))]
+    return s[at], level[at], int(np.count_nonzero(level == 0))
+
+
+def postings(sets: DataFrame, levels: np.ndarray, size: int, t: Threshold) -> DataFrame:
+    """A row for each shingle that a set of ``sets(id, z)`` lists; salt is -1 where its list is whole."""
+    held = sets.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
-        gid = TaskContext.get().partitionId() << 34
-        held: list[tuple] = []
-        out: list[tuple] = []
-        weight = packed = 0
-
-        def close():
-            nonlocal gid, weight, packed
-            ids = [h[0] for h in held]
-            sets = unpacked([h[1] for h in held], size)
-            root, links = inner_links(sets, t)
-            out.append((gid, weight, min(len(s) for s in sets), bucket_counts(sets), ids, root.tolist(), [h[1] for h in held], [{"a": ids[a], "b": ids[b]} for a, b in links]))
-            packed += sum(len(h[1]) for h in held)
-            gid += 1
-            held.clear()
-            weight = 0
+        out, n = [], 0
 
         def batch():
-            nonlocal packed
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
-            made = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["gid", "weight", "low", "counts", "ids", "label", "zs", "edges"])
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)]
             out.clear()
-            packed = 0
-            return made
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "salt", "rare", "id", "n", "pos"])
 
-        last = key = None
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("least", "level", "k1", "k2", "doc_id", "n", "z")]
-            for least, level, k1, k2, doc_id, n, z in zip(*cols, strict=True):
-                if key == (least, k1, k2):
-                    continue  # an equal set
-                key = (least, k1, k2)
-                if held and ((least, level) != last or len(held) >= GROUP or weight + n > GROUP_SHINGLES):
-                    close()
-                    if len(out) >= 2000 or packed > 4 << 20:
+            zs = b.column(1).to_pylist()
+            at = 0
+            while at < len(zs):
+                stop = min(len(zs), at + 200)
+                for id_, s in zip(b.column(0).slice(at, stop - at).to_pylist(), unpacked(zs[at:stop], size), strict=True):
+                    tokens, level, rare = listed(s, held.value, t)
+                    k = len(tokens)
+                    own = int(mix64(np.array([id_], np.int64).view(np.uint64))[0] >> np.uint64(33))
+                    salt = np.where(level >= SALTED, own & ((1 << np.maximum(level.astype(np.int64) - SALTED + 1, 0)) - 1), -1)
+                    full = lambda x, kind: np.full(k, x, kind)
+                    out.append((tokens.view(np.int64), salt.astype(np.int32), full(rare * 1_000_000 // len(s), np.int32), full(id_, np.int64), full(len(s), np.int32), np.arange(k, dtype=np.int32)))
+                    n += k
+                    if n > 50_000:
                         yield batch()
-                last = (least, level)
-                held.append((doc_id, z))
-                weight += n
-        if held:
-            close()
+                        n = 0
+                at = stop
         if out:
             yield batch()
 
-    rows = rows.where("n > 0 AND doc_id IS NOT NULL")
-    # where the bitmap is full, sets stay with their least hash; that costs time only
-    met = rows.groupBy("least", "level").agg((F.min("k1") < F.max("k1")).alias("several")).where("several").select(F.xxhash64("least", "level").alias("hash"))
-    rows = rows.crossJoin(F.broadcast(saved(bitmap(met, "hash"))))
-    least = F.when(in_bitmap(F.xxhash64("least", "level")), F.col("least")).otherwise(F.col("second"))
-    rows = rows.select(least.alias("least"), "level", "k1", "k2", "doc_id", "n", "z")
-    # by all five columns, so that neither a frequent least hash nor many copies fill one partition
-    rows = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), "least", "level", "k1", "k2", "doc_id").sortWithinPartitions("least", "level", "k1", "k2", "doc_id")
-    return rows.mapInArrow(run, GROUPS)
+    return sets.select("id", "z").mapInArrow(run, POSTINGS)
 
 
-def meetings(made: DataFrame, size: int, t: Threshold) -> DataFrame:
-    """Pairs of groups (g, h), g < h, that hold an equal part."""
+class Group:
+    """Sets as one column of the matrix: their union, and who holds what."""
 
-    def keys(batches):
-        held, n = [], 0
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        tokens = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, self.owner = tokens[order], owner[order]
+        fresh = np.ones(len(tokens), bool)
+        np.not_equal(tokens[1:], tokens[:-1], out=fresh[1:])
+        self.first = np.append(np.flatnonzero(fresh), len(tokens))
+        self.union = tokens[fresh]
 
-        def batch():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in held]).view(np.int64)), pa.array(np.concatenate([np.full(len(k), g) for k, g in held]))], ["key", "gid"])
+    def partners(self, q: np.ndarray, t: Threshold) -> np.ndarray:
+        """Members similar to ``q``."""
+        at = np.searchsorted(self.union, q)
+        at[at == len(self.union)] = 0
+        at = at[self.union[at] == q]
+        lo, hi = self.first[at], self.first[at + 1]
+        size = hi - lo
+        where = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+        overlap = np.bincount(self.owner[where], minlength=len(self.sizes))
+        return np.flatnonzero(t.similar(overlap, len(q), self.sizes))
 
-        for b in batches:
-            for gid, zs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = [part_keys(s, t) for s in unpacked(zs, size)]
-                k = np.unique(np.concatenate([f[0] for f in found])) if len(found) > 1 else found[0][0]
-                held.append((k, gid << 6 | min(f[1] for f in found)))
-                n += len(k)
-                if n > 50_000:
-                    yield batch()
-                    held.clear()
-                    n = 0
-        if n:
-            yield batch()
 
-    def meet(batches):
-        rest = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        seen, n = [], 0
+def short(s: np.ndarray) -> np.ndarray:
+    """Shingles as a column stores them: 32 bits, which can only raise an overlap."""
+    return np.unique((s >> np.uint64(32)).astype(np.uint32))
 
-        def batch():
-            pairs, count = np.unique(np.concatenate(seen), axis=0, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(count)], ["g", "h", "n"])
 
+def matrix(members: DataFrame, size: int) -> DataFrame:
+    """``members(g, ids, zs)`` with the column of each group: its union, least and largest size."""
+
+    def run(batches):
         for b in batches:
-            k = np.concatenate([rest[0], b.column(0).to_numpy()])
-            g = np.concatenate([rest[1], b.column(1).to_numpy()])
-            cut = int(np.searchsorted(k, k[-1]))
-            rest = (k[cut:], g[cut:])
-            for found in _pairs(k[:cut], g[:cut]):
-                seen.append(found)
-                n += len(found)
-                if n > 500_000:
-                    yield batch()
-                    seen, n = [], 0
-        for found in _pairs(*rest):
-            seen.append(found)
-            n += len(found)
-        if n:
-            yield batch()
+            for i in range(b.num_rows):
+                one = b.slice(i, 1)
+                sets = unpacked(one.column(2)[0].as_py(), size)
+                n = [len(s) for s in sets]
+                union = short(np.concatenate(sets)).tobytes()
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([min(n)], pa.int64()), pa.array([max(n)], pa.int64()), pa.array([union], pa.binary())], ["g", "ids", "zs", "low", "high", "column"])
 
-    listed = made.select("gid", "zs").mapInArrow(keys, "key long, gid long")
-    listed = listed.repartition(shuffle_partitions(made.sparkSession), "key").sortWithinPartitions("key")
-    met = listed.mapInArrow(meet, "g long, h long, n long").groupBy("g", "h").agg(F.sum("n").alias("n"))
-    need = lambda c: F.col(c).bitwiseAND(F.lit(63))
-    return met.where(F.col("n") >= F.least(need("g"), need("h"))).select(F.shiftright("g", 6).alias("g"), F.shiftright("h", 6).alias("h"))
-
-
-def _pairs(k: np.ndarray, g: np.ndarray):
-    """Yield arrays of the pairs g < h under each key; ``k`` is sorted."""
-    if len(k) < 2:
-        return
-    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-    count = np.diff(np.append(first, len(k)))
-    two = first[count == 2]
-    if len(two):
-        yield np.stack([np.minimum(g[two], g[two + 1]), np.maximum(g[two], g[two + 1])], axis=1)
-    for lo, n in zip(first[count > 2].tolist(), count[count > 2].tolist(), strict=True):
-        own = np.sort(g[lo : lo + n])
-        for i in range(0, n - 1, 256):  # a long list in slices
-            x, y = np.meshgrid(np.arange(i, min(i + 256, n - 1)), np.arange(i + 1, n), indexing="ij")
-            keep = x < y
-            yield np.stack([own[x[keep]], own[y[keep]]], axis=1)
-
-
-def bounded(made: DataFrame, met: DataFrame, t: Threshold) -> DataFrame:
-    """Pairs of groups whose overlap can be large enough, lighter group first: q, h.
-
-    Two members share at most the lesser of both groups' counts in each bucket.
-    """
-    bounds = lambda k: made.select(F.col("gid").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("weight", "low", "counts")])
-    both = met.join(bounds("g"), "g").join(bounds("h"), "h")
+    return members.mapInArrow(run, "g long, ids array<long>, zs array<binary>, low long, high long, column binary")
+
+
+def may_hold(column: np.ndarray, low: int, high: int, q: np.ndarray, t: Threshold) -> bool:
+    """The bound: whether a group of such a column can have a member similar to ``q``."""
+    n = len(q)
+    least = max(low, t.needed(n))
+    if least > min(high, t.den * n // t.num):
+        return False
+    at = np.searchsorted(column, own := short(q))
+    at[at == len(column)] = 0
+    # shingles of q that fold into one count as many as they may be
+    return int(np.count_nonzero(column[at] == own)) + n - len(own) >= t.overlap(n, least)
+
+
+def only_named(rows: DataFrame, column: str, named: DataFrame) -> DataFrame:
+    """The rows whose number is in ``named(id)``, and few others."""
+    table = bitmap(named.select(F.xxhash64("id").alias("hash")), "hash")
+    return rows.join(F.broadcast(table), in_bitmap(F.xxhash64(column)), "left_semi")
+
+
+def links(pairs: DataFrame, sets: DataFrame, columns: DataFrame, size: int, t: Threshold) -> DataFrame:
+    """A link (a, b) for each of ``pairs(q, g)`` whose group g has members similar to the set q: to the first of them."""
+    often = saved(pairs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / UNIT).alias("units")))
+    dealt = pairs.join(often.hint("merge"), "g").select("g", "q", F.pmod(F.xxhash64("q"), F.col("units")).alias("unit"))
+    own = only_named(sets, "id", pairs.select(F.col("q").alias("id"))).select(F.col("id").alias("q"), "z")
+    units = dealt.join(own, "q").groupBy("g", "unit").agg(F.collect_list(F.struct("q", "z")).alias("queries"))
+    both = units.join(columns.hint("merge"), "g").select("g", "queries", "ids", "zs", "low", "high", "column")
 
     def run(batches):
+        now = column = opened = None
         for b in batches:
-            g, h, wg, wh, lg, lh = (b.column(c).to_numpy() for c in ("g", "h", "weight_g", "weight_h", "low_g", "low_h"))
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int64) for c in ("counts_g", "counts_h"))
-            least = np.minimum(x, y)
-            most = np.where(least == 255, 1 << 40, least).sum(axis=1)  # 255 stands for any larger count
-            need = np.maximum(-(-t.num * np.maximum(lg, lh) // t.den), -(-t.num * (lg + lh) // (t.den + t.num)))
-            keep = most >= need
-            light = wg <= wh
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(light, g, h)[keep]), pa.array(np.where(light, h, g)[keep])], ["q", "h"])
+            found = []
+            for i in range(b.num_rows):
+                g, queries, ids, low, high = (b.column(c)[i].as_py() for c in (0, 1, 2, 4, 5))
+                if g != now:
+                    now, column, opened = g, np.frombuffer(b.column(6)[i].as_py(), np.uint32), None
+                for q, s in zip((x["q"] for x in queries), unpacked([x["z"] for x in queries], size), strict=True):
+                    if may_hold(column, low, high, s, t):
+                        opened = opened or Group(unpacked(b.column(3)[i].as_py(), size))
+                        p = opened.partners(s, t)
+                        if len(p):
+                            found.append((q, ids[p[0]]))
+            if found:
+                a, z = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long").where("a <> b")
+
+
+def led(lists: DataFrame, t: Threshold) -> DataFrame:
+    """Pairs (q, g): the sets of each list and its leader, where they may be similar."""
+    fits = t.room(F.col("n"), F.col("pos"), F.col("leader.n"), F.col("leader.n"), F.col("leader.pos"))
+    return lists.where((F.col("id") != F.col("leader.id")) & fits).select(F.col("id").alias("q"), F.col("leader.id").alias("g")).distinct()
 
-    return both.select("g", "h", "weight_g", "weight_h", "low_g", "low_h", "counts_g", "counts_h").mapInArrow(run, "q long, h long")
 
+def grouped(rows: DataFrame) -> DataFrame:
+    """``rows(id, n, root)`` with the group g: at most GROUP sets of one component."""
 
-def held_by(made: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The groups that pairs name, and few others."""
-    named = pairs.select(F.explode(F.array("q", "h")).alias("gid")).select(F.xxhash64("gid").alias("hash"))
-    return made.join(F.broadcast(saved(bitmap(named, "hash"))), in_bitmap(F.xxhash64("gid")), "left_semi")
+    def run(batches):
+        gid = TaskContext.get().partitionId() << 34
+        last, held, weight = None, 0, 0
+        for b in batches:
+            out = []
+            for n, root in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if root != last or held >= GROUP or weight + n > GROUP_SHINGLES:
+                    gid, last, held, weight = gid + 1, root, 0, 0
+                held, weight = held + 1, weight + n
+                out.append(gid)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], ["id", "n", "root", "g"])
 
+    rows = rows.select("id", F.col("n").cast("long").alias("n"), "root").repartitionByRange(shuffle_partitions(rows.sparkSession), "root", "id").sortWithinPartitions("root", "id")
+    return rows.mapInArrow(run, "id long, n long, root long, g long")
 
-def outer_links(made: DataFrame, met: DataFrame, size: int, t: Threshold) -> DataFrame:
-    """Links (a, b) between the groups of each pair: one per query and inner component.
 
-    The lighter group of a pair brings the queries, ``UNIT`` groups of them at
-    a time to one heavier group.
+def unsettled(lists: DataFrame, groups: DataFrame, t: Threshold) -> DataFrame:
+    """Pairs (q, g) of sets and groups of other components that a list leaves open.
+
+    The sets outside a list's largest component meet its groups; two groups
+    outside it meet once.
+    """
+    rows = saved(lists.select("token", "id", "n", "pos").join(groups.select("id", "root", "g"), "id"))
+    per = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("held"))
+    several = per.groupBy("token").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("root", F.struct("held", "root")).alias("main")).where("kinds > 1").select("token", "main")
+    rows = saved(rows.join(saved(several).hint("merge"), "token"))
+    held = rows.groupBy("token", "g", "root", "main").agg(F.min("pos").alias("first"), F.min("n").alias("least"), F.max("n").alias("most"))
+    held = held.select("token", F.col("g").alias("h"), F.col("root").alias("of"), "first", "least", "most")
+    fits = t.room(F.col("n"), F.col("pos"), F.col("least"), F.col("most"), F.col("first"))
+    met = rows.where("root <> main").join(saved(held).hint("merge"), "token").where((F.col("root") != F.col("of")) & ((F.col("of") == F.col("main")) | (F.col("g") > F.col("h"))) & fits)
+    return met.select(F.col("id").alias("q"), F.col("h").alias("g")).distinct()
+
+
+def similar_sets(sets: DataFrame, levels: np.ndarray, size: int, t: Threshold, given: DataFrame) -> DataFrame:
+    """node, root: the components of ``sets(id, n, z)`` and the links ``given(a, b)`` that hold several."""
+    alike = Window.partitionBy("token", "salt").orderBy("rare", "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lists = postings(sets, levels, size, t).withColumn("held", F.count(F.lit(1)).over(alike)).withColumn("leader", F.first(F.struct("id", "n", "pos")).over(alike))
+    # of a list that is split, the other sets may be elsewhere
+    lists = saved(lists.where("held > 1 OR salt >= 0").select("token", "id", "n", "pos", "leader", "salt", "rare"))
+    # the leaders of a split list follow the first of them
+    heads = lists.where("salt >= 0 AND id = leader.id").drop("leader")
+    top = heads.groupBy("token").agg(F.min(F.struct("rare", "id", "n", "pos")).alias("leader"))
+    pairs = saved(led(lists, t).unionByName(led(heads.join(top, "token"), t)).distinct())
+    leaders = only_named(sets, "id", pairs.select(F.col("g").alias("id"))).select(F.col("id").alias("g"), F.array("id").alias("ids"), F.array("z").alias("zs"))
+    near = saved(links(pairs, sets, matrix(leaders, size), size, t))
+    roots = components(near)
+    named = lists.select("id", "n").distinct().join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    groups = saved(grouped(named))
+    pairs = saved(unsettled(lists, groups, t))
+    wanted = groups.join(pairs.select("g").distinct(), "g", "left_semi").select("id", "g")
+    members = only_named(sets, "id", wanted).join(wanted, "id").groupBy("g").agg(F.collect_list(F.struct("id", "z")).alias("m"))
+    members = members.select("g", F.col("m.id").alias("ids"), F.col("m.z").alias("zs"))
+    more = saved(links(pairs, sets, matrix(members, size), size, t).unionByName(given))
+    # the second graph has the first one's components as nodes
+    top = roots.select(F.col("node").alias("x"), F.col("root").alias("r"))
+    more = more.join(top, more["a"] == top["x"], "left").select(F.coalesce("r", "a").alias("a"), "b")
+    more = more.join(top, more["b"] == top["x"], "left").select("a", F.coalesce("r", "b").alias("b"))
+    joined = components(more)
+    renamed = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    lower = roots.join(renamed, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return lower.unionByName(joined.join(lower.select("node"), "node", "left_anti"))
+
+
+def labelled(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """doc_id, n, k1, k2 (the set's key) and root of every row of ``docs(doc_id, text)``.
+
+    The root is the least doc_id that links reach, a number of NAMELESS or
+    above where none of them has one, and null for the empty set.
     """
-    pairs = saved(bounded(made, met, t))
-    named = held_by(made, pairs)
-    often = pairs.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / UNIT).alias("units"))
-    pairs = pairs.join(often, "h").select("q", "h", F.pmod(F.xxhash64("q"), F.col("units")).alias("unit"))
-    own = named.select(F.col("gid").alias("q"), F.struct("ids", "zs").alias("queries"))
-    other = named.select(F.col("gid").alias("h"), F.col("ids").alias("ids2"), F.col("label").alias("label2"), F.col("zs").alias("zs2"))
-    units = pairs.join(own, "q").groupBy("h", "unit").agg(F.collect_list("queries").alias("queries")).join(other, "h")
+    small_batches(docs.sparkSession)
+    t = Threshold(num, den)
+    rows = saved(features(docs, size))
+    levels = sketch(rows)
+    # equal sets are one; the aggregate meets before the shuffle, so many copies of a text are one row a task
+    sets = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("z").alias("z"))
+    sets = saved(sets.withColumn("id", F.coalesce("id", nameless("k1"))))
+    small = rows.where("n >= 0").select("doc_id", "n", "k1", "k2")
+    small = saved(small.join(sets.select("k1", "k2", "id").hint("merge"), ["k1", "k2"], "left"))
+    discard(rows)
+    both = small.where("doc_id IS NOT NULL AND id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
+    given = small.join(both.select("doc_id", "a"), "doc_id").select("a", F.col("id").alias("b")).distinct()
+    roots = similar_sets(sets, levels, size, t, given)
+    out = small.join(roots.withColumnRenamed("node", "id").hint("merge"), "id", "left")
+    return out.select("doc_id", "n", "k1", "k2", F.coalesce("root", "id").alias("root"))
+
+
+def keyed(docs: DataFrame, size: int) -> DataFrame:
+    """``docs`` with k1 and k2, the key of the set of ``text``; zeros for the empty set."""
 
     def run(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                queries, ids2, label2, zs2 = (c[i].as_py() for c in b.columns)
-                group, labels = Group(unpacked(zs2, size)), np.array(label2)
-                ids = [a for q in queries for a in q["ids"]]
-                found = []
-                for a, s in zip(ids, unpacked([z for q in queries for z in q["zs"]], size), strict=True):
-                    p = group.partners(s, t)
-                    found += [(a, ids2[p[k]]) for k in np.unique(labels[p], return_index=True)[1]]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+            keys = [(signed(mix64(s ^ _KEY1).sum(dtype=np.uint64)), signed(mix64(s ^ _KEY2).sum(dtype=np.uint64))) if len(s) else (0, 0) for _, s in sets_of(b.column(b.schema.get_field_index("text")), size)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], [*b.schema.names, "k1", "k2"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "k1 long", "k2 long"])
+    return docs.mapInArrow(run, schema)
 
-    return units.select("queries", "ids2", "label2", "zs2").mapInArrow(run, "a long, b long")
+
+def first_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)`` that stay when one document of each component does.
+
+    It is the one of least doc_id; of rows of one doc_id the one of least text
+    (a row with words first).  Of a component without doc_ids one row stays.
+    Rows without words stay, but for further ones of a doc_id.
+    """
+    found = saved(labelled(docs.select("doc_id", "text"), size, num, den))
+    keep = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("root").alias("root")).where("root IS NULL OR root = doc_id").select("doc_id")
+    first = Window.partitionBy("doc_id").orderBy(F.trim(F.coalesce("text", F.lit(""))) == "", "text")
+    named = docs.join(keep, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row").select(*docs.columns)
+    lone = found.where(F.col("doc_id").isNull() & (F.col("root") == nameless("k1"))).select("k1", "k2").distinct()
+    rest = saved(keyed(docs.where("doc_id IS NULL"), size))
+    some = rest.join(lone, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return named.unionByName(some.unionByName(rest.where("k1 = 0 AND k2 = 0")).select(*docs.columns))
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs(doc_id, text)``."""
-    small_batches(docs.sparkSession)
-    t = Threshold(num, den)
-    rows = saved(features(docs, size, t))
-    small = saved(rows.select("doc_id", "n", "k1", "k2"))
-    made = saved(groups(rows, size, t))
-    discard(rows)
-    equal = small.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    copies = saved(small.where("n > 0").join(equal, ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b"), "k1", "k2"))
-    met = saved(meetings(made, size, t))
-    edges = copies.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
-    edges = edges.unionByName(made.select(F.explode("edges").alias("e")).select("e.a", "e.b"))
-    edges = edges.unionByName(outer_links(made, met, size, t))
-    roots = components(edges)
-    out = small.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    nameless = copies.where("a IS NULL").select("k1", "k2", "b").distinct().join(roots.withColumnRenamed("node", "b"), "b", "left")
-    nameless = nameless.select("k1", "k2", F.coalesce("root", "b").alias("other"))
-    named = out.where("doc_id IS NOT NULL").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
-    lone = small.where("doc_id IS NULL").join(nameless, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("other").alias("component_id"))
-    return named.unionByName(lone)
+    found = labelled(docs, size, num, den)
+    root = F.when(F.col("root") < NAMELESS, F.col("root"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(root).alias("component_id"))

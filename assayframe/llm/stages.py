@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.llm import decontaminate, jaccard, langid, mixing, sharding
@@ -24,17 +24,8 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The document of least doc_id of each near-duplicate group (five words, 0.8).
-
-    Of rows with one doc_id the one of least text stays; of rows without
-    doc_id one for each text.
-    """
-    docs = docs.select(*COLUMNS)
-    found = jaccard.jaccard_components(docs.select("doc_id", "text"), size=5, num=80, den=100)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    named = docs.join(keep, "doc_id", "left_semi").withColumn("row", F.row_number().over(first)).where("row = 1").drop("row")
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+    """One document of each near-duplicate group (five words, 0.8); see ``jaccard.first_of_each``."""
+    return jaccard.first_of_each(docs.select(*COLUMNS), size=5, num=80, den=100)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

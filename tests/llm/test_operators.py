@@ -291,15 +291,42 @@ def test_jaccard_join(spark, seed, monkeypatch):
 
 def test_index_loses_no_similar_pair():
     rng = np.random.default_rng(6)
+    levels = rng.integers(0, 3, jaccard.SKETCH).astype(np.uint8) * rng.integers(0, 2, jaccard.SKETCH).astype(np.uint8)
+    near = 0
     for num in (80, 85):
         t = jaccard.Threshold(num, 100)
         for _ in range(1500):
-            a = np.unique(rng.integers(0, 2**63, int(rng.integers(2, 400)), dtype=np.uint64))
+            a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 400)), dtype=np.uint64))
             drop, add = rng.integers(0, 1 + len(a) // 8, 2)
             b = np.unique(np.concatenate([a[int(drop) :], rng.integers(0, 2**63, int(add), dtype=np.uint64)]))
-            if len(b) and t.similar(len(np.intersect1d(a, b)), len(a), len(b)) and not np.array_equal(a, b):
-                (x, m), (y, n) = jaccard.part_keys(a, t), jaccard.part_keys(b, t)
-                assert len(np.intersect1d(x, y)) >= min(m, n) >= 1
+            if len(b) and t.similar(len(np.intersect1d(a, b)), len(a), len(b)):
+                x, y = jaccard.listed(a, levels, t)[0].tolist(), jaccard.listed(b, levels, t)[0].tolist()
+                both = [k for k in x if k in y]
+                room = min(len(a) - x.index(both[0]), len(b) - y.index(both[0]))
+                assert room >= t.overlap(len(a), len(b)) and min(len(a), len(b)) >= t.needed(max(len(a), len(b)))
+                assert jaccard.may_hold(jaccard.short(b), len(b), len(b), a, t)
+                near += 1
+    assert near > 500
+
+
+@pytest.mark.parametrize("salted", [8, 4])
+def test_family_makes_few_pairs(spark, monkeypatch, salted):
+    """A family around one text that not every member is near to: pairs grow with its size, links are all there."""
+    monkeypatch.setattr(jaccard, "SALTED", salted)
+    made = []
+    real = jaccard.links
+    monkeypatch.setattr(jaccard, "links", lambda pairs, *rest: (made.append(pairs.count()), real(pairs, *rest))[1])
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        t = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 8, 16, 30])):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 80, 100).collect()}
+    assert got == brute_components(rows, 5, 80, 100)
+    assert sum(made) < 20 * len(rows)
 
 
 def test_jaccard_odd_rows(spark, odd, none):
@@ -312,6 +339,22 @@ def test_jaccard_odd_rows(spark, odd, none):
     assert jaccard.jaccard_components(none, 5, 80, 100).count() == 0
 
 
+def test_one_of_each_group_stays(spark, odd):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty and so on to the very end of it"
+    near = text + " now"
+    rows = [(1, text, "a"), (None, text, "a"), (None, near, "b"), (2, near, "b"), (None, "quite another text that has no number at all", "c"), (None, "Quite another  text that has no number at all", "c"), (None, None, "d"), (None, "", "d"), (3, "", "d"), (3, "a row with words", "d"), (3, "a row with words", "e")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(repr, (tuple(r) for r in jaccard.first_of_each(d).collect())))
+    named = [r for r in got if not r.startswith("(None")]
+    assert [r[:30] for r in named] == [repr(rows[0])[:30], repr(rows[9])[:30]]
+    lone = [r for r in got if r.startswith("(None")]
+    assert len(lone) == 3 and sum("nother" in r for r in lone) == 1
+    sets = [(r.doc_id, r.text) for r in odd.collect()]
+    comp = brute_components(sets, 5, 80, 100)
+    kept = [r.doc_id for r in jaccard.first_of_each(odd).collect()]
+    assert sorted(k for k in kept if k is not None) == sorted(set(comp.values())) and kept.count(None) == 1
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 80)] + [(rng.randint(200, 300), rng.randint(200, 300)) for _ in range(90)]
