@@ -107,6 +107,7 @@ def last_on_scale(text: Column, pattern: str, low, high) -> Column:
 
 def final_score(text: Column, low, high) -> Column:
     """A score by JSON field, else by 'final score: n', else 'score: n', else the first number."""
+    # fixed values: how answers name their score
     fields = bound(json_object(text), lambda p: F.coalesce(*[json_number(json_field(p, k), low, high) for k in ("score", "final_score")]))
     return F.coalesce(
         fields,
@@ -119,6 +120,7 @@ def final_score(text: Column, low, high) -> Column:
 def plain_choice(text: Column) -> Column:
     """A or B: the whole text, its start, or a letter of its own anywhere."""
 
+    # fixed values: how answers name their choice
     def pick(t: Column) -> Column:
         lead = F.nullif(F.regexp_extract(t, r"^\s*([AB])(?:\b|[^A-Z])", 1), F.lit(""))
         lone = F.nullif(F.regexp_extract(t, r"\b([AB])\b", 1), F.lit(""))
@@ -160,9 +162,14 @@ def strings(condition: Column, *values: str) -> Column:
     return F.when(condition, F.array(*[F.lit(v) for v in values])).otherwise(F.array().cast("array<string>"))
 
 
-def label_scores(text: Column, expected: list[str], low, high) -> Column:
+def named(values: list[str] | Column) -> Column:
+    """An array column as it is, or of literal strings."""
+    return values if isinstance(values, Column) else F.array(*[F.lit(x) for x in values])
+
+
+def label_scores(text: Column, expected: list[str] | Column, low, high) -> Column:
     """All labels' scores of an answer: scores, missing, extra, invalid, error."""
-    names = F.array(*[F.lit(x) for x in expected])
+    names = named(expected)
     no_map, no_list = F.create_map().cast("map<string,string>"), F.array().cast("array<string>")
 
     def checked(known: Column, held: Column, present: Column) -> Column:
@@ -172,7 +179,7 @@ def label_scores(text: Column, expected: list[str], low, high) -> Column:
             missing = F.filter(names, lambda k: ~F.coalesce(F.map_contains_key(scores, k), F.lit(False)))
             extra = F.array_sort(F.filter(F.map_keys(held), lambda k: ~F.array_contains(names, k)))
             bad = F.map_filter(known, lambda k, v: ~F.map_contains_key(scores, k))
-            exact = (F.size(scores) == len(expected)) & (F.size(known) == len(expected)) & (F.size(held) == len(expected))
+            exact = (F.size(scores) == F.size(names)) & (F.size(known) == F.size(names)) & (F.size(held) == F.size(names))
             error = (
                 F.when(~present, F.lit("response did not contain a JSON object"))
                 .when(held.isNull(), F.lit("JSON scores field was not an object"))
@@ -210,12 +217,12 @@ def contrastive_scores(text: Column, low, high) -> Column:
     return bound(bound(json_object(text), read), report)
 
 
-def feature_scores(text: Column, features: list[str], low, high) -> Column:
+def feature_scores(text: Column, features: list[str] | Column, low, high) -> Column:
     """Scores per feature with observations, an overall score and its reason.
 
     A missing or bad number is an error; other departures are a warning.
     """
-    names = F.array(*[F.lit(x) for x in features])
+    names = named(features)
     top = F.array(*[F.lit(x) for x in ("observations", "scores", "overall_score", "overall_reason")])
     none = F.create_map().cast("map<string,variant>")
     inside = lambda m: F.map_filter(m, lambda k, v: F.array_contains(names, k))
@@ -294,6 +301,15 @@ def scale_suffix(low: Column, high: Column) -> Column:
     return F.concat_ws("_", low.cast("int"), high.cast("int"))
 
 
+def asr_text(text: Column) -> Column:
+    """Transcripts for target search: lower case, all but a-z, digits and spaces gone to a space, single spaces.
+
+    This is the plain rule; an English normaliser that spells out numbers and
+    contractions can be passed to ``operators.speech.normalised`` instead.
+    """
+    return stripped(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9 ]+", " "), r"\s+", " "))
+
+
 def word_text(text: Column) -> Column:
     """Lower case, letters a-z and digits, single spaces."""
     return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "))
@@ -334,6 +350,28 @@ def human_bytes(n: Column) -> Column:
     return out
 
 
+def file_slug(label: Column) -> Column:
+    """A label in a file's name: '/' as space, '&' as 'and', white space as '-'."""
+    return F.regexp_replace(stripped(F.replace(F.replace(F.lower(label), F.lit("/"), F.lit(" ")), F.lit("&"), F.lit("and"))), r"\s+", "-")
+
+
+def audio_name(row_id: Column, label: Column, extension: Column) -> Column:
+    """The file of a sample: number, label, extension."""
+    return F.concat(zero_padded(row_id, 6), F.lit("_"), file_slug(label), extension)
+
+
+def output_name(index: Column, item_id: Column) -> Column:
+    """The file of generated speech: number and the id, made safe and at most 96 characters long, or 'item_' and the number."""
+    clean, number = F.left(safe_id(item_id), F.lit(96)), zero_padded(index, 4)
+    return F.concat(number, F.lit("_"), F.when(F.length(clean) > 0, clean).otherwise(F.concat(F.lit("item_"), number)), F.lit(".wav"))
+
+
+def zero_padded(number: Column, width: int) -> Column:
+    """With zeros before it up to ``width`` characters; longer ones stay whole."""
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
+
+
 def slug(value: Column) -> Column:
     """Lower case, '/' as '-', '&' as 'and', white space as '-'."""
     v = F.replace(F.replace(F.lower(value), F.lit("/"), F.lit("-")), F.lit("&"), F.lit("and"))
@@ -362,21 +400,24 @@ def votes_of(raw: Column) -> Column:
 def word_distance(a: Column, b: Column) -> Column:
     """Edit distance of two word arrays.
 
-    Each distinct word of the pair becomes one code point of its own, and the
-    built-in ``levenshtein`` compares the strings: two private-use areas give
-    room for 65,000 words a pair.
+    Each distinct word of the pair becomes one code point of its own beyond the
+    basic plane, and the built-in ``levenshtein`` compares the strings.  A pair
+    of more than 1,048,576 distinct words fails the query.
     """
 
-
     def compare(code: Column) -> Column:
         def spelled(x: Column) -> Column:
-            # plane 15 private use: U+F0000 + n, as UTF-16 surrogates
-            unit = lambda n: F.decode(F.unhex(F.concat(F.lpad(F.hex(F.lit(0xDB80) + F.floor(n / 1024)), 4, "0"), F.lpad(F.hex(F.lit(0xDC00) + n % 1024), 4, "0"))), "UTF-16BE")
+            # U+10000 + n - 1, as UTF-16 surrogates
+            unit = lambda n: F.decode(F.unhex(F.concat(F.hex(F.lit(0xD800) + F.floor((n - 1) / 1024)), F.hex(F.lit(0xDC00) + (n - 1) % 1024))), "UTF-16BE")
             return F.array_join(F.transform(x, lambda w: unit(F.element_at(code, w))), "")
 
         return F.levenshtein(spelled(a), spelled(b))
 
-    code = bound(F.array_distinct(F.concat(a, b)), lambda w: F.map_from_arrays(w, F.sequence(F.lit(1), F.size(w))))
+    def numbered(w: Column) -> Column:
+        fits = F.when(F.size(w) <= 1 << 20, w).otherwise(F.raise_error(F.lit("more distinct words than a pair may have")).cast("array<string>"))
+        return F.map_from_arrays(fits, F.sequence(F.lit(1), F.size(w)))
+
+    code = bound(F.array_distinct(F.concat(a, b)), numbered)
     return F.when(F.size(a) == 0, F.size(b)).when(F.size(b) == 0, F.size(a)).otherwise(bound(code, compare))
 
 

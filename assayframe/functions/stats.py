@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NAN = float("nan")
-RANK_BUCKETS = 1024
+RANK_BUCKETS = 64
 
 
 def pearson(x: str, y: str) -> Column:
@@ -25,15 +25,16 @@ def mean(x: str | Column) -> Column:
 def average_ranks(df: DataFrame, col: str, out: str, by: list[str] | None = None) -> DataFrame:
     """``df`` with the average rank of ``col`` within ``by``, ties sharing theirs.
 
-    Ranks come from counts of distinct values: a running sum over fixed buckets
-    of the value range and one inside each bucket, so no window holds all rows.
+    Ranks come from counts of distinct values: a running sum over buckets cut at
+    the values' quantiles and one inside each bucket, so no window holds all
+    values and skewed ones are spread like others.
     """
     by = by or []
     counts = df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n"))
-    span = counts.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
-    counts = counts.join(F.broadcast(span), by) if by else counts.crossJoin(F.broadcast(span))
-    width = (F.col("_hi") - F.col("_lo")) / RANK_BUCKETS
-    counts = counts.withColumn("_b", F.when(width > 0, F.least(F.floor((F.col(col) - F.col("_lo")) / F.nullif(width, F.lit(0.0))), F.lit(RANK_BUCKETS - 1))).otherwise(0).cast("int"))
+    shares = [i / RANK_BUCKETS for i in range(1, RANK_BUCKETS)]
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(col, shares, F.lit(10 * RANK_BUCKETS)).alias("_cuts"))
+    counts = counts.join(cuts, by) if by else counts.crossJoin(F.broadcast(cuts))
+    counts = counts.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(col)))).drop("_cuts")
     total = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_t"))
     over = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = total.select(*by, "_b", F.coalesce(F.sum("_t").over(over), F.lit(0)).alias("_base"))
@@ -44,17 +45,22 @@ def average_ranks(df: DataFrame, col: str, out: str, by: list[str] | None = None
     return df.join(ranks, [*by, col])
 
 
-def metric_block(df: DataFrame, model: str, human: str, by: list[str] | None = None) -> DataFrame:
-    """n, pearson, spearman, mae, mse and rmse of two columns."""
+def metric_block(df: DataFrame, model: str, human: str, by: list[str] | None = None, extra: dict[str, Column] | None = None, errors: tuple[str, str] | None = None) -> DataFrame:
+    """n, pearson, spearman, mae, mse and rmse of two columns, and further aggregates.
+
+    Errors are those of the columns ``errors``, where they are others.
+    """
     by = by or []
-    rows = df.select(*by, F.col(model).alias("_m"), F.col(human).alias("_h"))
+    rows = df.withColumn("_m", F.col(model)).withColumn("_h", F.col(human))
     rows = average_ranks(average_ranks(rows, "_m", "_rm", by), "_h", "_rh", by)
+    a, b = (F.col(c) for c in errors or ("_m", "_h"))
     out = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         pearson("_m", "_h").alias("pearson"),
         pearson("_rm", "_rh").alias("spearman"),
-        mean(F.abs(F.col("_m") - F.col("_h"))).alias("mae"),
-        mean(F.pow(F.col("_m") - F.col("_h"), 2)).alias("mse"),
+        mean(F.abs(a - b)).alias("mae"),
+        mean(F.pow(a - b, 2)).alias("mse"),
+        *[c.alias(k) for k, c in (extra or {}).items()],
     )
     return out.withColumn("rmse", F.sqrt("mse"))
 
@@ -87,13 +93,11 @@ def krippendorff(votes: DataFrame, categories: tuple[int, ...] = (0, 1, 2)) -> D
     # between c and k: all marginals from one to the other, less half of both ends
     middle = F.abs(F.col("ck") - F.col("cc")) + F.when(F.col("c") <= F.col("k"), F.col("nc")).otherwise(F.col("nk")) - (F.col("nc") + F.col("nk")) / 2
     distances = {"nominal": F.when(F.col("c") == F.col("k"), 0.0).otherwise(1.0), "ordinal": F.when(F.col("c") == F.col("k"), 0.0).otherwise(F.pow(middle, 2)), "interval": F.pow(F.col("c") - F.col("k"), 2).cast("double")}
-    out = None
-    for name, d in distances.items():
-        observed = F.sum(F.col("o") * d) / F.first("total")
-        expected = F.sum(F.col("nc") * F.col("nk") * d) / (F.first("total") * (F.first("total") - 1))
-        one = cells.where("total > 1").agg(F.lit(name).alias("metric"), F.coalesce(1 - F.try_divide(observed, F.nullif(expected, F.lit(0.0))), F.lit(NAN)).alias("alpha"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    # all metrics in one pass over the cells
+    sums = [x for name, d in distances.items() for x in (F.sum(F.col("o") * d).alias(f"o_{name}"), F.sum(F.col("nc") * F.col("nk") * d).alias(f"e_{name}"))]
+    one = cells.where("total > 1").agg(F.first("total").alias("t"), *sums)
+    alpha = lambda name: F.coalesce(1 - F.try_divide(F.col(f"o_{name}") / F.col("t"), F.nullif(F.col(f"e_{name}") / (F.col("t") * (F.col("t") - 1)), F.lit(0.0))), F.lit(NAN))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), alpha(name).alias("alpha")) for name in distances])).alias("x")).select("x.*")
 
 
 def annotator_pairs(votes: DataFrame) -> DataFrame:
@@ -119,11 +123,9 @@ def cohen_kappas(votes: DataFrame, scale: int = 2) -> DataFrame:
     for k, w in weights.items():
         aggs += [F.sum(w * seen).alias(f"o_{k}"), (F.sum(w * F.col("nl") * F.col("nr")) / F.first("support")).alias(f"e_{k}")]
     wide = grid.groupBy(*pair).agg(F.first("support").alias("support"), *aggs)
-    out = None
-    for k in weights:
-        one = wide.select(F.lit(k).alias("weights"), *pair, "support", (1 - F.try_divide(F.col(f"o_{k}"), F.nullif(F.col(f"e_{k}"), F.lit(0.0)))).alias("kappa"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    kappa = lambda k: 1 - F.try_divide(F.col(f"o_{k}"), F.nullif(F.col(f"e_{k}"), F.lit(0.0)))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("weights"), kappa(k).alias("kappa")) for k in weights]))
+    return wide.select(*pair, "support", each.alias("x")).select("x.weights", *pair, "support", "x.kappa")
 
 
 def kappa_summary(votes: DataFrame) -> DataFrame:
@@ -134,20 +136,27 @@ def kappa_summary(votes: DataFrame) -> DataFrame:
     )
 
 
-def leave_one_out(votes: DataFrame) -> DataFrame:
-    """Each vote with the mean and majority of its row's other votes.
+def leave_one_out(votes: DataFrame, reference: str = "leave_one_out") -> DataFrame:
+    """Each vote of rows of two or more, with the mean and majority of its reference:
+    the row's other votes, or with ``all_annotators`` all of the row's.
 
-    The mean is a window sum less the own vote; the majority (ties to the
-    score nearest the mean, then the smaller) comes from the row's counts.
+    The votes of a row are gathered once (as many as it has annotators); the
+    majority's ties go to the score nearest the mean, then the smaller.
     """
-    row = Window.partitionBy("row_id")
-    held = votes.withColumn("n", F.count(F.lit(1)).over(row)).withColumn("s", F.sum("score").over(row)).withColumn("all", F.collect_list("score").over(row)).where("n >= 2")
-    held = held.withColumn("rest_mean", (F.col("s") - F.col("score")) / (F.col("n") - 1))
+    if reference not in ("leave_one_out", "all_annotators"):
+        raise ValueError(f"unknown reference: {reference}")
+    own = reference == "all_annotators"
+    rows = votes.groupBy("row_id").agg(F.collect_list(F.struct("annotator", "score")).alias("v")).where(F.size("v") >= 2)
+    rows = rows.withColumn("all", F.transform("v", lambda x: x["score"]))
+    rows = rows.withColumn("s", F.aggregate("all", F.lit(0.0), lambda s, x: s + x)).withColumn("n", F.size("all"))
+    held = rows.select("row_id", "all", "s", "n", F.explode("v").alias("x")).select("row_id", "all", "s", "n", "x.annotator", "x.score")
+    held = held.withColumn("rest_mean", F.col("s") / F.col("n") if own else (F.col("s") - F.col("score")) / (F.col("n") - 1))
+    less = F.lit(0) if own else F.lit(1)
     ranked = F.array_sort(
         F.transform(
             F.array_distinct(F.array_sort("all")),
             lambda k: F.struct(
-                (F.when(k == F.col("score"), 1).otherwise(0) - F.size(F.filter("all", lambda x: x == k))).alias("less"),
+                (F.when(k == F.col("score"), less).otherwise(0) - F.size(F.filter("all", lambda x: x == k))).alias("less"),
                 F.abs(k - F.col("rest_mean")).alias("far"),
                 k.alias("score"),
             ),
@@ -157,17 +166,32 @@ def leave_one_out(votes: DataFrame) -> DataFrame:
     return held.select("row_id", "annotator", "score", "rest_mean", F.get(kept, F.lit(0))["score"].alias("rest_majority"))
 
 
+def rotations(votes: DataFrame, reference: str = "leave_one_out") -> DataFrame:
+    """The agreement of single votes with their reference, pooled over votes and averaged by row first:
+    rows, votes, pooled_* and row_* of accuracy against majority and rounded mean, mae and rmse (on 0-10)."""
+    held = leave_one_out(votes, reference)
+    gap = (F.col("score") - F.col("rest_mean")) * 5
+    hits = {"majority": F.col("score") == F.col("rest_majority"), "rounded": F.col("score") == F.bround("rest_mean", 0).cast("int")}
+    held = held.withColumns({"mae": F.abs(gap), "mse": gap * gap, **{k: c.cast("double") for k, c in hits.items()}})
+    kinds = ("majority", "rounded", "mae", "mse")
+    per = held.groupBy("row_id").agg(F.count(F.lit(1)).alias("k"), *[F.avg(c).alias(f"r_{c}") for c in kinds], *[F.sum(c).alias(f"s_{c}") for c in kinds])
+    out = per.agg(F.count(F.lit(1)).alias("rows"), F.sum("k").alias("votes"), *[(F.sum(f"s_{c}") / F.sum("k")).alias(f"pooled_{c}") for c in kinds], *[F.avg(f"r_{c}").alias(f"row_{c}") for c in kinds])
+    return out.withColumn("pooled_rmse", F.sqrt("pooled_mse")).withColumn("row_rmse", F.sqrt("row_mse")).drop("pooled_mse", "row_mse")
+
+
 def split_half(votes: DataFrame, iterations: int = 10, seed: int = 13) -> DataFrame:
     """Per iteration: n, pearson and spearman of the halves' means, Spearman-Brown.
 
     Votes of a row are ordered by md5('seed:iteration:row:annotator'); the
-    first floor(n/2) are one half.
+    first floor(n/2) are one half.  A row's votes are gathered once (as many as
+    it has annotators) and all iterations drawn from them.
     """
-    it = votes.select("*", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
-    key = F.md5(F.concat_ws(":", F.lit(seed), "iteration", "row_id", "annotator"))
-    row = Window.partitionBy("iteration", "row_id")
-    it = it.withColumn("n", F.count(F.lit(1)).over(row)).where("n >= 2").withColumn("k", F.row_number().over(row.orderBy(key, "annotator")))
-    left = F.col("k") <= F.floor(F.col("n") / 2)
-    halves = it.groupBy("iteration", "row_id").agg(F.avg(F.when(left, F.col("score"))).alias("x"), F.avg(F.when(~left, F.col("score"))).alias("y"))
+    rows = votes.groupBy("row_id").agg(F.collect_list(F.struct("annotator", "score")).alias("v")).where(F.size("v") >= 2)
+    key = lambda i, x: F.md5(F.concat_ws(":", F.lit(seed).cast("string"), i.cast("string"), F.col("row_id").cast("string"), x["annotator"]))
+    mean_of = lambda part: F.aggregate(part, F.lit(0.0), lambda s, x: s + x["score"]) / F.size(part)
+    rows = rows.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    drawn = rows.withColumn("v", F.array_sort(F.transform("v", lambda x: F.struct(key(F.col("iteration"), x).alias("k"), x["annotator"].alias("annotator"), x["score"].alias("score")))))
+    half = F.floor(F.size("v") / 2).cast("int")
+    halves = drawn.select("iteration", "row_id", mean_of(F.slice("v", F.lit(1), half)).alias("x"), mean_of(F.slice("v", half + 1, F.size("v") - half)).alias("y"))
     out = metric_block(halves, "x", "y", ["iteration"]).select("iteration", "n", "pearson", "spearman")
     return out.withColumn("reliability", 2 * F.col("pearson") / (1 + F.col("pearson")))

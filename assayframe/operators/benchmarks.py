@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayframe.functions import expressions as X
 from assayframe.functions import stats
+from assayframe.operators import predictions as P
 from assayframe.operators import votes as V
 
 
@@ -22,21 +23,20 @@ def valid(predictions: DataFrame, score: str = "raw_parsed_score", error: str =
     return predictions.where(F.col(error).isNull() & F.col(score).isNotNull())
 
 
-def common_scale(score: Column, suffix: Column) -> Column:
-    """A score on 0-10: scale 0-10 as it is, any other taken for 0-2."""
-    return F.when(suffix == "0_10", score).otherwise(score * 5)
-
-
-def emotion_metrics(predictions: DataFrame, vote_rows: DataFrame) -> DataFrame:
+def emotion_metrics(predictions: DataFrame, vote_rows: DataFrame, error_scale: str = "paper_0_10") -> DataFrame:
     """One row: n, pearson, spearman, mae, mse, rmse, accuracy against majority and rounded mean.
 
-    ``predictions(row_id, score)`` are on 0-10, votes on 0-2.
+    ``predictions(row_id, score)``, and ``suffix`` where they are not on 0-10;
+    votes are on 0-2.  Accuracies compare on the predictions' scale, errors on
+    ``error_scale``.
     """
     human = V.majority(vote_rows)
-    rows = predictions.join(human, "row_id").withColumn("human", F.col("mean") * 5)
-    rows = rows.withColumn("hit_majority", (F.col("score") == F.col("majority") * 5).cast("double")).withColumn("hit_rounded", (F.col("score") == V.rounded(F.col("mean")) * 5).cast("double"))
-    block = stats.metric_block(rows, "score", "human")
-    return block.crossJoin(rows.agg(F.avg("hit_majority").alias("accuracy_majority"), F.avg("hit_rounded").alias("accuracy_rounded")))
+    suffix = F.col("suffix") if "suffix" in predictions.columns else F.lit("0_10")
+    rows = predictions.join(human, "row_id").withColumn("_s", P.on_one_scale(F.col("score"), suffix, F.col("mean"), error_scale))
+    hit = lambda label: F.avg((F.col("score") == P.comparable(label, suffix)).cast("double"))
+    rows = rows.withColumns({"_em": F.col("_s.error_model"), "_eh": F.col("_s.error_human"), "_model": F.col("_s.model_0_10"), "_human": F.col("_s.human_0_10")})
+    extra = {"accuracy_majority": hit(F.col("majority")), "accuracy_rounded": hit(V.rounded(F.col("mean")))}
+    return stats.metric_block(rows, "_model", "_human", extra=extra, errors=("_em", "_eh"))
 
 
 def system_means(rows: DataFrame) -> DataFrame:
@@ -70,12 +70,51 @@ def nearest_prompts(utterances: DataFrame, least: float = 8.0, ideal: float = 12
     seconds or more come first, then the duration nearest to ``ideal``, then the
     nearest start, then the earlier.  Utterances alone in their group drop out;
     see ``without_prompt``.
+
+    Nobody is compared with a whole group: all but one utterance prompt with one
+    of the group's best class (short or not, gap to the ideal), found among
+    their neighbours in time; where that class is a single utterance, that one
+    takes the nearest of the second class.
     """
-    a = utterances.select("id", "talk", "speaker", F.col("start").alias("_s"))
-    b = utterances.select("talk", "speaker", F.col("id").alias("_id"), F.col("start").alias("_t"), F.col("duration").alias("_d"))
-    near = a.join(b, ["talk", "speaker"]).where(F.col("id") != F.col("_id"))
-    order = F.struct(F.col("_d") < least, F.abs(F.col("_d") - ideal), F.abs(F.col("_t") - F.col("_s")), F.col("_t"), F.col("_id"))
-    return near.groupBy("id").agg(F.min_by("_id", order).alias("prompt_id"))
+    group = ["talk", "speaker"]
+    rows = utterances.select("id", *group, "start", F.struct((F.col("duration") < least).alias("short"), F.abs(F.col("duration") - ideal).alias("gap")).alias("kind"))
+    kinds = rows.groupBy(*group, "kind").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("one"))
+    best = kinds.groupBy(*group).agg(F.min(F.struct("kind", "n", "one")).alias("b")).select(*group, F.col("b.kind").alias("best"), F.col("b.n").alias("n"), F.col("b.one").alias("one"))
+    rows = rows.join(best, group)
+    single = rows.where((F.col("n") == 1) & (F.col("id") != F.col("one"))).select("id", F.col("one").alias("prompt_id"))
+    # the lone best itself: one row a group meets the group's second class
+    second = kinds.join(best.where("n = 1"), group).where("kind > best").groupBy(*group).agg(F.min("kind").alias("next"))
+    lone = rows.where((F.col("n") == 1) & (F.col("id") == F.col("one"))).join(second, group).select(*group, F.col("id").alias("_id"), F.col("start").alias("_s"), "next")
+    near = rows.select(*group, "id", "start", "kind").join(lone, group).where("kind = next")
+    lone = near.groupBy(F.col("_id").alias("id")).agg(F.min_by("id", F.struct(F.abs(F.col("start") - F.col("_s")), "start", "id")).alias("prompt_id"))
+    # several of the best class: the nearest times before and after, or at the same time
+    many = rows.where("n > 1").withColumn("mine", F.when(F.col("kind") == F.col("best"), F.col("id")))
+    times = many.groupBy(*group, "start").agg(F.min("mine").alias("a"))
+    other = many.join(times, [*group, "start"]).where("mine > a").groupBy(*group, "start").agg(F.min("mine").alias("b"))
+    at = F.when(F.col("a").isNotNull(), F.struct("start", F.col("a").alias("id")))
+    before = Window.partitionBy(*group).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*group).orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, -1)
+    times = times.withColumn("p", F.last(at, ignorenulls=True).over(before)).withColumn("q", F.last(at, ignorenulls=True).over(after)).join(other, [*group, "start"], "left")
+    many = many.join(times, [*group, "start"])
+    here = F.when(F.col("a").isNotNull() & (F.col("a") != F.col("id")), F.col("a")).otherwise(F.col("b"))
+    back, ahead = F.col("start") - F.col("p.start"), F.col("q.start") - F.col("start")
+    aside = F.when(F.col("q").isNull() | (F.col("p").isNotNull() & (back <= ahead)), F.col("p.id")).otherwise(F.col("q.id"))
+    many = many.select("id", F.coalesce(here, aside).alias("prompt_id"))
+    return single.unionByName(lone).unionByName(many)
+
+
+def require_audio(rows: DataFrame, files: DataFrame, name: str = "audio_path") -> DataFrame:
+    """``rows``, unless ``files(path)`` lacks one of their files: then the query fails."""
+    there = files.select(F.col("path").alias(name)).distinct().withColumn("_there", F.lit(True))
+    missing = F.raise_error(F.concat(F.lit("audio not found: "), F.coalesce(F.col(name), F.lit("null")))).cast("boolean")
+    return rows.join(there, name, "left").where(F.when(F.col("_there").isNull(), missing).otherwise(True)).drop("_there")
+
+
+def of_label_set(manifest: DataFrame, name: str) -> DataFrame:
+    """The rows of the official labels, or of all."""
+    if name not in ("official40", "all42"):
+        raise ValueError(f"unknown label set: {name}")
+    return manifest.where("is_official_40") if name == "official40" else manifest
 
 
 def without_prompt(utterances: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -48,36 +48,60 @@ def correct_choice(label_a: Column, target: Column) -> Column:
     return F.when(label_a == target, "A").otherwise("B")
 
 
-def choice_rates(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """considered, parsed, accuracy and rate of A, in groups or overall."""
+def _rates() -> list[Column]:
     parsed = F.count("choice")
-    return rows.groupBy(*(by or [])).agg(
-        F.count(F.lit(1)).alias("considered"), parsed.alias("parsed"),
-        rate(F.count_if(F.col("choice") == F.col("correct")), parsed).alias("accuracy"), rate(F.count_if(F.col("choice") == "A"), parsed).alias("rate_a"),
-    )
+    shown = inferred(F.col("choice"), F.col("question"))
+    return [
+        F.count(F.lit(1)).alias("considered"), parsed.alias("parsed"), (F.count(F.lit(1)) - parsed).alias("parse_failures"),
+        rate(F.count_if(F.col("choice") == F.col("correct")), parsed).alias("accuracy"), rate(F.count_if(F.col("choice") == "A"), parsed).alias("rate_a"), rate(F.count_if(F.col("choice") == "B"), parsed).alias("rate_b"),
+        rate(F.count_if(shown == "A"), parsed).alias("synthetic_a"), rate(F.count_if(shown == "B"), parsed).alias("synthetic_b"),
+    ]
+
+
+def choice_rates(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """considered, parsed, failures, accuracy, rates of A and B and of both as the synthetic one, in groups or overall."""
+    return rows.groupBy(*(by or [])).agg(*_rates())
 
 
 def choice_rates_grouped(rows: DataFrame) -> DataFrame:
     """The rates by direction, by question and overall, in one pass over grouping sets."""
-    r = rows.select("direction", "question", "choice", "correct")
-    out = r.groupingSets([[F.col("direction")], [F.col("question")], []], F.col("direction"), F.col("question")).agg(
-        F.count(F.lit(1)).alias("considered"), F.count("choice").alias("parsed"),
-        rate(F.count_if(F.col("choice") == F.col("correct")), F.count("choice")).alias("accuracy"), rate(F.count_if(F.col("choice") == "A"), F.count("choice")).alias("rate_a"),
-    )
-    return out.select(F.coalesce("direction", F.lit("all")).alias("direction"), F.coalesce("question", F.lit("all")).alias("question"), "considered", "parsed", "accuracy", "rate_a")
+    r = rows.select(F.col("direction").alias("_d"), F.col("question").alias("_q"), "direction", "question", "choice", "correct")
+    out = r.groupingSets([[F.col("_d")], [F.col("_q")], []], F.col("_d"), F.col("_q")).agg(*_rates())
+    return out.withColumn("direction", F.coalesce("_d", F.lit("all"))).withColumn("question", F.coalesce("_q", F.lit("all"))).drop("_d", "_q")
 
 
-def complete_pairs(rows: DataFrame) -> DataFrame:
-    """pair_id, cells, correct: pairs whose parsed cells are all the cells there are.
+def complete_pairs(rows: DataFrame, expected: list[tuple[str, str]] | None = None) -> DataFrame:
+    """pair_id, cells, correct: pairs whose parsed cells (direction, question) are all those expected.
 
-    Cells are (direction, question); of repeated rows the last counts.
+    Without ``expected`` the cells that any row has are; of repeated rows the last counts.
     """
-    cells = rows.select("direction", "question").distinct().agg(F.count(F.lit(1)).alias("all_cells"))
     last = rows.where("choice IS NOT NULL").groupBy("pair_id", "direction", "question").agg(F.max_by((F.col("choice") == F.col("correct")).cast("int"), "ord").alias("ok"))
+    if expected is not None:
+        cell = F.struct("direction", "question")
+        known = F.array(*[F.struct(F.lit(d).alias("direction"), F.lit(q).alias("question")) for d, q in expected])
+        per = last.groupBy("pair_id").agg(F.count(F.lit(1)).alias("cells"), F.sum("ok").alias("correct"), F.count_if(F.array_contains(known, cell)).alias("_known"))
+        return per.where((F.col("cells") == len(set(expected))) & (F.col("_known") == F.col("cells"))).drop("_known")
+    cells = rows.select("direction", "question").distinct().agg(F.count(F.lit(1)).alias("all_cells"))
     per = last.groupBy("pair_id").agg(F.count(F.lit(1)).alias("cells"), F.sum("ok").alias("correct"))
     return per.crossJoin(F.broadcast(cells)).where("cells = all_cells").select("pair_id", "cells", "correct")
 
 
+def pair_score(complete: DataFrame) -> DataFrame:
+    """complete_pairs and the mean share of correct cells; NaN without any."""
+    return complete.agg(F.count(F.lit(1)).alias("complete_pairs"), F.coalesce(F.avg(F.col("correct") / F.col("cells")), F.lit(float("nan"))).alias("pair_score"))
+
+
+def scored_pairs(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """(pair_id, split, src_audio, tgt_audio) of the real rows; one of their files that ``files(path)`` lacks fails the query."""
+    real = rows.where("label = 'real'").select("pair_id", "split", F.col("audio_path").alias("src_audio"), F.col("other_audio_path").alias("tgt_audio"))
+    there = files.select(F.col("path").alias("_path")).distinct()
+    for c in ("src_audio", "tgt_audio"):
+        real = real.join(there.withColumn("_there", F.lit(True)), F.col(c) == F.col("_path"), "left").drop("_path")
+        missing = F.raise_error(F.concat(F.lit("audio not found: "), F.coalesce(F.col(c), F.lit("null")))).cast("boolean")
+        real = real.where(F.when(F.col("_there").isNull(), missing).otherwise(True)).drop("_there")
+    return real
+
+
 def correct_histogram(complete: DataFrame, cells: int) -> DataFrame:
     """correct, pairs for 0 .. cells, zeros included."""
     grid = complete.sparkSession.range(cells + 1).select(F.col("id").alias("correct"))

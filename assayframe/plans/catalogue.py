@@ -16,6 +16,7 @@ from assayframe.operators import rows, vectors
 from assayframe.operators import votes as V
 from assayframe.plans import fixtures as fx
 from assayframe.plans import vocabulary
+from assayframe.sources import readers
 
 QUERIES = {}
 
@@ -134,7 +135,7 @@ def loo_sample_weighted(t):
 
 @query
 def split_half_hash(t):
-    return rounded(stats.split_half(fx.votes(t), 3), "pearson", "spearman", "reliability")
+    return rounded(stats.split_half(fx.votes(t), 10), "pearson", "spearman", "reliability")
 
 
 @query
@@ -176,8 +177,8 @@ def parse_label_scores(t):
 
 @query
 def parse_bool(t):
-    word = F.element_at(F.array(*[F.lit(x) for x in (" Yes ", "no", "TRUE", "0", "maybe", "N", "1")]), (F.col("event_id") % 7 + 1).cast("int"))
-    return t.events.select("event_id", X.boolean(word).alias("flag"))
+    words = F.array(F.lit(" Yes "), F.lit("no"), F.upper(F.lit("true")), F.lit("0"), F.col("event_type"), F.lit("N"), (F.floor("value") % 3).cast("string"))
+    return t.events.select("event_id", X.boolean(F.element_at(words, (F.col("event_id") % 7 + 1).cast("int"))).alias("flag"))
 
 
 @query
@@ -300,12 +301,12 @@ def repeat_average(t):
 
 @query
 def pairwise_accuracy(t):
-    return rounded(P.choice_rates(fx.cells(t)), "accuracy", "rate_a")
+    return rounded(P.choice_rates(fx.cells(t)), "accuracy", "rate_a", "rate_b", "synthetic_a", "synthetic_b")
 
 
 @query
 def pairwise_by_direction(t):
-    return rounded(P.choice_rates_grouped(fx.cells(t)), "accuracy", "rate_a")
+    return rounded(P.choice_rates_grouped(fx.cells(t)), "accuracy", "rate_a", "rate_b", "synthetic_a", "synthetic_b")
 
 
 @query
@@ -337,12 +338,8 @@ def prompt_skipped(t):
 
 @query
 def utterance_ids(t):
-    u = fx.utterances(t).withColumn("ms", F.floor(F.col("duration") * 100).cast("long"))
-    return u.select("id", F.concat_ws("__", "talk", F.col("speaker").cast("string"), F.col("ms").cast("string")).alias("utterance_id"), rows_id().alias("stem"))
-
-
-def rows_id():
-    return F.substring_index(F.concat_ws("-utt", F.col("talk"), F.col("id").cast("string")), "-utt", 1)
+    u = fx.utterances(t).withColumns({"speaker": F.col("speaker").cast("string"), "from": F.col("id") / 8, "to": F.col("id") / 8 + F.col("speaker") % 50})
+    return u.select("id", readers.utterance_id("talk", "speaker", "from", "to").alias("utterance_id"))
 
 
 @query
@@ -412,8 +409,12 @@ def wer_rows(t):
 
 @query
 def wer_by_split(t):
-    w = B.word_errors(fx.spoken(t)).where("NOT isnan(wer)")
-    pairs = w.select(F.when(F.col("conv_id") % 2 == 0, "dev").otherwise("test").alias("split"), F.col("wer").alias("synthetic"), (F.col("n_hypothesis") / 100).alias("source")).withColumn("delta", F.col("synthetic") - F.col("source"))
+    """Word error rates of replies, and of the references themselves read without their word 'e...', both against the references."""
+    s = fx.spoken(t)
+    w = B.word_errors(s).where("NOT isnan(wer)").select("conv_id", "turn", F.col("wer").alias("synthetic"))
+    heard = s.withColumn("hypothesis", F.regexp_replace("reference", r"\be\w*", "x"))
+    own = B.word_errors(heard).where("NOT isnan(wer)").select("conv_id", "turn", F.col("wer").alias("source"))
+    pairs = w.join(own, ["conv_id", "turn"]).withColumn("split", F.when(F.col("conv_id") % 2 == 0, "dev").otherwise("test")).withColumn("delta", F.col("synthetic") - F.col("source"))
     return rounded(B.by_split(pairs), "mean_source", "median_source", "mean_synthetic", "median_synthetic", "mean_delta", "median_delta")
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayframe.functions import expressions as X
+from assayframe.operators.tables import shared_dir
 
 
 class Tables:
@@ -70,6 +74,58 @@ def answers(t: Tables) -> DataFrame:
     return e.select("event_id", "event_type", raw.alias("raw"))
 
 
+def place(t: Tables) -> str:
+    """A new place in the folder that all executors share."""
+    return f"{shared_dir(t.spark)}/{uuid.uuid4().hex}"
+
+
+def write_folders(files: DataFrame, root: str) -> None:
+    """``files(name, text)``: each text as <root>/<name>/text.txt, from the tasks that hold them."""
+    base = root.removeprefix("file://")
+
+    def put(parts):
+        for p in parts:
+            for name, text in zip(p["name"], p["text"], strict=True):
+                os.makedirs(os.path.join(base, name), exist_ok=True)
+                with open(os.path.join(base, name, "text.txt"), "w", encoding="utf-8") as f:
+                    f.write(text)
+            yield p[["name"]]
+
+    files.mapInPandas(put, "name string").write.format("noop").mode("overwrite").save()
+
+
+def scored_predictions(t: Tables) -> DataFrame:
+    """row_id, keys, raw_score_scale and score fields, of which each row has some."""
+    k = F.col("o_orderkey") % 6
+    names = ["raw_parsed_score_0_10", "raw_parsed_emotion_score_0_2", "raw_parsed_score_1_5", "raw_parsed_score_1_10", "raw_parsed_score"]
+    keys = F.array(*[F.lit(x) for x in names])
+    has = F.when(k == 5, F.array().cast("array<string>")).otherwise(F.slice(keys, (k + 1).cast("int"), F.lit(2)))
+    value = (F.col("o_custkey") % 11).cast("double")
+    scale = F.when(F.col("o_orderkey") % 4 == 0, F.struct(F.lit(1).alias("min"), F.lit(10).alias("max")))
+    rows = t.orders.select(F.col("o_orderkey").alias("row_id"), has.alias("keys"), scale.alias("raw_score_scale"), value.alias("v"))
+    fields = {n: F.when(F.array_contains("keys", n), F.when(F.col("row_id") % 7 != 0, F.col("v") + i)) for i, n in enumerate(names)}
+    return rows.withColumns(fields).withColumn("raw_parsed_score_0_2", F.lit(None).cast("double"))
+
+
+def typed_answers(t: Tables) -> DataFrame:
+    """request_id, mode, raw_score_scale, expected, correct_choice, raw_response_text: every mode in turn."""
+    modes = ["one_by_one", "one_by_one_paper_0_10_thinking", "one_by_one_contrastive_rubric", "quality_features_1_10", "pairwise_real_vs_synthetic", "all_at_once"]
+    k, v = F.col("event_id") % 6, (F.floor("value") % 14).cast("string")
+    text = (
+        F.when(k == 0, F.concat(F.lit("I say "), v, F.lit(" of 3")))
+        .when(k == 1, F.concat(F.lit("first 3, final score: "), v))
+        .when(k == 2, F.concat(F.lit('{"emotion_score": '), v, F.lit(', "opposite_score": 2}')))
+        .when(k == 3, F.concat(F.lit('{"scores": {"joy": '), v, F.lit(', "fear": 2}, "observations": {"joy": "a", "fear": "b"}, "overall_score": 5, "overall_reason": "c"}')))
+        .when(k == 4, F.when(F.col("event_type") == "click", F.lit("none of them")).otherwise(F.lit("A is it")))
+        .otherwise(F.concat(F.lit('{"joy": '), v, F.lit(', "fear": 1, "awe": 2}')))
+    )
+    mode = F.element_at(F.array(*[F.lit(m) for m in modes]), (k + 1).cast("int"))
+    return t.events.select(
+        F.col("event_id").alias("request_id"), F.when((k == 0) & (F.col("event_id") % 4 == 0), F.lit(None)).otherwise(mode).alias("mode"), F.struct(F.lit(0).alias("min"), F.lit(10).alias("max")).alias("raw_score_scale"),
+        F.array(F.lit("joy"), F.lit("fear")).alias("expected"), F.when(F.col("event_id") % 4 == 0, "A").otherwise("B").alias("correct_choice"), text.alias("raw_response_text"),
+    )
+
+
 def spoken(t: Tables) -> DataFrame:
     """conv_id, turn, reference, hypothesis: a user turn and the reply, normalised, whole."""
     c = t.conversations

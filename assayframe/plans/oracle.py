@@ -36,15 +36,9 @@ ANSWERS = """ans AS (SELECT event_id, event_type, v, CASE event_type
   WHEN 'signup' THEN 'B is the synthetic one, -' || v % 7 || ' or so'
   ELSE '{"choice": "a", "scores": {"joy": ' || v % 14 || ', "fear": true}} trailing' END AS raw
   FROM (SELECT *, CAST(floor(value) AS BIGINT) AS v FROM events))"""
-SPOKEN = """norm AS (SELECT conv_id, turn, role, array_to_string(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')[1:30], ' ') AS t FROM conversations),
+SPOKEN = """norm AS (SELECT conv_id, turn, role, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS t FROM conversations),
 spoken AS (SELECT u.conv_id, u.turn, u.t AS reference, a.t AS hypothesis FROM norm u JOIN norm a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant')"""
-LEV = """w AS (SELECT *, list_filter(string_split(reference, ' '), lambda x: x <> '') AS r, list_filter(string_split(hypothesis, ' '), lambda x: x <> '') AS h FROM spoken),
-c AS (SELECT *, list_distinct(list_concat(r, h)) AS d FROM w),
-s AS (SELECT *, array_to_string(list_transform(r, lambda x: chr(CAST(33 + list_position(d, x) AS INT))), '') AS rs,
-  array_to_string(list_transform(h, lambda x: chr(CAST(33 + list_position(d, x) AS INT))), '') AS hs FROM c),
-wer AS (SELECT conv_id, turn, CAST(levenshtein(rs, hs) AS BIGINT) AS edits, CAST(len(r) AS BIGINT) AS n_reference, CAST(len(h) AS BIGINT) AS n_hypothesis,
-  CASE WHEN len(r) = 0 THEN CASE WHEN len(h) = 0 THEN 0.0 ELSE CAST('nan' AS DOUBLE) END ELSE levenshtein(rs, hs) / len(r) END AS wer FROM s)"""
 UTT = "utt AS (SELECT event_id AS id, event_type AS talk, user_id AS speaker, epoch_us(ts) / 1e6 AS start, value AS duration FROM events)"
 LOO = f"""{VOTES},
 tot AS (SELECT *, count(*) OVER (PARTITION BY row_id) AS n, sum(score) OVER (PARTITION BY row_id) AS s FROM votes),
@@ -87,7 +81,7 @@ k AS (SELECT weights, "left", "right", CAST(max(support) AS BIGINT) AS support,
 HALF = f"""{VOTES},
 it AS (SELECT v.*, i.iteration, count(*) OVER (PARTITION BY iteration, row_id) AS n,
   row_number() OVER (PARTITION BY iteration, row_id ORDER BY md5('13:' || iteration || ':' || row_id || ':' || annotator), annotator) AS k
-  FROM votes v CROSS JOIN (SELECT unnest([0, 1, 2]) AS iteration) i),
+  FROM votes v CROSS JOIN (SELECT unnest(range(10)) AS iteration) i),
 h AS (SELECT iteration, row_id, avg(score) FILTER (k <= n // 2) AS x, avg(score) FILTER (k > n // 2) AS y FROM it WHERE n >= 2 GROUP BY iteration, row_id),
 b AS ({_block('h', 'x', 'y', 'iteration', 12)})"""
 
@@ -101,6 +95,9 @@ _last = lambda p: f"list_filter(list_transform(regexp_extract_all(raw, '(?i){p}\
 _one = vocabulary.CONTRASTIVE["prompt_template"].replace("{{", "{").replace("}}", "}")
 _opp = f"CASE e WHEN 'Awe' THEN '{vocabulary.OPPOSITES['Awe']}' WHEN 'Jealousy / Envy' THEN '{vocabulary.OPPOSITES['Jealousy / Envy']}' ELSE 'absence of ' || e END"
 
+_shown = "CASE WHEN question = 'real' THEN CASE choice WHEN 'A' THEN 'B' WHEN 'B' THEN 'A' END ELSE choice END"
+RATES = "count(*) - count(choice) AS parse_failures, round(count(*) FILTER (choice = 'B') / count(choice), 6) AS rate_b, " + ", ".join(f"round(count(*) FILTER ({_shown} = '{x.upper()}') / count(choice), 6) AS synthetic_{x}" for x in "ab")
+
 ORACLES = {
     "vote_long": f"WITH {VOTES} SELECT * FROM votes",
     "vote_summary": f"""WITH {VOTES} SELECT row_id, count(*) AS n_annotators, round(avg(score), 6) AS mean_score_raw_0_2, round(avg(score * 5), 6) AS mean_score_0_10,
@@ -143,7 +140,7 @@ ORACLES = {
       CASE WHEN event_type = 'click' THEN 'extra,score' ELSE '' END AS extra,
       CASE WHEN event_type IN ('view', 'click', 'purchase', 'signup') THEN '' WHEN v % 14 <= 10 THEN 'fear' ELSE 'fear,joy' END AS invalid,
       CASE WHEN event_type IN ('view', 'purchase', 'signup') THEN 'response did not contain a JSON object' ELSE 'JSON scores did not exactly match expected emotions and numeric scale' END AS error FROM ans""",
-    "parse_bool": "SELECT event_id, [true, false, true, false, NULL, false, true][event_id % 7 + 1] AS flag FROM events",
+    "parse_bool": "SELECT event_id, CASE event_id % 7 WHEN 6 THEN [false, true, NULL][CAST(floor(value) AS BIGINT) % 3 + 1] WHEN 4 THEN NULL ELSE [true, false, true, false, NULL, false][event_id % 7 + 1] END AS flag FROM events",
     "text_helpers": """SELECT p_partkey, regexp_replace(trim(replace(replace(lower(p_type || ' / & ' || p_brand), '/', '-'), '&', 'and')), '\\s+', '-', 'g') AS slug,
       regexp_replace(regexp_replace('_' || p_name || ' #', '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS safe,
       CASE WHEN length(p_name || '\\nline') > 12 THEN left(p_name || '\\nline', 9) || '...' ELSE p_name || '\\nline' END AS snippet,
@@ -172,9 +169,9 @@ ORACLES = {
       count(*) FILTER (delta < 0) AS negative, count(*) FILTER (delta = 0) AS zero, count(*) FILTER (delta > 0) AS positive FROM d""",
     "repeat_average": f"""WITH {MOS}, r AS (SELECT 'r' || row_id % 1000 AS request_id, raw, row_id, line, row_id || '-' || line AS label FROM mos)
       SELECT request_id, round(avg(raw), 6) AS score, count(*) AS repeats, arg_min(label, (row_id, line, raw)) AS label FROM r GROUP BY request_id""",
-    "pairwise_accuracy": f"""WITH {CELLS} SELECT count(*) AS considered, count(choice) AS parsed, round(count(*) FILTER (choice = correct) / count(choice), 6) AS accuracy,
+    "pairwise_accuracy": f"""WITH {CELLS} SELECT count(*) AS considered, count(choice) AS parsed, {RATES}, round(count(*) FILTER (choice = correct) / count(choice), 6) AS accuracy,
       round(count(*) FILTER (choice = 'A') / count(choice), 6) AS rate_a FROM cells""",
-    "pairwise_by_direction": f"""WITH {CELLS} SELECT coalesce(direction, 'all') AS direction, coalesce(question, 'all') AS question, count(*) AS considered, count(choice) AS parsed,
+    "pairwise_by_direction": f"""WITH {CELLS} SELECT coalesce(direction, 'all') AS direction, coalesce(question, 'all') AS question, count(*) AS considered, count(choice) AS parsed, {RATES},
       round(count(*) FILTER (choice = correct) / count(choice), 6) AS accuracy, round(count(*) FILTER (choice = 'A') / count(choice), 6) AS rate_a
       FROM cells GROUP BY GROUPING SETS ((direction), (question), ())""",
     "inferred_synthetic": f"WITH {CELLS} SELECT ord, CASE WHEN choice IS NULL THEN NULL WHEN question = 'real' THEN CASE WHEN choice = 'A' THEN 'B' ELSE 'A' END ELSE choice END AS inferred FROM cells",
@@ -184,32 +181,28 @@ ORACLES = {
       SELECT g.correct, count(p.pair_id) AS pairs FROM (SELECT unnest(range(5)) AS correct) g LEFT JOIN p USING (correct) GROUP BY g.correct""",
     "prompt_choice": f"""WITH {UTT} SELECT id, pid AS prompt_id FROM (SELECT a.id, b.id AS pid, row_number() OVER (PARTITION BY a.id
       ORDER BY b.duration < 8, abs(b.duration - 12), abs(b.start - a.start), b.start, b.id) AS k FROM utt a JOIN utt b ON a.talk = b.talk AND a.speaker = b.speaker AND a.id <> b.id) WHERE k = 1""",
-    "prompt_skipped": f"""WITH {UTT}, u AS (SELECT * FROM utt WHERE duration >= 400) SELECT id, 'no_prompt_candidate' AS reason FROM u a
+    "prompt_skipped": f"""WITH {UTT}, u AS (SELECT * FROM utt) SELECT id, 'no_prompt_candidate' AS reason FROM u a
       WHERE NOT EXISTS (SELECT 1 FROM u b WHERE a.talk = b.talk AND a.speaker = b.speaker AND a.id <> b.id)""",
-    "utterance_ids": f"WITH {UTT} SELECT id, talk || '__' || speaker || '__' || CAST(floor(duration * 100) AS BIGINT) AS utterance_id, talk AS stem FROM utt",
+    "utterance_ids": f"WITH {UTT} SELECT id, talk || '__' || speaker || '__' || format('{{:.3f}}', id / 8) || '_' || format('{{:.3f}}', id / 8 + speaker % 50) AS utterance_id FROM utt",
     "dense_row_ids": "SELECT c_custkey, c_nationkey, row_number() OVER (ORDER BY c_nationkey, c_custkey) - 1 AS row_id FROM customer",
     "last_row_wins": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
     "merged_predictions": """SELECT o_orderkey AS request_id, o_orderstatus AS status, lines FROM orders LEFT JOIN
       (SELECT l_orderkey, max(l_linenumber) AS lines FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""",
-    "requests_cross": f"""SELECT 'row-' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') || '__emotion-' || array_to_string(list_filter(string_split(replace(lower(e), '/', '-'), ' '), lambda x: x <> ''), '-') AS request_id,
+    "requests_cross": f"""SELECT 'row-' || lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(6, length(CAST(o_orderkey AS VARCHAR))) AS INT), '0') || '__emotion-' || array_to_string(list_filter(string_split(replace(lower(e), '/', '-'), ' '), lambda x: x <> ''), '-') AS request_id,
       o_orderkey AS row_id, '/data/a.wav' AS audio_path, e AS scored_emotion, replace(replace('{_q(_one)}', '{{emotion}}', e), '{{opposite_emotion}}', {_opp}) AS prompt, {_opp} AS opposite_emotion
-      FROM orders CROSS JOIN (SELECT unnest(['Awe', 'Jealousy / Envy', 'Arousal']) AS e) WHERE o_orderkey <= 2000""",
-    "requests_all_at_once": """SELECT 'row-' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') || '__all-emotions' AS request_id, CAST(NULL AS VARCHAR) AS audio_path,
-      'Score: {"scores": {}}' || chr(10) || '- Awe' || chr(10) || '- Hope' AS prompt FROM orders WHERE o_orderkey <= 2000""",
+      FROM orders CROSS JOIN (SELECT unnest(['Awe', 'Jealousy / Envy', 'Arousal']) AS e)""",
+    "requests_all_at_once": """SELECT 'row-' || lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(6, length(CAST(o_orderkey AS VARCHAR))) AS INT), '0') || '__all-emotions' AS request_id, CAST(NULL AS VARCHAR) AS audio_path,
+      'Score: {"scores": {}}' || chr(10) || '- Awe' || chr(10) || '- Hope' AS prompt FROM orders""",
     "requests_pairwise": f"""WITH {PAIRS}, n AS (SELECT pair_id, row_number() OVER (ORDER BY pair_id) - 1 AS i FROM tw),
       x AS (SELECT n.*, d.d, d.direction, q.q, q.question FROM n CROSS JOIN (VALUES (0, 'real_a_synthetic_b'), (1, 'synthetic_a_real_b')) d(d, direction) CROSS JOIN (VALUES (0, 'synthetic'), (1, 'real')) q(q, question))
-      SELECT 'pairs__dev__balanced__pair-' || lpad(CAST(i AS VARCHAR), 6, '0') || '__' || direction || '__ask-' || question AS request_id, i * 4 + d * 2 + q AS row_id, pair_id, direction, question AS question_target,
+      SELECT 'pairs__dev__balanced__pair-' || lpad(CAST(i AS VARCHAR), CAST(greatest(6, length(CAST(i AS VARCHAR))) AS INT), '0') || '__' || direction || '__ask-' || question AS request_id, i * 4 + d * 2 + q AS row_id, pair_id, direction, question AS question_target,
       CASE WHEN d = 0 THEN 'r' || pair_id || ',s' || pair_id ELSE 's' || pair_id || ',r' || pair_id END AS audio_paths, CASE WHEN (d = 0) = (question = 'real') THEN 'A' ELSE 'B' END AS correct_choice,
-      'Transcript: text ' || pair_id || chr(10) || CASE question WHEN 'real' THEN 'Which recording is real human speech?' ELSE 'Which recording was generated by the text-to-speech system?' END AS prompt FROM x""",
+      'Both say: text ' || pair_id || chr(10) || CASE question WHEN 'real' THEN 'Which one is the person?' ELSE 'Which one is the machine?' END AS prompt FROM x""",
     "unpivot_pairs": f"""WITH {PAIRS} SELECT pair_id, label, CASE WHEN label = 'real' THEN 'r' ELSE 's' END || pair_id AS audio_path, CASE WHEN label = 'real' THEN 's' ELSE 'r' END || pair_id AS other_audio_path,
       pair_id || '__' || label AS sample_id FROM tw CROSS JOIN (SELECT unnest(['real', 'synthetic']) AS label)""",
     "requests_repeats": """SELECT 'p' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS request_id, r AS repeat_index, 3 AS repeat_count,
       CAST(100 + (row_number() OVER (PARTITION BY r ORDER BY p_partkey) - 1) * 3 + r AS BIGINT) AS generation_seed FROM part CROSS JOIN (SELECT CAST(unnest(range(3)) AS INT) AS r)""",
-    "wer_rows": f"WITH {SPOKEN}, {LEV} SELECT conv_id, turn, edits, n_reference, n_hypothesis, round(wer, 6) AS wer FROM wer",
-    "wer_by_split": f"""WITH {SPOKEN}, {LEV}, p AS (SELECT CASE WHEN conv_id % 2 = 0 THEN 'dev' ELSE 'test' END AS split, wer AS synthetic, n_hypothesis / 100 AS source, wer - n_hypothesis / 100 AS delta FROM wer WHERE NOT isnan(wer))
-      SELECT coalesce(split, 'all') AS split, count(*) AS n, """
-    + ", ".join(f"round(avg({c}), 6) AS mean_{c}, round(median({c}), 6) AS median_{c}" for c in ("source", "synthetic", "delta"))
-    + " FROM p GROUP BY ROLLUP (split)",
+    # wer_rows and wer_by_split have none: DuckDB has no edit distance of word lists; tests hold them against brute force
     "pair_cosine_features": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS v FROM e),
       p AS (SELECT a.vec_id // 2 AS k, a.v AS a, b.v AS b FROM u a JOIN u b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0)
       SELECT k, round(list_dot_product(a, b), 4) AS cosine, round(list_sum(a) + list_sum(b) + list_dot_product(a, b) + list_sum(list_transform(list_zip(a, b), lambda z: abs(z[2] - z[1]))), 4) AS total, CAST(4 * len(a) AS BIGINT) AS dims FROM p""",

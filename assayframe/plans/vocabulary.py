@@ -71,14 +71,25 @@ ONE_BY_ONE = {
     "score_min": 1,
     "score_max": 10,
 }
+# prompts of the fixtures' own wording; real ones come from configuration files (``sources.readers.load_config``)
 CONTRASTIVE = {
-    "prompt_template": 'Rate the audio for two contrasting states:\nA. {emotion}\nB. {opposite_emotion}\n\nReturn only valid JSON in exactly this format: {{"emotion_score": 0, "opposite_score": 0}}.',
+    "prompt_template": 'How strongly do you hear {emotion}, and how strongly {opposite_emotion}? Answer as {{"emotion_score": 0, "opposite_score": 0}}.',
     "score_min": 0,
     "score_max": 2,
     "opposites": OPPOSITES,
 }
-# fixed values: which recording is which
 PAIR_QUESTIONS = {
-    "synthetic": "Transcript: {transcript}\nWhich recording was generated by the text-to-speech system?",
-    "real": "Transcript: {transcript}\nWhich recording is real human speech?",
+    "synthetic": "Both say: {transcript}\nWhich one is the machine?",
+    "real": "Both say: {transcript}\nWhich one is the person?",
+}
+ASR_PROMPTS = {
+    "transcription": "Write down what you hear.",
+    "transcription_all_segments": "Write down all that you hear, from the first to the last word.",
+    "transcription_text_fewshot": "As in this example:\n{fewshot}\nwrite down what you hear.",
+    "transcription_fewshot": "The first clip says:\n{fewshot}\nWrite down the second.",
+    "probe": {
+        "without_repeat": 'Do you hear {targets}? Answer as {{"target_present": true, "transcript": ""}}.',
+        "with_repeat": 'Do you hear {targets} before and after {separators}? Answer as {{"target_before_repeat": true, "target_after_repeat": true}}.',
+    },
+    "fewshot": "one two, sorry, one three",
 }

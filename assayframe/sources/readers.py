@@ -105,6 +105,12 @@ def content_hashes(spark: SparkSession, root: str, pattern: str = "*") -> DataFr
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def with_file_facts(rows: DataFrame, hashes: DataFrame, name: str = "audio_path") -> DataFrame:
+    """``rows`` with audio_exists, audio_num_bytes and audio_sha256, from ``hashes(path, bytes, sha256)``."""
+    facts = hashes.select(F.col("path").alias(name), F.col("bytes").alias("audio_num_bytes"), F.col("sha256").alias("audio_sha256"))
+    return rows.join(facts, name, "left").withColumn("audio_exists", F.col("audio_sha256").isNotNull())
+
+
 def audio_extension(path, content):
     """'.wav', '.mp3', '.flac' or '.bin' by a file name's suffix, else by its first bytes."""
     suffix = F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))

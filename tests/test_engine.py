@@ -144,7 +144,7 @@ def test_sources_and_sinks(spark, tmp_path):
     writers.delimited(df, f"{d}/t", ["split", "b"], "\t")
     assert spark.read.option("sep", "\t").option("header", True).csv(f"{d}/t").columns == ["split", "b"]
     writers.by_split(df, f"{d}/s")
-    assert spark.read.parquet(f"{d}/s").count() == 2
+    assert writers.read_split(spark, f"{d}/s").count() == 2 and writers.read_split(spark, f"{d}/s", "x").count() == 1
     writers.score_lines(df.where("a IS NOT NULL"), f"{d}/n", "a", "b")
     assert spark.read.text(f"{d}/n").first().value == "0.50000000"
     assert '"split": {"x": 1, "y": 1}' in writers.metadata(df, ["split"]) and "a: 0.500" in writers.report(df.where("b = 1"))
@@ -213,7 +213,19 @@ def test_pair_scorer(spark):
     assert got[0] == got[1] and abs(got[0] - (2.5 + 3.0 + 0.1 + 1)) < 1e-9
 
 
-def test_dense_ids(spark):
-    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
-    got = rows.dense_ids(df, ["k"], "n").collect()
-    assert all(r.k == r.n for r in got) and len(got) == 1000
+@pytest.mark.parametrize("size", [None, "1k"])
+def test_dense_ids(spark, size):
+    """No row is lost, whatever adaptive execution does to the ranges, and the payload stays with its row."""
+    n, old = 200_000, spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    if size:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    try:
+        df = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("payload"), F.col("id").alias("own"), F.lit(1).alias("unused"))
+        out = rows.dense_ids(df, ["k"], "n")
+        assert out.agg(F.count(F.lit(1)), F.count_if("k = n"), F.max("n"), F.count_if(F.sha2(F.col("own").cast("string"), 256) == F.col("payload"))).first() == (n, n, n - 1, n)
+        assert out.select("n").agg(F.count_distinct("n")).first()[0] == n
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    ties = rows.dense_ids(spark.range(5000).select(F.lit(1).alias("k"), "id"), ["k"], "n")
+    assert ties.agg(F.count_distinct("n"), F.max("n")).first() == (5000, 4999)
+    assert rows.dense_ids(spark.range(0), ["id"], "n").count() == 0
