@@ -2,47 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``.
-
-    Only where it is unset (a local test) is a temporary folder made and set.
-    """
-    context = spark.sparkContext
-    place = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not place:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="assayframe-"))
-        place = context.getCheckpointDir()
-    return place.rstrip("/")
+from assayframe.operators.tables import discard, saved, shared_dir, temporary
 
+__all__ = ["ascii_lower", "bitmap", "discard", "in_bitmap", "saved", "shared_dir", "shuffle_partitions", "small_batches", "table", "temporary"]
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` as a table written to the shared folder and read back.
-
-    Cuts the lineage; the files survive the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``saved`` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.startswith(shared_dir(spark)) or shared_dir(spark).removeprefix("file://") in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+WORD = r"[^\x20\x09-\x0D]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
@@ -70,10 +40,10 @@ def bitmap(hashes: DataFrame, column: str) -> DataFrame:
     """
     at = F.pmod(F.col(column), F.lit(MAP_BITS))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-    words = hashes.groupBy(F.shiftright(at, 6).alias("id")).agg(F.bit_or(one).alias("bits"))
-    # as each word, empty or not, has its place, the array can be looked into directly
-    every = hashes.sparkSession.range(0, MAP_BITS >> 6, 1, 1).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits"))
+    words = hashes.groupBy(F.shiftright(at, 6).alias("id")).agg(F.bit_or(one).alias("bits")).toArrow()  # MAP_BITS / 64 rows at most
+    every = np.zeros(MAP_BITS >> 6, np.int64)
+    every[words.column("id").to_numpy()] = words.column("bits").to_numpy()
+    return hashes.sparkSession.createDataFrame(pa.table({"bits": pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), pa.array(every))}))
 
 
 def in_bitmap(hash_: Column) -> Column:

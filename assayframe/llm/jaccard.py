@@ -6,20 +6,21 @@ its shingles are in the union; only then is the group opened and the exact
 overlap with its members counted.
 
 Which columns a query has to look at is read off an index of rare shingles.
-All shingles have one order: by how hot their bucket of a fixed-size sketch is,
-then by hash.  A set lists its first ``n - needed + 1`` shingles; two similar
-sets share one of them, at places that leave room for the overlap they need.
-Any order finds every link; the sketch (summed over all texts, buckets that
-stand out in no task left at zero) only puts what many texts share last, so
-that common passages are hardly ever listed.
+All shingles have one order: by how frequent their bucket of a fixed-size
+sketch is, then by hash.  A set lists its first ``n - needed + 1`` shingles; two
+similar sets share one of them, at places that leave room for the overlap they
+need.  Any order finds every link; the sketch only puts what many texts share
+last, so that common passages are hardly ever listed.  It holds the buckets that
+stand out in a task, and all shingles that the lists by hash alone, a quarter
+longer than needed, would name ``OFTEN`` times or more.
 
 The join has two rounds.  First every list names a leader, the set with the
 fewest rare shingles, and its other sets are compared with the leaders' columns
-alone: a family of n near copies makes n pairs, not n * n.  What hangs together
-then is a component, cut into groups of at most ``GROUP`` sets.  In the second
-round only lists that hold several components are looked at: the sets outside
-a list's largest component query the groups of the others.  Nothing is
-estimated and no list is cut: every link between different components is found.
+alone: a family of n near copies makes n pairs, not n * n.  Sets
+with one leader are one cluster, cut into groups of at most ``GROUP`` sets.  In
+the second round only lists that hold several clusters are looked at: the sets
+outside the cluster of a list's leader query the groups of the others.  Nothing
+is estimated and no list is cut: every link between clusters is found.
 Lists of hot shingles are split by salt in the first round.
 
 Defined cases: a null or empty text has the empty set and is linked with
@@ -27,7 +28,8 @@ nothing; a text of fewer words than a shingle has its whole sequence as one;
 equal sets are linked; rows of one doc_id count as one document; a row without
 doc_id is linked like any other, but its component has a number only where a
 document with one is in it; an empty table gives no row; other columns are
-ignored.  doc_id must be below 2**62.
+ignored.  doc_id must lie
+between -2**62 and 2**62.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayframe.llm._spark import bitmap, discard, in_bitmap, saved, shuffle_partitions, small_batches
+from assayframe.llm._spark import bitmap, discard, in_bitmap, saved, shuffle_partitions, small_batches, temporary
 from assayframe.llm._text import mix64, sets_of
 from assayframe.llm.components import components
 
@@ -47,9 +49,10 @@ GROUP, GROUP_SHINGLES = 256, 400_000
 SKETCH = 1 << 22  # buckets; one byte of each is broadcast
 UNIT = 64  # queries that travel to a column together
 SALTED = 8  # lists of shingles at this level (2**8 sets in hot tasks) or above are split
+OFTEN = 16
 NAMELESS = 1 << 62
-_KEY1, _KEY2, _ORDER = (np.uint64(x) for x in (0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
-FEATURES = "doc_id long, n long, k1 long, k2 long, z binary"
+_KEY1, _KEY2 = (np.uint64(x) for x in (0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
+FEATURES = "doc_id long, n long, k1 long, k2 long, z binary, low array<long>"
 POSTINGS = "token long, salt int, rare int, id long, n int, pos int"
 
 
@@ -94,8 +97,8 @@ def signed(x) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def features(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, the set's 128-bit key and packed text of each row.
+def features(docs: DataFrame, size: int, t: Threshold) -> DataFrame:
+    """doc_id, n, the set's 128-bit key, packed text and first shingles by hash of each row.
 
     Every task ends with a row of n = -1 that holds its hot buckets and their counts.
     """
@@ -112,16 +115,17 @@ def features(docs: DataFrame, size: int) -> DataFrame:
             waiting.clear()
 
         def batch(ids, rows):
-            n, k1, k2, z = (list(c) for c in zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(z, pa.binary())], ["doc_id", "n", "k1", "k2", "z"])
+            n, k1, k2, z, low = (list(c) for c in zip(*rows, strict=True))
+            first = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in low])]), pa.int32()), pa.array(np.concatenate(low).view(np.int64)))
+            return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(z, pa.binary()), first], ["doc_id", "n", "k1", "k2", "z", "low"])
 
         for b in batches:
             rows, texts = [], b.column(1)
             for i, s in sets_of(texts, size):
                 if len(s) == 0:
-                    rows.append((0, 0, 0, b""))
+                    rows.append((0, 0, 0, b"", s))
                     continue
-                rows.append((len(s), signed(mix64(s ^ _KEY1).sum(dtype=np.uint64)), signed(mix64(s ^ _KEY2).sum(dtype=np.uint64)), pack.compress(texts[i].as_buffer())))
+                rows.append((len(s), signed(mix64(s ^ _KEY1).sum(dtype=np.uint64)), signed(mix64(s ^ _KEY2).sum(dtype=np.uint64)), pack.compress(texts[i].as_buffer()), s[: t.listed(len(s)) * 5 // 4]))
                 waiting.append(s)
                 held += len(s)
                 if held > 1 << 20:
@@ -133,13 +137,13 @@ def features(docs: DataFrame, size: int) -> DataFrame:
         hot = np.flatnonzero(counts >= max(4, noise + 6 * noise**0.5))
         if len(hot):
             packed = hot.astype(np.uint32).tobytes() + counts[hot].tobytes()
-            yield batch(pa.array([None], pa.int64()), [(-1, 0, 0, packed)])
+            yield batch(pa.array([None], pa.int64()), [(-1, 0, 0, packed, np.zeros(0, np.uint64))])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FEATURES)
 
 
 def sketch(rows: DataFrame) -> np.ndarray:
-    """The level of every bucket: the logarithm of its summed count, 0 where it is hot in no task."""
+    """The level of every bucket: the logarithm of its count, 0 where it is neither hot in a task nor often listed."""
 
     def run(batches):
         for b in batches:
@@ -149,8 +153,11 @@ def sketch(rows: DataFrame) -> np.ndarray:
                 for lo in range(0, len(at), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(at[lo : lo + 100_000]), pa.array(n[lo : lo + 100_000])], ["bucket", "n"])
 
-    level = F.floor(F.log2(F.sum("n"))).cast("int").alias("level")
-    out = rows.where("n = -1").select("z").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(level).toArrow()  # SKETCH rows at most
+    hot = rows.where("n = -1").select("z").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    often = rows.select(F.explode("low").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    often = often.select(F.shiftrightunsigned("token", 20).bitwiseAND(F.lit(SKETCH - 1)).alias("bucket"), "n")
+    level = F.floor(F.log2(F.max("n"))).cast("int").alias("level")
+    out = hot.unionByName(often).groupBy("bucket").agg(level).toArrow()  # SKETCH rows at most
     levels = np.zeros(SKETCH, np.uint8)
     levels[out.column("bucket").to_numpy()] = out.column("level").to_numpy()
     return levels
@@ -166,7 +173,7 @@ def unpacked(zs: list[bytes], size: int) -> list[np.ndarray]:
 def listed(s: np.ndarray, levels: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray, int]:
     """The shingles that a set lists, in order, their levels, and how many of all are rare."""
     level = levels[bucket_of(s)]
-    at = np.lexsort((mix64(s ^ _ORDER), level))[: t.listed(len(s))]
+    at = np.argsort(level, kind="stable")[: t.listed(len(s))]  # sets are sorted by hash
     return s[at], level[at], int(np.count_nonzero(level == 0))
 
 
@@ -237,15 +244,19 @@ def short(s: np.ndarray) -> np.ndarray:
 
 
 def matrix(members: DataFrame, size: int) -> DataFrame:
-    """``members(g, ids, zs)`` with the column of each group: its union, least and largest size."""
+    """``members(g, ids, zs)`` with the column of each group: the union of its sets, least and largest size.
+
+    A group of one set is its own column, which its packed text holds already.
+    """
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 one = b.slice(i, 1)
-                sets = unpacked(one.column(2)[0].as_py(), size)
-                n = [len(s) for s in sets]
-                union = short(np.concatenate(sets)).tobytes()
+                zs = one.column(2)[0].as_py()
+                sets = unpacked(zs, size) if len(zs) > 1 else []
+                n = [len(s) for s in sets] or [0]
+                union = short(np.concatenate(sets)).tobytes() if sets else None
                 yield pa.RecordBatch.from_arrays([*one.columns, pa.array([min(n)], pa.int64()), pa.array([max(n)], pa.int64()), pa.array([union], pa.binary())], ["g", "ids", "zs", "low", "high", "column"])
 
     return members.mapInArrow(run, "g long, ids array<long>, zs array<binary>, low long, high long, column binary")
@@ -269,6 +280,33 @@ def only_named(rows: DataFrame, column: str, named: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(table), in_bitmap(F.xxhash64(column)), "left_semi")
 
 
+LINKS = "a long, na long, b long, nb long"
+
+
+def led_links(pairs: DataFrame, sets: DataFrame, size: int, t: Threshold) -> DataFrame:
+    """A link of each of ``pairs(q, g)`` of sets that are similar: the ids and sizes of both."""
+    some = only_named(sets, "id", pairs.select(F.explode(F.array("q", "g")).alias("id"))).select("id", "z")
+    own = pairs.join(some.select(F.col("id").alias("q"), F.col("z").alias("zq")).hint("merge"), "q")
+    both = own.join(some.select(F.col("id").alias("g"), F.col("z").alias("zg")).hint("merge"), "g").select("q", "g", "zq", "zg")
+
+    def run(batches):
+        now = group = None
+        for b in batches:
+            found = []
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                gs = part.column(1).to_pylist()
+                for i, (q, g, s) in enumerate(zip(part.column(0).to_pylist(), gs, unpacked(part.column(2).to_pylist(), size), strict=True)):
+                    if g != now:
+                        now, group = g, Group(unpacked([part.column(3)[i].as_py()], size))
+                    if len(group.partners(s, t)):
+                        found.append((q, len(s), g, int(group.sizes[0])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "na", "b", "nb"])
+
+    return both.mapInArrow(run, LINKS)
+
+
 def links(pairs: DataFrame, sets: DataFrame, columns: DataFrame, size: int, t: Threshold) -> DataFrame:
     """A link (a, b) for each of ``pairs(q, g)`` whose group g has members similar to the set q: to the first of them."""
     often = saved(pairs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / UNIT).alias("units")))
@@ -284,9 +322,10 @@ def links(pairs: DataFrame, sets: DataFrame, columns: DataFrame, size: int, t: T
             for i in range(b.num_rows):
                 g, queries, ids, low, high = (b.column(c)[i].as_py() for c in (0, 1, 2, 4, 5))
                 if g != now:
-                    now, column, opened = g, np.frombuffer(b.column(6)[i].as_py(), np.uint32), None
+                    held = b.column(6)[i].as_py()
+                    now, column, opened = g, None if held is None else np.frombuffer(held, np.uint32), None
                 for q, s in zip((x["q"] for x in queries), unpacked([x["z"] for x in queries], size), strict=True):
-                    if may_hold(column, low, high, s, t):
+                    if column is None or may_hold(column, low, high, s, t):
                         opened = opened or Group(unpacked(b.column(3)[i].as_py(), size))
                         p = opened.partners(s, t)
                         if len(p):
@@ -304,11 +343,20 @@ def led(lists: DataFrame, t: Threshold) -> DataFrame:
     return lists.where((F.col("id") != F.col("leader.id")) & fits).select(F.col("id").alias("q"), F.col("leader.id").alias("g")).distinct()
 
 
+def clusters(near: DataFrame) -> DataFrame:
+    """id, n, root of the sets in ``near(a, na, b, nb)``: a set follows its least leader, and that one's."""
+    to = near.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("lead"), F.first("na").alias("n"))
+    lone = near.select(F.col("b").alias("id"), F.col("b").alias("lead"), F.col("nb").alias("n"))
+    first = saved(to.withColumn("own", F.lit(0)).unionByName(lone.withColumn("own", F.lit(1))).groupBy("id").agg(F.min_by("lead", "own").alias("lead"), F.first("n").alias("n")))
+    over = first.select(F.col("id").alias("lead"), F.col("lead").alias("root"))
+    return first.join(over, "lead").select("id", "n", "root")
+
+
 def grouped(rows: DataFrame) -> DataFrame:
-    """``rows(id, n, root)`` with the group g: at most GROUP sets of one component."""
+    """``rows(id, n, root)`` with the group g, a number below all ids: at most GROUP sets of one cluster."""
 
     def run(batches):
-        gid = TaskContext.get().partitionId() << 34
+        gid = (TaskContext.get().partitionId() << 34) - 2**63
         last, held, weight = None, 0, 0
         for b in batches:
             out = []
@@ -319,55 +367,50 @@ def grouped(rows: DataFrame) -> DataFrame:
                 out.append(gid)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], ["id", "n", "root", "g"])
 
-    rows = rows.select("id", F.col("n").cast("long").alias("n"), "root").repartitionByRange(shuffle_partitions(rows.sparkSession), "root", "id").sortWithinPartitions("root", "id")
+    rows = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), "root", "id").sortWithinPartitions("root", "id")
     return rows.mapInArrow(run, "id long, n long, root long, g long")
 
 
 def unsettled(lists: DataFrame, groups: DataFrame, t: Threshold) -> DataFrame:
-    """Pairs (q, g) of sets and groups of other components that a list leaves open.
+    """Pairs (q, g) of sets and groups of other clusters that a list leaves open.
 
-    The sets outside a list's largest component meet its groups; two groups
-    outside it meet once.
+    The sets outside the cluster of a list's first set meet its groups; two
+    groups outside it meet once.  A set in no cluster is a group of its own.
     """
-    rows = saved(lists.select("token", "id", "n", "pos").join(groups.select("id", "root", "g"), "id"))
-    per = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("held"))
-    several = per.groupBy("token").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("root", F.struct("held", "root")).alias("main")).where("kinds > 1").select("token", "main")
-    rows = saved(rows.join(saved(several).hint("merge"), "token"))
+    rows = lists.select("token", "id", "n", "pos", "rare").join(groups.select("id", "root", "g"), "id", "left")
+    rows = saved(rows.withColumn("root", F.coalesce("root", "id")).withColumn("g", F.coalesce("g", "id")))
+    per = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("rare", "id", "root")).alias("first")).where("lo < hi")
+    rows = saved(rows.join(per.select("token", F.col("first.root").alias("main")), "token").drop("rare"))
     held = rows.groupBy("token", "g", "root", "main").agg(F.min("pos").alias("first"), F.min("n").alias("least"), F.max("n").alias("most"))
     held = held.select("token", F.col("g").alias("h"), F.col("root").alias("of"), "first", "least", "most")
     fits = t.room(F.col("n"), F.col("pos"), F.col("least"), F.col("most"), F.col("first"))
-    met = rows.where("root <> main").join(saved(held).hint("merge"), "token").where((F.col("root") != F.col("of")) & ((F.col("of") == F.col("main")) | (F.col("g") > F.col("h"))) & fits)
+    met = rows.where("root <> main").join(held.hint("merge"), "token").where((F.col("root") != F.col("of")) & ((F.col("of") == F.col("main")) | (F.col("g") > F.col("h"))) & fits)
     return met.select(F.col("id").alias("q"), F.col("h").alias("g")).distinct()
 
 
-def similar_sets(sets: DataFrame, levels: np.ndarray, size: int, t: Threshold, given: DataFrame) -> DataFrame:
+def similar_sets(sets: DataFrame, levels: np.ndarray, size: int, t: Threshold, given: DataFrame | None = None) -> DataFrame:
     """node, root: the components of ``sets(id, n, z)`` and the links ``given(a, b)`` that hold several."""
     alike = Window.partitionBy("token", "salt").orderBy("rare", "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     lists = postings(sets, levels, size, t).withColumn("held", F.count(F.lit(1)).over(alike)).withColumn("leader", F.first(F.struct("id", "n", "pos")).over(alike))
     # of a list that is split, the other sets may be elsewhere
     lists = saved(lists.where("held > 1 OR salt >= 0").select("token", "id", "n", "pos", "leader", "salt", "rare"))
-    # the leaders of a split list follow the first of them
-    heads = lists.where("salt >= 0 AND id = leader.id").drop("leader")
-    top = heads.groupBy("token").agg(F.min(F.struct("rare", "id", "n", "pos")).alias("leader"))
-    pairs = saved(led(lists, t).unionByName(led(heads.join(top, "token"), t)).distinct())
-    leaders = only_named(sets, "id", pairs.select(F.col("g").alias("id"))).select(F.col("id").alias("g"), F.array("id").alias("ids"), F.array("z").alias("zs"))
-    near = saved(links(pairs, sets, matrix(leaders, size), size, t))
-    roots = components(near)
-    named = lists.select("id", "n").distinct().join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    groups = saved(grouped(named))
+    pairs = led(lists, t)
+    if (levels >= SALTED).any():  # the leaders of a split list follow the first of them
+        heads = lists.where("salt >= 0 AND id = leader.id").drop("leader")
+        top = heads.groupBy("token").agg(F.min(F.struct("rare", "id", "n", "pos")).alias("leader"))
+        pairs = pairs.unionByName(led(heads.join(top, "token"), t)).distinct()
+    near = saved(led_links(saved(pairs), sets, size, t))
+    groups = saved(grouped(clusters(near)))
     pairs = saved(unsettled(lists, groups, t))
-    wanted = groups.join(pairs.select("g").distinct(), "g", "left_semi").select("id", "g")
+    wanted = pairs.select("g").distinct()
+    single = wanted.select(F.col("g").alias("id"), "g").where("g > -4611686018427387904")
+    several = groups.select("id", "g").join(wanted, "g", "left_semi")
+    wanted = single.unionByName(several.select("id", "g"))
     members = only_named(sets, "id", wanted).join(wanted, "id").groupBy("g").agg(F.collect_list(F.struct("id", "z")).alias("m"))
     members = members.select("g", F.col("m.id").alias("ids"), F.col("m.z").alias("zs"))
-    more = saved(links(pairs, sets, matrix(members, size), size, t).unionByName(given))
-    # the second graph has the first one's components as nodes
-    top = roots.select(F.col("node").alias("x"), F.col("root").alias("r"))
-    more = more.join(top, more["a"] == top["x"], "left").select(F.coalesce("r", "a").alias("a"), "b")
-    more = more.join(top, more["b"] == top["x"], "left").select("a", F.coalesce("r", "b").alias("b"))
-    joined = components(more)
-    renamed = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    lower = roots.join(renamed, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return lower.unionByName(joined.join(lower.select("node"), "node", "left_anti"))
+    more = links(pairs, sets, matrix(members, size), size, t)
+    edges = near.select("a", "b").unionByName(more)
+    return components(edges if given is None else edges.unionByName(given))
 
 
 def labelled(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -376,21 +419,26 @@ def labelled(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     The root is the least doc_id that links reach, a number of NAMELESS or
     above where none of them has one, and null for the empty set.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     t = Threshold(num, den)
-    rows = saved(features(docs, size))
-    levels = sketch(rows)
-    # equal sets are one; the aggregate meets before the shuffle, so many copies of a text are one row a task
-    sets = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("z").alias("z"))
-    sets = saved(sets.withColumn("id", F.coalesce("id", nameless("k1"))))
-    small = rows.where("n >= 0").select("doc_id", "n", "k1", "k2")
-    small = saved(small.join(sets.select("k1", "k2", "id").hint("merge"), ["k1", "k2"], "left"))
-    discard(rows)
-    both = small.where("doc_id IS NOT NULL AND id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
-    given = small.join(both.select("doc_id", "a"), "doc_id").select("a", F.col("id").alias("b")).distinct()
-    roots = similar_sets(sets, levels, size, t, given)
-    out = small.join(roots.withColumnRenamed("node", "id").hint("merge"), "id", "left")
-    return out.select("doc_id", "n", "k1", "k2", F.coalesce("root", "id").alias("root"))
+    with temporary(spark) as keep:
+        rows = saved(features(docs, size, t))
+        levels = sketch(rows)
+        # equal sets are one; the aggregate meets before the shuffle, so many copies of a text are one row a task
+        sets = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("z").alias("z"))
+        sets = saved(sets.withColumn("id", F.coalesce("id", nameless("k1"))))
+        small = keep(saved(rows.where("n >= 0").select("doc_id", "n", "k1", "k2")))
+        discard(rows)
+        keys = sets.select("k1", "k2", "id")
+        given = None
+        again = small.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        if not again.isEmpty():  # a document in several rows is linked with itself
+            twice = saved(small.join(again, "doc_id").join(keys.hint("merge"), ["k1", "k2"]).select("doc_id", "id").distinct())
+            given = twice.join(twice.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b")).where("a <> b")
+        roots = similar_sets(sets, levels, size, t, given)
+        keys = keep(saved(keys.join(roots.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", F.coalesce("root", "id").alias("root"))))
+    return small.join(keys.hint("merge"), ["k1", "k2"], "left").select("doc_id", "n", "k1", "k2", "root")
 
 
 def keyed(docs: DataFrame, size: int) -> DataFrame:
