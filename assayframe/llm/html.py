@@ -1,12 +1,19 @@
 """Main text of web pages by tag-path ratios.
 
-A page is scanned into text nodes, each with its root-to-leaf tag path (tag
-names with class and id).  Per path the text length, the punctuation and the
-link text are summed and divided by its nodes; both ratios are smoothed over
-the paths of the same container (the path without its leaf), fused by their
-geometric mean, and paths under ``LEVEL`` times the page's best are dropped.
-Containers that can't hold main text, by tag or by a word of class, id or role,
-take no part.
+A page is scanned into its elements and text nodes, each node with its
+root-to-leaf tag path (tag names with class and id).  Per path the text length,
+the punctuation and the link text are summed and divided by its nodes; both
+ratios are smoothed over the paths of the same container (the path without its
+leaf) and fused by their geometric mean.  Paths of at least ``LEVEL`` times the
+page's best select content nodes; the smallest element that holds most of
+their text is the content container, and all of its text stays, short list
+items, cells and captions too, but for blocks that are mostly links.  Selected
+nodes beyond the container stay as well.
+
+Elements that surround a text, by tag or by a word of class, id or role, take no
+part, unless they are a wrapper: one that holds the page's <main>, or (forms and
+elements marked by a word) most of its punctuated text together with its
+heading or article, or with nothing comparable outside on a page without either.
 
 Defined cases: a null page is empty and has the empty text; a page without any
 path that qualifies has the empty text; unclosed and cut-off markup is read as
@@ -25,83 +32,122 @@ from pyspark.sql import functions as F
 
 from assayframe.llm._spark import small_batches
 
-LEVEL = 0.1
+LEVEL, MOST, LINKED = 0.1, 0.8, 0.6  # of the best path; of the selected text; of a block's text in links
 # fixed values: HTML's own element classes
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 OUTSIDE = {"nav", "footer", "header", "aside", "form", "menu", "button", "select", "option", "input", "label", "dialog", "fieldset", "head", "object", "canvas", "audio", "video", "search"}
+CONTAINERS = {"article", "body", "center", "div", "fieldset", "form", "html", "main", "section", "td"}
 ENDS_P = BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
 # fixed values: words of class, id and role that mark what surrounds a text
 AROUND = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "sidenav", "social", "sponsor", "sponsored", "subscribe", "tags", "toc", "toolbar", "widget"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORDS = re.compile(r"[a-z]+", re.I)
+# fixed values: what a class says that is about a part elsewhere, not about its own element
+MODIFIERS = {"has", "no", "with", "without", "is", "js", "not", "hide", "show", "open", "enabled", "disabled"}
+_PARTS = re.compile(r"[^a-z]+")
 _PUNCT = re.compile(r"[^\w\s]")
 
 
-def text_nodes(html: str):
-    """(path, container kept?, in a link?, block number, text) of each text node."""
-    stack: list[tuple[str, str, bool]] = []  # tag, label, outside
-    out, at, block = [], 0, 0
-    end = len(html)
-    while at < end:
-        m = _TOKEN.search(html, at)
-        stop = m.start() if m else end
-        if stop > at:
-            out.append((tuple(x[1] for x in stack), bool(stack) and stack[-1][2], any(x[0] == "a" for x in stack), block, html[at:stop]))
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if tag == "br":
-            out.append((tuple(x[1] for x in stack), bool(stack) and stack[-1][2], False, block, " "))
-        if m[1]:
+def surrounds(names: str) -> bool:
+    """Whether a word of class, id or role marks what surrounds a text."""
+    for token in names.lower().split():
+        parts = [p for p in _PARTS.split(token) if p]
+        if AROUND.intersection(parts) and not MODIFIERS.intersection(parts):
+            return True
+    return False
+
+
+class Page:
+    """The elements (parent, tag, path, suspect) and text nodes (element, in a link, block, text) of a page."""
+
+    def __init__(self, html: str):
+        self.parent, self.tag, self.path, self.suspect = [-1], [""], [()], [False]
+        self.nodes: list[tuple[int, bool, int, str]] = []
+        self._scan(html)
+
+    def _scan(self, html: str) -> None:
+        stack, links, block, at, end = [0], 0, 0, 0, len(html)
+        while at < end:
+            m = _TOKEN.search(html, at)
+            stop = m.start() if m else end
+            if stop > at:
+                self.nodes.append((stack[-1], links > 0, block, html[at:stop]))
+            if not m:
+                break
+            at = m.end()
+            if not m[2]:
+                continue
+            tag = m[2].lower()
+            if tag == "br":
+                self.nodes.append((stack[-1], False, block, " "))
+            if m[1]:
+                if tag in BLOCK:
+                    block += 1
+                for i in range(len(stack) - 1, 0, -1):
+                    if self.tag[stack[i]] == tag:
+                        del stack[i:]
+                        break
+                    if self.tag[stack[i]] in ("article", "section", "body", "td") and tag not in BLOCK:
+                        break
+                links = sum(self.tag[x] == "a" for x in stack) if tag == "a" or tag in BLOCK else links
+                continue
+            if tag in RAW:
+                close = re.compile(f"</{re.escape(tag)}(?=[\\s/>]|$)", re.I).search(html, at)
+                at = close.start() if close else end
+                if m[0].rstrip(">").endswith("/"):
+                    at = m.end()
+                continue
             if tag in BLOCK:
                 block += 1
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("article", "section", "body", "td") and tag not in BLOCK:
-                    break
-            continue
-        if tag in RAW:
-            close = re.compile(f"</{re.escape(tag)}(?=[\\s/>]|$)", re.I).search(html, at)
-            at = close.start() if close else end
-            if m[0].rstrip(">").endswith("/"):
-                at = m.end()
-            continue
-        if tag in BLOCK:
-            block += 1
-        if tag in VOID:
-            continue
+            if tag in VOID:
+                continue
+            for tags, scope in self._ends(tag):
+                self._close(stack, tags, scope)
+            names = " ".join(a or b or c for a, b, c in _ATTR.findall(m[3])) if m[3] else ""
+            self.parent.append(stack[-1])
+            self.tag.append(tag)
+            self.path.append((*self.path[stack[-1]], f"{tag}.{names.lower()}" if names else tag))
+            self.suspect.append(tag in OUTSIDE or (tag not in ("body", "html", "main") and surrounds(names)))
+            stack.append(len(self.tag) - 1)
+            links = sum(self.tag[x] == "a" for x in stack)
+
+    @staticmethod
+    def _ends(tag: str):
+        """What a start tag closes: tags, and the tags that keep them open."""
         if tag in ENDS_P or tag == "p":
-            _close(stack, {"p"}, {"table", "td", "th", "button", "div", "article", "section", "li", "body"})
+            yield {"p"}, {"table", "td", "th", "button", "div", "article", "section", "li", "body"}
         if tag == "li":
-            _close(stack, {"li"}, {"ul", "ol", "menu"})
+            yield {"li"}, {"ul", "ol", "menu"}
         elif tag in ("dt", "dd"):
-            _close(stack, {"dt", "dd"}, {"dl"})
+            yield {"dt", "dd"}, {"dl"}
         elif tag in ("td", "th"):
-            _close(stack, {"td", "th"}, {"tr", "table"})
+            yield {"td", "th"}, {"tr", "table"}
         elif tag == "tr":
-            _close(stack, {"tr"}, {"table"})
-        names = " ".join(a or b or c for a, b, c in _ATTR.findall(m[3])) if m[3] else ""
-        words = {w.lower() for w in _WORDS.findall(names)}
-        outside = (bool(stack) and stack[-1][2]) or tag in OUTSIDE or bool(words & AROUND) and tag not in ("body", "html", "article", "main")
-        stack.append((tag, f"{tag}.{names.lower()}" if names else tag, outside))
-    return out
+            yield {"tr"}, {"table"}
 
+    def _close(self, stack: list[int], tags: set, scope: set) -> None:
+        for i in range(len(stack) - 1, 0, -1):
+            if self.tag[stack[i]] in tags:
+                del stack[i:]
+                return
+            if self.tag[stack[i]] in scope:
+                return
 
-def _close(stack: list, tags: set, scope: set) -> None:
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] in tags:
-            del stack[i:]
-            return
-        if stack[i][0] in scope:
-            return
+    def sums(self, values: list[float]) -> list[float]:
+        """Values of elements added up over all that is in them."""
+        out = list(values)
+        for e in range(len(out) - 1, 0, -1):  # parents come before their children
+            out[self.parent[e]] += out[e]
+        return out
+
+    def inherited(self, marks: list[bool]) -> list[bool]:
+        """Whether an element or one around it is marked."""
+        out = list(marks)
+        for e in range(1, len(out)):
+            out[e] = out[e] or out[self.parent[e]]
+        return out
 
 
 def path_scores(nodes) -> dict[tuple, float]:
@@ -138,19 +184,83 @@ def main_text(html: str | None) -> str:
     """The main text of a page: its blocks joined by blank lines."""
     if not html:
         return ""
-    kept = [(path, link, block, unescape(text)) for path, outside, link, block, text in text_nodes(html) if not outside]
-    scores = path_scores((path, len(t := text.strip()), len(_PUNCT.findall(t)), len(t) if link else 0) for path, link, _, text in kept if text.strip())
+    page = Page(html)
+    nodes = [(e, link, block, text, text.strip()) for e, link, block, t in page.nodes for text in (unescape(t),)]
+    outside = page.inherited(_boilerplate(page, nodes))
+    scores = path_scores((page.path[e], len(t), len(_PUNCT.findall(t)), len(t) if link else 0) for e, link, _, _, t in nodes if t and not outside[e])
     if not scores:
         return ""
     floor = LEVEL * max(scores.values())
+    selected = [scores.get(page.path[e], 0.0) >= floor and not outside[e] for e, *_ in nodes]
+    inside = page.inherited(_container_of(page, nodes, selected))
+    linked = page.inherited(_link_blocks(page, nodes, selected))
     blocks: dict[int, list[str]] = {}
-    for path, _, block, text in kept:
-        if scores.get(path, 0.0) >= floor or not text.strip():
+    for (e, _, block, text, t), mine in zip(nodes, selected, strict=True):
+        if not t or mine or (inside[e] and not outside[e] and not linked[e]):
             blocks.setdefault(block, []).append(text)
     joined = (" ".join("".join(x).split()) for x in blocks.values())
     return "\n\n".join(x for x in joined if x)
 
 
+def _boilerplate(page: Page, nodes) -> list[bool]:
+    """Suspect elements that are no wrapper of the page's text."""
+    size = len(page.tag)
+    held, best = [0.0] * size, [0.0] * size
+    for e, link, _, _, t in nodes:
+        if t and not link and _PUNCT.search(t):
+            held[e] += len(t)
+            best[e] = max(best[e], len(t))
+    total = sum(held)
+    held = page.sums(held)
+    heading = page.sums([float(tag == "h1" or tag == "article" and not odd) for tag, odd in zip(page.tag, page.suspect, strict=True)])
+    main = page.sums([float(tag == "main") for tag in page.tag])
+    out = list(page.suspect)
+    for e in (e for e in range(1, size) if out[e]):
+        if main[e]:
+            out[e] = False
+        elif held[e] > total / 2 and page.tag[e] not in OUTSIDE - {"form", "fieldset"}:
+            inner, outer = 0.0, 0.0
+            within = _within(page, e)
+            for x in range(size):
+                inner, outer = (max(inner, best[x]), outer) if within[x] else (inner, max(outer, best[x]))
+            out[e] = not (heading[e] or not heading[0] and outer < inner / 2)
+    return out
+
+
+def _within(page: Page, top: int) -> list[bool]:
+    return page.inherited([e == top for e in range(len(page.tag))])
+
+
+def _container_of(page: Page, nodes, selected: list[bool]) -> list[bool]:
+    """Marks the smallest element that holds MOST of the selected text."""
+    size = len(page.tag)
+    held = [0.0] * size
+    for (e, _, _, _, t), mine in zip(nodes, selected, strict=True):
+        held[e] += len(t) if mine else 0
+    need = MOST * sum(held)
+    held = page.sums(held)
+    top = 0
+    for e in range(1, size):  # children come after their parents
+        if page.parent[e] == top and held[e] >= need:
+            top = e
+    # a paragraph alone is no container
+    while top and page.tag[top] not in CONTAINERS:
+        top = page.parent[top]
+    return [e == top for e in range(size)]
+
+
+def _link_blocks(page: Page, nodes, selected: list[bool]) -> list[bool]:
+    """Marks blocks without selected text whose text is mostly links."""
+    size = len(page.tag)
+    text, link, mine = [0.0] * size, [0.0] * size, [0.0] * size
+    for (e, is_link, _, _, t), picked in zip(nodes, selected, strict=True):
+        text[e] += len(t)
+        link[e] += len(t) if is_link else 0
+        mine[e] += len(t) if picked else 0
+    text, link, mine = page.sums(text), page.sums(link), page.sums(mine)
+    return [e > 0 and page.tag[e] in BLOCK and text[e] > 0 and not mine[e] and link[e] >= LINKED * text[e] for e in range(size)]
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` as page_id, url, text, n_chars."""
 
