@@ -8,9 +8,11 @@ windows in a join on that shingle; a window's length and the shingle's place
 in it bound where it can lie in the document; what is left is verified word
 for word.
 
-The prefix table is broadcast while it has at most ``BROADCAST_ROWS`` rows
-(counted first) and joined by shuffle beyond.  Matches go back to their
-documents by a key; a clash of keys only adds candidates, which fail to verify.
+Shingles of documents pass a bitmap of the prefixes (512 kB, whatever the
+benchmark's size) before they meet the prefix table, which Spark broadcasts or
+shuffles by its measured size.  A prefix row names its window by text alone;
+items are joined to the windows that were found true.  Matches go back to their
+documents by a key of 128 bits.
 
 Defined cases: a null text has no words and is hit by nothing; an item without
 words has no window; items of one text are all reported; a null item_id is
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from assayframe.llm._spark import ascii_lower, bitmap, in_bitmap, saved
 
-WINDOW, SHINGLE, BROADCAST_ROWS = 10, 5, 200_000
+WINDOW, SHINGLE = 10, 5
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -41,64 +43,57 @@ def _grams(words: Column, n: Column, size: Column | int) -> Column:
     return F.when(n >= size, inner).otherwise(F.array().cast("array<bigint>"))
 
 
-def prefixes(items: DataFrame, size: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """One row per prefix shingle of ``items(item_id, text)``: gram, hash, windows.
-
-    ``windows`` lists (off, len, text, items): the windows whose rarest shingle
-    it is, with its place in each.
-    """
+def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """item, w, len, text: the different windows of each of ``items(item_id, text)``."""
     words = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(F.col("text")).alias("w"))
     words = words.withColumn("n", F.size("w")).where("n > 0")
     starts = F.when(F.col("n") >= size, F.sequence(F.lit(1), F.col("n") - size + 1)).otherwise(F.array(F.lit(1)))
     each = words.select("item", F.explode(starts).alias("at"), "w", F.least("n", F.lit(size)).alias("len"))
     each = each.select("item", F.slice("w", F.col("at"), F.col("len")).alias("w"), "len")
-    windows = each.groupBy("w", "len").agg(F.collect_set("item").alias("items"))
-    windows = windows.select(F.array_join("w", " ").alias("text"), "w", "len", "items", F.least("len", F.lit(shingle)).alias("gram"))
-    grams = windows.select("text", "len", "items", "gram", F.posexplode(_grams(F.col("w"), F.col("len"), F.col("gram"))).alias("off", "hash"))
+    return each.withColumn("text", F.array_join("w", " ")).distinct()
+
+
+def prefixes(found: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """gram, hash, off, len, text: each window with its rarest shingle and that shingle's place."""
+    each = found.select("w", "len", "text").distinct().withColumn("gram", F.least("len", F.lit(shingle)))
+    grams = each.select("text", "len", "gram", F.posexplode(_grams(F.col("w"), F.col("len"), F.col("gram"))).alias("off", "hash"))
     common = grams.groupBy("gram", "hash").agg(F.count(F.lit(1)).alias("held"))
     ranked = grams.join(common, ["gram", "hash"])
-    first = ranked.groupBy("text").agg(F.min_by(F.struct("len", "items", "gram", "off", "hash"), F.struct("held", "hash", "off")).alias("p")).select("text", "p.*")
-    return first.groupBy("gram", "hash").agg(F.collect_list(F.struct("off", "len", "text", "items")).alias("windows"))
+    first = ranked.groupBy("text").agg(F.min_by(F.struct("gram", "hash", "off", "len"), F.struct("held", "hash", "off")).alias("p"))
+    return first.select("p.gram", "p.hash", "p.off", "p.len", "text")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, shingle: int = SHINGLE, key: str = "doc_id") -> DataFrame:
     """``docs`` (their own columns of these names replaced) with n_words, hits (word places, from 0, inside any window's
     occurrence, ascending) and items (ids of the items with such windows, sorted
     as strings)."""
-    table = saved(prefixes(items, size, shingle))
+    held = saved(windows(items, size))
+    table = saved(prefixes(held, shingle))
     grams = [r["gram"] for r in table.select("gram").distinct().collect()]  # at most `shingle` numbers
-    small = table.count() <= BROADCAST_ROWS
-    mark = F.xxhash64(key, "text")
-    read = docs.select(mark.alias("mark"), words_of(F.col("text")).alias("w"))
-    read = read.select("mark", "w", F.size("w").alias("n")).where("n > 0")
-    found = None
+    marks = [F.xxhash64(key, "text").alias("mark"), F.xxhash64(F.lit(1), key, "text").alias("mark2")]
+    both = ["mark", "mark2"]
+    read = docs.select(*marks, words_of(F.col("text")).alias("w"))
+    read = read.withColumn("n", F.size("w")).where("n > 0")
+    place = "array<struct<start:int,len:int,text:string>>"
+    found = docs.sparkSession.createDataFrame([], "mark long, mark2 long, start int, len int, text string")
     for g in grams:
-        at = read.select("mark", "n", F.posexplode(_grams(F.col("w"), F.col("n"), g)).alias("pos", "hash"))
-        part = table.where(F.col("gram") == g).select("hash", "windows")
-        met = at.join(F.broadcast(part) if small else part, "hash")
-        found = met if found is None else found.unionByName(met)
-    hit = "array<struct<start:int,len:int,text:string,items:array<string>>>"
-    if found is None:
-        hits = docs.sparkSession.createDataFrame([], f"mark long, found {hit}")
-    else:
-        fits = F.filter(
-            F.transform("windows", lambda w: F.struct((F.col("pos") - w["off"]).alias("start"), w["len"].alias("len"), w["text"].alias("text"), w["items"].alias("items"))),
-            lambda w: (w["start"] >= 0) & (w["start"] + w["len"] <= F.col("n")),
-        )
-        found = found.select("mark", fits.alias("fits")).where(F.size("fits") > 0)
-        hits = saved(found.groupBy("mark").agg(F.flatten(F.collect_list("fits")).alias("found")))
+        part = table.where(F.col("gram") == g).select("hash", "off", "len", "text")
+        at = read.select(*both, "n", F.posexplode(_grams(F.col("w"), F.col("n"), g)).alias("pos", "hash"))
+        at = at.join(F.broadcast(bitmap(part, "hash")), in_bitmap(F.col("hash")), "left_semi")
+        met = at.join(part, "hash").withColumn("start", F.col("pos") - F.col("off")).where("start >= 0 AND start + len <= n")
+        found = found.unionByName(met.select(*both, "start", "len", "text"))
+    hits = saved(found.groupBy(*both).agg(F.collect_list(F.struct("start", "len", "text")).alias("found")))
     # the row itself travels as one struct, so that its names meet no other
-    rows = docs.select(F.struct("*").alias("doc"), mark.alias("mark"))
-    table = F.broadcast(saved(bitmap(hits, "mark")))
-    maybe = rows.join(table, in_bitmap(F.col("mark")), "left_semi").join(hits, "mark", "left")
-    never = rows.join(table, in_bitmap(F.col("mark")), "left_anti").withColumn("found", F.lit(None).cast(hit))
-    both = maybe.unionByName(never).withColumn("w", words_of(F.col("doc.text")))
-    true = F.filter(F.coalesce("found", F.array().cast(hit)), lambda h: F.array_join(F.slice("w", h["start"] + 1, h["len"]), " ") == h["text"])
-    both = both.withColumn("true", true)
+    rows = docs.select(F.struct("*").alias("doc"), *marks)
+    some = F.broadcast(saved(bitmap(hits, "mark")))
+    maybe = rows.join(some, in_bitmap(F.col("mark")), "left_semi").join(hits, both, "left")
+    words = words_of(F.col("doc.text"))
+    true = F.filter(F.coalesce("found", F.array().cast(place)), lambda h: F.array_join(F.slice("w", h["start"] + 1, h["len"]), " ") == h["text"])
+    maybe = saved(maybe.withColumn("w", words).withColumn("true", true).withColumn("n_words", F.size("w").cast("long")).drop("w", "found"))
+    texts = maybe.select(*both, F.explode(F.array_distinct(F.transform("true", lambda h: h["text"]))).alias("text")).distinct()
+    named = texts.join(held.select("text", "item").distinct(), "text").groupBy(*both).agg(F.array_sort(F.collect_set("item")).alias("items"))
     places = F.flatten(F.transform("true", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1)))
-    new = {
-        "n_words": F.size("w").cast("long"),
-        "hits": F.array_sort(F.array_distinct(places)),
-        "items": F.array_sort(F.array_distinct(F.flatten(F.transform("true", lambda h: h["items"])))),
-    }
-    return both.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns if c not in new], *[c.alias(k) for k, c in new.items()])
+    maybe = maybe.join(named, both, "left").select("doc", "n_words", F.array_sort(F.array_distinct(places)).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    never = rows.join(some, in_bitmap(F.col("mark")), "left_anti").select("doc", F.size(words).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    new = ("n_words", "hits", "items")
+    return maybe.unionByName(never).select(*[F.col("doc").getField(c).alias(c) for c in docs.columns if c not in new], *new)
