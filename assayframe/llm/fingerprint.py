@@ -135,10 +135,10 @@ _OUT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.st
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, next in doc_id order.
 
-    The documents are range-partitioned by doc_id and streamed in order; only
-    the first and last text of each partition go to a second, small step.  Rows
-    of one doc_id follow each other by text.  A table of one row is its own
-    next document.
+    The documents are range-partitioned by doc_id and streamed in order; the
+    last text of each partition meets the first of the next in a second, small
+    step, a join on the partitions' numbers.  Rows of one doc_id follow each
+    other by text.  A table of one row is its own next document.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -165,9 +165,12 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         yield _batch(out, out_schema)
 
     done = saved(rows.mapInArrow(run, f"{SCHEMA}, part long, first_text string, last_text string"))
-    edges = done.where("part IS NOT NULL").select("doc_id", "part", "first_text", "last_text")
-    everything = Window.partitionBy(F.lit(0)).orderBy("part")
-    edges = edges.select("doc_id", "last_text", F.coalesce(F.lead("first_text").over(everything), F.first("first_text").over(everything)).alias("next_text"))
+    edges = done.where("part IS NOT NULL")
+    # numbers only; the texts meet by them
+    order = Window.orderBy("part")
+    follow = edges.select("part").select("part", F.coalesce(F.lead("part").over(order), F.min("part").over(Window.partitionBy())).alias("next"))
+    firsts = edges.select(F.col("part").alias("next"), F.col("first_text").alias("next_text"))
+    edges = edges.select("part", "doc_id", "last_text").join(follow, "part").join(firsts, "next").select("doc_id", "last_text", "next_text")
 
     def close(batches):
         schema = pa.schema(_OUT)
