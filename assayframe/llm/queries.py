@@ -44,7 +44,9 @@ def op6_sparse_langid(spark, sf_dir):
 
 def op7_secret_forest(spark, sf_dir):
     """Candidates and secrets of every text, with the secrets' places."""
-    return secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(*secrets.labelled_findings()))
+    docs = table(spark, sf_dir, "documents")
+    words = secrets.dictionary(docs)
+    return secrets.scan(docs, secrets.fit(*secrets.labelled_findings(words)), words)
 
 
 def op8_token_groups(spark, sf_dir):
