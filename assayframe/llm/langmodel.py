@@ -1,17 +1,21 @@
 """Language-model scores from a log-bilinear neural model.
 
-The model predicts the class of each token from the classes of the ``CONTEXT``
-tokens before it: the contexts' vectors, each scaled per position, are summed
-to a predicted vector, whose products with the class vectors, plus a bias, are
-normalised by a softmax.  Classes are the ``LISTED`` most frequent words, the
-end of a text, and ``GROUPS`` groups of all other words by their ending; within
-a group a word has its smoothed relative frequency.  So the probabilities of
-all words, one unseen word per group included, sum to one.
-
-Training is noise-contrastive estimation in numpy: a warm start on a bounded
-sample, then one pass in which every partition of the training texts goes on
-from the warm start with all of its tokens; the resulting parameters are
-averaged by their token counts.  Word counts come from all training texts.
+The contexts' vectors of the ``CONTEXT`` tokens before a token, each scaled per
+position, are summed to a predicted vector.  Its products with output vectors,
+plus biases, are normalised by softmaxes of two levels: first over clusters of
+words, the end of a text and ``GROUPS`` groups of rare words, then over the words
+of the cluster.  Modelled so are the most frequent words, as many as the largest
+power of two of those seen ``LEAST`` times or more allows, ``WORDS`` at most; words of
+one ending share clusters.  A rare word is in the group of its ending and there
+has its smoothed relative frequency.  So the probabilities of all words, one
+unseen word per group included, sum to one.
+
+Training is noise-contrastive estimation in numpy, at both levels: a warm start
+on a bounded sample, then one pass over all training texts, dealt by hash to
+shards of about ``SHARD_CHARS`` characters and sorted there; every shard goes on
+from the warm start with all of its tokens, and the resulting parameters are
+averaged by token counts in the order of the shards.  So neither files nor
+machines decide what is learned.  Word counts come from all training texts.
 Counts of the ``KNOWN`` most frequent words go to the scorers by broadcast
 (bounded by that number); all rarer words meet their counts in a join.
 
@@ -30,13 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm._spark import saved, small_batches
+from assayframe.llm._spark import saved, shuffle_partitions, small_batches
 from assayframe.llm._text import _BYTE, hash_spans, mix64, row_chunks, text_bytes, word_spans
 
-CONTEXT, DIM, LISTED, GROUPS = 5, 16, 127, 64
-CLASSES = LISTED + 1 + GROUPS
-END, START = LISTED, CLASSES  # the end token's class; the context before a text
-KNOWN, WARM_CHARS, BATCH, NOISE, RATE = 1 << 18, 4_000_000, 2048, 25, 0.1
+CONTEXT, DIM, GROUPS = 5, 16, 64
+WORDS, LEAST = 1 << 13, 8
+KNOWN, WARM_CHARS, SHARD_CHARS, PIECE = 1 << 18, 4_000_000, 16_000_000, 512
+BATCH, NOISE, INNER, RATE = 4096, 25, 8, 0.1
 _LOW = np.uint64(GROUPS - 1)
 
 
@@ -93,15 +97,35 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Vocabulary:
     words: np.ndarray  # sorted ids of the most frequent words
     counts: np.ndarray
-    classes: np.ndarray  # their classes
-    group_n: np.ndarray  # per group, over words that are not listed
+    slots: np.ndarray  # their places among the modelled words, clusters one after another; -1: not modelled
+    width: int  # modelled words of a cluster
+    slot_n: np.ndarray  # counts of the modelled words by place
+    group_n: np.ndarray  # per group, over words that are not modelled
     group_v: np.ndarray
     tokens: int  # N
     kinds: int  # V
     ends: int
 
+    @property
+    def modelled(self) -> int:
+        return len(self.slot_n)
 
-def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
+    @property
+    def clusters(self) -> int:
+        return self.modelled // self.width
+
+    @property
+    def classes(self) -> int:
+        """Clusters, then the end of a text, then the groups."""
+        return self.clusters + 1 + GROUPS
+
+    @property
+    def start(self) -> int:
+        """The context before a text; modelled words and groups are the other contexts."""
+        return self.modelled + GROUPS
+
+
+def vocabulary(counts: DataFrame, texts: int, most: int = WORDS) -> Vocabulary:
     """What the scorers need of the ``counts(word, n)`` of ``texts`` texts."""
     level = F.floor(F.log2("n") * 16).cast("int")
     group = F.col("word").bitwiseAND(F.lit(GROUPS - 1)).cast("int")
@@ -117,177 +141,278 @@ def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
     top = counts.where(level >= cut).collect() if total else []  # KNOWN rows at most
     top = sorted(((r["word"], r["n"]) for r in top))
     words, n = np.array([t[0] for t in top], np.int64), np.array([t[1] for t in top], np.int64)
-    listed = np.lexsort((words, -n))[:LISTED]
-    classes = LISTED + 1 + (words & (GROUPS - 1))
-    classes[listed] = np.arange(len(listed))
+    usual = min(most, int(np.count_nonzero(n >= LEAST)))
+    power = usual.bit_length() - 1
+    chosen = np.lexsort((words, -n))[: 1 << power] if usual else np.zeros(0, np.int64)
+    # words of one ending (the lowest bits) stand together
+    chosen = chosen[np.lexsort((words[chosen], words[chosen] & (GROUPS - 1)))]
+    slots = np.full(len(words), -1, np.int64)
+    slots[chosen] = np.arange(len(chosen))
     group_n, group_v = np.zeros(GROUPS, np.int64), np.zeros(GROUPS, np.int64)
     for r in sums:
         group_n[r["g"]] += r["n"]
         group_v[r["g"]] += r["v"]
-    at = words[listed] & (GROUPS - 1)
-    np.subtract.at(group_n, at, n[listed])
+    at = words[chosen] & (GROUPS - 1)
+    np.subtract.at(group_n, at, n[chosen])
     np.subtract.at(group_v, at, 1)
-    return Vocabulary(words, n, classes, group_n, group_v, int(sum(r["n"] for r in sums)) + texts, int(sum(r["v"] for r in sums)) + (texts > 0), texts)
+    width = 1 << (max(power, 0) + 1) // 2
+    return Vocabulary(words, n, slots, width, n[chosen], group_n, group_v, int(sum(r["n"] for r in sums)) + texts, int(sum(r["v"] for r in sums)) + (texts > 0), texts)
 
 
 @dataclass
 class Parameters:
     q: np.ndarray  # class vectors
-    r: np.ndarray  # context vectors; the last is START
-    c: np.ndarray  # scale per position and dimension
     b: np.ndarray
+    qi: np.ndarray  # vectors of the modelled words
+    bi: np.ndarray
+    r: np.ndarray  # context vectors
+    c: np.ndarray  # scale per position and dimension
+
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.q, self.b, self.qi, self.bi, self.r, self.c
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.q, self.r, self.c, self.b)])
+        return np.concatenate([x.ravel() for x in self.parts()])
 
     @staticmethod
-    def of(flat: np.ndarray) -> Parameters:
-        shapes = [(CLASSES, DIM), (CLASSES + 1, DIM), (CONTEXT, DIM), (CLASSES,)]
+    def of(flat: np.ndarray, v: Vocabulary) -> Parameters:
+        shapes = [(v.classes, DIM), (v.classes,), (v.modelled, DIM), (v.modelled,), (v.start + 1, DIM), (CONTEXT, DIM)]
         cut = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
         return Parameters(*(p.reshape(s).astype(np.float32) for p, s in zip(np.split(flat, cut), shapes, strict=True)))
 
 
 def class_share(v: Vocabulary) -> np.ndarray:
-    n = np.zeros(CLASSES)
-    inside = v.classes < LISTED
-    n[v.classes[inside]] = v.counts[inside]
-    n[END] = v.ends
-    n[LISTED + 1 :] = v.group_n
-    return (n + 0.5) / (n.sum() + 0.5 * CLASSES)
+    n = np.concatenate([v.slot_n.reshape(v.clusters, -1).sum(axis=1) if v.modelled else np.zeros(0), [v.ends], v.group_n])
+    return (n + 0.5) / (n.sum() + 0.5 * v.classes)
+
+
+def word_share(v: Vocabulary) -> np.ndarray:
+    """Of each modelled word in its cluster."""
+    n = (v.slot_n + 0.5).reshape(v.clusters, v.width)
+    return (n / n.sum(axis=1, keepdims=True)).ravel()
 
 
 def initial(v: Vocabulary, seed: int = 5) -> Parameters:
     rng = np.random.default_rng(seed)
     small = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-    return Parameters(small(CLASSES, DIM), small(CLASSES + 1, DIM), np.ones((CONTEXT, DIM), np.float32), np.log(class_share(v)).astype(np.float32))
+    return Parameters(
+        small(v.classes, DIM), np.log(class_share(v)).astype(np.float32), small(v.modelled, DIM), np.log(word_share(v)).astype(np.float32),
+        small(v.start + 1, DIM), np.ones((CONTEXT, DIM), np.float32),
+    )
 
 
-def classes_of(v: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each word id, and its place in ``v.words`` (-1: not there)."""
+def slots_of(v: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slot of each word id (-1: not modelled), and its place in ``v.words`` (-1: not there)."""
     if len(v.words) == 0:
-        return LISTED + 1 + (ids & (GROUPS - 1)), np.full(len(ids), -1)
+        return np.full(len(ids), -1), np.full(len(ids), -1)
     at = np.searchsorted(v.words, ids)
     at[at == len(v.words)] = 0
     at = np.where(v.words[at] == ids, at, -1)
-    return np.where(at >= 0, v.classes[at], LISTED + 1 + (ids & (GROUPS - 1))), at
+    return np.where(at >= 0, v.slots[at], -1), at
 
 
-def sequences(classes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token classes of all rows with their ends, and each token's contexts."""
+def sequences(v: Vocabulary, ids: np.ndarray, slots: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the tokens of all rows, with their ends: class, slot and contexts."""
     rows = len(at) - 1
     sizes = np.diff(at) + 1
     stop = np.cumsum(sizes)
-    seq = np.full(int(stop[-1]) if rows else 0, END, np.int64)
-    keep = np.ones(len(seq), bool)
+    n = int(stop[-1]) if rows else 0
+    keep = np.ones(n, bool)
     keep[stop - 1] = False
-    seq[keep] = classes
-    place = np.arange(len(seq)) - np.repeat(stop - sizes, sizes)
-    before = np.full((len(seq), CONTEXT), START, np.int64)
+    group = ids & (GROUPS - 1)
+    y, slot, own = np.full(n, v.clusters), np.full(n, -1), np.full(n, v.start)
+    y[keep] = np.where(slots >= 0, slots // v.width, v.clusters + 1 + group)
+    slot[keep] = slots
+    own[keep] = np.where(slots >= 0, slots, v.modelled + group)
+    place = np.arange(n) - np.repeat(stop - sizes, sizes)
+    before = np.full((n, CONTEXT), v.start, np.int64)
     for j in range(CONTEXT):
-        ok = place > j
-        before[ok, j] = seq[np.flatnonzero(ok) - j - 1]
-    return seq, before
+        ok = np.flatnonzero(place > j)
+        before[ok, j] = own[ok - j - 1]
+    return y, slot, before
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _scatter(ids: np.ndarray, g: np.ndarray, rows: int) -> np.ndarray:
+    return np.bincount((ids[:, None] * DIM + np.arange(DIM)).ravel(), g.ravel(), rows * DIM).reshape(rows, DIM)
 
 
 class Trainer:
     """Noise-contrastive estimation with per-parameter step sizes (Adagrad)."""
 
-    def __init__(self, p: Parameters, share: np.ndarray, seed: int):
-        self.p, self.seen = p, 0
-        self.sq = [np.full_like(x, 1.0) for x in (p.q, p.r, p.c, p.b)]
+    def __init__(self, p: Parameters, v: Vocabulary, seed: int):
+        self.p, self.v, self.seen = p, v, 0
+        self.sq = [np.full_like(x, 1.0) for x in p.parts()]
         self.rng = np.random.default_rng(seed)
-        self.cum = np.cumsum(share)
-        self.log_kp = np.log(NOISE * share).astype(np.float32)
+        share, inner = class_share(v), word_share(v)
+        self.cum, self.log_kp = np.cumsum(share), np.log(NOISE * share).astype(np.float32)
+        self.cum_inner, self.log_ki = np.concatenate([[0.0], np.cumsum(inner)]), np.log(INNER * inner).astype(np.float32)
 
-    def learn(self, seq: np.ndarray, before: np.ndarray) -> None:
-        for lo in range(0, len(seq), BATCH):
-            self._step(seq[lo : lo + BATCH], before[lo : lo + BATCH])
-        self.seen += len(seq)
+    def learn(self, y: np.ndarray, slot: np.ndarray, before: np.ndarray) -> None:
+        for lo in range(0, len(y), BATCH):
+            self._step(y[lo : lo + BATCH], slot[lo : lo + BATCH], before[lo : lo + BATCH])
+        self.seen += len(y)
 
-    def _step(self, y: np.ndarray, ctx: np.ndarray) -> None:
+    def _step(self, y: np.ndarray, slot: np.ndarray, ctx: np.ndarray) -> None:
         p, n = self.p, len(y)
         r = p.r[ctx]
         v = (r * p.c).sum(axis=1)
-        noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), CLASSES - 1)
+        noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), self.v.classes - 1)
         qy, qn = p.q[y], p.q[noise]
-        sy = (v * qy).sum(axis=1) + p.b[y] - self.log_kp[y]
-        sn = v @ qn.T + p.b[noise] - self.log_kp[noise]
-        gy = 1 / (1 + np.exp(-np.clip(sy, -30, 30))) - 1
-        gn = 1 / (1 + np.exp(-np.clip(sn, -30, 30)))
+        gy = _sigmoid((v * qy).sum(axis=1) + p.b[y] - self.log_kp[y]) - 1
+        gn = _sigmoid(v @ qn.T + p.b[noise] - self.log_kp[noise])
         gv = gy[:, None] * qy + gn @ qn
-        flat = lambda ids, g, rows: np.bincount((ids[:, None] * DIM + np.arange(DIM)).ravel(), g.ravel(), rows * DIM).reshape(rows, DIM)
-        gq = flat(y, gy[:, None] * v, CLASSES)
+        gq = _scatter(y, gy[:, None] * v, self.v.classes)
         np.add.at(gq, noise, gn.T @ v)
-        gb = np.bincount(y, gy, CLASSES)
+        gb = np.bincount(y, gy, self.v.classes)
         np.add.at(gb, noise, gn.sum(axis=0))
+        gqi, gbi = np.zeros((0, DIM)), np.zeros(0)
+        if self.v.modelled:
+            m = np.flatnonzero(slot >= 0)
+            own, vm = slot[m], v[m]
+            # noise words of the same cluster, by their share of it
+            at = self.cum_inner[(y[m] * self.v.width)][:, None] + self.rng.random((len(m), INNER))
+            other = np.searchsorted(self.cum_inner, at, side="right") - 1
+            other = np.clip(other, (y[m] * self.v.width)[:, None], ((y[m] + 1) * self.v.width - 1)[:, None])
+            qs, qo = p.qi[own], p.qi[other]
+            gs = _sigmoid((vm * qs).sum(axis=1) + p.bi[own] - self.log_ki[own]) - 1
+            go = _sigmoid(np.einsum("md,mkd->mk", vm, qo) + p.bi[other] - self.log_ki[other])
+            gv[m] += gs[:, None] * qs + np.einsum("mk,mkd->md", go, qo)
+            ids = np.concatenate([own, other.ravel()])
+            gqi = _scatter(ids, np.concatenate([gs[:, None] * vm, (go[:, :, None] * vm[:, None, :]).reshape(-1, DIM)]), self.v.modelled)
+            gbi = np.bincount(ids, np.concatenate([gs, go.ravel()]), self.v.modelled)
         gc = (gv[:, None, :] * r).sum(axis=0)
-        gr = flat(ctx.ravel(), (gv[:, None, :] * p.c).reshape(-1, DIM), CLASSES + 1)
-        for x, g, s in zip((p.q, p.r, p.c, p.b), (gq, gr, gc, gb), self.sq, strict=True):
+        gr = _scatter(ctx.ravel(), (gv[:, None, :] * p.c).reshape(-1, DIM), self.v.start + 1)
+        for x, g, s in zip(p.parts(), (gq, gb, gqi, gbi, gr, gc), self.sq, strict=True):
             g = (g / n * 20).astype(np.float32)
             s += g * g
             x -= RATE * g / np.sqrt(s)
 
 
+def learn_from(t: Trainer, column) -> None:
+    for _, ids, at in chunks_of(column):
+        t.learn(*sequences(t.v, ids, slots_of(t.v, ids)[0], at))
+
+
+def warm_sample(docs: DataFrame, chars: int = WARM_CHARS) -> list[str]:
+    """Different texts of ``docs(text)`` by hash, of ``chars`` characters together at most; longer ones than an eighth of that teach in the pass only."""
+    kinds = docs.where(F.char_length("text").between(1, chars // 8)).select(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("k"), F.char_length("text").alias("n")).distinct()
+    size = kinds.agg(F.sum("n")).first()[0]
+    if not size:
+        return []
+    part = min(1.0, 2 * chars / size)
+    some = kinds.where(F.pmod("h", F.lit(1_000_003)) <= int(part * 1_000_003)).collect()  # about 2 * chars characters of texts
+    some.sort(key=lambda r: (r["h"], r["k"]))
+    total, keys = 0, []
+    for r in some:
+        total += r["n"]
+        if total > chars:
+            break
+        keys.append((r["h"], r["k"]))
+    if not keys:
+        return []
+    picked = docs.sparkSession.createDataFrame(keys, "h long, k long")
+    texts = docs.select("text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("k")).join(F.broadcast(picked), ["h", "k"])
+    return sorted(r[0] for r in texts.groupBy("h", "k").agg(F.min("text").alias("text")).select("text").collect())
+
+
 def warm_start(docs: DataFrame, v: Vocabulary) -> Parameters:
-    """Parameters after training on at most about WARM_CHARS characters of ``docs(text)``."""
-    p = initial(v)
-    size = docs.agg(F.sum(F.char_length("text")).alias("n"), F.max(F.char_length("text")).alias("m")).first()
-    if not size["n"]:
-        return p
-    part = min(1_000_003, int(1_000_003 * WARM_CHARS / size["n"]) + 1)
-    h = F.pmod(F.xxhash64("text"), F.lit(1_000_003))
-    texts = sorted(r[0] for r in docs.where((h < part) & (F.char_length("text") <= WARM_CHARS // 8)).select("text").collect())
-    rng = np.random.default_rng(3)
-    rng.shuffle(texts)
-    t = Trainer(p, class_share(v), 11)
-    for _, ids, at in chunks_of(pa.array(texts, pa.string())):
-        t.learn(*sequences(classes_of(v, ids)[0], at))
-    return p
+    """Parameters after training on the warm sample of ``docs(text)``."""
+    texts = warm_sample(docs)
+    np.random.default_rng(3).shuffle(texts)
+    t = Trainer(initial(v), v, 11)
+    learn_from(t, pa.array(texts, pa.string()))
+    return t.p
 
 
 def train(docs: DataFrame, v: Vocabulary) -> Parameters:
-    """The model of ``docs(text)``."""
+    """The model of ``docs(text, spread)``; spread is a hash that tells equal texts apart."""
     start = warm_start(docs, v)
     if not v.ends:
         start.b[:] = 0
         return start
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((start.flat(), v))
+    size = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD_CHARS))
 
     def run(batches):
         flat, voc = held.value
-        t = Trainer(Parameters.of(flat), class_share(voc), 101 + TaskContext.get().partitionId())
+        part = TaskContext.get().partitionId()
+        t = Trainer(Parameters.of(flat, voc), voc, 101 + part)
         for b in batches:
-            for _, ids, at in chunks_of(b.column(0)):
-                t.learn(*sequences(classes_of(voc, ids)[0], at))
+            learn_from(t, b.column(0))
         if t.seen:
-            out = t.p.flat().astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out * t.seen), pa.array(np.full(len(out), t.seen))], ["i", "x", "w"])
-
-    rows = docs.select("text").mapInArrow(run, "i long, x double, w long").groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).collect()
-    flat = np.zeros(len(start.flat()))
-    for r in rows:
-        flat[r["i"]] = r["x"]
-    return Parameters.of(flat)
-
-
-def log_probabilities(p: Parameters, seq: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Natural log probability of each token's class, in batches."""
-    out = np.empty(len(seq))
-    scaled = p.r[None, :, :] * p.c[:, None, :]
-    q = np.ascontiguousarray(p.q.T)
-    for lo in range(0, len(seq), 4096):
-        ctx, y = before[lo : lo + 4096], seq[lo : lo + 4096]
-        v = scaled[0][ctx[:, 0]]
+            out = t.p.flat()
+            pieces = [out[lo : lo + PIECE].tobytes() for lo in range(0, len(out), PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int64()), pa.array([part] * len(pieces), pa.int64()), pa.array([t.seen] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], ["piece", "shard", "seen", "x"])
+
+    def mean(batches):
+        piece, total, seen = None, None, 0
+        out = []
+        for b in batches:
+            for k, n, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x = np.frombuffer(x, np.float32).astype(np.float64) * n
+                if k != piece:
+                    if piece is not None:
+                        out.append((piece, (total / seen).tobytes()))
+                    piece, total, seen = k, x, n
+                else:
+                    total, seen = total + x, seen + n
+        if piece is not None:
+            out.append((piece, (total / seen).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["piece", "x"])
+
+    dealt = docs.select("text", "spread").repartition(int(shards), "spread").sortWithinPartitions("spread", "text").select("text")
+    made = dealt.mapInArrow(run, "piece long, shard long, seen long, x binary").repartition(shuffle_partitions(spark), "piece").sortWithinPartitions("piece", "shard")
+    rows = made.mapInArrow(mean, "piece long, x binary").collect()  # the parameters
+    held.destroy()
+    flat = np.concatenate([np.frombuffer(r["x"], np.float64) for r in sorted(rows, key=lambda r: r["piece"])])
+    return Parameters.of(flat, v)
+
+
+class Scorer:
+    """Natural log probabilities of tokens, by batched matrix products."""
+
+    def __init__(self, p: Parameters, v: Vocabulary):
+        self.p, self.v = p, v
+        self.scaled = p.r[None, :, :] * p.c[:, None, :]
+        self.q = np.ascontiguousarray(p.q.T)
+        self.qi = np.ascontiguousarray(p.qi.reshape(v.clusters, v.width, DIM).transpose(0, 2, 1))
+        self.bi = p.bi.reshape(v.clusters, v.width)
+
+    def __call__(self, y: np.ndarray, slot: np.ndarray, before: np.ndarray) -> np.ndarray:
+        out = np.empty(len(y))
+        for lo in range(0, len(y), 65536):
+            part = slice(lo, lo + 65536)
+            out[part] = self._some(y[part], slot[part], before[part])
+        return out
+
+    def _some(self, y, slot, ctx):
+        v = self.scaled[0][ctx[:, 0]]
         for j in range(1, CONTEXT):
-            v += scaled[j][ctx[:, j]]
-        s = v @ q
-        s += p.b
+            v += self.scaled[j][ctx[:, j]]
+        out = np.empty(len(y))
+        for lo in range(0, len(y), 4096):
+            out[lo : lo + 4096] = self._own(v[lo : lo + 4096] @ self.q + self.p.b, y[lo : lo + 4096])
+        order = np.argsort(y, kind="stable")
+        ends = np.searchsorted(y[order], np.arange(self.v.clusters + 1))
+        for k in range(self.v.clusters):
+            at = order[ends[k] : ends[k + 1]]
+            for lo in range(0, len(at), 4096):
+                a = at[lo : lo + 4096]
+                out[a] += self._own(v[a] @ self.qi[k] + self.bi[k], slot[a] - k * self.v.width)
+        return out
+
+    @staticmethod
+    def _own(s: np.ndarray, at: np.ndarray) -> np.ndarray:
         np.clip(s, -60, 60, out=s)
-        own = s[np.arange(len(y)), y].astype(np.float64)
+        own = s[np.arange(len(at)), at].astype(np.float64)
         np.exp(s, out=s)
-        out[lo : lo + 4096] = own - np.log(s.sum(axis=1, dtype=np.float64))
-    return out
+        return own - np.log(s.sum(axis=1, dtype=np.float64))
 
 
 def score(docs: DataFrame, train_on: str = "train", key: str = "doc_id") -> DataFrame:
@@ -297,7 +422,7 @@ def score(docs: DataFrame, train_on: str = "train", key: str = "doc_id") -> Data
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(train_on), F.lit(False)).alias("train"))
-    taught = rows.where("train").select("text")
+    taught = rows.where("train").select("text", F.xxhash64(key, "text").alias("spread"))
     counts = saved(word_counts(taught))
     v = vocabulary(counts, taught.count())
     p = train(taught, v)
@@ -307,7 +432,7 @@ def score(docs: DataFrame, train_on: str = "train", key: str = "doc_id") -> Data
 
     def run(batches):
         voc, flat = held.value
-        par = Parameters.of(flat)
+        scorer = Scorer(Parameters.of(flat, voc), voc)
         known_log = np.log10(voc.counts + 0.5)
         group_log = np.log10(voc.group_n + 0.5 * (voc.group_v + 1))
         uid = TaskContext.get().partitionId() << 40
@@ -315,13 +440,13 @@ def score(docs: DataFrame, train_on: str = "train", key: str = "doc_id") -> Data
             texts = b.column("text")
             for lo, ids, at in chunks_of(texts):
                 n = len(at) - 1
-                cls, place = classes_of(voc, ids)
-                lp = log_probabilities(par, *sequences(cls, at)) / np.log(10)
+                slots, place = slots_of(voc, ids)
+                lp = scorer(*sequences(voc, ids, slots, at)) / np.log(10)
                 stop = np.cumsum(np.diff(at) + 1)
                 lm = np.add.reduceat(lp, stop - np.diff(at) - 1)
                 got = np.where(place >= 0, known_log[place] if len(known_log) else 0.0, 0.0)
-                inside = np.where(cls > LISTED, group_log[np.maximum(cls - LISTED - 1, 0)], 0.0)
-                part = np.where(cls > LISTED, got, 0.0) - inside
+                # a rare word's share of its group; what its count adds is known here or joined later
+                part = np.where(slots < 0, got - group_log[ids & (GROUPS - 1)], 0.0)
                 csum = lambda x: np.concatenate([[0.0], np.cumsum(x)])
                 rows_of = lambda x: np.array([float(x[a:z].sum()) for a, z in zip(at[:-1], at[1:], strict=True)])
                 base, extra, known = rows_of(got), rows_of(part), np.diff(csum(place >= 0)[at]).astype(np.int64)
