@@ -3,24 +3,31 @@
 Features are hashed character n-grams (orders 1 to 3 of the lower-cased text)
 weighted by term frequency and inverse document frequency.  The document
 frequencies are counted over all training documents; the weights are fitted by
-follow-the-regularised-leader with elastic-net penalties on a bounded sample
-of them, at most ``SAMPLE`` documents and ``SAMPLE_CHARS`` characters of each
-language; a temperature fitted on a fifth of the sample calibrates the scores.
-
-Defined cases: a text that is null or holds no letter is ``und`` with score 0;
-rows with a null language or text teach nothing; without anything to learn from
-every prediction is ``und``; texts are read whole; rows that repeat get equal
-predictions; other columns are ignored.
+follow-the-regularised-leader with elastic-net penalties on a bounded sample of
+different texts: of each language the first ``SAMPLE`` by hash, and of those no
+further one once ``SAMPLE_CHARS`` characters are reached (one at least).  A
+temperature fitted on a fifth of the sample calibrates the scores.
+
+A softmax over the learned languages says nothing of texts in others.  So each
+text also gets its ``strangeness``, the mean inverse document frequency of its
+n-grams; the sample's calibrating fifth gives the ``limit`` beyond which a text
+is in no learned language.
+
+Defined cases: a text that is null or holds no letter (of a Unicode letter
+category) is ``und`` with score 0; rows with a null language or text teach
+nothing; without anything to learn from every prediction is ``und``; of equal
+probabilities the language first in code point order is taken; texts are read
+whole; rows that repeat get equal predictions; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayframe.llm._spark import small_batches
@@ -31,7 +38,7 @@ SIZE = 1 << BITS
 SAMPLE, SAMPLE_CHARS, EPOCHS = 1000, 8_000_000, 3
 ALPHA, BETA, L1, L2, SCALE = 0.5, 1.0, 1e-3, 1e-3, 30.0
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-_LETTER = re.compile(r"[^\W\d_]")
+MARGIN, LEAST_GRAMS = 1.15, 60  # of the limit of strangeness; n-grams below which nothing is called strange
 
 
 @dataclass
@@ -40,6 +47,12 @@ class Model:
     table: np.ndarray  # (SIZE + 1, languages): idf times weight; the last row is zero
     bias: np.ndarray
     temperature: float
+    idf: np.ndarray  # (SIZE + 1); the last is zero
+    limit: float  # strangeness beyond which a text is in no learned language
+
+
+def has_letter(text: str) -> bool:
+    return any(unicodedata.category(c)[0] == "L" for c in text)
 
 
 def grams(texts: list[str]):
@@ -99,16 +112,20 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, str, bool]]:
-    """At most ``sample`` rows of each language by hash: (text, lang, for calibration)."""
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.pmod(F.xxhash64("text"), F.lit(1_000_003)).alias("h"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars")).collect()
-    if not counts:
-        return []
-    share = {r["lang"]: min(1.0, sample / r["n"], chars / max(1, r["chars"])) for r in counts}
-    limit = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * 1_000_003))])
-    picked = rows.where(F.col("h") <= F.element_at(limit, F.col("lang"))).collect()
+    """At most ``sample`` different texts of each language, by hash: (text, lang, for calibration).
+
+    Copies of a text are one from the start; no more than ``chars`` characters of
+    a language are taken, but for the rest of its last text.
+    """
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("k"))
+    kinds = rows.groupBy("lang", "h", "k").agg(F.max(F.char_length("text")).alias("n"))
+    order = Window.partitionBy("lang").orderBy("h", "k")
+    first = kinds.withColumn("i", F.row_number().over(order)).where(F.col("i") <= sample)
+    behind = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = first.withColumn("before", behind).where(F.col("before") < chars).select("lang", "h", "k")
+    picked = rows.join(first, ["lang", "h", "k"]).groupBy("lang", "h", "k").agg(F.min("text").alias("text")).collect()
     picked.sort(key=lambda r: (r["h"], r["lang"], r["text"]))
-    return [(r["text"], r["lang"], r["h"] % 5 == 0) for r in picked]
+    return [(r["text"], r["lang"], i % 5 == 0) for i, r in enumerate(picked)]
 
 
 def fit(docs: DataFrame) -> Model:
@@ -118,7 +135,7 @@ def fit(docs: DataFrame) -> Model:
     languages = sorted({r[1] for r in rows})
     k = len(languages)
     if k == 0:
-        return Model([], np.zeros((SIZE + 1, 0), np.float32), np.zeros(0), 1.0)
+        return Model([], np.zeros((SIZE + 1, 0), np.float32), np.zeros(0), 1.0, np.zeros(SIZE + 1), np.inf)
     df = document_frequencies(taught)
     idf = np.log((1 + df[SIZE]) / (1 + df[:SIZE])) + 1
     z, n = np.zeros((SIZE + 1, k)), np.zeros((SIZE + 1, k))
@@ -148,7 +165,10 @@ def fit(docs: DataFrame) -> Model:
     held = [i for i, r in enumerate(rows) if r[2]] or train
     logits = np.array([made[i][1] @ w[made[i][0]] for i in held])
     truth = np.array([number[rows[i][1]] for i in held])
-    return Model(languages, table, w[SIZE], _temperature(logits, truth))
+    # the mean idf of a text: its tf times idf, without the scale and the bias feature
+    strange = [made[i][1][:-1].sum() / SCALE for i in held if len(rows[i][0]) >= LEAST_GRAMS // ORDERS]
+    limit = MARGIN * max(strange) if strange else np.inf
+    return Model(languages, table, w[SIZE], _temperature(logits, truth), np.append(idf, 0.0), float(limit))
 
 
 def _temperature(logits: np.ndarray, truth: np.ndarray) -> float:
@@ -166,24 +186,27 @@ def _temperature(logits: np.ndarray, truth: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def probabilities(model: Model, texts: list[str]) -> np.ndarray:
-    out = np.zeros((len(texts), len(model.languages)))
+def probabilities(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Calibrated probabilities of each language, and the strangeness, of each text."""
+    out, strange = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
     for lo, hi, starts, columns in grams(texts):
         full = np.flatnonzero(np.diff(starts) > 0)
-        total = np.zeros((hi - lo, len(model.languages)))
+        total, far = np.zeros((hi - lo, len(model.languages))), np.zeros(hi - lo)
         count = np.zeros(hi - lo)
         for c in columns:
             if len(full):
                 total[full] += np.add.reduceat(model.table[c], starts[full], axis=0)
+                far[full] += np.add.reduceat(model.idf[c], starts[full])
                 count[full] += np.add.reduceat((c < SIZE).astype(np.int64), starts[full])
         s = (total / np.maximum(count, 1)[:, None] + model.bias) / model.temperature
         s = np.exp(s - s.max(axis=1, keepdims=True))
         out[lo:hi] = s / s.sum(axis=1, keepdims=True)
-    return out
+        strange[lo:hi] = np.where(count >= LEAST_GRAMS, far / np.maximum(count, 1), 0.0)
+    return out, strange
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
-    """``docs`` with lang_pred and score; columns of these names are replaced."""
+    """``docs`` with lang_pred, score and strange (is it in no learned language?); columns of these names are replaced."""
     small_batches(docs.sparkSession)
     # ~1 MB of weights per two languages; the size is fixed by BITS
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -192,18 +215,18 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
         m = held.value
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            best, score = ["und"] * len(texts), [0.0] * len(texts)
-            real = [i for i, t in enumerate(texts) if _LETTER.search(t)] if m.languages else []
-            p = probabilities(m, [texts[i] for i in real]) if real else np.zeros((0, 1))
-            for i, row in zip(real, p, strict=True):
+            best, score, odd = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
+            real = [i for i, t in enumerate(texts) if has_letter(t)] if m.languages else []
+            p, far = probabilities(m, [texts[i] for i in real]) if real else (np.zeros((0, 1)), np.zeros(0))
+            for i, row, f in zip(real, p, far, strict=True):
                 j = int(row.argmax())
-                best[i], score[i] = m.languages[j], float(row[j])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+                best[i], score[i], odd[i] = m.languages[j], float(row[j]), bool(f > m.limit)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(odd)], names=[*b.schema.names, "lang_pred", "score", "strange"])
 
-    rest = [c for c in docs.columns if c not in (key, "text", "lang_pred", "score")]
+    rest = [c for c in docs.columns if c not in (key, "text", "lang_pred", "score", "strange")]
     kept = docs.select(key, "text", *rest)
     kinds = {f.name: f.dataType.simpleString() for f in kept.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept.columns), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept.columns), "lang_pred string", "score double", "strange boolean"])
     return kept.mapInArrow(run, schema)
 
 
