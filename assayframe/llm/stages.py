@@ -13,14 +13,18 @@ SURE = 0.3
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """Documents with a language: predicted with a probability of at least SURE.
+    """Documents in a learned language, ``lang`` being the predicted one.
 
-    Rejected are texts without letters or text, and those of which no language has that much.
+    Rejected are texts that are null or hold no letter, texts stranger than all
+    labelled ones (see ``langid``), and texts of which no language has a
+    calibrated probability of SURE.  Rows that repeat are judged alike; without
+    any labelled text nothing stays.
     """
     docs = docs.select(*COLUMNS)
     taught = docs.where(~langid.held_out(F.col("doc_id"))).select("text", "lang")
     found = langid.predict(docs, langid.fit(taught))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*COLUMNS)
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE) & ~F.col("strange"))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -29,7 +33,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents in which no window of the benchmark occurs."""
+    """Documents in which no window of the benchmark occurs; null and empty texts stay, rows that repeat are judged alike."""
     found = decontaminate.decontaminate(docs.select(*COLUMNS), items.select("item_id", "text"))
     return found.where(F.size("hits") == 0).select(*COLUMNS)
 
@@ -38,13 +42,14 @@ def mixed(docs: DataFrame) -> DataFrame:
     """The documents as the mix takes them: a row per document and pass.
 
     A document that a pass takes whole keeps its text; of one taken in part the
-    words taken stay, joined by single spaces.
+    words taken stay, joined by single spaces.  Rows that repeat are documents
+    of their own; null and empty texts are never taken.
     """
-    docs = docs.select(*COLUMNS)
-    mark = F.xxhash64("doc_id", "text")
-    pieces, _, _ = mixing.mix(docs.select(mark.alias("mark"), "text", "source"), key=("mark",))
-    per = pieces.groupBy("mark", "pass", "size").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list(F.struct("start", F.col("words").alias("n")))).alias("cuts"))
-    both = docs.withColumn("mark", mark).join(per, "mark")
+    docs = docs.select(*COLUMNS).withColumn("mark", F.xxhash64(*COLUMNS)).withColumn("mark2", F.xxhash64(F.lit(1), *COLUMNS))
+    key = ["mark", "mark2"]
+    pieces, _, _ = mixing.mix(docs.select(*key, "text", "source"), key=key)
+    per = pieces.groupBy(*key, "copy", "pass", "size").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list(F.struct("start", F.col("words").alias("n")))).alias("cuts"))
+    both = docs.dropDuplicates(key).join(per, key)
     words = F.regexp_extract_all("text", F.lit(f"({mixing.WORD})"), F.lit(1))
     some = F.flatten(F.transform("cuts", lambda c: F.slice(F.col("w"), (c["start"] + 1).cast("int"), c["n"].cast("int"))))
     whole = F.col("words") == F.col("size")
@@ -53,5 +58,5 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def sharded(docs: DataFrame) -> DataFrame:
-    """The documents with their shard."""
+    """The documents with their shard; rows without doc_id go to one shard, by the hash of null."""
     return sharding.place(docs.select(*COLUMNS), SHARDS).drop("slot")
