@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from assayframe.llm import stages
-from assayframe.llm._spark import saved, table
+from assayframe.llm._spark import saved, table, temporary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,6 +48,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
+    with temporary(spark) as last:
+        for _, stage in STAGES[:-1]:
+            with temporary(spark) as keep:  # what a stage writes on its way goes with it
+                docs = keep(saved(stage(spark, docs, sf_dir)))
+        last(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
