@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from assayframe.llm import chat, decontaminate, fingerprint, html, jaccard, langid, langmodel, mixing, secrets, sharding, stages
 from assayframe.llm._spark import table
 
@@ -136,5 +135,4 @@ def op10_chat_format(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_source_mix, op3_log_bilinear, op4_html_text, op5_lookup_shards, op6_sparse_langid, op7_secret_forest, op8_token_groups, op9_prefix_join, op10_chat_format)}
-QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {"op8_token_groups": OP8_SQL, "op9_prefix_join": OP9_SQL, "op10_chat_format": OP10_SQL}
