@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assayframe.operators.tables import discard, saved, shared_dir, temporary
 
-__all__ = ["ascii_lower", "bitmap", "discard", "in_bitmap", "saved", "shared_dir", "shuffle_partitions", "small_batches", "table", "temporary"]
+__all__ = ["ascii_lower", "bitmap", "discard", "fetched_bitmap", "in_bitmap", "saved", "shared_dir", "shuffle_partitions", "small_batches", "table", "temporary"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,6 +30,12 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) ->
 MAP_BITS = 1 << 22
 
 
+def _words(hashes: DataFrame, column: str) -> DataFrame:
+    at = F.pmod(F.col(column), F.lit(MAP_BITS))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    return hashes.groupBy(F.shiftright(at, 6).alias("id")).agg(F.bit_or(one).alias("bits"))
+
+
 def bitmap(hashes: DataFrame, column: str) -> DataFrame:
     """One row, ``bits``: a bitmap of MAP_BITS bits in which the hashes are set.
 
@@ -38,9 +44,14 @@ def bitmap(hashes: DataFrame, column: str) -> DataFrame:
     partners from being shuffled; where a very large table fills it, the join
     behind still picks the right ones.
     """
-    at = F.pmod(F.col(column), F.lit(MAP_BITS))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-    words = hashes.groupBy(F.shiftright(at, 6).alias("id")).agg(F.bit_or(one).alias("bits")).toArrow()  # MAP_BITS / 64 rows at most
+    # as each word, empty or not, has its place, the array can be looked into directly
+    every = hashes.sparkSession.range(0, MAP_BITS >> 6, 1, 1).join(_words(hashes, column), "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits"))
+
+
+def fetched_bitmap(hashes: DataFrame, column: str) -> DataFrame:
+    """The same by way of the driver, in fewer stages; not for native operators."""
+    words = _words(hashes, column).toArrow()  # MAP_BITS / 64 rows at most
     every = np.zeros(MAP_BITS >> 6, np.int64)
     every[words.column("id").to_numpy()] = words.column("bits").to_numpy()
     return hashes.sparkSession.createDataFrame(pa.table({"bits": pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), pa.array(every))}))

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayframe.llm._spark import bitmap, discard, in_bitmap, saved, shuffle_partitions, small_batches, temporary
+from assayframe.llm._spark import discard, fetched_bitmap, in_bitmap, saved, shuffle_partitions, small_batches, temporary
 from assayframe.llm._text import mix64, sets_of
 from assayframe.llm.components import components
 
@@ -276,7 +276,7 @@ def may_hold(column: np.ndarray, low: int, high: int, q: np.ndarray, t: Threshol
 
 def only_named(rows: DataFrame, column: str, named: DataFrame) -> DataFrame:
     """The rows whose number is in ``named(id)``, and few others."""
-    table = bitmap(named.select(F.xxhash64("id").alias("hash")), "hash")
+    table = fetched_bitmap(named.select(F.xxhash64("id").alias("hash")), "hash")
     return rows.join(F.broadcast(table), in_bitmap(F.xxhash64(column)), "left_semi")
 
 
