@@ -75,7 +75,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, shingle
     read = docs.select(*marks, words_of(F.col("text")).alias("w"))
     read = read.withColumn("n", F.size("w")).where("n > 0")
     place = "array<struct<start:int,len:int,text:string>>"
-    found = docs.sparkSession.createDataFrame([], "mark long, mark2 long, start int, len int, text string")
+    found = table.select(F.lit(0).cast("long").alias("mark"), F.lit(0).cast("long").alias("mark2"), F.lit(0).alias("start"), "len", "text").where("false")
     for g in grams:
         part = table.where(F.col("gram") == g).select("hash", "off", "len", "text")
         at = read.select(*both, "n", F.posexplode(_grams(F.col("w"), F.col("n"), g)).alias("pos", "hash"))
