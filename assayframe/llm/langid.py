@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayframe.llm._spark import small_batches
+from assayframe.llm._spark import saved, small_batches
 from assayframe.llm._text import row_chunks
 
 BITS, ORDERS = 17, 3
@@ -118,8 +118,14 @@ def training_sample(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_C
     a language are taken, but for the rest of its last text.
     """
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("k"))
-    kinds = rows.groupBy("lang", "h", "k").agg(F.max(F.char_length("text")).alias("n"))
-    order = Window.partitionBy("lang").orderBy("h", "k")
+    kinds = saved(rows.groupBy("lang", "h", "k").agg(F.max(F.char_length("text")).alias("n")))
+    # only texts of a hash so low that four times the sample is expected are ranked
+    held = {r["lang"]: r["n"] for r in kinds.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language of the model
+    if not held:
+        return []
+    cut = F.create_map(*[F.lit(x) for lang, n in held.items() for x in (lang, min(1_000_003, 4 * sample * 1_000_003 // n + 1))])
+    kinds = kinds.where(F.pmod("h", F.lit(1_000_003)) < F.element_at(cut, F.col("lang")))
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1_000_003)), "h", "k")
     first = kinds.withColumn("i", F.row_number().over(order)).where(F.col("i") <= sample)
     behind = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = first.withColumn("before", behind).where(F.col("before") < chars).select("lang", "h", "k")
