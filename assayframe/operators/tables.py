@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_scopes: list[list[str]] = []
+#: the open scopes of this thread, outermost first; queries of other threads have their own
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,15 +35,21 @@ def saved(df: DataFrame) -> DataFrame:
     Cuts the lineage; the files survive the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new place in the shared folder; what is written there goes with the innermost scope of ``temporary``."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    if scopes := _scopes.get():
+        scopes[-1].append(path)
+    return path
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``saved`` wrote and nothing reads any more."""
     _delete(df.sparkSession, df._saved_at)
@@ -62,14 +70,15 @@ def temporary(spark: SparkSession):
         kept.add(df._saved_at)
         return df
 
-    _scopes.append(own)
+    outer = _scopes.get()
+    token = _scopes.set((*outer, own))
     try:
         yield keep
     finally:
-        _scopes.remove(own)
+        _scopes.reset(token)
         for place in own:
             if place in kept:
-                if _scopes:
-                    _scopes[-1].append(place)
+                if outer:
+                    outer[-1].append(place)
             else:
                 _delete(spark, place)
