@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.operators.tables import discard, saved, shared_dir, temporary
+from assayframe.operators.tables import discard, saved, scratch, shared_dir, temporary
 
-__all__ = ["ascii_lower", "bitmap", "discard", "fetched_bitmap", "in_bitmap", "saved", "shared_dir", "shuffle_partitions", "small_batches", "table", "temporary"]
+__all__ = ["ascii_lower", "bitmap", "discard", "fetched_bitmap", "in_bitmap", "salted", "saved", "scratch", "shared_dir", "shuffle_partitions", "small_batches", "table", "temporary"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -75,3 +75,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def salted(df: DataFrame, key: list[str]) -> DataFrame:
+    """``df`` with ``salt``, which deals the rows of frequent keys into subgroups.
+
+    A key of more rows than a quarter of a shuffle partition's share gets as
+    many salts as it takes to keep its subgroups within that; all others have
+    salt 0.  There are at most four such keys a partition, so their list may be
+    broadcast.  Rows of one key take salts in turn.
+    """
+    most = max(1, df.count() // (4 * shuffle_partitions(df.sparkSession)))
+    often = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    often = often.withColumn("_n", F.ceil(F.col("_n") / most).cast("long"))
+    return df.join(F.broadcast(often), key, "left").withColumn("salt", F.when(F.col("_n").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("_n"))).otherwise(0)).drop("_n")

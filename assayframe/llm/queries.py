@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayframe.llm import chat, decontaminate, fingerprint, html, jaccard, langid, langmodel, mixing, secrets, sharding, stages
-from assayframe.llm._spark import table
+from assayframe.llm import chat, decontaminate, fingerprint, html, infill, jaccard, langid, langmodel, mixing, planes, repair, secrets, sharding, stages
+from assayframe.llm._spark import saved, scratch, table, temporary
 
 
 def op1_order_minhash(spark, sf_dir):
@@ -134,5 +134,52 @@ def op10_chat_format(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_source_mix, op3_log_bilinear, op4_html_text, op5_lookup_shards, op6_sparse_langid, op7_secret_forest, op8_token_groups, op9_prefix_join, op10_chat_format)}
-ORACLES: dict[str, str] = {"op8_token_groups": OP8_SQL, "op9_prefix_join": OP9_SQL, "op10_chat_format": OP10_SQL}
+def op11_infill_index(spark, sf_dir):
+    """Fill-in-the-middle cut of every text, with digests of its output and of the text rebuilt from it."""
+    out = infill.infilled(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        digest(F.col("output")).alias("output_sha256"), digest(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+s AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+             CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM s),
+p AS (SELECT *, left(t, a) AS x, substr(t, a + 1, b - a) AS y, substr(t, b + 1) AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def op12_trie_repair(spark, sf_dir):
+    """Faults and cheapest repair of every damaged conversation."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    with temporary(spark) as keep:
+        found = repair.repaired(repair.damaged(turns)).withColumn("whole", repair.written(F.col("rows"))).withColumn("there", F.lit(True))
+        every = turns.select(F.col("conv_id").alias("id")).distinct().join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+        return keep(saved(every.select(
+            F.col("id").alias("conv_id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+            F.sha2(F.encode(F.coalesce("whole", F.lit("")), "UTF-8"), 256).alias("repaired_sha256"),
+        )))
+
+
+def op13_id_planes(spark, sf_dir):
+    """Place, size and checksum of every document's token ids, read back from the files written."""
+    import public_tokenizers
+
+    with temporary(spark) as keep:
+        place = scratch(spark)
+        planes.write(table(spark, sf_dir, "documents"), place, public_tokenizers.path("word_bpe_49k.json"), end=2)
+        return keep(saved(planes.read(spark, place).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_source_mix, op3_log_bilinear, op4_html_text, op5_lookup_shards, op6_sparse_langid, op7_secret_forest, op8_token_groups, op9_prefix_join, op10_chat_format, op11_infill_index, op12_trie_repair, op13_id_planes)}
+ORACLES: dict[str, str] = {"op8_token_groups": OP8_SQL, "op9_prefix_join": OP9_SQL, "op10_chat_format": OP10_SQL, "op11_infill_index": OP11_SQL}
