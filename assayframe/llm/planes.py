@@ -18,9 +18,11 @@ Spark can write and only whole; it ends each with a line feed, which is part of
 the format.  A range's files are cut at about ``FILE`` bytes, at documents.
 
 Encoding: the tokenizer's file is loaded once a worker.  Where its pieces never
-hold white space, a text's words are encoded each and remembered (``KNOWN`` of
-them), which gives the same ids as the text encoded whole; otherwise, each text
-is encoded whole.
+hold white space, the different words of a batch are encoded and put together
+again, which gives the same ids as the texts encoded whole; where it also parts
+letters from marks and folds capitals, a word is looked up among ``KNOWN``
+others without its end marks and capitals.  Otherwise, each text is encoded
+whole.
 
 Defined cases: a null text is empty and has the end id only; rows without a key
 come first; rows of one key follow the hash of their text; an empty table gives
@@ -30,6 +32,7 @@ that one row holds.
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import zlib
@@ -37,6 +40,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,7 +48,8 @@ from pyspark.sql import functions as F
 
 from assayframe.llm._spark import small_batches
 
-CHUNK, FILE, KNOWN, LONG, TOGETHER = 1 << 16, 16 << 20, 200_000, 64, 1 << 20
+CHUNK, FILE, KNOWN, LONG, TOGETHER = 1 << 16, 8 << 20, 600_000, 64, 8 << 20
+MARKS = '.,;:!?%&#*()"$-'
 MAGIC = b"IDPLANES"
 #: range, file of the range, ids of the range before the file, ids, documents, chunks, ids a chunk, bits a plane, place of the documents, place of the index
 FOOTER = struct.Struct("<10Q8s")
@@ -60,30 +65,62 @@ class Encoder:
 
         self.tokenizer, self.end = Tokenizer.from_file(path), struct.pack("<I", end)
         self.known: dict[str, bytes] = {}
+        self.by_word, self.parted, self.folded = self._habits()
+
+    def _habits(self) -> tuple[bool, bool, bool]:
+        """Whether pieces never hold white space, whether letters and marks are parted, whether A-Z is folded."""
+        cut, norm = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+        pieces = lambda t: [(a, b) for _, (a, b) in cut.pre_tokenize_str(t)]
         probe = " a  b\n\nc's 'll 12  ?! "
-        cut = self.tokenizer.pre_tokenizer
-        self.by_word = cut is not None and not any(c in " \n" for _, (a, b) in cut.pre_tokenize_str(probe) for c in probe[a:b])
+        by_word = cut is not None and not any(c in " \n" for a, b in pieces(probe) for c in probe[a:b])
+        parted = by_word and all(pieces(f"ab{m}{m}") == [(0, 2), (2, 4)] for m in MARKS)
+        return by_word, parted, by_word and norm is not None and norm.normalize_str("AbZ") == "abz"
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return [x + self.end for x in self._ids(texts)]
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        every = set().union(*words)
-        fresh = [w for w in every if w not in self.known]
-        if len(self.known) + len(fresh) > KNOWN:
-            self.known, fresh = {}, list(every)
-        for lo in range(0, len(fresh), 1000):
-            part = fresh[lo : lo + 1000]
-            self.known.update(zip(part, self._ids(part), strict=True))
-        out = [b"".join([*map(self.known.__getitem__, w), self.end]) for w in words]
-        for w in fresh:
+        return [array("I", e.ids).tobytes() for lo in range(0, len(texts), 1000) for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 1000], add_special_tokens=False)]
+
+    def _parts(self, word: str) -> tuple[str, str]:
+        """A word without its end marks, folded, and the marks."""
+        core = word.rstrip(MARKS) if self.parted else word
+        if not core or not core[-1].isalpha():
+            core = word
+        return (core.lower() if self.folded and core.isascii() else core), word[len(core) :]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of different words."""
+        out = list(map(self.known.get, words))
+        cut = [(i, *self._parts(words[i])) for i, x in enumerate(out) if x is None]
+        every = {x for p in cut for x in p[1:]}
+        new = list(every.difference(self.known))
+        if len(self.known) + len(new) > KNOWN:  # what is needed now stays
+            self.known = {w: self.known[w] for w in every.union(words) if w in self.known}
+        self.known.update(zip(new, self._ids(new), strict=True))
+        for i, core, marks in cut:
+            out[i] = self.known[core] + self.known[marks]
+        for w in new:
             if len(w) > LONG:
                 del self.known[w]
         return out
 
+    def encoded(self, texts: pa.Array) -> list[bytes]:
+        if not self.by_word:
+            return [x + self.end for x in self._ids(texts.to_pylist())]
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        gc.disable()  # nothing here makes cycles, and collections would visit all that is remembered
+        try:
+            ids = [*self._words(coded.dictionary.to_pylist()), self.end]
+        finally:
+            gc.enable()
+        at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        words = np.insert(coded.indices.to_numpy(), at[1:], len(ids) - 1)  # the end id behind each text
+        size = np.array([len(x) // 4 for x in ids])
+        first, each = np.cumsum(size) - size, size[words]
+        place = np.cumsum(each) - each
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.arange(each.sum()) + np.repeat(first[words] - place, each)].tobytes()
+        ends = 4 * np.cumsum(each)[at[1:] + np.arange(len(texts))]
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
 
 _encoders: dict[tuple, Encoder] = {}
 
@@ -241,14 +278,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, key: str = "doc_
     def run(batches):
         encoder, writer = _encoder(tokenizer, end), Writer(TaskContext.get().partitionId(), bits)
         for b in batches:
-            keys, texts = b.column("key").to_pylist(), b.column("text").to_pylist()
+            keys, texts = b.column("key").to_pylist(), b.column("text")
+            sizes = np.cumsum([0, *pc.binary_length(texts).to_pylist()])
             at = 0
             while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and (stop == at or size + len(texts[stop]) <= TOGETHER):
-                    size += len(texts[stop])
-                    stop += 1
-                for k, ids in zip(keys[at:stop], encoder.encoded(texts[at:stop]), strict=True):
+                stop = max(at + 1, int(np.searchsorted(sizes, sizes[at] + TOGETHER, side="right")) - 1)
+                for k, ids in zip(keys[at:stop], encoder.encoded(texts.slice(at, stop - at)), strict=True):
                     writer.add(k, ids)
                     if writer.full():
                         yield pa.RecordBatch.from_arrays([pa.array([writer.close()], pa.binary())], ["file"])

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from conftest import DATA
@@ -71,8 +72,6 @@ def test_infilled_by_definition(spark, odd, rate, spm):
 
 def test_infill_index_once_a_text(spark, monkeypatch):
     """Half of all rows hold one text: it is dealt out, and each task lists its boundaries once."""
-    import pyarrow as pa
-
     made = []
     real = infill.Boundaries
     monkeypatch.setattr(infill, "Boundaries", lambda t: made.append(t) or real(t))
@@ -223,7 +222,8 @@ def test_encoder_gives_the_ids_of_whole_texts(spark, name, monkeypatch):
     texts = [r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()] + [t or "" for _, t in ODD]
     for known in (planes.KNOWN, 50):
         monkeypatch.setattr(planes, "KNOWN", known)
-        got = [x for at in range(0, len(texts), 40) for x in encoder.encoded(texts[at : at + 40])]
+        got = [x for at in range(0, len(texts), 40) for x in encoder.encoded(pa.array(texts[at : at + 40]))]
+        assert encoder.encoded(pa.array(texts).slice(3, 2)) == got[3:5]
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids_of(t, whole) for t in texts]
 
 
