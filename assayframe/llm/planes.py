@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from assayframe.llm._spark import small_batches
 
-CHUNK, FILE, KNOWN, LONG, TOGETHER = 1 << 16, 8 << 20, 600_000, 64, 8 << 20
+CHUNK, FILE, KNOWN, LONG, TOGETHER = 1 << 16, 8 << 20, 600_000, 64, 4 << 20
 MARKS = '.,;:!?%&#*()"$-'
 MAGIC = b"IDPLANES"
 #: range, file of the range, ids of the range before the file, ids, documents, chunks, ids a chunk, bits a plane, place of the documents, place of the index
@@ -116,8 +116,9 @@ class Encoder:
         words = np.insert(coded.indices.to_numpy(), at[1:], len(ids) - 1)  # the end id behind each text
         size = np.array([len(x) // 4 for x in ids])
         first, each = np.cumsum(size) - size, size[words]
-        place = np.cumsum(each) - each
-        flat = np.frombuffer(b"".join(ids), "<u4")[np.arange(each.sum()) + np.repeat(first[words] - place, each)].tobytes()
+        kind = np.int32 if (total := int(each.sum())) < 1 << 31 else np.int64
+        shift = (first[words] - (np.cumsum(each) - each)).astype(kind)
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.arange(total, dtype=kind) + np.repeat(shift, each)].tobytes()
         ends = 4 * np.cumsum(each)[at[1:] + np.arange(len(texts))]
         return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
