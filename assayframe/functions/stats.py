@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayframe.operators import ordered
+from assayframe.operators.tables import saved
+
 NAN = float("nan")
-RANK_BUCKETS = 64
 
 
 def pearson(x: str, y: str) -> Column:
@@ -23,46 +25,63 @@ def mean(x: str | Column) -> Column:
 
 
 def average_ranks(df: DataFrame, col: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """``df`` with the average rank of ``col`` within ``by``, ties sharing theirs.
+    """``df`` with the average rank of ``col`` within ``by``, ties sharing theirs; rows without a value drop out.
 
-    Ranks come from counts of distinct values: a running sum over buckets cut at
-    the values' quantiles and one inside each bucket, so no window holds all
-    values and skewed ones are spread like others.
+    The different values are numbered over ranges (see ``ordered``), so ties
+    are one row there and never lie on both sides of an edge.
     """
     by = by or []
-    counts = df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n"))
-    shares = [i / RANK_BUCKETS for i in range(1, RANK_BUCKETS)]
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(col, shares, F.lit(10 * RANK_BUCKETS)).alias("_cuts"))
-    counts = counts.join(cuts, by) if by else counts.crossJoin(F.broadcast(cuts))
-    counts = counts.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(col)))).drop("_cuts")
-    total = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_t"))
-    over = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = total.select(*by, "_b", F.coalesce(F.sum("_t").over(over), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*by, "_b").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.join(base, [*by, "_b"]).select(
-        *by, col, (F.col("_base") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(out)
-    )
-    return df.join(ranks, [*by, col])
+    places = ordered.value_places(df.where(F.col(col).isNotNull()), by, col)
+    return df.join(places.select(*by, col, _rank().alias(out)), [*by, col])
+
 
+def _rank() -> Column:
+    return F.col("before") + (F.col("n") + 1) / 2.0
 
-def metric_block(df: DataFrame, model: str, human: str, by: list[str] | None = None, extra: dict[str, Column] | None = None, errors: tuple[str, str] | None = None) -> DataFrame:
-    """n, pearson, spearman, mae, mse and rmse of two columns, and further aggregates.
 
-    Errors are those of the columns ``errors``, where they are others.
+def metric_block(df: DataFrame, model: str, human: str, by: list[str] | None = None, extra: dict[str, Column] | None = None, errors: tuple[str, str] | None = None, weight: str | None = None) -> DataFrame:
+    """n, pearson, spearman, mae, mse and rmse of two columns, and the means of further columns.
+
+    Errors are those of the columns ``errors``, where they are others.  A row
+    counts ``weight`` times.  Rows without both values drop out.
+
+    Rows are counted by their pair of values once; moments and ranks are taken
+    from the pairs with their weights, moments about the means.
     """
-    by = by or []
-    rows = df.withColumn("_m", F.col(model)).withColumn("_h", F.col(human))
-    rows = average_ranks(average_ranks(rows, "_m", "_rm", by), "_h", "_rh", by)
-    a, b = (F.col(c) for c in errors or ("_m", "_h"))
-    out = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        pearson("_m", "_h").alias("pearson"),
-        pearson("_rm", "_rh").alias("spearman"),
-        mean(F.abs(a - b)).alias("mae"),
-        mean(F.pow(a - b, 2)).alias("mse"),
-        *[c.alias(k) for k, c in (extra or {}).items()],
+    by, extra = by or [], extra or {}
+    a, b = (F.col(c) for c in errors or (model, human))
+    w = F.col(weight) if weight else F.lit(1)
+    known = lambda c: F.sum(F.when(c.isNotNull(), w))
+    rows = df.where(F.col(model).isNotNull() & F.col(human).isNotNull())
+    sums = {"abs": F.abs(a - b), "sq": F.pow(a - b, 2), **{f"x_{k}": c.cast("double") for k, c in extra.items()}}
+    pairs = rows.groupBy(*by, F.col(model).alias("_m"), F.col(human).alias("_h")).agg(
+        F.sum(w).cast("long").alias("_n"), *[F.sum(c * w).alias(f"_s_{k}") for k, c in sums.items()], *[known(c).alias(f"_c_{k}") for k, c in sums.items()]
+    )
+    pairs = saved(pairs)
+    sides = F.explode(F.array(F.struct(F.lit("m").alias("_side"), F.col("_m").cast("double").alias("_v")), F.struct(F.lit("h").alias("_side"), F.col("_h").cast("double").alias("_v"))))
+    places = ordered.value_places(pairs.select(*by, "_n", sides.alias("_x")).select(*by, "_n", "_x.*"), [*by, "_side"], "_v", "_n")
+    ranks = lambda side: places.where(F.col("_side") == side).select(*by, F.col("_v").alias(f"_{side}d"), _rank().alias(f"_r{side}"))
+    total = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("_pairs"), F.sum("_n").alias("n"), *[(F.sum(F.col(c) * F.col("_n")) / F.sum("_n")).alias(f"{c}_mean") for c in ("_m", "_h")], *[(F.min(c) == F.max(c)).alias(f"{c}_flat") for c in ("_m", "_h")])
+    both = ordered.shared_out(pairs, total, by, "_pairs") if by else pairs.crossJoin(F.broadcast(total))
+    both = both.withColumns({"_md": F.col("_m").cast("double"), "_hd": F.col("_h").cast("double")})
+    both = both.join(ranks("m"), [*by, "_md"]).join(ranks("h"), [*by, "_hd"])
+    middle = (F.col("n") + 1) / 2.0
+    off = {"m": F.col("_m") - F.col("_m_mean"), "h": F.col("_h") - F.col("_h_mean"), "rm": F.col("_rm") - middle, "rh": F.col("_rh") - middle}
+    moment = lambda x, y: F.sum(off[x] * off[y] * F.col("_n"))
+    out = both.groupBy(*by).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n"),
+        F.first("_m_flat").alias("_m_flat"), F.first("_h_flat").alias("_h_flat"),
+        *[moment(x, y).alias(f"_{x}{y}") for x, y in (("m", "m"), ("h", "h"), ("m", "h"), ("rm", "rm"), ("rh", "rh"), ("rm", "rh"))],
+        *[(F.sum(f"_s_{k}") / F.sum(f"_c_{k}")).alias(f"_a_{k}") for k in sums],
+    )
+    flat = (F.col("n") < 2) | F.col("_m_flat") | F.col("_h_flat")
+    correlation = lambda xy, xx, yy: F.when(flat, F.lit(NAN)).otherwise(F.coalesce(F.try_divide(F.col(xy), F.sqrt(F.col(xx) * F.col(yy))), F.lit(NAN)))
+    average = lambda k: F.coalesce(f"_a_{k}", F.lit(NAN))
+    return out.select(
+        *by, "n",
+        correlation("_mh", "_mm", "_hh").alias("pearson"), correlation("_rmrh", "_rmrm", "_rhrh").alias("spearman"),
+        average("abs").alias("mae"), average("sq").alias("mse"), *[F.col(f"_a_x_{k}").alias(k) for k in extra], F.sqrt(average("sq")).alias("rmse"),
     )
-    return out.withColumn("rmse", F.sqrt("mse"))
 
 
 def vote_counts(votes: DataFrame) -> DataFrame:
@@ -187,11 +206,66 @@ def split_half(votes: DataFrame, iterations: int = 10, seed: int = 13) -> DataFr
     it has annotators) and all iterations drawn from them.
     """
     rows = votes.groupBy("row_id").agg(F.collect_list(F.struct("annotator", "score")).alias("v")).where(F.size("v") >= 2)
-    key = lambda i, x: F.md5(F.concat_ws(":", F.lit(seed).cast("string"), i.cast("string"), F.col("row_id").cast("string"), x["annotator"]))
-    mean_of = lambda part: F.aggregate(part, F.lit(0.0), lambda s, x: s + x["score"]) / F.size(part)
     rows = rows.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    return _halves(_ordered_halves(rows, seed).withColumn("w", F.lit(1)))
+
+
+def _mean_of(part: Column, score=lambda x: x["score"]) -> Column:
+    return F.aggregate(part, F.lit(0.0), lambda s, x: s + score(x)) / F.size(part)
+
+
+def _ordered_halves(rows: DataFrame, seed: int) -> DataFrame:
+    """iteration, x, y: the halves' means of ``rows(iteration, row_id, v)``, votes in the order of their digests."""
+    key = lambda i, x: F.md5(F.concat_ws(":", F.lit(seed).cast("string"), i.cast("string"), F.col("row_id").cast("string"), x["annotator"]))
     drawn = rows.withColumn("v", F.array_sort(F.transform("v", lambda x: F.struct(key(F.col("iteration"), x).alias("k"), x["annotator"].alias("annotator"), x["score"].alias("score")))))
     half = F.floor(F.size("v") / 2).cast("int")
-    halves = drawn.select("iteration", "row_id", mean_of(F.slice("v", F.lit(1), half)).alias("x"), mean_of(F.slice("v", half + 1, F.size("v") - half)).alias("y"))
-    out = metric_block(halves, "x", "y", ["iteration"]).select("iteration", "n", "pearson", "spearman")
+    return drawn.select("iteration", _mean_of(F.slice("v", F.lit(1), half)).alias("x"), _mean_of(F.slice("v", half + 1, F.size("v") - half)).alias("y"))
+
+
+def _halves(cells: DataFrame) -> DataFrame:
+    """The reliability of each iteration's cells (iteration, x, y, w)."""
+    cells = cells.groupBy("iteration", "x", "y").agg(F.sum("w").alias("w"))  # so that means are worked out once
+    out = metric_block(cells, "x", "y", ["iteration"], weight="w").select("iteration", "n", "pearson", "spearman")
     return out.withColumn("reliability", 2 * F.col("pearson") / (1 + F.col("pearson")))
+
+
+LATTICE = 10  # votes; rows of more are split by the order of digests
+
+
+def half_masks(n: int) -> list[int]:
+    """All choices of floor(n/2) of n votes as bit masks, ascending; bit i stands for vote i."""
+    return [m for m in range(1 << n) if m.bit_count() == n // 2]
+
+
+def split_half_lattice(votes: DataFrame, iterations: int = 1000, seed: int = 13, most: int = LATTICE) -> DataFrame:
+    """``split_half`` for many iterations: of a row's halvings one is drawn at once.
+
+    A row of n votes (in the order of their annotators) has C(n, n/2) halvings;
+    iteration i takes the one numbered by the eight digits from 8 * (i % 4) of
+    md5('seed:i/4:row') modulo their number, in ascending order of bit masks.
+    What a halving gives depends on the scores alone, so draws are counted by
+    (iteration, scores, number) within each task and halves are taken of those
+    counts: the lattice of different pairs of means, with weights, is all that
+    is shuffled and ranked.  Rows of more than ``most`` votes have too many
+    halvings to list and are split as in ``split_half``.
+    """
+    if not 2 <= most <= 16:
+        raise ValueError("most must be from 2 to 16")
+    rows = votes.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("annotator", "score"))).alias("v")).where(F.size("v") >= 2)
+    rows = saved(rows)
+    every = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration")
+    few = rows.where(F.size("v") <= most).select("row_id", F.transform("v", lambda x: x["score"]).alias("s"), F.size("v").alias("n"))
+    listed = [(n, k, m, len(half_masks(n))) for n in range(2, most + 1) for k, m in enumerate(half_masks(n))]
+    table = votes.sparkSession.createDataFrame(listed, "n int, k int, mask int, choices int")  # bounded by most
+    few = few.join(F.broadcast(table.where("k = 0").select("n", "choices")), "n").withColumn("four", F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // 4))))
+    few = few.withColumn("digest", F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("four").cast("string"), F.col("row_id").cast("string"))))
+    number = lambda g: (F.conv(F.substring("digest", 8 * g + 1, 8), 16, 10).cast("long") % F.col("choices")).cast("int")
+    few = few.select("s", "n", "four", F.posexplode(F.array(*[number(g) for g in range(4)])).alias("g", "k"))
+    few = few.withColumn("iteration", F.col("four") * 4 + F.col("g")).where(F.col("iteration") < iterations)
+    drawn = few.groupBy("iteration", "s", "n", "k").agg(F.count(F.lit(1)).alias("w"))
+    drawn = drawn.join(F.broadcast(table.select("n", "k", "mask")), ["n", "k"])
+    bit = lambda i: F.call_function("getbit", F.col("mask"), i)
+    part = lambda b: F.filter("s", lambda x, i: bit(i) == b)
+    cells = drawn.select("iteration", _mean_of(part(1), lambda x: x).alias("x"), _mean_of(part(0), lambda x: x).alias("y"), "w")
+    many = _ordered_halves(rows.where(F.size("v") > most).select("row_id", "v", every), seed).withColumn("w", F.lit(1).cast("long"))
+    return _halves(cells.unionByName(many))

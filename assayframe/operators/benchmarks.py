@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.functions import expressions as X
 from assayframe.functions import stats
+from assayframe.operators import ordered
 from assayframe.operators import predictions as P
 from assayframe.operators import votes as V
+from assayframe.operators.tables import saved
 
 
 def checked_join(predictions: DataFrame, manifest: DataFrame, key: str = "row_id") -> DataFrame:
@@ -33,7 +35,7 @@ def emotion_metrics(predictions: DataFrame, vote_rows: DataFrame, error_scale: s
     human = V.majority(vote_rows)
     suffix = F.col("suffix") if "suffix" in predictions.columns else F.lit("0_10")
     rows = predictions.join(human, "row_id").withColumn("_s", P.on_one_scale(F.col("score"), suffix, F.col("mean"), error_scale))
-    hit = lambda label: F.avg((F.col("score") == P.comparable(label, suffix)).cast("double"))
+    hit = lambda label: (F.col("score") == P.comparable(label, suffix)).cast("double")
     rows = rows.withColumns({"_em": F.col("_s.error_model"), "_eh": F.col("_s.error_human"), "_model": F.col("_s.model_0_10"), "_human": F.col("_s.human_0_10")})
     extra = {"accuracy_majority": hit(F.col("majority")), "accuracy_rounded": hit(V.rounded(F.col("mean")))}
     return stats.metric_block(rows, "_model", "_human", extra=extra, errors=("_em", "_eh"))
@@ -74,28 +76,34 @@ def nearest_prompts(utterances: DataFrame, least: float = 8.0, ideal: float = 12
     Nobody is compared with a whole group: all but one utterance prompt with one
     of the group's best class (short or not, gap to the ideal), found among
     their neighbours in time; where that class is a single utterance, that one
-    takes the nearest of the second class.
+    takes the nearest of the second class.  Neighbours are found by number: the
+    times of a group at which the best class speaks are numbered over ranges
+    (see ``ordered``), and each time meets the numbers next to it in a join, so
+    a group of any size is split.
     """
     group = ["talk", "speaker"]
     rows = utterances.select("id", *group, "start", F.struct((F.col("duration") < least).alias("short"), F.abs(F.col("duration") - ideal).alias("gap")).alias("kind"))
     kinds = rows.groupBy(*group, "kind").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("one"))
-    best = kinds.groupBy(*group).agg(F.min(F.struct("kind", "n", "one")).alias("b")).select(*group, F.col("b.kind").alias("best"), F.col("b.n").alias("n"), F.col("b.one").alias("one"))
-    rows = rows.join(best, group)
-    single = rows.where((F.col("n") == 1) & (F.col("id") != F.col("one"))).select("id", F.col("one").alias("prompt_id"))
+    best = kinds.groupBy(*group).agg(F.min(F.struct("kind", "n", "one")).alias("b"), F.sum("n").alias("of")).select(*group, F.col("b.kind").alias("best"), F.col("b.n").alias("n"), F.col("b.one").alias("one"), "of")
+    rows = saved(ordered.shared_out(rows, best, group, "of"))
+    alone = F.col("n") == 1
+    single = rows.where(alone & (F.col("id") != F.col("one"))).select("id", F.col("one").alias("prompt_id"))
     # the lone best itself: one row a group meets the group's second class
-    second = kinds.join(best.where("n = 1"), group).where("kind > best").groupBy(*group).agg(F.min("kind").alias("next"))
-    lone = rows.where((F.col("n") == 1) & (F.col("id") == F.col("one"))).join(second, group).select(*group, F.col("id").alias("_id"), F.col("start").alias("_s"), "next")
-    near = rows.select(*group, "id", "start", "kind").join(lone, group).where("kind = next")
+    second = rows.where(alone & (F.col("kind") > F.col("best"))).groupBy(*group, "kind").agg(F.count(F.lit(1)).alias("n")).groupBy(*group).agg(F.min(F.struct("kind", "n")).alias("b"))
+    lone = rows.where(alone & (F.col("id") == F.col("one"))).join(second, group).select(*group, F.col("id").alias("_id"), F.col("start").alias("_s"), F.col("b.kind").alias("kind"), F.col("b.n").alias("of"))
+    near = ordered.shared_out(rows.where(alone).select(*group, "id", "start", "kind"), lone, [*group, "kind"], "of")
     lone = near.groupBy(F.col("_id").alias("id")).agg(F.min_by("id", F.struct(F.abs(F.col("start") - F.col("_s")), "start", "id")).alias("prompt_id"))
     # several of the best class: the nearest times before and after, or at the same time
-    many = rows.where("n > 1").withColumn("mine", F.when(F.col("kind") == F.col("best"), F.col("id")))
-    times = many.groupBy(*group, "start").agg(F.min("mine").alias("a"))
-    other = many.join(times, [*group, "start"]).where("mine > a").groupBy(*group, "start").agg(F.min("mine").alias("b"))
-    at = F.when(F.col("a").isNotNull(), F.struct("start", F.col("a").alias("id")))
-    before = Window.partitionBy(*group).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*group).orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, -1)
-    times = times.withColumn("p", F.last(at, ignorenulls=True).over(before)).withColumn("q", F.last(at, ignorenulls=True).over(after)).join(other, [*group, "start"], "left")
-    many = many.join(times, [*group, "start"])
+    at = [*group, "start"]
+    many = rows.where(~alone).select("id", *at, F.when(F.col("kind") == F.col("best"), F.col("id")).alias("mine"))
+    times = many.groupBy(*at).agg(F.min("mine").alias("a"), F.count(F.lit(1)).alias("of"), F.count("mine").alias("with"))
+    other = ordered.shared_out(many.where("mine IS NOT NULL"), times.where("with > 1").select(*at, "a", "of"), at, "of").where("mine > a").groupBy(*at).agg(F.min("mine").alias("b"))
+    times = ordered.running(times.withColumn("w", F.col("a").isNotNull().cast("long")), group, ["start"], "w", "k").join(other, at, "left")
+    spoken = times.where("w = 1")
+    before = spoken.select(*group, (F.col("k") + 1).alias("k"), F.struct("start", F.col("a").alias("id")).alias("p"))
+    after = spoken.select(*group, F.col("k").alias("l"), F.struct("start", F.col("a").alias("id")).alias("q"))
+    times = times.withColumn("l", F.col("k") + F.col("w")).join(before, [*group, "k"], "left").join(after, [*group, "l"], "left")
+    many = ordered.shared_out(many.select("id", *at), times.select(*at, "a", "b", "p", "q", "of"), at, "of")
     here = F.when(F.col("a").isNotNull() & (F.col("a") != F.col("id")), F.col("a")).otherwise(F.col("b"))
     back, ahead = F.col("start") - F.col("p.start"), F.col("q.start") - F.col("start")
     aside = F.when(F.col("q").isNull() | (F.col("p").isNotNull() & (back <= ahead)), F.col("p.id")).otherwise(F.col("q.id"))
@@ -128,13 +136,14 @@ def word_errors(pairs: DataFrame) -> DataFrame:
     return rows.withColumn("n_reference", F.size("_r").cast("long")).withColumn("n_hypothesis", F.size("_h").cast("long")).withColumn("wer", X.error_rate(F.col("edits"), F.col("_r"), F.col("_h"))).drop("_r", "_h")
 
 
-def by_split(pairs: DataFrame) -> DataFrame:
-    """Per split and for 'all': n, mean and median of source, synthetic and delta word error rates."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for c in ("source", "synthetic", "delta"):
-        aggs += [F.avg(c).alias(f"mean_{c}"), F.median(c).alias(f"median_{c}")]
-    out = pairs.rollup("split").agg(F.grouping("split").alias("_all"), *aggs)
-    return out.withColumn("split", F.when(F.col("_all") == 1, "all").otherwise(F.col("split"))).drop("_all")
+def by_split(pairs: DataFrame, columns: tuple[str, ...] = ("source", "synthetic", "delta")) -> DataFrame:
+    """Per split and for 'all': n, mean and exact median of each column."""
+    out = pairs.rollup("split").agg(F.grouping("split").cast("int").alias("_all"), F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in columns])
+    twice = pairs.select(F.explode(F.array(F.struct("split", F.lit(0).alias("_all")), F.struct(F.lit(None).cast("string").alias("split"), F.lit(1).alias("_all")))).alias("_k"), *columns)
+    middle = ordered.medians(twice.select("_k.*", *columns), ["_all", "split"], list(columns)).select(F.col("_all").alias("_a"), F.col("split").alias("_s"), *[f"median_{c}" for c in columns])
+    out = out.join(middle, (F.col("_all") == F.col("_a")) & F.col("split").eqNullSafe(F.col("_s")), "left")
+    order = [x for c in columns for x in (f"mean_{c}", f"median_{c}")]
+    return out.select(F.when(F.col("_all") == 1, "all").otherwise(F.col("split")).alias("split"), "n", *order)
 
 
 def hit_rates(rows: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayframe.operators import ordered
+
 
 def long_votes(manifest: DataFrame, votes: str = "annotator_scores_raw_0_2") -> DataFrame:
     """row_id, annotator, score of a map column."""
@@ -67,21 +69,71 @@ def stratified(rows: DataFrame, label: str, key: str, k: int, seed: int = 13) ->
     return rows.withColumn("_k", F.row_number().over(picked)).where(F.col("_k") <= k).drop("_k")
 
 
+BLOCK = 1 << 16  # steps of a shuffle that are held at once
+
+
+def _targets(rng: random.Random, high: int, low: int):
+    """The places that a shuffle of Python's swaps with high, high - 1, ..., low."""
+    bits = rng.getrandbits
+    for i in range(high, low - 1, -1):
+        k = (i + 1).bit_length()
+        j = bits(k)
+        while j > i:
+            j = bits(k)
+        yield j
+
+
+def picked_places(seed: str, n: int, k: int, block: int = BLOCK) -> list[int]:
+    """Which places of a list of n ``random.Random(seed).shuffle`` brings to its first k places, in their order.
+
+    A shuffle swaps the places n - 1, n - 2, ..., 1 with drawn ones.  The
+    generator runs through them once, keeping its state at every ``block``
+    steps; then the blocks are drawn again from the last to the first and the k
+    places followed back through their swaps.  So a block of steps and n /
+    block states are held, and no list of n.
+    """
+    rng = random.Random(seed)
+    states = []
+    for high in range(n - 1, 0, -block):
+        low = max(1, high - block + 1)
+        states.append((rng.getstate(), high, low))
+        for _ in _targets(rng, high, low):
+            pass
+    at = {place: place for place in range(min(k, n))}  # where it is now: which of the first k it ends in
+    while states:
+        state, high, low = states.pop()
+        rng.setstate(state)
+        for i, j in zip(range(low, high + 1), reversed(list(_targets(rng, high, low))), strict=True):
+            if i != j and (i in at or j in at):
+                x, y = at.pop(i, None), at.pop(j, None)
+                if x is not None:
+                    at[j] = x
+                if y is not None:
+                    at[i] = y
+    return [place for place, _ in sorted(at.items(), key=lambda x: x[1])]
+
+
 def stratified_exact(rows: DataFrame, label: str, key: str, k: int, seed: int = 13) -> DataFrame:
-    """k rows of each label as Python's ``random.Random(f'{seed}:{label}').shuffle`` picks them.
+    """k rows of each label as Python's ``random.Random(f'{seed}:{label}').shuffle`` picks them, rows being in the order of ``key``.
 
-    Only the keys travel to the shuffling worker; a label with fewer than k
-    rows is an error.
+    A label's picks are places that follow from its seed and number of rows
+    (``picked_places``); its rows are numbered over ranges and meet them in a
+    join by number.  No worker gets a label's rows.  Rows of equal label and key
+    may stand in any order; rows without a label are one.  A label with fewer
+    than k rows is an error.
     """
-    kinds = dict(rows.dtypes)
-
-    def pick(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(key, kind="stable")
-        if len(part) < k:
-            raise ValueError(f"label {part[label].iloc[0]!r} has {len(part)} rows, {k} needed")
-        ids = part[key].tolist()
-        random.Random(f"{seed}:{part[label].iloc[0]}").shuffle(ids)
-        return pd.DataFrame({key: ids[:k]})
-
-    ids = rows.select(label, key).groupBy(label).applyInPandas(pick, f"`{key}` {kinds[key]}")
-    return rows.join(ids, key, "left_semi")
+    kind = dict(rows.dtypes)[label]
+    counts = rows.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+    def pick(batches):
+        for b in batches:
+            found = []
+            for name, n in zip(b.column("label").to_pylist(), b.column("n").to_pylist(), strict=True):
+                if n < k:
+                    raise ValueError(f"label {name!r} has {n} rows, {k} needed")
+                found += [{"label": name, "place": p} for p in picked_places(f"{seed}:{name}", n, k)]
+            yield pa.RecordBatch.from_pylist(found, pa.schema([b.schema.field("label"), ("place", pa.int64())]))
+
+    places = counts.mapInArrow(pick, f"label {kind}, place long").withColumnRenamed("label", "_label")
+    numbered = ordered.running(rows, [label], [key], name="_place")
+    return numbered.join(places, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_place") == F.col("place"))).drop("_label", "_place", "place")

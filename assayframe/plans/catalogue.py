@@ -138,6 +138,19 @@ def split_half_hash(t):
     return rounded(stats.split_half(fx.votes(t), 10), "pearson", "spearman", "reliability")
 
 
+@query
+def split_half_lattice(t):
+    """Reliability over 1,000 halvings of each row."""
+    return rounded(stats.split_half_lattice(fx.votes(t), 1000), "pearson", "spearman", "reliability")
+
+
+@query
+def split_medians(t):
+    """Means and exact medians of prices per return flag, and of all."""
+    lines = t.lineitem.select(F.col("l_returnflag").alias("split"), F.col("l_extendedprice").cast("double").alias("price"), F.col("l_quantity").cast("double").alias("quantity"), (F.col("l_extendedprice") * F.col("l_discount")).cast("double").alias("cut"))
+    return rounded(B.by_split(lines, ("price", "quantity", "cut")), *[f"{k}_{c}" for k in ("mean", "median") for c in ("price", "quantity", "cut")], digits=4)
+
+
 @query
 def stratified_sample(t):
     return V.stratified(t.documents.select("doc_id", "lang"), "lang", "doc_id", 10)
@@ -146,6 +159,12 @@ def stratified_sample(t):
 # raw answers
 
 
+@query
+def stratified_shuffle(t):
+    """As many documents of each language as Python's own shuffle picks."""
+    return V.stratified_exact(t.documents.where("lang IS NOT NULL").select("doc_id", "lang"), "lang", "doc_id", 10)
+
+
 @query
 def parse_first_number(t):
     return fx.answers(t).select("event_id", X.first_number(F.col("raw"), 0, 10).alias("score"))
@@ -336,6 +355,14 @@ def prompt_skipped(t):
     return B.without_prompt(u, B.nearest_prompts(u)).select("id", "reason")
 
 
+@query
+def prompt_skipped_by_hour(t):
+    """The same with a talk for each hour, in which many speakers are heard once."""
+    hours = t.events.select(F.col("event_id").alias("id"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH").alias("hour"))
+    u = fx.utterances(t).join(hours, "id").drop("talk").withColumnRenamed("hour", "talk")
+    return B.without_prompt(u, B.nearest_prompts(u)).select("id", "reason")
+
+
 @query
 def utterance_ids(t):
     u = fx.utterances(t).withColumns({"speaker": F.col("speaker").cast("string"), "from": F.col("id") / 8, "to": F.col("id") / 8 + F.col("speaker") % 50})

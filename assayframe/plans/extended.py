@@ -250,7 +250,7 @@ def requests_single_clip(t):
 
 @query
 def requests_features(t):
-    out = R.single_clip(_clips(t), "quality_features_1_10", {"prompt_template": "Rate", "score_min": 1, "score_max": 10, "features": vocabulary.FEATURES}, ["pair_id", "label"], limit=50)
+    out = R.single_clip(_clips(t), "quality_features_1_10", {"prompt_template": "Rate", "score_min": 1, "score_max": 10, "features": vocabulary.FEATURES}, ["pair_id", "label"])
     return out.select("request_id", "mode", "row_id", F.array_join("scored_features", ",").alias("features"))
 
 

@@ -91,7 +91,7 @@ ORACLES = {
       '/shot.wav,/items/' || p_partkey || '/sentence_' || c || '.wav' AS audio_paths, {_prompt('transcription_fewshot')} AS prompt FROM part CROSS JOIN (SELECT unnest(['without_repeat', 'with_repeat']) AS c)""",
     "asr_prompts": "SELECT p_partkey AS row_id, " + ", ".join(f"{_prompt(m, 'without_repeat')} AS {m}" for m in vocabulary.ASR_PROMPTS if m != "fewshot") + " FROM part",
     "requests_single_clip": f"""WITH {CLIPS} SELECT 'clips__dev__plain__row-' || lpad(CAST(row_id AS VARCHAR), CAST(greatest(6, length(CAST(row_id AS VARCHAR))) AS INT), '0') || '__' || label AS request_id, 'one_by_one' AS mode, row_id, '/data/' || audio_path AS audio_path, 'Rate text ' || pair_id AS prompt, 10 AS top FROM cl""",
-    "requests_features": f"""WITH {CLIPS} SELECT 'clips__dev__quality_features_1_10__row-' || lpad(CAST(row_id AS VARCHAR), 6, '0') || '__' || label AS request_id, 'quality_features_1_10' AS mode, row_id, '{",".join(vocabulary.FEATURES)}' AS features FROM cl WHERE row_id < 50""",
+    "requests_features": f"""WITH {CLIPS} SELECT 'clips__dev__quality_features_1_10__row-' || lpad(CAST(row_id AS VARCHAR), CAST(greatest(6, length(CAST(row_id AS VARCHAR))) AS INT), '0') || '__' || label AS request_id, 'quality_features_1_10' AS mode, row_id, '{",".join(vocabulary.FEATURES)}' AS features FROM cl""",
     "requests_mos": "SELECT 'mos__plain__row-' || lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(6, length(CAST(p_partkey AS VARCHAR))) AS INT), '0') AS request_id, '/data/' || p_partkey || '.wav' AS audio_path, 'Rate it' AS prompt, 1 AS low FROM part",
     "requests_by_mode": """WITH o AS (SELECT 'row-' || lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(6, length(CAST(o_orderkey AS VARCHAR))) AS INT), '0') AS id, o_orderpriority AS p FROM orders)
       SELECT id || '__emotion-' || regexp_replace(replace(lower(p), '/', '-'), '\\s+', '-', 'g') AS request_id, 'one_by_one' AS mode, 'Score ' || p AS prompt FROM o

@@ -127,6 +127,22 @@ ORACLES = {
     "loo_metrics": f"WITH {LOO}, hv AS (SELECT CAST(score AS DOUBLE) AS vote, rest_mean FROM held) {_block('hv', 'vote', 'rest_mean')}",
     "loo_sample_weighted": f"""WITH {LOO}, r AS (SELECT row_id, avg(abs(score - rest_mean)) AS mae, avg((score - rest_mean) ** 2) AS mse FROM held GROUP BY row_id)
       SELECT count(*) AS rows, round(avg(mae), 6) AS mae, round(avg(mse), 6) AS mse, round(sqrt(avg(mse)), 6) AS rmse FROM r""",
+    "split_half_lattice": f"""WITH {VOTES},
+v AS (SELECT row_id, list(score ORDER BY annotator) AS s, count(*) AS n FROM votes GROUP BY row_id HAVING count(*) >= 2),
+mask AS (SELECT n, m, row_number() OVER (PARTITION BY n ORDER BY m) - 1 AS k, count(*) OVER (PARTITION BY n) AS c
+  FROM (SELECT unnest(range(2, 11)) AS n), (SELECT unnest(range(0, 1024)) AS m) WHERE m < 2 ** n AND bit_count(m) = n // 2),
+d AS (SELECT iteration, s, v.n, CAST('0x' || substr(md5('13:' || iteration // 4 || ':' || row_id), 1 + 8 * (iteration % 4), 8) AS BIGINT) % c AS k, count(*) AS w
+  FROM v JOIN (SELECT DISTINCT n, c FROM mask) USING (n), (SELECT unnest(range(0, 1000)) AS iteration) GROUP BY ALL),
+xy AS (SELECT iteration, list_avg(list_filter(s, lambda a, i: (m >> (i - 1)) & 1 = 1)) AS x, list_avg(list_filter(s, lambda a, i: (m >> (i - 1)) & 1 = 0)) AS y, w FROM d JOIN mask USING (n, k)),
+g AS (SELECT iteration, x, y, sum(w) AS w FROM xy GROUP BY ALL),
+r AS (SELECT *, sum(w) OVER (PARTITION BY iteration ORDER BY x) - (sum(w) OVER (PARTITION BY iteration, x) - 1) / 2 AS p, sum(w) OVER (PARTITION BY iteration ORDER BY y) - (sum(w) OVER (PARTITION BY iteration, y) - 1) / 2 AS q FROM g),
+z AS (SELECT iteration, sum(w) AS n, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, (sum(w) + 1) / 2 AS mr FROM r GROUP BY iteration),
+b AS (SELECT iteration, CAST(any_value(n) AS BIGINT) AS n, sum(w * (x - mx) * (y - my)) / sqrt(sum(w * (x - mx) ** 2) * sum(w * (y - my) ** 2)) AS pearson,
+  sum(w * (p - mr) * (q - mr)) / sqrt(sum(w * (p - mr) ** 2) * sum(w * (q - mr) ** 2)) AS spearman FROM r JOIN z USING (iteration) GROUP BY iteration)
+SELECT iteration, n, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, round(2 * pearson / (1 + pearson), 6) AS reliability FROM b""",
+    "split_medians": "SELECT coalesce(split, 'all') AS split, n, " + ", ".join(f"round({k}_{c}, 4) AS {k}_{c}" for c in ("price", "quantity", "cut") for k in ("mean", "median")) + """ FROM (
+  SELECT split, count(*) AS n, """ + ", ".join(f"avg({c}) AS mean_{c}, median({c}) AS median_{c}" for c in ("price", "quantity", "cut")) + """
+  FROM (SELECT l_returnflag AS split, CAST(l_extendedprice AS DOUBLE) AS price, CAST(l_quantity AS DOUBLE) AS quantity, CAST(l_extendedprice * l_discount AS DOUBLE) AS cut FROM lineitem) GROUP BY ROLLUP (split))""",
     "split_half_hash": f"WITH {HALF} SELECT iteration, n, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, round(2 * pearson / (1 + pearson), 6) AS reliability FROM b",
     "stratified_sample": "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('13:' || lang || ':' || doc_id), doc_id) AS k FROM documents) WHERE k <= 10",
     "parse_first_number": f"WITH {ANSWERS} SELECT event_id, {_on(_first)} AS score FROM ans",
@@ -181,6 +197,8 @@ ORACLES = {
       SELECT g.correct, count(p.pair_id) AS pairs FROM (SELECT unnest(range(5)) AS correct) g LEFT JOIN p USING (correct) GROUP BY g.correct""",
     "prompt_choice": f"""WITH {UTT} SELECT id, pid AS prompt_id FROM (SELECT a.id, b.id AS pid, row_number() OVER (PARTITION BY a.id
       ORDER BY b.duration < 8, abs(b.duration - 12), abs(b.start - a.start), b.start, b.id) AS k FROM utt a JOIN utt b ON a.talk = b.talk AND a.speaker = b.speaker AND a.id <> b.id) WHERE k = 1""",
+    "prompt_skipped_by_hour": """WITH u AS (SELECT event_id AS id, strftime(ts, '%Y-%m-%d %H') AS talk, user_id AS speaker FROM events)
+      SELECT id, 'no_prompt_candidate' AS reason FROM (SELECT id, count(*) OVER (PARTITION BY talk, speaker) AS n FROM u) WHERE n = 1""",
     "prompt_skipped": f"""WITH {UTT}, u AS (SELECT * FROM utt) SELECT id, 'no_prompt_candidate' AS reason FROM u a
       WHERE NOT EXISTS (SELECT 1 FROM u b WHERE a.talk = b.talk AND a.speaker = b.speaker AND a.id <> b.id)""",
     "utterance_ids": f"WITH {UTT} SELECT id, talk || '__' || speaker || '__' || format('{{:.3f}}', id / 8) || '_' || format('{{:.3f}}', id / 8 + speaker % 50) AS utterance_id FROM utt",
