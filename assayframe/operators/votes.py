@@ -29,12 +29,14 @@ def summary(votes: DataFrame) -> DataFrame:
 
 
 def majority(votes: DataFrame) -> DataFrame:
-    """Per row the most frequent score; ties go to the one nearest the mean, then the smaller."""
-    counts = votes.groupBy("row_id", "score").agg(F.count(F.lit(1)).alias("n"))
-    mean = votes.groupBy("row_id").agg(F.avg("score").alias("mean"))
-    ranked = counts.join(mean, "row_id")
-    best = F.min_by("score", F.struct(-F.col("n"), F.abs(F.col("score") - F.col("mean")), F.col("score")))
-    return ranked.groupBy("row_id").agg(best.alias("majority"), F.first("mean").alias("mean"))
+    """Per row the most frequent score; ties go to the one nearest the mean, then the smaller.
+
+    A row's votes are gathered once, as many as it has annotators.
+    """
+    rows = votes.groupBy("row_id").agg(F.collect_list("score").alias("_all"), F.avg("score").alias("mean"))
+    held = lambda k: F.size(F.filter("_all", lambda x: x == k))
+    ranked = F.transform(F.array_distinct("_all"), lambda k: F.struct((-held(k)).alias("n"), F.abs(k - F.col("mean")).alias("far"), k.alias("score")))
+    return rows.select("row_id", F.array_min(ranked)["score"].alias("majority"), "mean")
 
 
 def rounded(mean: Column) -> Column:
