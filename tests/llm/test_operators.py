@@ -593,6 +593,19 @@ def test_decontamination(spark, odd, none):
     assert sorted(map(repr, large.collect())) == sorted(map(repr, got.select("doc_id", "hits").collect()))
 
 
+def test_decontamination_of_many_copies_and_windows(spark):
+    """Equal rows without a number share their places; windows that share a shingle do not multiply them."""
+    heads, tails = [f"x{i}" for i in range(40)], [f"y{i}" for i in range(40)]
+    middle = "one two three four five six seven eight"
+    items = spark.createDataFrame([(f"{a}{b}", f"{a} {middle} {b}") for a in heads for b in tails], "item_id string, text string")
+    text = f"before x1 {middle} y2 between x3 {middle} y4 after " * 5
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(1, f"x1 {middle} other"), (2, f"x1 {middle} y1")], "doc_id long, text string"))
+    got = decontaminate.decontaminate(docs.repartition(6), items)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    rows = got.groupBy("doc_id", "n_words", F.size("hits").alias("n"), F.array_join("items", ",").alias("items")).count().collect()
+    assert {tuple(r) for r in rows} == {(None, 115, 100, "x1y2,x3y4", 20_000), (1, 10, 0, "", 1), (2, 10, 10, "x1y1", 1)}
+
+
 def test_decontamination_without_broadcast(spark, odd):
     items = spark.createDataFrame([("i1", "quick brown fox jumps over the lazy dog and runs away from it")], "item_id string, text string")
     one = decontaminate.decontaminate(odd, items).select("doc_id", "hits").collect()
