@@ -7,13 +7,18 @@ ratios are smoothed over the paths of the same container (the path without its
 leaf) and fused by their geometric mean.  Paths of at least ``LEVEL`` times the
 page's best select content nodes; the smallest element that holds most of
 their text is the content container, and all of its text stays, short list
-items, cells and captions too, but for blocks that are mostly links.  Selected
-nodes beyond the container stay as well.
+items, cells and captions too.  Selected nodes before the container stay, such
+behind it only if they share a path with what is selected inside.
 
 Elements that surround a text, by tag or by a word of class, id or role, take no
 part, unless they are a wrapper: one that holds the page's <main>, or (forms and
 elements marked by a word) most of its punctuated text together with its
 heading or article, or with nothing comparable outside on a page without either.
+Words of many meanings (``MAYBE`` in a compound, ``WEAK`` anywhere) mark an
+element only by its place: one that has selected text before and behind it in
+the same parent, and is not mostly links, is part of the text.  So is a label
+or button inside a sentence.  A list of links is left out unless it lies
+between selected text or, behind its beginning, in an <article> or <main>.
 
 Defined cases: a null page is empty and has the empty text; a page without any
 path that qualifies has the empty text; unclosed and cut-off markup is read as
@@ -25,6 +30,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,7 +47,11 @@ OUTSIDE = {"nav", "footer", "header", "aside", "form", "menu", "button", "select
 CONTAINERS = {"article", "body", "center", "div", "fieldset", "form", "html", "main", "section", "td"}
 ENDS_P = BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
 # fixed values: words of class, id and role that mark what surrounds a text
-AROUND = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "sidenav", "social", "sponsor", "sponsored", "subscribe", "tags", "toc", "toolbar", "widget"}
+AROUND = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "commentlist", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "sidenav", "social", "sponsor", "sponsored", "subscribe", "tags", "toc", "toolbar", "widget"}
+# fixed values: those that have other meanings beside other words, and words that have them even alone
+MAYBE = {"comment", "comments", "footer", "header", "menu", "notice", "notices", "pager", "related", "replies", "respond", "search", "share", "social", "tags", "toc", "widget"}
+WEAK = {"alert", "alerts", "discussion", "feedback", "rail", "reactions", "responses", "reviews"}
+INLINE = {"button", "label"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 # fixed values: what a class says that is about a part elsewhere, not about its own element
@@ -50,20 +60,26 @@ _PARTS = re.compile(r"[^a-z]+")
 _PUNCT = re.compile(r"[^\w\s]")
 
 
-def surrounds(names: str) -> bool:
-    """Whether a word of class, id or role marks what surrounds a text."""
+def surrounds(names: str) -> int:
+    """Whether a word of class, id or role marks what surrounds a text: 2 if so, 1 if its place must tell, 0 if not."""
+    out = 0
     for token in names.lower().split():
         parts = [p for p in _PARTS.split(token) if p]
-        if AROUND.intersection(parts) and not MODIFIERS.intersection(parts):
-            return True
-    return False
+        if MODIFIERS.intersection(parts):
+            continue
+        found = AROUND.intersection(parts)
+        if found - MAYBE or found and len(parts) == 1:
+            return 2
+        if found or WEAK.intersection(parts):
+            out = 1
+    return out
 
 
 class Page:
-    """The elements (parent, tag, path, suspect) and text nodes (element, in a link, block, text) of a page."""
+    """The elements (parent, tag, path, suspect, weakly so) and text nodes (element, in a link, block, text) of a page."""
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.path, self.suspect = [-1], [""], [()], [False]
+        self.parent, self.tag, self.path, self.suspect, self.weak = [-1], [""], [()], [False], [False]
         self.nodes: list[tuple[int, bool, int, str]] = []
         self._scan(html)
 
@@ -109,7 +125,9 @@ class Page:
             self.parent.append(stack[-1])
             self.tag.append(tag)
             self.path.append((*self.path[stack[-1]], f"{tag}.{names.lower()}" if names else tag))
-            self.suspect.append(tag in OUTSIDE or (tag not in ("body", "html", "main") and surrounds(names)))
+            mark = surrounds(names) if tag not in ("body", "html", "main") else 0
+            self.suspect.append(tag in OUTSIDE or mark > 0)
+            self.weak.append(tag not in OUTSIDE and mark == 1)
             stack.append(len(self.tag) - 1)
             links = sum(self.tag[x] == "a" for x in stack)
 
@@ -186,13 +204,19 @@ def main_text(html: str | None) -> str:
         return ""
     page = Page(html)
     nodes = [(e, link, block, text, text.strip()) for e, link, block, t in page.nodes for text in (unescape(t),)]
-    outside = page.inherited(_boilerplate(page, nodes))
+    boilerplate = _boilerplate(page, nodes)
+    outside = page.inherited(boilerplate)
     scores = path_scores((page.path[e], len(t), len(_PUNCT.findall(t)), len(t) if link else 0) for e, link, _, _, t in nodes if t and not outside[e])
     if not scores:
         return ""
     floor = LEVEL * max(scores.values())
     selected = [scores.get(page.path[e], 0.0) >= floor and not outside[e] for e, *_ in nodes]
+    run = _within_run(page, nodes, selected)
+    outside = page.inherited([x and not (page.weak[e] and run[e]) for e, x in enumerate(boilerplate)])
     inside = page.inherited(_container_of(page, nodes, selected))
+    paths = {page.path[e] for (e, *_), mine in zip(nodes, selected, strict=True) if mine and inside[e]}
+    last = max((i for i, (e, *_) in enumerate(nodes) if inside[e]), default=-1)
+    selected = [mine and (inside[e] or i < last or page.path[e] in paths) for i, ((e, *_), mine) in enumerate(zip(nodes, selected, strict=True))]
     linked = page.inherited(_link_blocks(page, nodes, selected))
     blocks: dict[int, list[str]] = {}
     for (e, _, block, text, t), mine in zip(nodes, selected, strict=True):
@@ -215,9 +239,17 @@ def _boilerplate(page: Page, nodes) -> list[bool]:
     heading = page.sums([float(tag == "h1" or tag == "article" and not odd) for tag, odd in zip(page.tag, page.suspect, strict=True)])
     main = page.sums([float(tag == "main") for tag in page.tag])
     out = list(page.suspect)
+    block_text, own, block_of = defaultdict(int), [0] * size, {}
+    for e, _, block, _, t in nodes:
+        block_text[block] += len(t.split())
+        own[e] += len(t.split())
+        block_of.setdefault(e, block)
     for e in (e for e in range(1, size) if out[e]):
         if main[e]:
             out[e] = False
+        elif page.tag[e] in INLINE and e in block_of:
+            around = block_text[block_of[e]] - own[e]
+            out[e] = around < 3 or 2 * own[e] > around
         elif held[e] > total / 2 and page.tag[e] not in OUTSIDE - {"form", "fieldset"}:
             inner, outer = 0.0, 0.0
             within = _within(page, e)
@@ -249,16 +281,53 @@ def _container_of(page: Page, nodes, selected: list[bool]) -> list[bool]:
     return [e == top for e in range(size)]
 
 
+class Surroundings:
+    """Where each element's text lies among the selected nodes, and how much of it is in links."""
+
+    def __init__(self, page: Page, nodes, selected: list[bool]):
+        size = len(page.tag)
+        self.page = page
+        self.first, self.last = [len(nodes)] * size, [-1] * size
+        text, link = [0.0] * size, [0.0] * size
+        for i, (e, is_link, _, _, t) in enumerate(nodes):
+            self.first[e], self.last[e] = min(self.first[e], i), i
+            text[e] += len(t)
+            link[e] += len(t) if is_link else 0
+        for e in range(size - 1, 0, -1):  # parents come before their children
+            up = page.parent[e]
+            self.first[up], self.last[up] = min(self.first[up], self.first[e]), max(self.last[up], self.last[e])
+        self.text, self.link = page.sums(text), page.sums(link)
+        self.upto = [0, *accumulate(map(int, selected))]
+
+    def linked(self, e: int) -> bool:
+        return self.link[e] >= LINKED * self.text[e]
+
+    def follows(self, e: int, top: int) -> bool:
+        """Whether selected text of ``top`` lies before an element in it."""
+        return self.upto[self.first[e]] > self.upto[self.first[top]]
+
+    def between(self, e: int) -> bool:
+        """Whether selected text lies before and behind an element in its parent."""
+        up = self.page.parent[e]
+        return self.follows(e, up) and self.upto[self.last[up] + 1] > self.upto[self.last[e] + 1]
+
+
+def _within_run(page: Page, nodes, selected: list[bool]) -> list[bool]:
+    """Marks elements between selected text that are not mostly links."""
+    at = Surroundings(page, nodes, selected)
+    return [e > 0 and at.text[e] > 0 and not at.linked(e) and at.between(e) for e in range(len(page.tag))]
+
+
 def _link_blocks(page: Page, nodes, selected: list[bool]) -> list[bool]:
-    """Marks blocks without selected text whose text is mostly links."""
-    size = len(page.tag)
-    text, link, mine = [0.0] * size, [0.0] * size, [0.0] * size
-    for (e, is_link, _, _, t), picked in zip(nodes, selected, strict=True):
-        text[e] += len(t)
-        link[e] += len(t) if is_link else 0
-        mine[e] += len(t) if picked else 0
-    text, link, mine = page.sums(text), page.sums(link), page.sums(mine)
-    return [e > 0 and page.tag[e] in BLOCK and text[e] > 0 and not mine[e] and link[e] >= LINKED * text[e] for e in range(size)]
+    """Marks blocks without selected text that are mostly links, but for those between selected text or behind such in an article."""
+    at = Surroundings(page, nodes, selected)
+    article, out = [-1], [False]  # the outermost article or main around an element
+    for e in range(1, len(page.tag)):
+        up = article[page.parent[e]]
+        article.append(up if up >= 0 else e if page.tag[e] in ("article", "main") else -1)
+        listed = page.tag[e] in BLOCK and at.text[e] > 0 and at.linked(e) and at.upto[at.last[e] + 1] == at.upto[at.first[e]]
+        out.append(listed and not at.between(e) and not (article[e] >= 0 and at.follows(e, article[e])))
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:
