@@ -142,7 +142,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "start", "h", "m"]
+    rows = rows.withColumns({"start": F.substring("text", 1, 64), "h": F.xxhash64("text"), "m": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "text")
     out_schema = pa.schema([*_OUT, ("part", pa.int64()), ("first_text", pa.string()), ("last_text", pa.string())])
 
     def run(batches):

@@ -18,7 +18,8 @@ seeded set of them (``FINDINGS``) in ``FAMILIES``: credential formats in use
 against checksums, identifiers, placeholders, numbers, words and names in
 code.  Other findings can be passed to ``fit``.
 
-Defined cases: a null or empty text has no candidates; texts are scanned whole;
+Defined cases: a null or empty text has no candidates; texts are scanned whole,
+and candidates of any length are found and described whole;
 a null path is empty; rows that repeat are scanned each; other columns are
 ignored; without documents the dictionary is empty.
 """
@@ -41,7 +42,7 @@ WORDS, COMMON, SHORTEST, LONGEST = 50_000, 5, 4, 14
 _NAME = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?|private[_-]?key)"
 # in turn: a private key block, a password in a URL, an assigned value, a long token
 CANDIDATE = re.compile(
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----([A-Za-z0-9+/=\s\\]{16,}?)-----END|[a-z][a-z0-9+.-]*://[^\s/:@]{1,64}:([^\s/@]{3,128})@"
+    r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----((?:[^-]|-(?!----)){16,}?)-----END|(?<=[a-z0-9+.-])://[^\s/:@]*:([^\s/@]{3,})@"
     rf"|(?<![A-Za-z0-9])(?i:[a-z0-9]+[_-])?(?i:{_NAME})[\"']?[ \t]*[:=]>?[ \t]*[\"']?([^\s\"'<>;,]{{6,}})|(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{{16,}}={{0,2}})(?![A-Za-z0-9+/_-])"
 )
 _WORD = re.compile(r"[A-Za-z]{2,}")
@@ -81,7 +82,6 @@ def _kinds(s: str) -> str:
 
 def describe(value: str, kind: int, before: str, after: str, path: str, known: frozenset) -> list[float]:
     """The features of a candidate; ``kind`` is the group of CANDIDATE that it matched."""
-    value = value[:512]  # of a key block the start tells enough
     n = len(value)
     kinds = _kinds(value)
     low = value.lower()
