@@ -1,6 +1,7 @@
 """Column expressions for raw model answers, transcripts and ids.
 
-All of them are JVM-side; none is a UDF.
+All of them are JVM-side but for the edit distance of word lists, which comes
+to Python in Arrow batches.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -397,28 +399,46 @@ def votes_of(raw: Column) -> Column:
     return F.from_json(raw, "array<map<string,map<string,int>>>", {"allowSingleQuotes": "true"})
 
 
-def word_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two word arrays.
+def edit_distance(a: list, b: list) -> int:
+    """Edit distance of two word lists.
 
-    Each distinct word of the pair becomes one code point of its own beyond the
-    basic plane, and the built-in ``levenshtein`` compares the strings.  A pair
-    of more than 1,048,576 distinct words fails the query.
+    What both begin and end with costs nothing.  Of the rest, a column of the
+    table of distances is kept as two bit vectors, of its steps up and down,
+    and a word of ``b`` moves all of them by a few operations on whole
+    integers; so time is the product of both lengths by the bits of a machine
+    word, and memory a few bits a word.
     """
+    low, high = 0, min(len(a), len(b))
+    while low < high and a[low] == b[low]:
+        low += 1
+    back = 0
+    while back < high - low and a[-1 - back] == b[-1 - back]:
+        back += 1
+    a, b = a[low : len(a) - back], b[low : len(b) - back]
+    if not len(a) or not len(b):
+        return len(a) + len(b)
+    places: dict = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, out = every, 0, len(a)
+    for w in b:
+        same = places.get(w, 0)
+        level = (((same & up) + up) ^ up) | same | down
+        right_up, right_down = down | (every & ~(level | up)), up & level
+        out += bool(right_up & last) - bool(right_down & last)
+        right_up, right_down = right_up << 1 | 1, right_down << 1
+        up, down = (right_down | ~(same | down | right_up)) & every, right_up & (same | down) & every
+    return out
 
-    def compare(code: Column) -> Column:
-        def spelled(x: Column) -> Column:
-            # U+10000 + n - 1, as UTF-16 surrogates
-            unit = lambda n: F.decode(F.unhex(F.concat(F.hex(F.lit(0xD800) + F.floor((n - 1) / 1024)), F.hex(F.lit(0xDC00) + (n - 1) % 1024))), "UTF-16BE")
-            return F.array_join(F.transform(x, lambda w: unit(F.element_at(code, w))), "")
 
-        return F.levenshtein(spelled(a), spelled(b))
+def word_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two word arrays, of any length; null if one is."""
 
-    def numbered(w: Column) -> Column:
-        fits = F.when(F.size(w) <= 1 << 20, w).otherwise(F.raise_error(F.lit("more distinct words than a pair may have")).cast("array<string>"))
-        return F.map_from_arrays(fits, F.sequence(F.lit(1), F.size(w)))
+    def compare(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else edit_distance(p.tolist(), q.tolist()) for p, q in zip(x, y, strict=True)], dtype="Int64")
 
-    code = bound(F.array_distinct(F.concat(a, b)), numbered)
-    return F.when(F.size(a) == 0, F.size(b)).when(F.size(b) == 0, F.size(a)).otherwise(bound(code, compare))
+    return F.pandas_udf(compare, "long")(a, b)
 
 
 def words(text: Column) -> Column:

@@ -40,6 +40,15 @@ SPOKEN = """norm AS (SELECT conv_id, turn, role, trim(regexp_replace(lower(text)
 spoken AS (SELECT u.conv_id, u.turn, u.t AS reference, a.t AS hypothesis FROM norm u JOIN norm a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant')"""
 UTT = "utt AS (SELECT event_id AS id, event_type AS talk, user_id AS speaker, epoch_us(ts) / 1e6 AS start, value AS duration FROM events)"
+# a row (pair, i, j, v): the edit distance of the first j reference words to the first i others; a step of the recursion is a row of the table
+EDITS = """p AS (SELECT k.*, list_filter(string_split(reference, ' '), lambda w: w <> '') AS r, list_filter(string_split(hypothesis, ' '), lambda w: w <> '') AS h FROM said k),
+d AS (SELECT conv_id, turn, kind, 0 AS i, j, j AS v FROM p, unnest(range(0, len(r) + 1)) AS t(j)
+  UNION ALL
+  SELECT conv_id, turn, kind, i + 1, j, CAST(min(t - j) OVER (PARTITION BY conv_id, turn, kind ORDER BY j) + j AS BIGINT) FROM (
+    SELECT d.conv_id, d.turn, d.kind, d.i, d.j, least(v + 1, coalesce(lag(v) OVER (PARTITION BY d.conv_id, d.turn, d.kind ORDER BY d.j) + CASE WHEN p.r[d.j] = p.h[d.i + 1] THEN 0 ELSE 1 END, v + 1)) AS t
+    FROM d JOIN p ON p.conv_id = d.conv_id AND p.turn = d.turn AND p.kind = d.kind AND d.i < len(p.h))),
+e AS (SELECT conv_id, turn, kind, v AS edits, len(r) AS n_reference, len(h) AS n_hypothesis,
+  CASE WHEN len(r) > 0 THEN v / len(r) WHEN len(h) = 0 THEN 0.0 ELSE CAST('nan' AS DOUBLE) END AS wer FROM d JOIN p USING (conv_id, turn, kind) WHERE i = len(h) AND j = len(r))"""
 LOO = f"""{VOTES},
 tot AS (SELECT *, count(*) OVER (PARTITION BY row_id) AS n, sum(score) OVER (PARTITION BY row_id) AS s FROM votes),
 held AS (SELECT row_id, annotator, score, CAST(s - score AS DOUBLE) / (n - 1) AS rest_mean FROM tot WHERE n >= 2)"""
@@ -220,7 +229,12 @@ SELECT iteration, n, round(pearson, 6) AS pearson, round(spearman, 6) AS spearma
       pair_id || '__' || label AS sample_id FROM tw CROSS JOIN (SELECT unnest(['real', 'synthetic']) AS label)""",
     "requests_repeats": """SELECT 'p' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS request_id, r AS repeat_index, 3 AS repeat_count,
       CAST(100 + (row_number() OVER (PARTITION BY r ORDER BY p_partkey) - 1) * 3 + r AS BIGINT) AS generation_seed FROM part CROSS JOIN (SELECT CAST(unnest(range(3)) AS INT) AS r)""",
-    # wer_rows and wer_by_split have none: DuckDB has no edit distance of word lists; tests hold them against brute force
+    "wer_rows": f"""WITH RECURSIVE {SPOKEN}, said AS (SELECT *, 'reply' AS kind FROM spoken), {EDITS}
+SELECT conv_id, turn, edits, n_reference, n_hypothesis, round(wer, 6) AS wer FROM e""",
+    "wer_by_split": f"""WITH RECURSIVE {SPOKEN}, said AS (SELECT *, 'reply' AS kind FROM spoken UNION ALL SELECT * REPLACE (regexp_replace(reference, '\\be\\w*', 'x', 'g') AS hypothesis), 'own' FROM spoken), {EDITS},
+w AS (SELECT a.conv_id, CASE WHEN a.conv_id % 2 = 0 THEN 'dev' ELSE 'test' END AS split, b.wer AS source, a.wer AS synthetic, a.wer - b.wer AS delta
+  FROM e a JOIN e b USING (conv_id, turn) WHERE a.kind = 'reply' AND b.kind = 'own' AND NOT isnan(a.wer) AND NOT isnan(b.wer))
+SELECT coalesce(split, 'all') AS split, count(*) AS n, """ + ", ".join(f"round({f}({c}), 6) AS {k}_{c}" for c in ("source", "synthetic", "delta") for k, f in (("mean", "avg"), ("median", "median"))) + " FROM w GROUP BY ROLLUP (split)",
     "pair_cosine_features": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS v FROM e),
       p AS (SELECT a.vec_id // 2 AS k, a.v AS a, b.v AS b FROM u a JOIN u b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0)
       SELECT k, round(list_dot_product(a, b), 4) AS cosine, round(list_sum(a) + list_sum(b) + list_dot_product(a, b) + list_sum(list_transform(list_zip(a, b), lambda z: abs(z[2] - z[1]))), 4) AS total, CAST(4 * len(a) AS BIGINT) AS dims FROM p""",

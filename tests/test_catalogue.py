@@ -6,8 +6,8 @@ from assayframe.plans import catalogue, extended, extended_sql, oracle
 
 
 ORACLES = oracle.ORACLES | extended_sql.ORACLES
-#: held against brute force in test_whole and test_ordered
-WITHOUT = {"wer_rows", "wer_by_split", "stratified_shuffle"}
+#: held against brute force in test_ordered
+WITHOUT = {"stratified_shuffle"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - WITHOUT))

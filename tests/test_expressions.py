@@ -105,3 +105,33 @@ def test_votes_of(spark):
 def test_error_rate(spark, ref, hyp, rate):
     df = spark.createDataFrame([(ref, hyp)], "r string, h string").select(X.words(F.col("r")).alias("r"), X.words(F.col("h")).alias("h"))
     assert df.select(X.error_rate(X.word_distance(F.col("r"), F.col("h")), F.col("r"), F.col("h"))).first()[0] == rate
+
+
+def test_edit_distance_by_brute_force_and_of_long_texts():
+    import random
+    import time
+
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(1)
+    for _ in range(1500):
+        a, b = rng.choices("abc", k=rng.randrange(9)), rng.choices("abcd", k=rng.randrange(9))
+        assert X.edit_distance(a, b) == table(a, b)
+    for n in (63, 64, 65, 200):
+        a, b = rng.choices("abcdefgh", k=n), rng.choices("abcdefgh", k=n + 7)
+        assert X.edit_distance(a, b) == table(a, b)
+    long = [str(rng.randrange(3000)) for _ in range(20_000)]
+    other = list(long)
+    for i in range(30):
+        other[500 * i] = f"new {i}"
+    del other[77]
+    other.insert(9000, "more")
+    began = time.process_time()
+    assert X.edit_distance(long, other) == 32 and time.process_time() - began < 1
