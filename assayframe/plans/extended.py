@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+import assayframe
 from assayframe.functions import expressions as X
 from assayframe.functions import stats
 from assayframe.operators import benchmarks as B
@@ -17,7 +20,8 @@ from assayframe.operators import votes as V
 from assayframe.plans import fixtures as fx
 from assayframe.plans import vocabulary
 from assayframe.plans.catalogue import query, rounded
-from assayframe.sources import readers, writers
+from assayframe.operators.tables import saved, scratch, temporary
+from assayframe.sources import answers, readers, writers
 
 ASKED = ["Awe", "Hope"]
 
@@ -448,3 +452,95 @@ def audio_extensions(t):
 def ordered_labels(t):
     """Rows in the orders that reports use."""
     return V.long_votes(t.part.select(F.col("p_partkey").alias("row_id"), F.create_map(F.lit("a1"), F.col("p_size") % 3, F.lit("a2"), (F.col("p_partkey") % 3).cast("int")).alias("votes")), "votes").orderBy("row_id", "annotator")
+
+
+# answers of models, logged one by one
+
+
+class Recorded:
+    """A judge whose answers stand in the requests' own rows."""
+
+    def answer(self, batch):
+        return list(batch["raw"])
+
+
+@query
+def answer_log(t):
+    """Every answer twice, logged in two runs of which the second goes on behind the first."""
+    spark = t.events.sparkSession
+    asked = fx.answers(t).select(F.col("event_id").cast("string").alias("request_id"), "raw")
+    asked = asked.withColumn("repeat_index", F.explode(F.array(F.lit(0), F.lit(1))))
+    with temporary(spark) as keep:
+        folder = scratch(spark)
+        answers.append(asked.where("raw LIKE 'Score%'"), Recorded, folder, together=100)
+        answers.append(asked, Recorded, folder, together=100)
+        return keep(saved(answers.read(spark, folder)))
+
+
+# settings, refusals, reports, the scorer's class
+
+
+@query
+def read_values_by_sample(t):
+    """A lookup with another key column."""
+    place = fx.place(t)
+    writers.delimited(t.customer.select(F.col("c_name").alias("sampleId"), F.col("c_acctbal").alias("mean")), place, ["sampleId", "mean"])
+    return readers.key_value(t.spark, place, "sampleId")
+
+
+@query
+def read_under_configured_root(t):
+    """A lookup below the root that a configuration names."""
+    root = fx.place(t)
+    writers.delimited(t.part.select(F.col("p_partkey").alias("name"), F.col("p_retailprice").alias("mean")), f"{root}/values", ["name", "mean"])
+    writers.json_lines(t.spark.range(1).select(F.lit(root).alias("data_root")), f"{root}/config", files=1)
+    config = readers.load_config(f"{root}/config", t.spark)
+    return readers.key_value(t.spark, f"{readers.resolve_root(None, 'ASSAYFRAME_ROOT_THAT_NOBODY_SETS', config)}/values", "name")
+
+
+@query
+def refused_overwrite(t):
+    """What stands in a place after a write that was refused, and after one that was allowed."""
+    place = fx.place(t)
+    first, second = (t.nation.select(F.col("n_name").alias("name"), F.lit(n).alias("n")) for n in (1, 2))
+    writers.delimited(first, place, ["name", "n"])
+    try:
+        writers.delimited(second, place, ["name", "n"])
+        refused = False
+    except AnalysisException as e:
+        refused = e.getCondition() == "PATH_ALREADY_EXISTS"
+    kept = saved(t.spark.read.option("header", True).csv(place).withColumn("write", F.lit("refused" if refused else "not refused")))
+    writers.delimited(second, place, ["name", "n"], overwrite=True)
+    return kept.unionByName(t.spark.read.option("header", True).csv(place).withColumn("write", F.lit("allowed")))
+
+
+@query
+def dataset_metadata(t):
+    """Counts per value of two columns, out of the JSON text."""
+    text = writers.metadata(t.orders, ["o_orderpriority", "o_orderstatus"])
+    row = t.spark.range(1).select(F.from_json(F.lit(text), "rows long, o_orderpriority map<string,long>, o_orderstatus map<string,long>").alias("m")).select("m.*")
+    each = [row.select(F.lit(c).alias("column"), F.explode(c).alias("value", "n")) for c in ("o_orderpriority", "o_orderstatus")]
+    return each[0].unionByName(each[1]).unionByName(row.select(F.lit("rows").alias("column"), F.lit("all").alias("value"), F.col("rows").alias("n")))
+
+
+@query
+def metric_report(t):
+    """Metrics as the lines of a report."""
+    m = t.lineitem.agg(F.count(F.lit(1)).alias("rows"), F.avg("l_quantity").alias("mean"), F.avg((F.col("l_returnflag") == "R").cast("double")).alias("returned"), F.max("l_discount").cast("double").alias("top"), F.lit(float("nan")).alias("none"))
+    text = writers.report(m, {"returned": "%.1%", "top": "%g"})
+    return t.spark.range(1).select(F.posexplode(F.split(F.lit(text), "\n")).alias("place", "line"))
+
+
+class Given:
+    """An encoder of sources that are vectors already."""
+
+    def encode(self, sources):
+        return np.array([np.asarray(s, dtype=np.float64) for s in sources])
+
+
+@query
+def pair_scorer(t):
+    """Scores of pairs by the library's exported class: batches, first output, both directions."""
+    weights = [((i * 37) % 11 - 5) / 10 for i in range(256)]
+    scorer = assayframe.AutoPCP(Given, [([weights, weights[::-1]], [0.5, 0.0])], batch=16)
+    return rounded(scorer.score(fx.vector_pairs(t), key="k", source="a", target="b"), "score", digits=4)

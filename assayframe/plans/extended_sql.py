@@ -36,6 +36,15 @@ CLIPS = """cl AS (SELECT s_suppkey AS pair_id, label, CASE WHEN label = 'real' T
 _p = "(SELECT event_id, event_type, CAST(floor(value) AS BIGINT) AS f FROM events)"
 
 ORACLES = {
+    "read_values_by_sample": 'SELECT c_name AS "sampleId", CAST(c_acctbal AS DOUBLE) AS mean FROM customer',
+    "read_under_configured_root": "SELECT CAST(p_partkey AS VARCHAR) AS name, CAST(p_retailprice AS DOUBLE) AS mean FROM part",
+    "refused_overwrite": "SELECT n_name AS name, CAST(n AS VARCHAR) AS n, w AS write FROM nation CROSS JOIN (VALUES (1, 'refused'), (2, 'allowed')) AS t(n, w)",
+    "dataset_metadata": """SELECT 'o_orderpriority' AS "column", o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 2
+      UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*) FROM orders GROUP BY 2 UNION ALL SELECT 'rows', 'all', count(*) FROM orders""",
+    "metric_report": """SELECT CAST(place AS INT) AS place, line FROM (SELECT unnest(range(0, 5)) AS place, unnest(['rows: ' || count(*), format('mean: {:.3f}', avg(CAST(l_quantity AS DOUBLE))),
+      format('returned: {:.1f}%', 100 * avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0 END)), format('top: {:g}', max(CAST(l_discount AS DOUBLE))), 'none: nan']) AS line FROM lineitem)""",
+    "pair_scorer": oracle.ORACLES["autopcp_linear_head"],
+    "answer_log": f"""WITH {oracle.ANSWERS} SELECT CAST(event_id AS VARCHAR) AS request_id, CAST(r AS INT) AS repeat_index, raw AS raw_response_text FROM ans, unnest(range(0, 2)) AS t(r)""",
     "score_selection": f"""WITH {SCORED} SELECT row_id, CASE WHEN scaled THEN '1_10' WHEN h0 THEN '0_10' ELSE '0_2' END AS suffix,
       CASE {_own('h0', 0)} {_own('h1', 1)} ELSE {_plain} END AS score,
       CASE WHEN scaled THEN '1_10' WHEN h2 THEN '1_5' WHEN h3 THEN '1_10' WHEN h0 THEN '0_10' ELSE '1_5' END AS mos_suffix, CASE {_own('h2', 2)} {_own('h0', 0)} {_own('h3', 3)} ELSE {_plain} END AS mos_score FROM sp""",

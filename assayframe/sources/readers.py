@@ -124,7 +124,10 @@ def pair_tsv(spark: SparkSession, path: str) -> DataFrame:
     return with_columns_checked(spark.read.option("header", True).option("sep", "\t").csv(path), ["src_audio", "tgt_audio"])
 
 
-def load_config(path: str) -> dict:
+def load_config(path: str, spark: SparkSession | None = None) -> dict:
+    """A JSON configuration; with a session, from any place that Spark reads."""
+    if spark:
+        return json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
     with open(path, encoding="utf-8") as f:
         return json.load(f)
 

@@ -78,11 +78,14 @@ def audio_files(samples: DataFrame, root: str) -> DataFrame:
     return samples.select("name", "content").mapInPandas(put, "name string, bytes long, sha256 string")
 
 
-def metadata(df: DataFrame, by: list[str]) -> str:
-    """Row counts by the given columns as one JSON text."""
+def metadata(df: DataFrame, by: list[str], most: int = 100_000) -> str:
+    """Row counts by the given columns as one JSON text; a column of more than ``most`` values is an error."""
     out = {"rows": df.count()}
     for c in by:
-        out[c] = {str(r[0]): r[1] for r in df.groupBy(c).count().orderBy(c).collect()}
+        counts = df.groupBy(c).count().limit(most + 1).collect()
+        if len(counts) > most:
+            raise ValueError(f"{c} has more than {most} values")
+        out[c] = {str(r[0]): r[1] for r in counts}
     return json.dumps(out, sort_keys=True)
 
 
