@@ -15,8 +15,8 @@ stand out in a task, and all shingles that the lists by hash alone, a quarter
 longer than needed, would name ``OFTEN`` times or more.
 
 The join has two rounds.  First every list names a leader, the set with the
-fewest rare shingles, and its other sets are compared with the leaders' columns
-alone: a family of n near copies makes n pairs, not n * n.  Sets
+fewest rare shingles, which is a group of its own, and the list's other sets
+query it: a family of n near copies makes n pairs, not n * n.  Sets
 with one leader are one cluster, cut into groups of at most ``GROUP`` sets.  In
 the second round only lists that hold several clusters are looked at: the sets
 outside the cluster of a list's leader query the groups of the others.  Nothing
@@ -244,19 +244,15 @@ def short(s: np.ndarray) -> np.ndarray:
 
 
 def matrix(members: DataFrame, size: int) -> DataFrame:
-    """``members(g, ids, zs)`` with the column of each group: the union of its sets, least and largest size.
-
-    A group of one set is its own column, which its packed text holds already.
-    """
+    """``members(g, ids, zs)`` with the column of each group: the union of its sets, least and largest size."""
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 one = b.slice(i, 1)
-                zs = one.column(2)[0].as_py()
-                sets = unpacked(zs, size) if len(zs) > 1 else []
-                n = [len(s) for s in sets] or [0]
-                union = short(np.concatenate(sets)).tobytes() if sets else None
+                sets = unpacked(one.column(2)[0].as_py(), size)
+                n = [len(s) for s in sets]
+                union = short(np.concatenate(sets)).tobytes()
                 yield pa.RecordBatch.from_arrays([*one.columns, pa.array([min(n)], pa.int64()), pa.array([max(n)], pa.int64()), pa.array([union], pa.binary())], ["g", "ids", "zs", "low", "high", "column"])
 
     return members.mapInArrow(run, "g long, ids array<long>, zs array<binary>, low long, high long, column binary")
@@ -283,58 +279,33 @@ def only_named(rows: DataFrame, column: str, named: DataFrame) -> DataFrame:
 LINKS = "a long, na long, b long, nb long"
 
 
-def led_links(pairs: DataFrame, sets: DataFrame, size: int, t: Threshold) -> DataFrame:
-    """A link of each of ``pairs(q, g)`` of sets that are similar: the ids and sizes of both."""
-    some = only_named(sets, "id", pairs.select(F.explode(F.array("q", "g")).alias("id"))).select("id", "z")
-    own = pairs.join(some.select(F.col("id").alias("q"), F.col("z").alias("zq")).hint("merge"), "q")
-    both = own.join(some.select(F.col("id").alias("g"), F.col("z").alias("zg")).hint("merge"), "g").select("q", "g", "zq", "zg")
-
-    def run(batches):
-        now = group = None
-        for b in batches:
-            found = []
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                gs = part.column(1).to_pylist()
-                for i, (q, g, s) in enumerate(zip(part.column(0).to_pylist(), gs, unpacked(part.column(2).to_pylist(), size), strict=True)):
-                    if g != now:
-                        now, group = g, Group(unpacked([part.column(3)[i].as_py()], size))
-                    if len(group.partners(s, t)):
-                        found.append((q, len(s), g, int(group.sizes[0])))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "na", "b", "nb"])
-
-    return both.mapInArrow(run, LINKS)
-
-
 def links(pairs: DataFrame, sets: DataFrame, columns: DataFrame, size: int, t: Threshold) -> DataFrame:
-    """A link (a, b) for each of ``pairs(q, g)`` whose group g has members similar to the set q: to the first of them."""
+    """A link of each of ``pairs(q, g)`` whose group g has members similar to the set q, to the first of them: ids and sizes of both."""
     often = saved(pairs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / UNIT).alias("units")))
     dealt = pairs.join(often.hint("merge"), "g").select("g", "q", F.pmod(F.xxhash64("q"), F.col("units")).alias("unit"))
     own = only_named(sets, "id", pairs.select(F.col("q").alias("id"))).select(F.col("id").alias("q"), "z")
     units = dealt.join(own, "q").groupBy("g", "unit").agg(F.collect_list(F.struct("q", "z")).alias("queries"))
     both = units.join(columns.hint("merge"), "g").select("g", "queries", "ids", "zs", "low", "high", "column")
-
-    def run(batches):
-        now = column = opened = None
-        for b in batches:
-            found = []
-            for i in range(b.num_rows):
-                g, queries, ids, low, high = (b.column(c)[i].as_py() for c in (0, 1, 2, 4, 5))
-                if g != now:
-                    held = b.column(6)[i].as_py()
-                    now, column, opened = g, None if held is None else np.frombuffer(held, np.uint32), None
-                for q, s in zip((x["q"] for x in queries), unpacked([x["z"] for x in queries], size), strict=True):
-                    if column is None or may_hold(column, low, high, s, t):
-                        opened = opened or Group(unpacked(b.column(3)[i].as_py(), size))
-                        p = opened.partners(s, t)
-                        if len(p):
-                            found.append((q, ids[p[0]]))
-            if found:
-                a, z = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long").where("a <> b")
+    return both.mapInArrow(lambda batches: queried(batches, size, t), LINKS).where("a <> b")
+
+
+def queried(batches, size: int, t: Threshold):
+    """Links of groups (g, queries, ids, zs, low, high, column): a group's texts are unpacked for the first query that passes its bound."""
+    now = column = opened = None
+    for b in batches:
+        found = []
+        for i in range(b.num_rows):
+            g, queries, ids, low, high = (b.column(c)[i].as_py() for c in (0, 1, 2, 4, 5))
+            if g != now:
+                now, column, opened = g, np.frombuffer(b.column(6)[i].as_py(), np.uint32), None
+            for q, s in zip((x["q"] for x in queries), unpacked([x["z"] for x in queries], size), strict=True):
+                if may_hold(column, low, high, s, t):
+                    opened = opened or Group(unpacked(b.column(3)[i].as_py(), size))
+                    p = opened.partners(s, t)
+                    if len(p):
+                        found.append((q, len(s), ids[p[0]], int(opened.sizes[p[0]])))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "na", "b", "nb"])
 
 
 def led(lists: DataFrame, t: Threshold) -> DataFrame:
@@ -399,7 +370,10 @@ def similar_sets(sets: DataFrame, levels: np.ndarray, size: int, t: Threshold, g
         heads = lists.where("salt >= 0 AND id = leader.id").drop("leader")
         top = heads.groupBy("token").agg(F.min(F.struct("rare", "id", "n", "pos")).alias("leader"))
         pairs = pairs.unionByName(led(heads.join(top, "token"), t)).distinct()
-    near = saved(led_links(saved(pairs), sets, size, t))
+    pairs = saved(pairs)
+    leaders = pairs.select("g").distinct()
+    heads = only_named(sets, "id", leaders.withColumnRenamed("g", "id")).select(F.col("id").alias("g"), F.array("id").alias("ids"), F.array("z").alias("zs"))
+    near = saved(links(pairs, sets, matrix(heads.join(leaders.hint("merge"), "g", "left_semi"), size), size, t))
     groups = saved(grouped(clusters(near)))
     pairs = saved(unsettled(lists, groups, t))
     wanted = pairs.select("g").distinct()
@@ -408,7 +382,7 @@ def similar_sets(sets: DataFrame, levels: np.ndarray, size: int, t: Threshold, g
     wanted = single.unionByName(several.select("id", "g"))
     members = only_named(sets, "id", wanted).join(wanted, "id").groupBy("g").agg(F.collect_list(F.struct("id", "z")).alias("m"))
     members = members.select("g", F.col("m.id").alias("ids"), F.col("m.z").alias("zs"))
-    more = links(pairs, sets, matrix(members, size), size, t)
+    more = links(pairs, sets, matrix(members, size), size, t).select("a", "b")
     edges = near.select("a", "b").unionByName(more)
     return components(edges if given is None else edges.unionByName(given))
 

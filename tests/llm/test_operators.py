@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from conftest import DATA, same_rows
 from pyspark.sql import functions as F
 
@@ -509,8 +510,7 @@ def test_family_makes_few_pairs(spark, monkeypatch, salted):
     """A family around one text that not every member is near to: pairs grow with its size, links are all there."""
     monkeypatch.setattr(jaccard, "SALTED", salted)
     made = []
-    for name in ("led_links", "links"):
-        monkeypatch.setattr(jaccard, name, lambda pairs, *rest, real=getattr(jaccard, name): (made.append(pairs.count()), real(pairs, *rest))[1])
+    monkeypatch.setattr(jaccard, "links", lambda pairs, *rest, real=jaccard.links: (made.append(pairs.count()), real(pairs, *rest))[1])
     rng = random.Random(5)
     base = [f"b{i}" for i in range(150)]
     rows = []
@@ -524,6 +524,41 @@ def test_family_makes_few_pairs(spark, monkeypatch, salted):
     assert sum(made) < 20 * len(rows)
 
 
+def test_groups_are_opened_only_behind_their_bound(monkeypatch):
+    """Groups of one and of several: texts are unpacked for the first query that the column lets through, once; links as counted by hand."""
+    rng = random.Random(8)
+    t, size = jaccard.Threshold(80, 100), 5
+    text = lambda base, k: " ".join(f"x{rng.randrange(10**6)}" if rng.random() < k else w for w in base)
+    packed = lambda x: zstandard.ZstdCompressor().compress(x.encode())
+    sets = lambda x: next(iter(jaccard.sets_of(pa.array([x]), size)))[1]
+    bases = [[f"b{k}w{i}" for i in range(60)] for k in range(6)]
+    groups = [[text(b, 0.002) for _ in range(n)] for b, n in zip(bases, (1, 1, 1, 4, 4, 4), strict=True)]
+    queries = [text(b, 0.002) for b in bases for _ in range(3)]
+    z = jaccard.unpacked([packed(queries[0])], size)[0]
+    assert (z == sets(queries[0])).all()
+    rows, expect, may = [], set(), set()
+    for g, members in enumerate(groups):
+        s = [sets(x) for x in members]
+        n = [len(x) for x in s]
+        column = jaccard.short(np.concatenate(s))
+        wanted = [q for q in range(len(queries)) if q % 3 or q // 3 != g or g not in (0, 3)] if g != 5 else list(range(6))  # none near to the last
+        rows.append({"g": g, "queries": [{"q": q, "z": packed(queries[q])} for q in wanted], "ids": [100 * g + 1000 + i for i in range(len(s))], "zs": [packed(x) for x in members], "low": min(n), "high": max(n), "column": column.tobytes()})
+        for q in wanted:
+            own = sets(queries[q])
+            may |= {g} if jaccard.may_hold(column, min(n), max(n), own, t) else set()
+            near = [i for i, x in enumerate(s) if t.similar(len(np.intersect1d(own, x)), len(own), len(x))]
+            expect |= {(q, len(own), 100 * g + 1000 + near[0], n[near[0]])} if near else set()
+    opened = []
+    real = jaccard.Group
+    monkeypatch.setattr(jaccard, "Group", lambda s: opened.append(len(s)) or real(s))
+    got = [r for b in jaccard.queried([pa.RecordBatch.from_pylist(rows)], size, t) for r in b.to_pylist()]
+    assert {(r["a"], r["na"], r["b"], r["nb"]) for r in got} == expect and expect
+    assert sorted(opened) == sorted(len(groups[g]) for g in may) and len(may) < len(groups)
+    small = next(iter([rows[0] | {"queries": [x for x in rows[0]["queries"] if x["q"] > 5]}]))  # a group of one, none near
+    opened.clear()
+    assert list(jaccard.queried([pa.RecordBatch.from_pylist([small])], size, t)) == [] and not opened
+
+
 def test_jaccard_odd_rows(spark, odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     got = jaccard.jaccard_components(odd, 5, 80, 100).collect()
