@@ -289,6 +289,14 @@ def links(pairs: DataFrame, sets: DataFrame, columns: DataFrame, size: int, t: T
     return both.mapInArrow(lambda batches: queried(batches, size, t), LINKS).where("a <> b")
 
 
+def led_links(pairs: DataFrame, sets: DataFrame, columns: DataFrame, size: int, t: Threshold) -> DataFrame:
+    """The same where most groups are leaders with few queries: each pair travels to its column on its own."""
+    own = only_named(sets, "id", pairs.select(F.col("q").alias("id"))).select(F.col("id").alias("q"), "z")
+    each = pairs.join(own.hint("merge"), "q").select("g", F.array(F.struct("q", "z")).alias("queries"))
+    both = each.join(columns.hint("merge"), "g").select("g", "queries", "ids", "zs", "low", "high", "column")
+    return both.mapInArrow(lambda batches: queried(batches, size, t), LINKS).where("a <> b")
+
+
 def queried(batches, size: int, t: Threshold):
     """Links of groups (g, queries, ids, zs, low, high, column): a group's texts are unpacked for the first query that passes its bound."""
     now = column = opened = None
@@ -371,9 +379,8 @@ def similar_sets(sets: DataFrame, levels: np.ndarray, size: int, t: Threshold, g
         top = heads.groupBy("token").agg(F.min(F.struct("rare", "id", "n", "pos")).alias("leader"))
         pairs = pairs.unionByName(led(heads.join(top, "token"), t)).distinct()
     pairs = saved(pairs)
-    leaders = pairs.select("g").distinct()
-    heads = only_named(sets, "id", leaders.withColumnRenamed("g", "id")).select(F.col("id").alias("g"), F.array("id").alias("ids"), F.array("z").alias("zs"))
-    near = saved(links(pairs, sets, matrix(heads.join(leaders.hint("merge"), "g", "left_semi"), size), size, t))
+    heads = only_named(sets, "id", pairs.select(F.col("g").alias("id"))).select(F.col("id").alias("g"), F.array("id").alias("ids"), F.array("z").alias("zs"))
+    near = saved(led_links(pairs, sets, matrix(heads, size), size, t))
     groups = saved(grouped(clusters(near)))
     pairs = saved(unsettled(lists, groups, t))
     wanted = pairs.select("g").distinct()

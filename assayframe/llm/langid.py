@@ -80,13 +80,43 @@ def grams(texts: list[str]):
         yield lo, hi, starts, columns
 
 
-def sparse_rows(texts: list[str]):
-    """(features, term frequencies) of each text; the frequencies sum to one."""
+def sparse_counts(texts: list[str]):
+    """(place, features, how often) of each text."""
     for lo, hi, starts, columns in grams(texts):
         for i in range(hi - lo):
             ids = np.concatenate([c[starts[i] : starts[i + 1]] for c in columns])
             u, n = np.unique(ids[ids < SIZE], return_counts=True)
-            yield lo + i, u, n / max(1, n.sum())
+            yield lo + i, u, n
+
+
+def sparse_rows(texts: list[str]):
+    """(place, features, term frequencies) of each text; the frequencies sum to one."""
+    for i, u, n in sparse_counts(texts):
+        yield i, u, n / max(1, n.sum())
+
+
+class Examples:
+    """The features of a training sample, as 32-bit numbers in large blocks, which the driver gives back when they go."""
+
+    TOGETHER = 200
+
+    def __init__(self, texts: list[str], idf: np.ndarray):
+        self.idf, self.blocks, self.at = idf, [], []
+        waiting, size = [], 0
+        for _, u, n in sparse_counts(texts):
+            self.at.append((len(self.blocks), size, size + len(u)))
+            waiting.append(np.array([u, n], np.int32))
+            size += len(u)
+            if len(waiting) == self.TOGETHER:
+                self.blocks.append(np.concatenate(waiting, axis=1))
+                waiting, size = [], 0
+        self.blocks.append(np.concatenate(waiting, axis=1) if waiting else np.zeros((2, 0), np.int32))
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Features and values of an example, the bias last."""
+        block, lo, hi = self.at[i]
+        u, n = self.blocks[block][:, lo:hi].astype(np.int64)
+        return np.append(u, SIZE), np.append(n / max(1, n.sum()) * self.idf[u] * SCALE, 1.0)
 
 
 def document_frequencies(docs: DataFrame) -> np.ndarray:
@@ -150,7 +180,7 @@ def fit(docs: DataFrame) -> Model:
         zz, nn = z[at], n[at]
         return np.where(np.abs(zz) <= L1, 0.0, -(zz - np.sign(zz) * L1) / ((BETA + np.sqrt(nn)) / ALPHA + L2))
 
-    made = {i: (np.append(u, SIZE), np.append(tf * idf[u] * SCALE, 1.0)) for i, u, tf in sparse_rows([r[0] for r in rows])}
+    made = Examples([r[0] for r in rows], idf)
     number = {x: j for j, x in enumerate(languages)}
     train = [i for i, r in enumerate(rows) if not r[2]] or list(range(len(rows)))
     for _ in range(EPOCHS):
@@ -169,7 +199,7 @@ def fit(docs: DataFrame) -> Model:
     table = np.zeros((SIZE + 1, k), np.float32)
     table[:SIZE] = w[:SIZE] * idf[:, None] * SCALE
     held = [i for i, r in enumerate(rows) if r[2]] or train
-    logits = np.array([made[i][1] @ w[made[i][0]] for i in held])
+    logits = np.array([x @ w[u] for u, x in map(made.__getitem__, held)])
     truth = np.array([number[rows[i][1]] for i in held])
     # the mean idf of a text: its tf times idf, without the scale and the bias feature
     strange = [made[i][1][:-1].sum() / SCALE for i in held if len(rows[i][0]) >= LEAST_GRAMS // ORDERS]
