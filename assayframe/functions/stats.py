@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayframe.functions import halves
 from assayframe.operators import ordered
 from assayframe.operators.tables import saved
 
@@ -205,67 +206,40 @@ def split_half(votes: DataFrame, iterations: int = 10, seed: int = 13) -> DataFr
     first floor(n/2) are one half.  A row's votes are gathered once (as many as
     it has annotators) and all iterations drawn from them.
     """
-    rows = votes.groupBy("row_id").agg(F.collect_list(F.struct("annotator", "score")).alias("v")).where(F.size("v") >= 2)
-    rows = rows.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    return _halves(_ordered_halves(rows, seed).withColumn("w", F.lit(1)))
-
-
-def _mean_of(part: Column, score=lambda x: x["score"]) -> Column:
-    return F.aggregate(part, F.lit(0.0), lambda s, x: s + score(x)) / F.size(part)
-
-
-def _ordered_halves(rows: DataFrame, seed: int) -> DataFrame:
-    """iteration, x, y: the halves' means of ``rows(iteration, row_id, v)``, votes in the order of their digests."""
-    key = lambda i, x: F.md5(F.concat_ws(":", F.lit(seed).cast("string"), i.cast("string"), F.col("row_id").cast("string"), x["annotator"]))
-    drawn = rows.withColumn("v", F.array_sort(F.transform("v", lambda x: F.struct(key(F.col("iteration"), x).alias("k"), x["annotator"].alias("annotator"), x["score"].alias("score")))))
-    half = F.floor(F.size("v") / 2).cast("int")
-    return drawn.select("iteration", _mean_of(F.slice("v", F.lit(1), half)).alias("x"), _mean_of(F.slice("v", half + 1, F.size("v") - half)).alias("y"))
-
-
-def _halves(cells: DataFrame) -> DataFrame:
-    """The reliability of each iteration's cells (iteration, x, y, w)."""
-    cells = cells.groupBy("iteration", "x", "y").agg(F.sum("w").alias("w"))  # so that means are worked out once
-    out = metric_block(cells, "x", "y", ["iteration"], weight="w").select("iteration", "n", "pearson", "spearman")
-    return out.withColumn("reliability", 2 * F.col("pearson") / (1 + F.col("pearson")))
+    return _halves(votes, iterations, seed, 1)
 
 
 LATTICE = 10  # votes; rows of more are split by the order of digests
 
 
-def half_masks(n: int) -> list[int]:
-    """All choices of floor(n/2) of n votes as bit masks, ascending; bit i stands for vote i."""
-    return [m for m in range(1 << n) if m.bit_count() == n // 2]
-
-
 def split_half_lattice(votes: DataFrame, iterations: int = 1000, seed: int = 13, most: int = LATTICE) -> DataFrame:
     """``split_half`` for many iterations: of a row's halvings one is drawn at once.
 
     A row of n votes (in the order of their annotators) has C(n, n/2) halvings;
     iteration i takes the one numbered by the eight digits from 8 * (i % 4) of
     md5('seed:i/4:row') modulo their number, in ascending order of bit masks.
-    What a halving gives depends on the scores alone, so draws are counted by
-    (iteration, scores, number) within each task and halves are taken of those
-    counts: the lattice of different pairs of means, with weights, is all that
-    is shuffled and ranked.  Rows of more than ``most`` votes have too many
-    halvings to list and are split as in ``split_half``.
+    Rows of more than ``most`` votes have too many halvings to list and are
+    split as in ``split_half``.
     """
     if not 2 <= most <= 16:
         raise ValueError("most must be from 2 to 16")
-    rows = votes.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("annotator", "score"))).alias("v")).where(F.size("v") >= 2)
-    rows = saved(rows)
-    every = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration")
-    few = rows.where(F.size("v") <= most).select("row_id", F.transform("v", lambda x: x["score"]).alias("s"), F.size("v").alias("n"))
-    listed = [(n, k, m, len(half_masks(n))) for n in range(2, most + 1) for k, m in enumerate(half_masks(n))]
-    table = votes.sparkSession.createDataFrame(listed, "n int, k int, mask int, choices int")  # bounded by most
-    few = few.join(F.broadcast(table.where("k = 0").select("n", "choices")), "n").withColumn("four", F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // 4))))
-    few = few.withColumn("digest", F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("four").cast("string"), F.col("row_id").cast("string"))))
-    number = lambda g: (F.conv(F.substring("digest", 8 * g + 1, 8), 16, 10).cast("long") % F.col("choices")).cast("int")
-    few = few.select("s", "n", "four", F.posexplode(F.array(*[number(g) for g in range(4)])).alias("g", "k"))
-    few = few.withColumn("iteration", F.col("four") * 4 + F.col("g")).where(F.col("iteration") < iterations)
-    drawn = few.groupBy("iteration", "s", "n", "k").agg(F.count(F.lit(1)).alias("w"))
-    drawn = drawn.join(F.broadcast(table.select("n", "k", "mask")), ["n", "k"])
-    bit = lambda i: F.call_function("getbit", F.col("mask"), i)
-    part = lambda b: F.filter("s", lambda x, i: bit(i) == b)
-    cells = drawn.select("iteration", _mean_of(part(1), lambda x: x).alias("x"), _mean_of(part(0), lambda x: x).alias("y"), "w")
-    many = _ordered_halves(rows.where(F.size("v") > most).select("row_id", "v", every), seed).withColumn("w", F.lit(1).cast("long"))
-    return _halves(cells.unionByName(many))
+    return _halves(votes, iterations, seed, most)
+
+
+def _halves(votes: DataFrame, iterations: int, seed: int, most: int) -> DataFrame:
+    """The reliability of each iteration's halves, which tasks draw and count by their means (see ``halves``).
+
+    The lattice of different pairs of means, with weights, is all that is
+    shuffled and ranked.
+    """
+    if iterations < 1:
+        raise ValueError("there must be an iteration")
+    parts = int(votes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # else few tasks get all the draws, as rows are small
+    rows = votes.repartition(parts, "row_id").groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("annotator", "score"))).alias("v")).where(F.size("v") >= 2)
+    part = lambda c: F.coalesce(F.concat(F.lit(":"), c.cast("string")), F.lit(""))
+    keys = F.when(F.size("v") > most, F.transform("v", lambda x: F.concat(part(F.col("row_id")), part(x["annotator"]))))
+    rows = rows.select(part(F.col("row_id")).alias("text"), keys.alias("keys"), F.transform("v", lambda x: x["score"].cast("double")).alias("scores"))
+    cells = rows.mapInArrow(halves.draws(iterations, seed, most), "iteration int, x double, y double, w long")
+    cells = cells.groupBy("iteration", "x", "y").agg(F.sum("w").alias("w"))  # so that means are worked out once
+    out = metric_block(cells, "x", "y", ["iteration"], weight="w").select("iteration", "n", "pearson", "spearman")
+    return out.withColumn("reliability", 2 * F.col("pearson") / (1 + F.col("pearson")))
