@@ -112,8 +112,11 @@ def nearest_prompts(utterances: DataFrame, least: float = 8.0, ideal: float = 12
 
 
 def require_audio(rows: DataFrame, files: DataFrame, name: str = "audio_path") -> DataFrame:
-    """``rows``, unless ``files(path)`` lacks one of their files: then the query fails."""
-    there = files.select(F.col("path").alias(name)).distinct().withColumn("_there", F.lit(True))
+    """``rows``, unless ``files(path)`` lacks one of their files: then the query fails.
+
+    There are as many files as rows, so their table is never broadcast.
+    """
+    there = files.select(F.col("path").alias(name)).distinct().withColumn("_there", F.lit(True)).hint("merge")
     missing = F.raise_error(F.concat(F.lit("audio not found: "), F.coalesce(F.col(name), F.lit("null")))).cast("boolean")
     return rows.join(there, name, "left").where(F.when(F.col("_there").isNull(), missing).otherwise(True)).drop("_there")
 

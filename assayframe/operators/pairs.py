@@ -92,11 +92,14 @@ def pair_score(complete: DataFrame) -> DataFrame:
 
 
 def scored_pairs(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """(pair_id, split, src_audio, tgt_audio) of the real rows; one of their files that ``files(path)`` lacks fails the query."""
+    """(pair_id, split, src_audio, tgt_audio) of the real rows; one of their files that ``files(path)`` lacks fails the query.
+
+    There are as many files as rows, so their table is never broadcast.
+    """
     real = rows.where("label = 'real'").select("pair_id", "split", F.col("audio_path").alias("src_audio"), F.col("other_audio_path").alias("tgt_audio"))
     there = files.select(F.col("path").alias("_path")).distinct()
     for c in ("src_audio", "tgt_audio"):
-        real = real.join(there.withColumn("_there", F.lit(True)), F.col(c) == F.col("_path"), "left").drop("_path")
+        real = real.join(there.withColumn("_there", F.lit(True)).hint("merge"), F.col(c) == F.col("_path"), "left").drop("_path")
         missing = F.raise_error(F.concat(F.lit("audio not found: "), F.coalesce(F.col(c), F.lit("null")))).cast("boolean")
         real = real.where(F.when(F.col("_there").isNull(), missing).otherwise(True)).drop("_there")
     return real

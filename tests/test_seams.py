@@ -124,3 +124,12 @@ def test_tables_and_reports(spark, tmp_path):
     assert assayframe.AutoPCP.__name__ == "PairScorer"
     with pytest.raises(AttributeError):
         assayframe.other  # noqa: B018
+
+
+def test_tables_of_files_are_not_broadcast(spark):
+    """They grow with the rows, and a broadcast table lies in every task's memory whole."""
+    pair = spark.createDataFrame([(1, "dev", "real", "a", "b"), (1, "dev", "synthetic", "b", "a")], "pair_id int, split string, label string, audio_path string, other_audio_path string")
+    files = spark.createDataFrame([("a",), ("b",), ("b",)], "path string")
+    for out in (P.scored_pairs(pair, files), B.require_audio(pair, files)):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in P.scored_pairs(B.require_audio(pair, files), files).collect()] == [(1, "dev", "a", "b")]
