@@ -9,7 +9,9 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -432,13 +434,23 @@ def edit_distance(a: list, b: list) -> int:
     return out
 
 
+def word_distances(x: pa.Array, y: pa.Array) -> pa.Array:
+    """Edit distances of the word lists of two Arrow arrays; words are told apart by number, one pair's lists are unpacked at a time."""
+    sizes = [pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False) for a in (x, y)]
+    codes = pa.concat_arrays([x.flatten(), y.flatten()]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    ends = [np.cumsum(n) + first for n, first in zip(sizes, (0, sizes[0].sum()), strict=True)]
+    known = pc.and_(x.is_valid(), y.is_valid()).to_pylist()
+    part = lambda k, i: codes[ends[k][i] - sizes[k][i] : ends[k][i]].tolist()
+    return pa.array([edit_distance(part(0, i), part(1, i)) if ok else None for i, ok in enumerate(known)], pa.int64())
+
+
 def word_distance(a: Column, b: Column) -> Column:
     """Edit distance of two word arrays, of any length; null if one is."""
 
-    def compare(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else edit_distance(p.tolist(), q.tolist()) for p, q in zip(x, y, strict=True)], dtype="Int64")
+    def compare(x: pa.Array, y: pa.Array) -> pa.Array:
+        return word_distances(x, y)
 
-    return F.pandas_udf(compare, "long")(a, b)
+    return F.arrow_udf(compare, "long")(a, b)
 
 
 def words(text: Column) -> Column:

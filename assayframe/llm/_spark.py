@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.operators.tables import discard, saved, scratch, shared_dir, temporary
+from assayframe.operators.tables import discard, saved, scratch, shared_dir, small_batches, temporary
 
 __all__ = ["ascii_lower", "bitmap", "discard", "fetched_bitmap", "in_bitmap", "salted", "saved", "scratch", "shared_dir", "shuffle_partitions", "small_batches", "table", "temporary"]
 
@@ -15,18 +15,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
-    """Hand Python workers Arrow batches of at most 1000 rows or about 8 MB.
-
-    Session settings, only ever lowered: texts are large, and a worker holds a
-    batch in several forms at once.
-    """
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        now = str(spark.conf.get(key)).rstrip("b")
-        if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(key, str(most))
-
-
 MAP_BITS = 1 << 22
 
 

@@ -10,7 +10,7 @@ from assayframe.functions import stats
 from assayframe.operators import ordered
 from assayframe.operators import predictions as P
 from assayframe.operators import votes as V
-from assayframe.operators.tables import saved
+from assayframe.operators.tables import saved, small_batches
 
 
 def checked_join(predictions: DataFrame, manifest: DataFrame, key: str = "row_id") -> DataFrame:
@@ -134,6 +134,7 @@ def without_prompt(utterances: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def word_errors(pairs: DataFrame) -> DataFrame:
     """``pairs(key.., reference, hypothesis)`` with edits, n_reference, n_hypothesis and wer."""
+    small_batches(pairs.sparkSession)
     rows = pairs.withColumn("_r", X.words(F.col("reference"))).withColumn("_h", X.words(F.col("hypothesis")))
     rows = rows.withColumn("edits", X.word_distance(F.col("_r"), F.col("_h")).cast("long"))
     return rows.withColumn("n_reference", F.size("_r").cast("long")).withColumn("n_hypothesis", F.size("_h").cast("long")).withColumn("wer", X.error_rate(F.col("edits"), F.col("_r"), F.col("_h"))).drop("_r", "_h")

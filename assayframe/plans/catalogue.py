@@ -14,6 +14,7 @@ from assayframe.operators import pairs as P
 from assayframe.operators import requests as R
 from assayframe.operators import rows, vectors
 from assayframe.operators import votes as V
+from assayframe.operators.tables import saved
 from assayframe.plans import fixtures as fx
 from assayframe.plans import vocabulary
 from assayframe.sources import readers
@@ -442,6 +443,7 @@ def wer_by_split(t):
     heard = s.withColumn("hypothesis", F.regexp_replace("reference", r"\be\w*", "x"))
     own = B.word_errors(heard).where("NOT isnan(wer)").select("conv_id", "turn", F.col("wer").alias("source"))
     pairs = w.join(own, ["conv_id", "turn"]).withColumn("split", F.when(F.col("conv_id") % 2 == 0, "dev").otherwise("test")).withColumn("delta", F.col("synthetic") - F.col("source"))
+    pairs = saved(pairs.select("split", "source", "synthetic", "delta"))  # texts are compared once
     return rounded(B.by_split(pairs), "mean_source", "median_source", "mean_synthetic", "median_synthetic", "mean_delta", "median_delta")
 
 

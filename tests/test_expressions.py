@@ -135,3 +135,25 @@ def test_edit_distance_by_brute_force_and_of_long_texts():
     other.insert(9000, "more")
     began = time.process_time()
     assert X.edit_distance(long, other) == 32 and time.process_time() - began < 1
+
+
+def test_word_distances_of_arrow_arrays():
+    """Slices, nulls and empty lists; a worker never holds more than a pair's words as Python objects."""
+    import pyarrow as pa
+
+    a = pa.array([["x"], ["a", "b", "c"], None, [], ["a", None], ["q", "r"]]).slice(1)
+    b = pa.array([["y"], ["b", "c", "d", "e"], ["a"], ["z"], ["a", None], None]).slice(1)
+    assert X.word_distances(a, b).to_pylist() == [3, None, 1, 0, None]
+
+
+def test_texts_come_to_workers_in_small_batches(spark):
+    from assayframe.operators import benchmarks as B
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        B.word_errors(spark.createDataFrame([("a b", "a c")], "reference string, hypothesis string"))
+        assert int(spark.conf.get(key)) <= 1000
+    finally:
+        spark.conf.set(key, was)
