@@ -141,10 +141,17 @@ def word_errors(pairs: DataFrame) -> DataFrame:
 
 
 def by_split(pairs: DataFrame, columns: tuple[str, ...] = ("source", "synthetic", "delta")) -> DataFrame:
-    """Per split and for 'all': n, mean and exact median of each column."""
-    out = pairs.rollup("split").agg(F.grouping("split").cast("int").alias("_all"), F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in columns])
-    twice = pairs.select(F.explode(F.array(F.struct("split", F.lit(0).alias("_all")), F.struct(F.lit(None).cast("string").alias("split"), F.lit(1).alias("_all")))).alias("_k"), *columns)
-    middle = ordered.medians(twice.select("_k.*", *columns), ["_all", "split"], list(columns)).select(F.col("_all").alias("_a"), F.col("split").alias("_s"), *[f"median_{c}" for c in columns])
+    """Per split and for 'all': n, mean and exact median of each column.
+
+    Rows are counted by split and value once, by which 'all' is put together, too.
+    """
+    per = pairs.groupBy("split").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}_{c}") for c in columns for k, f in (("s", F.sum), ("k", F.count))])
+    average = lambda c: F.try_divide(F.sum(f"s_{c}"), F.sum(f"k_{c}").cast("double")).alias(f"mean_{c}")
+    out = per.rollup("split").agg(F.grouping("split").cast("int").alias("_all"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[average(c) for c in columns])
+    counts = saved(ordered.value_counts(pairs, ["split"], list(columns)))
+    every = counts.groupBy(F.lit(1).alias("_all"), F.lit(None).cast("string").alias("split"), "_name", "_v").agg(F.sum("n").alias("n"))
+    counts = counts.select(F.lit(0).alias("_all"), "split", "_name", "_v", "n").unionByName(every)
+    middle = ordered.counted_medians(counts, ["_all", "split"], list(columns)).select(F.col("_all").alias("_a"), F.col("split").alias("_s"), *[f"median_{c}" for c in columns])
     out = out.join(middle, (F.col("_all") == F.col("_a")) & F.col("split").eqNullSafe(F.col("_s")), "left")
     order = [x for c in columns for x in (f"mean_{c}", f"median_{c}")]
     return out.select(F.when(F.col("_all") == 1, "all").otherwise(F.col("split")).alias("split"), "n", *order)

@@ -93,16 +93,25 @@ def value_places(df: DataFrame, by: list[str], col: str, weight: str | None = No
     return running(counts, by, [col], "n")
 
 
+def value_counts(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """by, _name (the column's place), _v and n: how many rows hold each value of each column, nulls left out."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("_name"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)]))
+    values = df.select(*by, each.alias("_x")).select(*by, "_x.*").where("_v IS NOT NULL")
+    return values.groupBy(*by, "_name", "_v").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
 def medians(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """by and ``median_<column>``: exact medians (the mean of the two middle values), nulls left out.
+    """by and ``median_<column>``: exact medians (the mean of the two middle values), nulls left out."""
+    return counted_medians(value_counts(df, by, columns), by, columns)
 
-    Values are counted, then numbered over ranges; only the range that holds a
-    group's middle is looked into.
+
+def counted_medians(counts: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """The medians of ``value_counts``.
+
+    Values are numbered over ranges; only the range that holds a group's middle
+    is looked into.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_v")) for c in columns]))
-    values = df.select(*by, each.alias("_x")).select(*by, "_x.*").where("_v IS NOT NULL")
     group = [*by, "_name"]
-    counts = values.groupBy(*group, "_v").agg(F.count(F.lit(1)).cast("long").alias("n"))
     counted = counted_ranges(counts, group, ["_v"], "n")
     sums = range_sums(counted, group, "n")
     total = F.sum("_sum").over(Window.partitionBy(*group))
@@ -113,8 +122,8 @@ def medians(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     at = F.col("_base") + F.col("_in")
     holds = lambda k: ((at <= F.col(k)) & (F.col(k) < at + F.col("n"))).cast("int")
     near = counted.join(middle, same).withColumn("_k", holds("_low") + holds("_high")).where("_k > 0")
-    mid = lambda c: (F.sum(F.when(F.col("_name") == c, F.col("_v") * F.col("_k"))) / 2).alias(f"median_{c}")
-    return near.groupBy(*by).agg(*[mid(c) for c in columns])
+    mid = lambda i, c: (F.sum(F.when(F.col("_name") == i, F.col("_v") * F.col("_k"))) / 2).alias(f"median_{c}")
+    return near.groupBy(*by).agg(*[mid(i, c) for i, c in enumerate(columns)])
 
 
 def shared_out(rows: DataFrame, table: DataFrame, key: list[str], size: str) -> DataFrame:

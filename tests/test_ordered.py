@@ -208,3 +208,19 @@ def test_scopes_of_threads_are_their_own(spark):
     assert mine.count() == 3
     with pytest.raises(Exception, match=r"PATH_NOT_FOUND|does not exist|FileNotFound"):
         spark.read.parquet(gone._saved_at).count()
+
+
+def test_all_rows_median_comes_from_the_splits_counts(spark, many_ranges):
+    """Each row is counted once per column; nulls, a split without a name and lone values included."""
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "b", None]), rng.choice([None, float(rng.randrange(5)), rng.random()]), rng.random() if i % 3 else 0.5, None) for i in range(800)]
+    df = spark.createDataFrame(rows, "split string, source double, synthetic double, delta double")
+    counts = ordered.value_counts(df, ["split"], ["source", "synthetic", "delta"])
+    assert counts.agg(F.sum("n")).first()[0] == sum(v is not None for r in rows for v in r[1:])
+    assert B.by_split(df)._jdf.queryExecution().executedPlan().toString().count("Generate explode") == 0  # values are counted before, once
+    got = {r.split: r for r in B.by_split(df).collect()}
+    for name in ("hot", "b", None, "all"):
+        part = [r for r in rows if name == "all" or r[0] == name]
+        source = [r[1] for r in part if r[1] is not None]
+        assert got[name].n == len(part) and got[name].median_source == statistics.median(source) and got[name].median_synthetic == statistics.median(r[2] for r in part)
+        assert math.isclose(got[name].mean_source, statistics.fmean(source)) and got[name].mean_delta is None and got[name].median_delta is None
