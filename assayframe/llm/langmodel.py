@@ -27,6 +27,7 @@ scored each; other columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ CONTEXT, DIM, GROUPS = 5, 16, 64
 WORDS, LEAST = 1 << 13, 8
 KNOWN, WARM_CHARS, SHARD_CHARS, PIECE = 1 << 18, 4_000_000, 16_000_000, 512
 BATCH, NOISE, INNER, RATE = 4096, 25, 8, 0.1
+ROWS = 1024  # scored at once
+GUIDE = 2048  # parts of a cluster's share that are looked up
 _LOW = np.uint64(GROUPS - 1)
 
 
@@ -106,6 +109,12 @@ class Vocabulary:
     kinds: int  # V
     ends: int
 
+    @cached_property
+    def first(self) -> tuple[int, np.ndarray]:
+        """Ids are hashes: how far to shift them, and the first word from each of the shifted numbers on."""
+        bits = len(self.words).bit_length()
+        return 64 - bits, np.searchsorted(self.words, np.arange(-(1 << bits - 1), 1 << bits - 1) << 64 - bits)
+
     @property
     def modelled(self) -> int:
         return len(self.slot_n)
@@ -205,8 +214,14 @@ def slots_of(v: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Slot of each word id (-1: not modelled), and its place in ``v.words`` (-1: not there)."""
     if len(v.words) == 0:
         return np.full(len(ids), -1), np.full(len(ids), -1)
-    at = np.searchsorted(v.words, ids)
-    at[at == len(v.words)] = 0
+    shift, first = v.first
+    last = len(v.words) - 1
+    at = np.minimum(first[(ids >> shift) + len(first) // 2], last)
+    late = np.flatnonzero(v.words[at] < ids)
+    while len(late):
+        late = late[at[late] < last]
+        at[late] += 1
+        late = late[v.words[at[late]] < ids[late]]
     at = np.where(v.words[at] == ids, at, -1)
     return np.where(at >= 0, v.slots[at], -1), at
 
@@ -233,13 +248,19 @@ def sequences(v: Vocabulary, ids: np.ndarray, slots: np.ndarray, at: np.ndarray)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In the place of ``x``."""
+    np.clip(x, -30, 30, out=x)
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def _scatter(ids: np.ndarray, g: np.ndarray, rows: int) -> np.ndarray:
-    """Rows of gradients added up by id; a dimension at a time, without an index for every number."""
-    columns = np.ascontiguousarray(g.T)
-    return np.stack([np.bincount(ids, columns[d], rows) for d in range(DIM)], axis=1)
+def _scatter(ids: np.ndarray, columns, rows: int) -> np.ndarray:
+    """Rows of gradients added up by id; ``columns`` gives a dimension at a time."""
+    out = np.empty((rows, DIM), np.float32)
+    for d, x in enumerate(columns):
+        out[:, d] = np.bincount(ids, x, rows)
+    return out
 
 
 class Trainer:
@@ -252,6 +273,18 @@ class Trainer:
         share, inner = class_share(v), word_share(v)
         self.cum, self.log_kp = np.cumsum(share), np.log(NOISE * share).astype(np.float32)
         self.cum_inner, self.log_ki = np.concatenate([[0.0], np.cumsum(inner)]), np.log(INNER * inner).astype(np.float32)
+        parts = np.arange(v.clusters * GUIDE + 1) / GUIDE
+        low, high = np.searchsorted(self.cum_inner, parts[:-1], "right"), np.searchsorted(self.cum_inner, parts[1:], "left")
+        self.guide = np.concatenate([np.where(low == high, low - 1, -1), np.full(GUIDE, -1)]).astype(np.int32)  # -1: parts of several words
+
+    def _others(self, cluster: np.ndarray) -> np.ndarray:
+        """Noise words of the same clusters, by their share of them."""
+        low = (cluster * self.v.width)[:, None]
+        at = (self.cum_inner[low] + self.rng.random((len(cluster), INNER))).ravel()
+        other = self.guide.take((at * GUIDE).astype(np.int64))
+        several = np.flatnonzero(other < 0)
+        other[several] = np.searchsorted(self.cum_inner, at[several], side="right") - 1
+        return np.clip(other.reshape(-1, INNER), low, low + self.v.width - 1)
 
     def learn(self, y: np.ndarray, slot: np.ndarray, before: np.ndarray) -> None:
         for lo in range(0, len(y), BATCH):
@@ -260,38 +293,53 @@ class Trainer:
 
     def _step(self, y: np.ndarray, slot: np.ndarray, ctx: np.ndarray) -> None:
         p, n = self.p, len(y)
-        r = p.r[ctx]
-        v = (r * p.c).sum(axis=1)
+        # within a text the context at a place is the nearest one so many tokens before: vectors are gathered, and their gradients
+        # added up, once a token; near the start of a text or batch once a context
+        r, edge = p.r.take(ctx[:, 0], axis=0), ctx[:, -1] == self.v.start
+        edge[: CONTEXT - 1] = True
+        edge = np.flatnonzero(edge)
+        r_edge = p.r[ctx[edge]]
+        v = r * p.c[0]
+        for j in range(1, min(CONTEXT, n)):
+            v[j:] += r[:-j] * p.c[j]
+        v[edge] = (r_edge * p.c).sum(axis=1)
+        wide = np.ascontiguousarray(v.T, np.float64)
         noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), self.v.classes - 1)
-        qy, qn = p.q[y], p.q[noise]
-        gy = _sigmoid((v * qy).sum(axis=1) + p.b[y] - self.log_kp[y]) - 1
-        gn = _sigmoid(v @ qn.T + p.b[noise] - self.log_kp[noise])
+        qy, qn = p.q.take(y, axis=0), p.q[noise]
+        gy = _sigmoid(np.einsum("nd,nd->n", v, qy) + p.b[y] - self.log_kp[y]) - 1
+        gn = _sigmoid(v @ qn.T + (p.b[noise] - self.log_kp[noise]))
         gv = gy[:, None] * qy + gn @ qn
-        gq = _scatter(y, gy[:, None] * v, self.v.classes)
+        gq = _scatter(y, gy * wide, self.v.classes)
         np.add.at(gq, noise, gn.T @ v)
         gb = np.bincount(y, gy, self.v.classes)
         np.add.at(gb, noise, gn.sum(axis=0))
-        gqi, gbi = np.zeros((0, DIM)), np.zeros(0)
+        gqi, gbi = np.zeros((0, DIM), np.float32), np.zeros(0)
         if self.v.modelled:
             m = np.flatnonzero(slot >= 0)
-            own, vm = slot[m], v[m]
-            # noise words of the same cluster, by their share of it
-            at = self.cum_inner[(y[m] * self.v.width)][:, None] + self.rng.random((len(m), INNER))
-            other = np.searchsorted(self.cum_inner, at, side="right") - 1
-            other = np.clip(other, (y[m] * self.v.width)[:, None], ((y[m] + 1) * self.v.width - 1)[:, None])
-            qs, qo = p.qi[own], p.qi[other]
-            gs = _sigmoid((vm * qs).sum(axis=1) + p.bi[own] - self.log_ki[own]) - 1
-            go = _sigmoid(np.einsum("md,mkd->mk", vm, qo) + p.bi[other] - self.log_ki[other])
-            gv[m] += gs[:, None] * qs + np.einsum("mk,mkd->md", go, qo)
-            ids = np.concatenate([own, other.ravel()])
-            gqi = _scatter(ids, np.concatenate([gs[:, None] * vm, (go[:, :, None] * vm[:, None, :]).reshape(-1, DIM)]), self.v.modelled)
-            gbi = np.bincount(ids, np.concatenate([gs, go.ravel()]), self.v.modelled)
-        gc = (gv[:, None, :] * r).sum(axis=0)
-        gr = _scatter(ctx.ravel(), (gv[:, None, :] * p.c).reshape(-1, DIM), self.v.start + 1)
+            ids = np.concatenate([slot[m][:, None], self._others(y[m])], axis=1)
+            qs = p.qi.take(ids, axis=0)
+            g = _sigmoid(np.matvec(qs, v.take(m, axis=0)) + (p.bi - self.log_ki)[ids])
+            g[:, 0] -= 1
+            gv[m] += np.vecmat(g, qs)
+            ids, g = ids.T.ravel(), g.T.astype(np.float64, order="C")
+            gqi = _scatter(ids, ((g * x).ravel() for x in wide.take(m, axis=1)), self.v.modelled)
+            gbi = np.bincount(ids, g.ravel(), self.v.modelled)
+        gv_edge = gv[edge][:, None, :]
+        gc, gr_edge = (gv_edge * r_edge).sum(axis=0), (gv_edge * p.c).reshape(-1, DIM)
+        gv[edge] = 0
+        near = gv * p.c[0]
+        gc[0] += np.einsum("nd,nd->d", gv, r)
+        for j in range(1, min(CONTEXT, n)):
+            near[:-j] += gv[j:] * p.c[j]
+            gc[j] += np.einsum("nd,nd->d", gv[j:], r[:-j])
+        gr = _scatter(np.concatenate([ctx[:, 0], ctx[edge].ravel()]), np.concatenate([near, gr_edge]).T.astype(np.float64, order="C"), self.v.start + 1)
         for x, g, s in zip(p.parts(), (gq, gb, gqi, gbi, gr, gc), self.sq, strict=True):
-            g = (g / n * 20).astype(np.float32)
+            g = g.astype(np.float32, copy=False)
+            g *= np.float32(20 / n)
             s += g * g
-            x -= RATE * g / np.sqrt(s)
+            g /= np.sqrt(s)
+            g *= np.float32(RATE)
+            x -= g
 
 
 def learn_from(t: Trainer, column) -> None:
@@ -382,9 +430,9 @@ class Scorer:
     def __init__(self, p: Parameters, v: Vocabulary):
         self.p, self.v = p, v
         self.scaled = p.r[None, :, :] * p.c[:, None, :]
-        self.q = np.ascontiguousarray(p.q.T)
-        self.qi = np.ascontiguousarray(p.qi.reshape(v.clusters, v.width, DIM).transpose(0, 2, 1))
-        self.bi = p.bi.reshape(v.clusters, v.width)
+        # biases stand below the vectors, for a last dimension of one
+        self.q = np.concatenate([p.q.T, p.b[None]])
+        self.qi = np.ascontiguousarray(np.concatenate([p.qi, p.bi[:, None]], axis=1).reshape(v.clusters, v.width, DIM + 1).transpose(0, 2, 1))
 
     def __call__(self, y: np.ndarray, slot: np.ndarray, before: np.ndarray) -> np.ndarray:
         out = np.empty(len(y))
@@ -394,27 +442,28 @@ class Scorer:
         return out
 
     def _some(self, y, slot, ctx):
-        v = self.scaled[0][ctx[:, 0]]
-        for j in range(1, CONTEXT):
-            v += self.scaled[j][ctx[:, j]]
+        v = np.ones((len(y), DIM + 1), np.float32)
+        v[:, :DIM] = sum(self.scaled[j].take(ctx[:, j], axis=0) for j in range(CONTEXT))
         out = np.empty(len(y))
-        for lo in range(0, len(y), 4096):
-            out[lo : lo + 4096] = self._own(v[lo : lo + 4096] @ self.q + self.p.b, y[lo : lo + 4096])
-        order = np.argsort(y, kind="stable")
+        for lo in range(0, len(y), ROWS):
+            out[lo : lo + ROWS] = self._own(v[lo : lo + ROWS], self.q, y[lo : lo + ROWS])
+        order = np.argsort(y.astype(np.int16), kind="stable")
         ends = np.searchsorted(y[order], np.arange(self.v.clusters + 1))
+        own = slot - y * self.v.width
         for k in range(self.v.clusters):
             at = order[ends[k] : ends[k + 1]]
-            for lo in range(0, len(at), 4096):
-                a = at[lo : lo + 4096]
-                out[a] += self._own(v[a] @ self.qi[k] + self.bi[k], slot[a] - k * self.v.width)
+            for lo in range(0, len(at), ROWS):
+                a = at[lo : lo + ROWS]
+                out[a] += self._own(v.take(a, axis=0), self.qi[k], own[a])
         return out
 
     @staticmethod
-    def _own(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def _own(v: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        s = v @ q
         np.clip(s, -60, 60, out=s)
         own = s[np.arange(len(at)), at].astype(np.float64)
         np.exp(s, out=s)
-        return own - np.log(s.sum(axis=1, dtype=np.float64))
+        return own - np.log((s @ np.ones(s.shape[1], np.float32)).astype(np.float64))
 
 
 def score(docs: DataFrame, train_on: str = "train", key: str = "doc_id") -> DataFrame:
